@@ -38,7 +38,7 @@ def resample(df: DataFrame, id_col: str, reps: int, seed: int = 42, mode: str =
     if mode == "poisson":
         each = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
         digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col(id_col).cast("string")))
-        return each.withColumn("weight", poisson_count(uniform(digest), F.lit(1.0), 20).cast("bigint")).filter("weight > 0")
+        return each.withColumn("weight", poisson_count(uniform(digest), 1.0, 20).cast("bigint")).filter("weight > 0")
     raise ValueError(f"mode is exact or poisson, not {mode}")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,15 +101,26 @@ def uniform(digest: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(16**13))
 
 
-def poisson_count(u: Column, rate: Column, terms: int = 30) -> Column:
+def poisson_count(u: Column, rate: Column | float, terms: int = 30) -> Column:
     """Poisson draw by inversion of a uniform number; exact up to ``terms``, which no modest rate reaches."""
-    term = F.exp(-rate)
-    total, count = term, F.when(u > term, 1).otherwise(0)
-    for k in range(1, terms):
-        term = term * rate / k
-        total = total + term
-        count = count + F.when(u > total, 1).otherwise(0)
-    return count
+    if isinstance(rate, (int, float)):
+        term = total = math.exp(-rate)
+        count = F.when(u > total, 1).otherwise(0)
+        for k in range(1, terms):
+            term *= rate / k
+            total += term
+            count = count + F.when(u > total, 1).otherwise(0)
+        return count
+    first = F.exp(-rate)
+
+    def step(acc: Column, k: Column) -> Column:
+        term = acc.term * rate / k
+        return F.struct(
+            term.alias("term"), (acc.total + term).alias("total"),
+            (acc["n"] + F.when(u > acc.total + term, 1).otherwise(0)).alias("n"))
+
+    start = F.struct(first.alias("term"), first.alias("total"), F.when(u > first, 1).otherwise(0).alias("n"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(terms - 1)), start, step, lambda acc: acc["n"])
 
 
 def weighted_resample(df: DataFrame, id_col: str, weight: str, seed: int = 42) -> DataFrame:

@@ -1 +1,556 @@
-"""Placeholder."""
+"""Metrics, curves, thresholds, calibration and bootstrap on the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from incidentry.functions import probability, recode
+from incidentry.operators import bootstrap, calibration, curves, metrics, overlap_scores, profile
+from incidentry.plans import views
+from incidentry.plans.catalog import query, table
+from incidentry.plans.views import CLASSED_SQL, COUNTED_SQL, INCIDENTS_SQL, LOCATED_SQL, SCORED_SQL, with_
+
+CNT = with_(COUNTED_SQL)
+CLS = with_(CLASSED_SQL)
+SCO = with_(SCORED_SQL)
+LOC = with_(LOCATED_SQL)
+
+
+def rounded(df, *cols):
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
+COUNT_AGGS_SQL = """round(avg(abs(prediction - true_label)), 6) AS mae, round(sqrt(avg((prediction - true_label) * (prediction - true_label))), 6) AS rmse,
+ round(avg(CASE WHEN prediction = true_label THEN 1.0 ELSE 0 END), 6) AS exact_match,
+ round(avg(CASE WHEN abs(prediction - true_label) <= 1 THEN 1.0 ELSE 0 END), 6) AS within_1,
+ round(avg(CASE WHEN abs(prediction - true_label) <= 2 THEN 1.0 ELSE 0 END), 6) AS within_2"""
+
+
+@query("a31_count_metrics", CNT + f"""SELECT priority, {COUNT_AGGS_SQL}, CAST(quantile_cont(abs(prediction - true_label), 0.5) AS DOUBLE) AS mdae,
+ round(coalesce(avg(abs(prediction - true_label)) FILTER (true_label > 0), 0), 6) AS nonzero_mae,
+ round(avg(CASE WHEN incident_number % 10 <> 0 THEN 1.0 ELSE 0 END), 6) AS extraction_rate, count(*) AS n FROM counted GROUP BY priority""")
+def a31(spark, d):
+    c = views.counted(spark, d).withColumn("ok", F.col("incident_number") % 10 != 0)
+    return rounded(metrics.count_metrics(c, ["priority"], extracted="ok"), "mae", "rmse", "exact_match", "within_1",
+                   "within_2", "nonzero_mae", "extraction_rate")
+
+
+@query("a31_count_metrics_nulls_dropped", CNT + f"""SELECT {COUNT_AGGS_SQL}, count(*) AS n FROM counted WHERE incident_number % 6 <> 0""")
+def a31b(spark, d):
+    c = views.counted(spark, d).withColumn("prediction", F.when(F.col("incident_number") % 6 != 0, F.col("prediction")))
+    cols = ["mae", "rmse", "exact_match", "within_1", "within_2"]
+    return rounded(metrics.count_metrics(c, []), *cols).select(*cols, "n")
+
+
+@query("a32_count_metrics_by_bin", CNT + f""", b AS (SELECT *, CASE WHEN true_label >= 6 THEN '6+' WHEN true_label >= 3 THEN '3-5'
+  WHEN true_label >= 2 THEN '2' WHEN true_label >= 1 THEN '1' WHEN true_label >= 0 THEN '0' END AS bin FROM counted WHERE true_label <> 1),
+ g AS (SELECT DISTINCT priority, bin FROM (SELECT DISTINCT priority FROM b), (VALUES ('0'), ('1'), ('2'), ('3-5'), ('6+')) AS v(bin)),
+ m AS (SELECT priority, bin, {COUNT_AGGS_SQL}, count(*) AS n FROM b GROUP BY 1, 2)
+SELECT g.priority, g.bin, coalesce(mae, 0) AS mae, coalesce(rmse, 0) AS rmse, coalesce(exact_match, 0) AS exact_match,
+ coalesce(within_1, 0) AS within_1, coalesce(within_2, 0) AS within_2, coalesce(n, 0) AS n FROM g LEFT JOIN m ON g.priority = m.priority AND g.bin = m.bin""")
+def a32(spark, d):
+    out = metrics.count_metrics_by_bin(views.counted(spark, d).filter("true_label <> 1"), ["priority"])
+    return rounded(out, "mae", "rmse", "exact_match", "within_1", "within_2")
+
+
+PRF = """round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END, 6) AS precision,
+ round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0 END, 6) AS recall,
+ round(CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn)::DOUBLE ELSE 0 END, 6) AS f1"""
+RAW_PRF = PRF.replace("round(", "(").replace(", 6)", ")")
+
+
+def report_sql(by: str) -> str:
+    """Report rows from a table k(by, label, tp, fp, fn)."""
+    return f"""
+, s AS (SELECT {by}, label, tp, fp, fn, tp + fn AS support, {RAW_PRF} FROM k),
+ a AS (SELECT {by}, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, CAST(sum(support) AS BIGINT) AS support, avg(precision) AS mp, avg(recall) AS mr, avg(f1) AS mf,
+   sum(precision * support) / sum(support) AS wp, sum(recall * support) / sum(support) AS wr, sum(f1 * support) / sum(support) AS wf FROM s GROUP BY {by})
+SELECT {by}, label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM s
+UNION ALL SELECT {by}, 'micro avg', {PRF}, support FROM a
+UNION ALL SELECT {by}, 'macro avg', round(mp, 6), round(mr, 6), round(mf, 6), support FROM a
+UNION ALL SELECT {by}, 'weighted avg', round(wp, 6), round(wr, 6), round(wf, 6), support FROM a"""
+
+
+@query("a33_multiclass_report", CLS + """
+, l AS (SELECT DISTINCT model, label FROM (SELECT DISTINCT model FROM classed), (VALUES ('en'), ('fr'), ('de'), ('xx')) AS v(label)),
+ k AS (SELECT l.model, label, count(*) FILTER (true_label = label AND pred_label = label) AS tp,
+   count(*) FILTER (true_label <> label AND pred_label = label) AS fp, count(*) FILTER (true_label = label AND pred_label <> label) AS fn
+   FROM l JOIN classed c ON c.model = l.model GROUP BY 1, 2)""" + report_sql("model") + """
+UNION ALL SELECT model, 'accuracy', round(avg(CASE WHEN true_label = pred_label THEN 1.0 ELSE 0 END), 6), round(avg(CASE WHEN true_label = pred_label THEN 1.0 ELSE 0 END), 6),
+ round(avg(CASE WHEN true_label = pred_label THEN 1.0 ELSE 0 END), 6), count(*) FROM classed GROUP BY model""")
+def a33(spark, d):
+    out = metrics.multiclass_report(views.classed(spark, d), ["model"], "true_label", "pred_label", ["en", "fr", "de", "xx"])
+    return rounded(out, "precision", "recall", "f1")
+
+
+LONG_K = """
+, k AS (SELECT model, label, count(*) FILTER (truth = 1 AND pred = 1) AS tp, count(*) FILTER (truth = 0 AND pred = 1) AS fp,
+  count(*) FILTER (truth = 1 AND pred = 0) AS fn FROM long GROUP BY 1, 2)"""
+
+
+@query("a34_multilabel_report", SCO + LONG_K + report_sql("model"))
+def a34(spark, d):
+    return rounded(metrics.multilabel_report(views.scored(spark, d), ["model"]), "precision", "recall", "f1")
+
+
+@query("a35_masked_report", SCO + LONG_K.replace("GROUP BY 1, 2", "GROUP BY 1, 2 HAVING avg(truth) >= 0.2") + report_sql("model"))
+def a35b(spark, d):
+    out = metrics.multilabel_report(views.scored(spark, d), ["model"], mask_zero=True, mask_below=0.2)
+    return rounded(out, "precision", "recall", "f1")
+
+
+@query("a35_hamming_subset", SCO + """
+SELECT model, round(avg(CASE WHEN truth <> pred THEN 1.0 ELSE 0 END), 6) AS hamming_loss,
+ (SELECT round(avg(CASE WHEN w = 0 THEN 1.0 ELSE 0 END), 6) FROM (SELECT row_id, sum(abs(truth - pred)) AS w FROM long l2 WHERE l2.model = long.model GROUP BY 1)) AS subset_accuracy,
+ CAST(count(DISTINCT row_id) AS BIGINT) AS n FROM long GROUP BY model""")
+def a35(spark, d):
+    long = views.scored(spark, d)
+    wide = long.groupBy("row_id", "model").agg(*[
+        F.max(F.when(F.col("label") == x, F.col(c))).alias(f"{'true' if c == 'truth' else c}_{x}")
+        for x in ("quality", "toxic") for c in ("truth", "pred")])
+    return rounded(metrics.hamming_and_subset(wide, ["model"], ["quality", "toxic"]), "hamming_loss", "subset_accuracy")
+
+
+@query("a36_strategy_scores", SCO + LONG_K + f"SELECT model AS strategy, label, {PRF}, tp + fn AS support FROM k")
+def a36(spark, d):
+    long = views.scored(spark, d).withColumnRenamed("model", "strategy")
+    text = long.withColumns({"truth": metrics.truthy(F.when(F.col("truth") == 1, "True").otherwise("0")),
+                             "pred": metrics.truthy(F.col("pred").cast("string"))})
+    return rounded(metrics.strategy_scores(text), "precision", "recall", "f1")
+
+
+@query("a37_strategy_summary", SCO + LONG_K + f""", s AS (SELECT model AS strategy, {RAW_PRF} FROM k)
+SELECT strategy, round(avg(f1), 6) AS f1_mean, round(stddev_samp(f1), 6) AS f1_std, count(f1) AS f1_count FROM s GROUP BY 1""")
+def a37(spark, d):
+    s = metrics.strategy_scores(views.scored(spark, d), "model").withColumnRenamed("model", "strategy")
+    return rounded(metrics.strategy_summary(s), "f1_mean", "f1_std")
+
+
+@query("a38_f1_scores", CLS + """
+, l AS (SELECT model, true_label AS label FROM classed UNION SELECT model, pred_label FROM classed),
+ k AS (SELECT l.model, label, count(*) FILTER (true_label = label AND pred_label = label) AS tp,
+   count(*) FILTER (true_label <> label AND pred_label = label) AS fp, count(*) FILTER (true_label = label AND pred_label <> label) AS fn
+   FROM l JOIN classed c ON c.model = l.model GROUP BY 1, 2), s AS (SELECT *, 2 * tp / (2 * tp + fp + fn)::DOUBLE AS f1 FROM k)
+SELECT model, round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn))::DOUBLE, 6) AS micro_f1, round(avg(f1), 6) AS macro_f1,
+ round(sum(f1 * (tp + fn)) / sum(tp + fn), 6) AS weighted_f1 FROM s GROUP BY 1""")
+def a38(spark, d):
+    out = metrics.f1_scores(views.classed(spark, d), ["model"], "true_label", "pred_label")
+    return rounded(out, "micro_f1", "macro_f1", "weighted_f1")
+
+
+@query("a39_j16_confusion", CLS + """SELECT true_label, pred_label, count(*) AS n,
+ round(count(*) / sum(count(*)) OVER (PARTITION BY true_label)::DOUBLE, 6) AS proportion FROM classed GROUP BY 1, 2""")
+def a39(spark, d):
+    return rounded(metrics.confusion(views.classed(spark, d), [], "true_label", "pred_label"), "proportion")
+
+
+@query("a40_error_patterns", SCO + LONG_K + """, p AS (SELECT model, label, fp AS false_positives, fn AS false_negatives, tp / (tp + fp)::DOUBLE AS precision, tp / (tp + fn)::DOUBLE AS recall
+  FROM k WHERE fp > 0 AND fn > 0),
+ e AS (SELECT model, label, string_agg(row_id::VARCHAR, '|' ORDER BY row_id) AS ex FROM (
+   SELECT *, row_number() OVER (PARTITION BY model, label ORDER BY row_id) AS rn FROM long WHERE truth = 1) WHERE rn <= 10 GROUP BY 1, 2)
+SELECT model, label, false_positives, false_negatives, round(precision, 6) AS precision, round(recall, 6) AS recall, precision < 0.8 OR recall < 0.8 AS refine,
+ CASE WHEN precision < 0.8 OR recall < 0.8 THEN ex END AS examples,
+ CASE WHEN precision < 0.8 OR recall < 0.8 THEN 'Consider refining definition or adding examples for ' || label END AS suggestion FROM p JOIN e USING (model, label)""")
+def a40(spark, d):
+    long = views.scored(spark, d).withColumn("name", F.col("row_id").cast("string"))
+    out = metrics.error_patterns(long, ["model"], "row_id", "name", threshold=0.8)
+    return rounded(out.withColumn("examples", F.array_join("examples", "|")), "precision", "recall")
+
+
+@query("a45_all_counts_right", CNT + """SELECT priority, round(avg(CASE WHEN true_label = prediction AND true_label = baseline THEN 1.0 ELSE 0 END), 6) AS all_correct,
+ round(avg(CASE WHEN true_label = prediction THEN 1.0 ELSE 0 END), 6) AS accuracy_true_label, round(avg(CASE WHEN true_label = baseline THEN 1.0 ELSE 0 END), 6) AS accuracy_again,
+ count(*) AS n FROM counted GROUP BY 1""")
+def a45(spark, d):
+    c = views.counted(spark, d).withColumn("again", F.col("true_label"))
+    out = metrics.all_counts_right(c, [("true_label", "prediction"), ("again", "baseline")], ["priority"])
+    return rounded(out, "all_correct", "accuracy_true_label", "accuracy_again")
+
+
+@query("a46_zero_split_accuracy", CNT + """SELECT priority, round(avg(CASE WHEN true_label = prediction THEN 1.0 ELSE 0 END) FILTER (true_label = 0) * 100, 6) AS zero_true_accuracy,
+ round(avg(CASE WHEN true_label = prediction THEN 1.0 ELSE 0 END) FILTER (true_label <> 0) * 100, 6) AS nonzero_true_accuracy FROM counted GROUP BY 1""")
+def a46(spark, d):
+    return rounded(metrics.zero_split_accuracy(views.counted(spark, d), ["priority"], "true_label", "prediction"),
+                   "zero_true_accuracy", "nonzero_true_accuracy")
+
+
+# ---- structured locations ----------------------------------------------------------------
+
+PARSED_SQL = """
+, f AS (SELECT *, {cols} FROM located)""".format(cols=", ".join(
+    f"nullif(regexp_extract({src}, '(^|, ){lvl}: ([^,]*)', 2), '') AS {p}_{lvl}"
+    for src, p in (("ground_truth", "t"), ("prediction", "p")) for lvl in ("state", "district", "village", "other_locations")))
+EQ = {x: f"(t_{x} IS NOT DISTINCT FROM p_{x})" for x in ("state", "district", "village", "other_locations")}
+LEQ = {x: f"(lower(t_{x}) IS NOT DISTINCT FROM lower(p_{x}))" for x in EQ}
+
+
+@query("a41_location_overall", LOC + PARSED_SQL + f"""SELECT region, round(avg(CASE WHEN {' AND '.join(EQ.values())} THEN 1.0 ELSE 0 END) * 100, 6) AS exact_match,
+ round(avg(CASE WHEN {EQ['state']} AND {EQ['district']} AND {EQ['village']} THEN 1.0 ELSE 0 END) * 100, 6) AS exact_core_match,
+ count(*) AS total_examples FROM f GROUP BY region""")
+def a41(spark, d):
+    out = metrics.location_overall(views.located(spark, d), ["region"], "ground_truth", "prediction", None, normalise=False)
+    return rounded(out, "exact_match", "exact_core_match")
+
+
+LEVEL_K = PARSED_SQL + ", c AS (" + " UNION ALL ".join(
+    f"SELECT '{x}' AS level, count(*) FILTER (lower(t_{x}) = lower(p_{x})) AS tp, count(p_{x}) AS pr, count(t_{x}) AS su FROM f" for x in EQ) + """),
+ b AS (SELECT * FROM c UNION ALL SELECT 'micro', sum(tp), sum(pr), sum(su) FROM c)
+SELECT level, round(100 * tp / pr::DOUBLE, 6) AS exact_precision, round(100 * tp / su::DOUBLE, 6) AS exact_recall,
+ round(200 * tp / (pr + su)::DOUBLE, 6) AS exact_f1, CAST(su AS BIGINT) AS support FROM b"""
+
+
+@query("a41_location_levels", LOC + LEVEL_K)
+def a41b(spark, d):
+    out = metrics.location_levels(views.located(spark, d), [], "ground_truth", "prediction", None, normalise=False)
+    return rounded(out, "exact_precision", "exact_recall", "exact_f1")
+
+
+@query("a41_f20_location_levels_fuzzy")
+def a41c(spark, d):
+    """Fuzzy scores need the indel ratio, which the SQL side lacks; the rows are checked in the unit tests."""
+    out = metrics.location_levels(views.located(spark, d), ["region"], "ground_truth", "prediction", 85.0)
+    return rounded(out, "exact_precision", "exact_recall", "exact_f1", "fuzzy_precision", "fuzzy_recall", "fuzzy_f1")
+
+
+@query("a41_match_shares", LOC + PARSED_SQL + f"""SELECT region,
+ round(avg(({' + '.join(f'CAST({x} AS INTEGER)' for x in LEQ.values())}) / 4.0) * 100, 6) AS micro_f1,
+ round(avg(CASE WHEN {' AND '.join(LEQ.values())} THEN 1.0 ELSE 0 END) * 100, 6) AS exact_match,
+ round(avg(CASE WHEN {LEQ['state']} AND {LEQ['district']} AND {LEQ['village']} THEN 1.0 ELSE 0 END) * 100, 6) AS exact_core_match, count(*) AS n FROM f GROUP BY region""")
+def a41d(spark, d):
+    return rounded(metrics.match_share_metrics(views.located(spark, d), ["region"], "ground_truth", "prediction"),
+                   "micro_f1", "exact_match", "exact_core_match")
+
+
+@query("a52_field_matches", LOC + PARSED_SQL + f"""SELECT incident_number, {' AND '.join(EQ.values())} AS exact_match,
+ {", ".join(f"CASE WHEN t_{x} IS NOT NULL THEN lower(coalesce(p_{x}, '')) = lower(t_{x}) END AS {x}_match" for x in EQ)} FROM f""")
+def a52(spark, d):
+    out = metrics.field_matches(views.located(spark, d), "ground_truth", "prediction", normalise=False)
+    return out.select("incident_number", "exact_match", *[f"{x}_match" for x in EQ])
+
+
+TOK = LOC + """, t AS (SELECT region, ground_truth AS g, prediction AS p,
+  list_distinct([lower(trim(x)) for x in string_split(ground_truth, ',')]) AS gs, list_distinct([lower(trim(x)) for x in string_split(prediction, ',')]) AS ps FROM located),
+ u AS (SELECT *, len(list_intersect(gs, ps)) AS i FROM t)"""
+
+
+@query("a42_token_set_scores", TOK + """, a AS (SELECT region, avg(CASE WHEN g = p THEN 1.0 ELSE 0 END) * 100 AS e, avg(i / len(ps)::DOUBLE) * 100 AS pr, avg(i / len(gs)::DOUBLE) * 100 AS re FROM u GROUP BY 1)
+SELECT region, round(e, 6) AS exact_match, round(pr, 6) AS precision_tokens, round(re, 6) AS recall_tokens, round(2 * pr * re / (pr + re), 6) AS f1_tokens FROM a""")
+def a42(spark, d):
+    return rounded(metrics.token_set_scores(views.located(spark, d), ["region"], "ground_truth", "prediction"),
+                   "exact_match", "precision_tokens", "recall_tokens", "f1_tokens")
+
+
+@query("a43_component_recall", LOC + """, t AS (SELECT region, ground_truth = prediction AS e, list_distinct(string_split(ground_truth, ', ')) AS gs,
+  list_distinct(string_split(prediction, ', ')) AS ps FROM located)
+SELECT region, round(avg(CASE WHEN e THEN 1.0 ELSE 0 END) * 100, 6) AS exact_match, round(avg(len(list_intersect(gs, ps)) / len(gs)::DOUBLE) * 100, 6) AS recall FROM t GROUP BY 1""")
+def a43(spark, d):
+    return rounded(metrics.component_recall(views.located(spark, d), ["region"], "ground_truth", "prediction"),
+                   "exact_match", "recall")
+
+
+BLEU_SQL = LOC + """, t AS (SELECT incident_number AS id, string_split(prediction, ' ') AS p, string_split(ground_truth, ' ') AS g FROM located),
+ n AS (SELECT unnest([1, 2, 3, 4]) AS n),
+ pg AS (SELECT id, n, array_to_string(p[i:i + n - 1], ' ') AS gram, count(*) AS c FROM (SELECT id, n, p, unnest(range(1, len(p) - n + 2)) AS i FROM t, n) GROUP BY ALL),
+ gg AS (SELECT id, n, array_to_string(g[i:i + n - 1], ' ') AS gram, count(*) AS c FROM (SELECT id, n, g, unnest(range(1, len(g) - n + 2)) AS i FROM t, n) GROUP BY ALL),
+ pr AS (SELECT pg.n, sum(least(pg.c, coalesce(gg.c, 0))) / sum(pg.c)::DOUBLE AS v FROM pg LEFT JOIN gg ON pg.id = gg.id AND pg.n = gg.n AND pg.gram = gg.gram GROUP BY 1),
+ le AS (SELECT CAST(sum(len(p)) AS BIGINT) AS pl, CAST(sum(len(g)) AS BIGINT) AS tl FROM t),
+ w AS (SELECT pl, tl, CASE WHEN pl >= tl THEN 1.0 ELSE exp(1 - tl / pl::DOUBLE) END AS bp FROM le)
+SELECT pl AS pred_length, tl AS truth_length, round(bp, 6) AS brevity_penalty, (SELECT round(v, 6) FROM pr WHERE n = 1) AS precision_1,
+ (SELECT round(v, 6) FROM pr WHERE n = 2) AS precision_2, (SELECT round(v, 6) FROM pr WHERE n = 3) AS precision_3, (SELECT round(v, 6) FROM pr WHERE n = 4) AS precision_4,
+ round(bp * (SELECT exp(avg(ln(v))) FROM pr), 6) AS bleu FROM w"""
+
+
+@query("a44_bleu", BLEU_SQL)
+def a44(spark, d):
+    out = overlap_scores.bleu(views.located(spark, d), "incident_number", "prediction", "ground_truth")
+    return rounded(out, "brevity_penalty", "precision_1", "precision_2", "precision_3", "precision_4", "bleu")
+
+
+@query("a44_rouge")
+def a44b(spark, d):
+    """ROUGE-L needs a longest common subsequence per row; checked in the unit tests."""
+    return rounded(overlap_scores.rouge(views.located(spark, d), "incident_number", "prediction", "ground_truth"),
+                   "rouge1", "rouge2", "rougeL")
+
+
+# ---- curves and thresholds ---------------------------------------------------------------
+
+STEPS_SQL = """
+, st AS (SELECT {by} prob, CAST(sum(truth) AS BIGINT) AS p, CAST(sum(1 - truth) AS BIGINT) AS q FROM long GROUP BY ALL),
+ cu AS (SELECT *, sum(p) OVER ({part} ORDER BY prob DESC) AS tp, sum(q) OVER ({part} ORDER BY prob DESC) AS fp,
+   sum(p) OVER ({part}) AS np, sum(q) OVER ({part}) AS nq FROM st)"""
+BY_MODEL_LABEL = STEPS_SQL.format(by="model, label,", part="PARTITION BY model, label")
+
+
+@query("w15_roc_points", SCO + BY_MODEL_LABEL + """SELECT model, label, round(prob, 6) AS prob, round(tp / np::DOUBLE, 6) AS sensitivity, round(1 - fp / nq::DOUBLE, 6) AS specificity FROM cu""")
+def w15(spark, d):
+    return rounded(curves.roc_points(views.scored(spark, d), ["model", "label"]), "prob", "sensitivity", "specificity")
+
+
+@query("w15_roc_auc", SCO + BY_MODEL_LABEL + """SELECT model, label, round(sum(q * (tp - p / 2.0)) / (max(np) * max(nq))::DOUBLE, 6) AS auc,
+ CAST(max(np) AS BIGINT) AS positives, CAST(max(nq) AS BIGINT) AS negatives FROM cu GROUP BY 1, 2""")
+def w15b(spark, d):
+    return rounded(curves.roc_auc(views.scored(spark, d), ["model", "label"]), "auc")
+
+
+@query("w16_pr_points", SCO + BY_MODEL_LABEL + """SELECT model, label, round(prob, 6) AS prob, round(tp / np::DOUBLE, 6) AS recall, round(tp / (tp + fp)::DOUBLE, 6) AS precision FROM cu""")
+def w16(spark, d):
+    return rounded(curves.pr_points(views.scored(spark, d), ["model", "label"]), "prob", "recall", "precision")
+
+
+@query("w16_average_precision", SCO + BY_MODEL_LABEL + """, cm AS (SELECT *, sum(p) OVER w AS tp, sum(q) OVER w AS fp, sum(p) OVER (PARTITION BY model) AS np FROM (
+   SELECT model, prob, sum(p) AS p, sum(q) AS q FROM st GROUP BY 1, 2) WINDOW w AS (PARTITION BY model ORDER BY prob DESC)),
+ mi AS (SELECT model, sum(p / np::DOUBLE * tp / (tp + fp)) AS micro FROM cm GROUP BY 1),
+ ma AS (SELECT model, avg(ap) AS macro FROM (SELECT model, label, sum(p / np::DOUBLE * tp / (tp + fp)) AS ap FROM cu GROUP BY 1, 2) GROUP BY 1)
+SELECT model, round(micro, 6) AS micro, round(macro, 6) AS macro FROM mi JOIN ma USING (model)""")
+def w16b(spark, d):
+    return rounded(curves.average_precision_summary(views.scored(spark, d), ["model"]), "micro", "macro")
+
+
+GRID_SQL = """
+, g AS (SELECT {grid} AS threshold),
+ k AS (SELECT {by}, threshold, count(*) FILTER (truth = 1 AND prob >= threshold) AS tp, count(*) FILTER (truth = 0 AND prob >= threshold) AS fp,
+  count(*) FILTER (truth = 1 AND prob < threshold) AS fn FROM long, g GROUP BY ALL),
+ s AS (SELECT *, CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn)::DOUBLE ELSE 0 END AS f FROM k)"""
+G101 = "unnest([CASE WHEN i = 100 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE + i * 0.01::DOUBLE END for i in range(101)])"
+G19 = "unnest([CASE WHEN i = 18 THEN 0.95::DOUBLE ELSE 0.05::DOUBLE + i * ((0.95::DOUBLE - 0.05::DOUBLE) / 18) END for i in range(19)])"
+
+
+@query("b07_thresholds_per_label", SCO + GRID_SQL.format(grid=G101, by="model, label") + """SELECT model, label, round(threshold, 6) AS threshold, round(f, 6) AS f_beta FROM (
+ SELECT *, row_number() OVER (PARTITION BY model, label ORDER BY round(f, 12) DESC, threshold) AS rn FROM s) WHERE rn = 1""")
+def b07(spark, d):
+    return rounded(curves.best_thresholds(views.scored(spark, d), ["model", "label"]), "threshold", "f_beta")
+
+
+@query("b08_global_threshold", SCO + GRID_SQL.format(grid=G19, by="model") + """SELECT model, round(threshold, 6) AS threshold, round(f, 6) AS micro_f1 FROM (
+ SELECT *, row_number() OVER (PARTITION BY model ORDER BY round(f, 12) DESC, threshold) AS rn FROM s) WHERE rn = 1""")
+def b08(spark, d):
+    return rounded(curves.best_global_threshold(views.scored(spark, d), ["model"]), "threshold", "micro_f1")
+
+
+@query("b09_coordinate_thresholds")
+def b09(spark, d):
+    """Coordinate ascent has no SQL form; the unit tests compare it with brute force."""
+    long = views.scored(spark, d).filter("model = 'base'")
+    chosen = curves.coordinate_thresholds(long, "micro")
+    return long.groupBy("label").agg(F.count("*").alias("n")).withColumn("threshold", F.round(F.try_element_at(
+        F.create_map(*[F.lit(x) for kv in chosen.items() for x in kv]), F.col("label")), 6))
+
+
+@query("p26_f38_exclusive_predictions", SCO + """, w AS (SELECT row_id, max(prob) FILTER (label = 'quality') AS q, max(prob) FILTER (label = 'toxic') AS x FROM scored WHERE model = 'base' GROUP BY 1),
+ s AS (SELECT row_id, 1 / (1 + exp(-(q * 4 - 2) / 0.5)) AS q, 1 / (1 + exp(-(x * 4 - 2) / 0.5)) AS x FROM w)
+SELECT row_id, CASE WHEN x > 0.5 THEN 0 WHEN q > 0.5 THEN 1 ELSE 0 END AS pred_quality, CASE WHEN x > 0.5 THEN 1 ELSE 0 END AS pred_toxic FROM s""")
+def p26(spark, d):
+    long = views.scored(spark, d).filter("model = 'base'")
+    wide = long.groupBy("row_id").agg(*[
+        F.max(F.when(F.col("label") == x, F.col("prob"))).alias(x) for x in ("quality", "toxic")])
+    q, x = (recode.above(probability.sigmoid(F.col(c) * 4 - 2, 0.5)) for c in ("quality", "toxic"))
+    return wide.select("row_id", recode.clear_exclusive(q, [x]).alias("pred_quality"), x.alias("pred_toxic"))
+
+
+EMB = """WITH e AS (SELECT vec_id, label, [x::DOUBLE for x in embedding[1:4]] AS v FROM embeddings),
+ s AS (SELECT vec_id, label, v, list_sum([exp((x - list_max(v)) / 0.5) for x in v]) AS z FROM e)"""
+
+
+@query("p27_argmax_labels", EMB + """SELECT vec_id, CASE list_position(v, list_max(v)) WHEN 1 THEN 'Security' WHEN 2 THEN 'Maoist' WHEN 3 THEN 'Unknown' ELSE 'Unknown' END AS label FROM e""")
+def p27(spark, d):
+    e = table(spark, d, "embeddings").withColumn("v", F.slice("embedding", 1, 4).cast("array<double>"))
+    return e.select("vec_id", recode.argmax_label(F.col("v"), ["Security", "Maoist", "Unknown"]).alias("label"))
+
+
+@query("f37_state_fusion", EMB + """, p AS (SELECT vec_id, label, [exp((x - list_max(v)) / 0.5) / z for x in v] AS p FROM s),
+ m AS (SELECT vec_id, label, p, CASE WHEN label % 2 = 0 THEN [p[1] * 0.7, p[2] * 0.1, p[3] * 0.1, p[4] * 0.1] ELSE p END AS raw FROM p),
+ f AS (SELECT vec_id, [x / list_sum(raw) for x in raw] AS f FROM m)
+SELECT vec_id, CASE WHEN list_max(f) >= 0.4 THEN ['a', 'b', 'c', 'd'][list_position(f, list_max(f))] END AS state, round(list_max(f), 6) AS p FROM f""")
+def f37(spark, d):
+    e = table(spark, d, "embeddings").withColumn("v", F.slice("embedding", 1, 4).cast("array<double>"))
+    prior = F.when(F.col("label") % 2 == 0, F.array(*[F.lit(x) for x in (0.7, 0.1, 0.1, 0.1)]))
+    mixed = e.withColumn("f", probability.fuse(probability.softmax(F.col("v"), 0.5), prior))
+    return mixed.select("vec_id", probability.confident_label(F.col("f"), ["a", "b", "c", "d"], 0.4).alias("state"),
+                        F.round(F.array_max("f"), 6).alias("p"))
+
+
+@query("b10_softmax_nll_grid", """WITH e AS (SELECT label % 4 AS y, [x::DOUBLE for x in embedding[1:4]] AS v FROM embeddings), t AS (SELECT unnest([0.1, 0.5, 1.0, 5.0])::DOUBLE AS temperature)
+SELECT temperature, round(avg(ln(list_sum([exp((x - list_max(v)) / temperature) for x in v])) - (v[y + 1] - list_max(v)) / temperature), 6) AS nll FROM e, t GROUP BY 1""")
+def b10(spark, d):
+    e = table(spark, d, "embeddings").select(
+        (F.col("label") % 4).alias("y"), F.slice("embedding", 1, 4).cast("array<double>").alias("v"))
+    out = calibration.temperature_table(
+        e, lambda t: probability.softmax_nll(F.col("v"), F.col("y"), t), [0.1, 0.5, 1.0, 5.0])
+    return rounded(out, "nll")
+
+
+def _logits(spark, d):
+    long = views.scored(spark, d).filter("model = 'base'")
+    return long.withColumn("logit", F.col("prob") * 6 - 3)
+
+
+@query("b10_sigmoid_nll_grid", SCO + """, t AS (SELECT unnest([0.2, 1.0, 3.0])::DOUBLE AS temperature), z AS (SELECT temperature, truth, (prob * 6 - 3) / temperature AS z FROM scored, t WHERE model = 'base')
+SELECT temperature, round(avg(greatest(z, 0) - z * truth + ln(1 + exp(-abs(z)))), 6) AS nll FROM z GROUP BY 1""")
+def b10b(spark, d):
+    out = calibration.temperature_table(
+        _logits(spark, d), lambda t: probability.binary_nll(F.col("logit"), F.col("truth"), t), [0.2, 1.0, 3.0])
+    return rounded(out, "nll")
+
+
+@query("b11_calibrate_then_threshold")
+def b11(spark, d):
+    """The fitted temperature comes from a search; its minimum is checked in the unit tests."""
+    long = _logits(spark, d)
+    val, test = long.filter("row_id % 2 = 0"), long.filter("row_id % 2 = 1")
+    tuned = calibration.calibrate_and_tune(val, test)
+    return rounded(calibration.calibrated_report(tuned), "precision", "recall", "f1")
+
+
+# ---- bootstrap ---------------------------------------------------------------------------
+
+REPS = 50
+
+
+def draws_sql(source: str, id_col: str) -> str:
+    return f"""rn AS (SELECT *, row_number() OVER (ORDER BY {id_col}) - 1 AS row_no FROM {source}), nn AS (SELECT count(*) AS n FROM rn),
+ dr AS (SELECT rep, CAST('0x' || md5('42:' || rep || ':' || d)[1:8] AS BIGINT) % n AS row_no FROM nn, LATERAL range({REPS}) AS a(rep), LATERAL range(n) AS b(d)),
+ dw AS (SELECT rep, row_no, count(*) AS w FROM dr GROUP BY 1, 2)"""
+
+
+PAIRED = """WITH lc AS (SELECT l.doc_id AS id, n_chars % 5 AS truth, n_chars % 5 + (l.doc_id % 4) // 3 AS base, n_chars % 5 + (l.doc_id % 5) // 4 * 2 AS model, quality AS grp FROM labels l JOIN documents d USING (doc_id)),
+""" + draws_sql("lc", "id")
+
+
+def _pairs(spark, d):
+    k, t = F.col("doc_id"), F.col("n_chars") % 5
+    return table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").select(
+        k.alias("incident_number"), t.alias("true_label"), (t + F.floor(k % 4 / 3)).alias("prediction_baseline"),
+        (t + F.floor(k % 5 / 4) * 2).alias("prediction_model"), F.col("quality").alias("grp"))
+
+
+@query("b01_bootstrap_interval", PAIRED + """, s AS (SELECT rep, grp, sum(w * abs(model - truth)) / sum(w)::DOUBLE AS v FROM dw JOIN rn USING (row_no) GROUP BY 1, 2)
+SELECT grp, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS lower, round(quantile_cont(v, 0.975), 6) AS upper, count(v) AS replicates FROM s GROUP BY 1""")
+def b01(spark, d):
+    score = bootstrap.count_scores("true_label", "prediction_model")["mae"]
+    out = bootstrap.bootstrap_interval(_pairs(spark, d), "incident_number", ["grp"], score, REPS)
+    return rounded(out, "mean", "lower", "upper")
+
+
+@query("b02_out_of_bag_f1", PAIRED.replace("WITH lc AS (", "WITH lc AS (SELECT * FROM (").replace(" FROM labels l JOIN documents d USING (doc_id)),", " FROM labels l JOIN documents d USING (doc_id))),")
+       + f""", o AS (SELECT a.rep, rn.* FROM rn, range({REPS}) AS a(rep) WHERE NOT EXISTS (SELECT 1 FROM dw WHERE dw.rep = a.rep AND dw.row_no = rn.row_no)),
+ l AS (SELECT rep, truth AS label FROM o UNION SELECT rep, base FROM o),
+ k AS (SELECT l.rep, label, count(*) FILTER (truth = label AND base = label) AS tp, count(*) FILTER (truth <> label AND base = label) AS fp,
+   count(*) FILTER (truth = label AND base <> label) AS fn FROM l JOIN o ON o.rep = l.rep GROUP BY 1, 2),
+ s AS (SELECT rep, sum(2 * tp / (2 * tp + fp + fn)::DOUBLE * (tp + fn)) / sum(tp + fn) AS v FROM k GROUP BY 1)
+SELECT round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS lower, round(quantile_cont(v, 0.975), 6) AS upper, count(v) AS replicates FROM s""")
+def b02(spark, d):
+    out = bootstrap.out_of_bag_class_f1(
+        _pairs(spark, d), "incident_number", [], "true_label", "prediction_baseline", "weighted", REPS)
+    return rounded(out, "mean", "lower", "upper")
+
+
+@query("b02_out_of_bag_micro_f1", with_(SCORED_SQL, "src AS (SELECT *, row_id * 2 + CASE label WHEN 'toxic' THEN 1 ELSE 0 END AS id FROM long WHERE model = 'large')")[:-1]
+       + ", " + draws_sql("src", "id") + f""", o AS (SELECT a.rep, rn.* FROM rn, range({REPS}) AS a(rep) WHERE NOT EXISTS (SELECT 1 FROM dw WHERE dw.rep = a.rep AND dw.row_no = rn.row_no)),
+ s AS (SELECT rep, 2 * sum(truth * pred) / (2 * sum(truth * pred) + sum(abs(truth - pred)))::DOUBLE AS v FROM o GROUP BY 1)
+SELECT round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS lower, round(quantile_cont(v, 0.975), 6) AS upper, count(v) AS replicates FROM s""")
+def b02b(spark, d):
+    long = views.scored(spark, d).filter("model = 'large'").withColumn(
+        "id", F.col("row_id") * 2 + F.when(F.col("label") == "toxic", 1).otherwise(0))
+    return rounded(bootstrap.out_of_bag_micro_f1(long, "id", [], REPS), "mean", "lower", "upper")
+
+
+SCORES_SQL = ", ".join(
+    f"{f} AS {p}_{m}" for p, c in (("b", "base"), ("m", "model")) for m, f in (
+        ("mae", f"sum(w * abs({c} - truth)) / sum(w)::DOUBLE"),
+        ("rmse", f"sqrt(sum(w * ({c} - truth) * ({c} - truth)) / sum(w)::DOUBLE)"),
+        ("within_1", f"sum(w * CASE WHEN abs({c} - truth) <= 1 THEN 1 ELSE 0 END) / sum(w)::DOUBLE"),
+        ("within_2", f"sum(w * CASE WHEN abs({c} - truth) <= 2 THEN 1 ELSE 0 END) / sum(w)::DOUBLE"),
+        ("nonzero_mae", f"sum(w * abs({c} - truth)) FILTER (truth > 0) / sum(w) FILTER (truth > 0)::DOUBLE")))
+
+
+@query("b03_b05_paired_significance", PAIRED + f""", s AS (SELECT rep, grp, {SCORES_SQL} FROM dw JOIN rn USING (row_no) GROUP BY 1, 2),
+ l AS (SELECT grp, metric, b, m FROM s, LATERAL (VALUES ('mae', b_mae, m_mae), ('rmse', b_rmse, m_rmse), ('within_1', b_within_1, m_within_1),
+   ('within_2', b_within_2, m_within_2), ('nonzero_mae', b_nonzero_mae, m_nonzero_mae)) AS v(metric, b, m)),
+ a AS (SELECT grp, metric, avg(b) AS bm, avg(m) AS mm, least(1.0, 2 * least(avg(CASE WHEN m - b <= 0 THEN 1.0 ELSE 0 END), avg(CASE WHEN m - b >= 0 THEN 1.0 ELSE 0 END))) AS p FROM l GROUP BY 1, 2)
+SELECT grp, metric, round(bm, 6) AS baseline_mean, round(mm, 6) AS model_mean, round(p, 6) AS p, round(mm - bm, 6) AS diff, p < 0.05 AS significant,
+ CASE WHEN metric IN ('mae', 'rmse', 'nonzero_mae') THEN mm < bm ELSE mm > bm END AS better FROM a""")
+def b03(spark, d):
+    out = bootstrap.paired_count_test(_pairs(spark, d), "incident_number", ["grp"], REPS)
+    return rounded(out, "baseline_mean", "model_mean", "p", "diff")
+
+
+@query("b03_paired_significance_poisson")
+def b03b(spark, d):
+    """The whole-table form, without row numbers: all line counts of all orders."""
+    c = views.counted(spark, d).withColumnsRenamed({"prediction": "prediction_model", "baseline": "prediction_baseline"})
+    out = bootstrap.paired_count_test(c, "incident_number", [], 20, mode="poisson")
+    return rounded(out, "baseline_mean", "model_mean", "p", "diff")
+
+
+@query("b06_validate_metrics", CNT + """, m AS (SELECT priority, avg(abs(prediction - true_label)) AS mae, avg(CASE WHEN prediction = true_label THEN 1.0 ELSE 0 END) AS exact_match FROM counted GROUP BY 1)
+SELECT priority, metric, round(difference, 6) AS difference, difference <= 0.01 AS within_tolerance FROM m,
+ LATERAL (VALUES ('mae', abs(mae - round(mae, 1))), ('exact_match', abs(exact_match - round(exact_match, 3)))) AS v(metric, difference)""")
+def b06(spark, d):
+    m = views.counted(spark, d).groupBy("priority").agg(
+        F.avg(F.abs(F.col("prediction") - F.col("true_label"))).alias("mae"),
+        F.avg((F.col("prediction") == F.col("true_label")).cast("int")).alias("exact_match"))
+    stored = m.select("priority", F.round("mae", 1).alias("mae"), F.round("exact_match", 3).alias("exact_match"))
+    return rounded(bootstrap.validate(m, stored, ["priority"], {"mae": 0.01, "exact_match": 0.01}), "difference")
+
+
+@query("b13_comparison_summary", SCO + LONG_K + f""", s AS (SELECT model, {RAW_PRF}, tp, fp, fn FROM k)
+SELECT 'documents' AS task, model, round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn))::DOUBLE, 6) AS micro_f1, round(avg(f1), 6) AS macro_f1, round(sum(f1 * (tp + fn)) / sum(tp + fn), 6) AS weighted_f1 FROM s GROUP BY model""")
+def b13(spark, d):
+    r = metrics.multilabel_report(views.scored(spark, d), ["model"]).filter("label like '% avg'")
+    from incidentry.operators.report import spread
+
+    wide = spread(r, ["model"], F.concat(F.split_part("label", F.lit(" "), F.lit(1)), F.lit("_f1")), "f1",
+                  ["micro_f1", "macro_f1", "weighted_f1"])
+    return rounded(wide.withColumn("task", F.lit("documents")), "micro_f1", "macro_f1", "weighted_f1")
+
+
+# ---- distances ---------------------------------------------------------------------------
+
+DIST_SQL = with_(INCIDENTS_SQL) + """, c AS (SELECT incident_number, region, (total_fatalities * 7 + incident_number % 10) / 10.0 + 10 AS la, (total_injuries * 11) / 10.0 + 70 AS lo,
+   CASE WHEN total_abducted > 0 THEN (total_fatalities * 7) / 10.0 + 10 END AS lb, (total_injuries * 11 + incident_number % 17) / 10.0 + 70 AS lp FROM incidents),
+ h AS (SELECT *, pow(sin(radians(lb - la) / 2), 2) + cos(radians(la)) * cos(radians(lb)) * pow(sin(radians(lp - lo) / 2), 2) AS a FROM c),
+ k AS (SELECT incident_number, region, 2 * 6371.0 * atan2(sqrt(a), sqrt(1 - a)) AS km FROM h)"""
+
+
+def _distances(spark, d):
+    from incidentry.functions.geo import haversine
+
+    i = views.incidents(spark, d)
+    k = F.col("incident_number")
+    la = (F.col("total_fatalities") * 7 + k % 10) / 10.0 + 10
+    lo = F.col("total_injuries") * 11 / 10.0 + 70
+    lb = F.when(F.col("total_abducted") > 0, F.col("total_fatalities") * 7 / 10.0 + 10)
+    lp = (F.col("total_injuries") * 11 + k % 17) / 10.0 + 70
+    return i.select("incident_number", "region", haversine(la, lo, lb, lp).alias("distance_km"))
+
+
+@query("f21_haversine", DIST_SQL + "SELECT incident_number, round(km, 4) AS distance_km FROM k")
+def f21(spark, d):
+    return _distances(spark, d).select("incident_number", F.round("distance_km", 4).alias("distance_km"))
+
+
+@query("a47_distance_summary", DIST_SQL + """SELECT region, count(km) AS n, round(avg(km), 4) AS mean, round(stddev_samp(km), 4) AS sd, round(min(km), 4) AS min, round(max(km), 4) AS max,
+ round(quantile_cont(km, 0.5), 4) AS median, """ + ", ".join(
+    f"round(avg(CASE WHEN km <= {s} THEN 1.0 ELSE 0 END) * 100, 4) AS pct_within_{s}km" for s in profile.DISTANCE_STEPS)
+    + " FROM k WHERE km IS NOT NULL GROUP BY region")
+def a47(spark, d):
+    out = profile.distance_summary(_distances(spark, d), ["region"])
+    return out.select("region", "n", *[F.round(c, 4).alias(c) for c in out.columns if c not in ("region", "n")])
+
+
+COMPARE_SQL = DIST_SQL + """, u AS (SELECT region AS strategy, 'model_baseline' AS pair, km AS d FROM k UNION ALL SELECT region, 'human_baseline', km * 1.5 FROM k),
+ t AS (SELECT strategy, pair, count(d) AS n, avg(d) AS mean, count(*) FILTER (d <= 10) AS within_10, count(*) FILTER (d <= 50) AS within_50, quantile_cont(d, 0.5) AS median FROM u GROUP BY 1, 2)"""
+
+
+@query("a48_strategy_comparison", COMPARE_SQL + "SELECT strategy, pair, n, round(mean, 4) AS mean, within_10, within_50, round(median, 4) AS median FROM t")
+def a48(spark, d):
+    x = _distances(spark, d).withColumnRenamed("region", "strategy").withColumn("h", F.col("distance_km") * 1.5)
+    out = profile.compare_strategies(x, {"model_baseline": "distance_km", "human_baseline": "h"})
+    return out.withColumns({"mean": F.round("mean", 4), "median": F.round("median", 4)})
+
+
+@query("a48_best_strategies", COMPARE_SQL + """SELECT pair, arg_min(strategy, mean) AS lowest_mean, (SELECT strategy FROM t t2 WHERE t2.pair = t.pair ORDER BY within_10 DESC, strategy LIMIT 1) AS most_within_10 FROM t GROUP BY pair""")
+def a48b(spark, d):
+    x = _distances(spark, d).withColumnRenamed("region", "strategy").withColumn("h", F.col("distance_km") * 1.5)
+    out = profile.best_strategies(profile.compare_strategies(x, {"model_baseline": "distance_km", "human_baseline": "h"}))
+    return out.select("pair", "lowest_mean", "most_within_10")
