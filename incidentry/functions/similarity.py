@@ -97,6 +97,15 @@ def jaro(a: pd.Series, b: pd.Series) -> pd.Series:
     return _pairwise(a, b, jaro_block)
 
 
+@F.pandas_udf(DoubleType())
+def _jaro_once(a: pd.Series, b: pd.Series) -> pd.Series:
+    return _pairwise(a, b, jaro_block)
+
+
+# Declared non-deterministic so that a filter on the result does not make Spark compute it twice.
+jaro_once = _jaro_once.asNondeterministic()
+
+
 @F.pandas_udf(DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Indel similarity in [0, 100]."""

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from incidentry.functions.similarity import indel_block
-from incidentry.functions.text import drop_descriptors, strip
+from incidentry.functions.text import ABBREVIATIONS, drop_descriptors, strip
 
 LABELS = ("STATE", "DISTRICT", "VILLAGE", "OTHER_LOCATION")
 SINGLE = LABELS[:3]
@@ -42,8 +42,6 @@ def exact_span(text: Column, name: Column) -> Column:
 
 
 def _normal(text: str) -> str:
-    from incidentry.functions.text import ABBREVIATIONS
-
     text = text.lower()
     for pattern, word in ABBREVIATIONS:
         text = re.sub(pattern, word, text)

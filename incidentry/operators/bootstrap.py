@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from incidentry.operators.metrics import class_counts, ratio
 from incidentry.operators.ranks import global_rank, null_safe
-from incidentry.operators.splits import poisson_count, uniform
+from incidentry.operators.splits import poisson_count
 
 
 def numbered(df: DataFrame, id_col: str) -> DataFrame:
@@ -37,8 +37,10 @@ def resample(df: DataFrame, id_col: str, reps: int, seed: int = 42, mode: str =
         return rows.join(draw_weights(df.sparkSession, rows.count(), reps, seed), "row_no").drop("row_no")
     if mode == "poisson":
         each = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-        digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col(id_col).cast("string")))
-        return each.withColumn("weight", poisson_count(uniform(digest), 1.0, 20).cast("bigint")).filter("weight > 0")
+        bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("rep"), F.col(id_col)), 11)
+        # The number is its own column so that it is computed once, not once per term.
+        each = each.withColumn("_u", (bits.cast("double") + 0.5) / F.lit(float(2**53)))
+        return each.withColumn("weight", poisson_count(F.col("_u"), 1.0, 20).cast("bigint")).filter("weight > 0").drop("_u")
     raise ValueError(f"mode is exact or poisson, not {mode}")
 
 

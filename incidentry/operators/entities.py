@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,13 +18,13 @@ def align_places(df: DataFrame, id_col: str, text: str = "incident_summary", thr
     A literal match comes first. Only places without one go to the Arrow helper for
     the normal-form and fuzzy search; comma lists of other locations are taken apart.
     """
-    parts = [
-        F.coalesce(
-            F.transform(
-                F.split(strip(F.col(c)), ",") if c == "other_locations" else F.array(strip(F.col(c))),
-                lambda v, label=label: F.struct(F.lit(label).alias("label"), strip(v).alias("value"))),
-            F.array().cast("array<struct<label:string,value:string>>"))
-        for c, label in FIELD_LABELS.items() if c in df.columns]
+
+    def labelled(c: str, label: str) -> Column:
+        values = F.split(strip(F.col(c)), ",") if c == "other_locations" else F.array(strip(F.col(c)))
+        items = F.transform(values, lambda v: F.struct(F.lit(label).alias("label"), strip(v).alias("value")))
+        return F.coalesce(items, F.array().cast("array<struct<label:string,value:string>>"))
+
+    parts = [labelled(c, label) for c, label in FIELD_LABELS.items() if c in df.columns]
     items = F.filter(F.concat(*parts), lambda x: F.coalesce(x.value != "", F.lit(False)))
     long = df.filter(blank_to_null(F.col(text)).isNotNull()).select(
         id_col, F.col(text).alias("_text"), F.explode(items).alias("_x"))
@@ -56,6 +56,10 @@ def dataset_statistics(ner: DataFrame) -> DataFrame:
     e = F.col("entities")
     labels = F.transform(e, lambda x: x.label)
     core = [F.array_contains(labels, x) for x in spans.SINGLE]
+
+    def times(label: str) -> Column:
+        return F.size(F.filter(labels, lambda x: x == label))
+
     return ner.agg(
         F.count("*").alias("total_examples"),
         F.count_if(F.size(e) > 0).alias("examples_with_entities"),
@@ -63,8 +67,7 @@ def dataset_statistics(ner: DataFrame) -> DataFrame:
         F.sum(F.size(e)).cast("bigint").alias("total_entities"),
         F.coalesce(F.avg(F.when(F.size(e) > 0, F.size(e))), F.lit(0.0)).alias("avg_entities_per_example"),
         F.count_if(core[0] & core[1] & core[2]).alias("examples_with_all_types"),
-        *[F.sum(F.size(F.filter(labels, lambda x, label=label: x == label))).cast("bigint").alias(f"n_{label.lower()}")
-          for label in spans.LABELS],
+        *[F.sum(times(label)).cast("bigint").alias(f"n_{label.lower()}") for label in spans.LABELS],
     )
 
 

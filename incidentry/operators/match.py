@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from incidentry.functions.similarity import jaro
+from incidentry.functions.similarity import jaro_once
 from incidentry.functions.text import strip
 from incidentry.session import durable, fits, maybe_broadcast
 
@@ -13,6 +13,7 @@ from incidentry.session import durable, fits, maybe_broadcast
 LETTER_ORDER = "zqxjkvbpygfwmucldrhsnioate "
 # Distance limits tried in turn. A best pair within a limit beats every pair outside it.
 STEPS = (0.1, 0.2)
+TOLERANCE = 1e-9  # distances are sums of quotients; ties are settled on nine digits
 
 
 def _marks(name: Column) -> Column:
@@ -45,7 +46,8 @@ def _keys(df: DataFrame, name: str, partner_lengths: Column, own: str, other: st
     out = out.filter(_need(F.col(own), F.col(other), limit) <= F.least(own, other))
     size = F.col(own) - _need(F.col(own), F.col(other), limit) + 1
     marks = F.slice("_marks", 1, F.greatest(size, F.lit(0)).cast("int"))
-    return out.withColumn("_mark", F.explode(marks)).drop("_marks")
+    prefix = f"_prefix{own}"
+    return out.withColumn(prefix, marks).withColumn("_mark", F.explode(prefix)).drop("_marks")
 
 
 def close_pairs(left: DataFrame, right: DataFrame, on: list[str], name_l: str, name_r: str, limit: float) -> DataFrame:
@@ -57,9 +59,11 @@ def close_pairs(left: DataFrame, right: DataFrame, on: list[str], name_l: str, n
     # The lengths that occur: some dozens of numbers per side.
     a = _keys(left, name_l, right.agg(F.collect_set(F.length(name_r))).scalar(), "_la", "_lb", limit)
     b = _keys(right, name_r, left.agg(F.collect_set(F.length(name_l))).scalar(), "_lb", "_la", limit)
-    joined = a.join(b, [*on, "_la", "_lb", "_mark"]).select(*left.columns, *[c for c in right.columns if c not in on])
-    pairs = joined.dropDuplicates([*on, name_l, name_r])
-    return pairs.withColumn("_dist", 1.0 - jaro(name_l, name_r)).filter(F.col("_dist") <= limit + 1e-12)
+    joined = a.join(b, [*on, "_la", "_lb", "_mark"])
+    # A pair may share several marks; it is kept at the first one only.
+    once = F.element_at(F.array_intersect("_prefix_la", "_prefix_lb"), 1) == F.col("_mark")
+    pairs = joined.filter(once).select(*left.columns, *[c for c in right.columns if c not in on])
+    return pairs.withColumn("_dist", 1.0 - jaro_once(name_l, name_r)).filter(F.col("_dist") <= limit + TOLERANCE)
 
 
 def best_gazetteer_match(
@@ -80,8 +84,9 @@ def best_gazetteer_match(
     names = ["state_name", "district_name", "village_name"]
     gaz = gazetteer.filter(F.col("village_name").isNotNull() & F.col("district_name").isNotNull()).groupBy(*names).agg(
         F.min(gaz_id).alias(gaz_id))
-    gaz = gaz.select("state_name", F.col("district_name").alias("gaz_district"),
-                     F.col("village_name").alias("gaz_village"), gaz_id)
+    # Both sides feed every round, so each is written once.
+    gaz = durable(gaz.select("state_name", F.col("district_name").alias("gaz_district"),
+                             F.col("village_name").alias("gaz_village"), gaz_id))
     want = incidents.select(*names).filter(
         F.col("village_name").isNotNull() & F.col("district_name").isNotNull()).distinct()
 
@@ -94,8 +99,9 @@ def best_gazetteer_match(
     done = exact
     rest = want.join(exact.select(*names), names, "left_anti")
     for limit in [s for s in STEPS if s < max_dist] + [max_dist]:
-        # The rest feeds several joins of this and the next round, so it is written once.
         rest = durable(rest)
+        if rest.isEmpty():
+            break
         found = _best_within(rest, gaz, names, gaz_id, limit)
         if limit < max_dist:
             found = durable(found.filter(F.col("district_dist") + F.col("village_dist") <= limit))
@@ -103,7 +109,7 @@ def best_gazetteer_match(
         done = done.unionByName(found)
 
     best = incidents.join(done, names, "left")
-    total = F.col("district_dist") + F.col("village_dist")
+    total = F.round(F.col("district_dist") + F.col("village_dist"), 9)
     cols = [c for c in best.columns if c != key]
     order = F.struct(total.isNull().alias("n"), total.alias("d"), F.col(gaz_id).alias("g"))
     return best.groupBy(key).agg(F.min_by(F.struct(*cols), order).alias("_b")).select(key, "_b.*")
@@ -111,11 +117,11 @@ def best_gazetteer_match(
 
 def _best_within(want: DataFrame, gaz: DataFrame, names: list[str], gaz_id: str, limit: float) -> DataFrame:
     """Best gazetteer entry per name triple with both distances within ``limit``."""
-    districts = close_pairs(
+    districts = durable(close_pairs(
         want.select("state_name", "district_name").distinct(),
         gaz.select("state_name", "gaz_district").distinct(),
         ["state_name"], "district_name", "gaz_district", limit,
-    ).withColumnRenamed("_dist", "district_dist")
+    ).withColumnRenamed("_dist", "district_dist"))
     # Village names are compared once per pair of districts that are close.
     left = want.join(districts, ["state_name", "district_name"])
     on = ["state_name", "gaz_district"]
@@ -125,7 +131,7 @@ def _best_within(want: DataFrame, gaz: DataFrame, names: list[str], gaz_id: str,
     ).withColumnRenamed("_dist", "village_dist")
     cand = left.join(pairs, [*on, "village_name"])
     value = F.struct("gaz_district", "gaz_village", gaz_id, "district_dist", "village_dist")
-    order = F.struct((F.col("district_dist") + F.col("village_dist")).alias("d"), F.col(gaz_id).alias("g"))
+    order = F.struct(F.round(F.col("district_dist") + F.col("village_dist"), 9).alias("d"), F.col(gaz_id).alias("g"))
     return cand.groupBy(*names).agg(F.min_by(value, order).alias("_b")).select(*names, "_b.*")
 
 

@@ -91,8 +91,12 @@ def tag_weights(df: DataFrame, text: str = "text", entities: str = "entities") -
     total = words(F.col(text))
     inside = F.aggregate(entities, F.lit(0), lambda a, e: a + words(e.text))
     aggs = [F.sum(total).cast("bigint").alias("total"), F.sum(total - inside).cast("bigint").alias("O")]
+
+    def own_of(label: str):
+        return F.filter(F.col(entities), lambda e: e.label == label)
+
     for label in LABELS:
-        own = F.filter(F.col(entities), lambda e, label=label: e.label == label)
+        own = own_of(label)
         aggs.append(F.sum(F.size(own)).cast("bigint").alias(f"B-{label}"))
         aggs.append(F.sum(F.aggregate(own, F.lit(0), lambda a, e: a + words(e.text) - 1)).cast("bigint").alias(f"I-{label}"))
     tags = ["O"] + [f"{k}-{label}" for label in LABELS for k in ("B", "I")]
@@ -126,8 +130,10 @@ def augmentation_seeds(df: DataFrame, id_col: str, labels: list[str], seed: int
 
 
 def accept_candidates(candidates: DataFrame, existing: DataFrame, text: str, seed_vec: str, cand_vec: str,
-                      low: float = 0.85, high: float = 0.98) -> DataFrame:
-    """Candidates within the similarity band, not in the existing texts, each text once."""
+                      id_col: str, low: float = 0.85, high: float = 0.98) -> DataFrame:
+    """Candidates within the similarity band, not in the existing texts, each text once (the first by id)."""
     near = candidates.withColumn("similarity", cosine(F.col(seed_vec), F.col(cand_vec))).filter(
         F.col("similarity").between(low, high))
-    return near.join(existing.select(text).distinct(), text, "left_anti").dropDuplicates([text])
+    fresh = near.join(existing.select(text).distinct(), text, "left_anti")
+    rest = [c for c in fresh.columns if c not in (text, seed_vec, cand_vec)]
+    return fresh.groupBy(text).agg(F.min_by(F.struct(*rest), id_col).alias("_row")).select(text, "_row.*")

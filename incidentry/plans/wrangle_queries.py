@@ -435,7 +435,7 @@ def a30(spark, d):
 
 @query("w12_weighted_resample", with_(
     WEIGHT_SQL, "u AS (SELECT doc_id, sample_weight AS r, (CAST('0x' || md5('42:' || doc_id)[1:13] AS BIGINT) + 0.5) / 4503599627370496.0 AS u FROM w2)",
-    """p AS (SELECT doc_id, u, i, sum(exp(-r) * pow(r, i) / factorial(i)::DOUBLE) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM u, generate_series(0, 29) AS g(i))""")
+    """p AS (SELECT doc_id, u, i, sum(exp(-r) * pow(r, i) / factorial(CAST(i AS INTEGER))::DOUBLE) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM u, generate_series(0, 29) AS g(i))""")
     + "SELECT doc_id, CAST(generate_series AS INTEGER) AS copy FROM (SELECT doc_id, count(*) FILTER (u > c) AS k FROM p GROUP BY 1) AS q, LATERAL generate_series(1, k)")
 def w12(spark, d):
     w = weights.sample_weights(table(spark, d, "labels"), ["quality", "toxic"])
