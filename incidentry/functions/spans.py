@@ -49,15 +49,19 @@ def _normal(text: str) -> str:
 
 
 def _near_span(text: str, wanted: str, slack: int = 10) -> tuple[int, int] | None:
-    """Stretch of ``text`` whose normal form is ``wanted``, within ``slack`` of where the normal form has it."""
+    """Stretch of ``text`` whose normal form is ``wanted``, within ``slack`` of where the normal form has it.
+
+    A stretch as long as ``wanted`` is preferred, then ones that differ less in length.
+    """
     at = _normal(text).find(wanted)
     if at < 0:
         return None
-    width = min(len(wanted), len(text) - at)
-    first, last = max(0, at - slack), min(len(text), at + len(wanted) + slack) - width
-    for start in range(first, last + 1):
-        if _normal(text[start : start + width]) == wanted:
-            return start, start + width
+    first, last = max(0, at - slack), min(len(text), at + len(wanted) + slack)
+    for off in sorted(range(-slack, slack + 1), key=abs):
+        width = len(wanted) + off
+        for start in range(first, last - width + 1) if width > 0 else ():
+            if _normal(text[start : start + width]) == wanted:
+                return start, start + width
     return None
 
 
@@ -84,7 +88,7 @@ def _fuzzy_span(text: str, wanted: str, threshold: float, margin: int) -> tuple[
     best = windows[int(ratios.argmax())]
     # Offsets refer to the text as written, so the window must occur there.
     hit = re.search(r"\W+".join(map(re.escape, best.split())), text, re.IGNORECASE)
-    return (hit.start(), hit.end()) if hit else None
+    return (hit.start(), hit.end()) if hit else _near_span(text, best)
 
 
 def loose_span(threshold: float = 85.0, context_words: int = 3):
