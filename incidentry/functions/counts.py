@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from incidentry.functions.text import NUMBER_WORDS, strip
+from incidentry.functions.text import NUMBER_WORDS, digits_to_long, let, strip
 
 
 def whole_number(c: Column) -> Column:
     """First free-standing integer, 0 when there is none."""
-    return F.coalesce(F.regexp_extract(c, r"\b(\d+)\b", 1).try_cast("bigint"), F.lit(0).cast("bigint"))
+    return F.coalesce(digits_to_long(F.regexp_extract(c, r"\b(\d+)\b", 1)), F.lit(0).cast("bigint"))
 
 
 def number_word(c: Column) -> Column:
@@ -24,12 +24,15 @@ def number_word(c: Column) -> Column:
 
 def lenient_count(c: Column) -> Column:
     """Count in a free answer: a plain integer (negatives to 0), else the first digits, else a number word."""
-    t = F.regexp_replace(strip(c), r"\.+$", "")
-    whole = F.when(
-        strip(t).rlike(r"^[+-]?\d+(_\d+)*$"), F.replace(strip(t), F.lit("_"), F.lit("")).try_cast("bigint"))
-    plain = F.when(whole.isNotNull(), F.greatest(whole, F.lit(0).cast("bigint")))
-    digits = F.regexp_extract(t, r"\d+", 0).try_cast("bigint")
-    return F.when(c.isNotNull() & (c != ""), F.coalesce(plain, digits, number_word(t)))
+
+    def parse(t: Column) -> Column:
+        whole = F.regexp_extract(t, r"^([+-]?\d+(?:_\d+)*)$", 1)
+        value = digits_to_long(F.replace(whole, F.lit("_"), F.lit("")))
+        plain = F.when(value >= 0, value).when(value < 0, F.lit(0).cast("bigint"))
+        return F.coalesce(plain, digits_to_long(F.regexp_extract(t, r"\d+", 0)), number_word(t))
+
+    text = strip(F.rtrim(strip(c), F.lit(".")))
+    return F.when(c.isNotNull() & (c != ""), let(text, parse))
 
 
 def prediction_count(c: Column, kind: str = "seq2seq") -> Column:
@@ -48,18 +51,22 @@ def fatalities(c: Column, plausible_max: int = 200) -> Column:
     A fenced block is unwrapped, then the JSON field is taken if present, else the
     first number up to ``plausible_max``, else the first number, else 0.
     """
-    s = strip(c)
-    fenced = F.regexp_extract(s, r"(?is)```(?:json)?\s*(.*?)\s*```", 1)
-    has_fence = s.rlike(r"(?is)```(?:json)?\s*(.*?)\s*```")
-    body = F.replace(F.when(has_fence, strip(fenced)).otherwise(s), F.lit("`"), F.lit(""))
-    field = F.regexp_extract(body, r'"fatalities"\s*:\s*(-?\d+)', 1).try_cast("bigint")
-    numbers = F.transform(
-        F.regexp_extract_all(body, F.lit(r"(\d+)"), F.lit(1)), lambda x: x.try_cast("bigint"))
-    likely = F.filter(numbers, lambda n: n <= plausible_max)
     zero = F.lit(0).cast("bigint")
-    return F.coalesce(
-        F.when(field.isNotNull(), F.greatest(field, zero)),
-        F.try_element_at(likely, F.lit(1)), F.try_element_at(numbers, F.lit(1)), zero)
+    # Only the text around the first fenced block is taken off; without a fence nothing changes.
+    inner = F.regexp_replace(c, r"(?is)^.*?```(?:json)?\s*(.*?)\s*```.*$", "$1")
+    body = F.replace(F.when(c.contains("```"), inner).otherwise(c), F.lit("`"), F.lit(""))
+
+    def from_numbers(numbers: Column) -> Column:
+        values = F.transform(numbers, lambda x: x.try_cast("bigint"))
+        return let(values, lambda v: F.coalesce(
+            F.try_element_at(F.filter(v, lambda n: n <= plausible_max), F.lit(1)), F.try_element_at(v, F.lit(1))))
+
+    def parse(b: Column) -> Column:
+        field = digits_to_long(F.regexp_extract(b, r'"fatalities"\s*:\s*(-?\d+)', 1))
+        given = F.when(field >= 0, field).when(field < 0, zero)
+        return F.coalesce(given, from_numbers(F.regexp_extract_all(b, F.lit(r"(\d+)"), F.lit(1))), zero)
+
+    return let(body, parse)
 
 
 def five_counts(c: Column, missing: int = -100) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from incidentry.functions.text import SPACE, blank_to_null, nfkc, squeeze, strip
+from incidentry.functions.text import SPACE, blank_to_null, let, nfkc, squeeze, strip
 
 LEVELS = ("state", "district", "village", "other_locations")
 CORE = LEVELS[:3]
@@ -23,7 +23,7 @@ def clean_structured(c: Column, normalise: bool = True) -> Column:
     out = F.regexp_replace(out, r"[\x{200B}-\x{200D}\x{FEFF}]", "")
     out = F.translate(out, "：，", ":,")
     out = F.regexp_replace(out, r"\[[^\]\n\r]{1,10}\]", "")
-    return F.regexp_replace(squeeze(out), r"^[ ,\t\n\r]+|[ ,\t\n\r]+$", "")
+    return F.trim(squeeze(out), F.lit(" ,\t\n\r"))
 
 
 def parse_structured(c: Column, normalise: bool = True, keep_tail: bool = False) -> Column:
@@ -33,20 +33,28 @@ def parse_structured(c: Column, normalise: bool = True, keep_tail: bool = False)
     Commas separate fields, so only the first of several other locations is
     kept; ``keep_tail`` keeps all of them.
     """
-    text = clean_structured(c, normalise)
-    parts = F.filter(F.transform(F.split(text, ","), strip), lambda p: p.contains(":"))
-
-    def field(name: str) -> Column:
-        named = F.filter(parts, lambda p: F.lower(strip(F.substring_index(p, ":", 1))) == name)
-        return strip(F.regexp_extract(F.try_element_at(named, F.lit(-1)), r"(?s)^[^:]*:(.*)$", 1))
-
-    cols = {name: field(name) for name in LEVELS}
-    if keep_tail:
-        tail = r"(?is)(?:^|,)\s*other_locations\s*:(.*?)(?=,\s*(?:state|district|village)\s*:|$)"
-        cols["other_locations"] = F.when(
-            cols["other_locations"].isNotNull(), strip(F.regexp_extract(text, tail, 1)))
-    blank = c.isNull() | (strip(c) == "")
-    return F.struct(*[F.when(~blank, col).alias(name) for name, col in cols.items()])
+
+    def labelled(part: Column) -> Column:
+        at = F.instr(part, ":")
+        return F.struct(
+            F.lower(strip(part.substr(F.lit(1), at - 1))).alias("label"),
+            strip(part.substr(at + 1, F.length(part))).alias("value"))
+
+    def fields(text: Column) -> Column:
+        parts = F.filter(F.split(text, ","), lambda p: p.contains(":"))
+
+        def pick(pairs: Column) -> Column:
+            cols = {
+                name: F.try_element_at(F.filter(pairs, lambda p: p.label == name), F.lit(-1)).value for name in LEVELS}
+            if keep_tail:
+                tail = r"(?is)(?:^|,)\s*other_locations\s*:(.*?)(?=,\s*(?:state|district|village)\s*:|$)"
+                cols["other_locations"] = F.when(
+                    cols["other_locations"].isNotNull(), strip(F.regexp_extract(text, tail, 1)))
+            return F.struct(*[col.alias(name) for name, col in cols.items()])
+
+        return let(F.transform(parts, labelled), pick)
+
+    return let(F.coalesce(clean_structured(c, normalise), F.lit("")), fields)
 
 
 def parse_answer(c: Column, normalise: bool = True) -> Column:

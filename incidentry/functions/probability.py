@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from incidentry.functions.text import let
+
 
 def sigmoid(x: Column, temperature=1.0) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x / temperature))
@@ -14,12 +16,15 @@ def array_sum(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
 
 
+def scaled(xs: Column) -> Column:
+    """Array divided by its sum."""
+    return let(F.greatest(array_sum(xs), F.lit(1e-12)), lambda total: F.transform(xs, lambda x: x / total))
+
+
 def softmax(logits: Column, temperature=1.0) -> Column:
     """Softmax of an array of logits scaled by 1/temperature."""
-    top = F.array_max(logits)
-    exps = F.transform(logits, lambda x: F.exp((x - top) / temperature))
-    total = array_sum(exps)
-    return F.transform(exps, lambda e: e / total)
+    exps = let(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp((x - top) / temperature)))
+    return let(exps, scaled)
 
 
 def softmax_nll(logits: Column, label: Column, temperature: float) -> Column:
@@ -38,10 +43,8 @@ def binary_nll(logit: Column, truth: Column, temperature: float) -> Column:
 
 def fuse(p_model: Column, prior: Column, alpha: float = 1.0, beta: float = 1.0) -> Column:
     """Renormalised product of two distributions; the model's own where the prior is null."""
-    safe_prior = F.transform(prior, lambda p: p / F.greatest(array_sum(prior), F.lit(1e-12)))
-    raw = F.zip_with(p_model, safe_prior, lambda p, q: F.pow(p, alpha) * F.pow(q, beta))
-    mixed = F.transform(raw, lambda x: x / F.greatest(array_sum(raw), F.lit(1e-12)))
-    return F.when(prior.isNull(), p_model).otherwise(mixed)
+    raw = F.zip_with(p_model, let(prior, scaled), lambda p, q: F.pow(p, alpha) * F.pow(q, beta))
+    return F.when(prior.isNull(), p_model).otherwise(let(raw, scaled))
 
 
 def confident_label(probs: Column, labels: list[str], floor: float = 0.5) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from incidentry.functions.similarity import indel_block
-from incidentry.functions.text import ABBREVIATIONS, drop_descriptors, strip
+from incidentry.functions.text import ABBREVIATIONS, drop_descriptors, let, strip
 
 LABELS = ("STATE", "DISTRICT", "VILLAGE", "OTHER_LOCATION")
 SINGLE = LABELS[:3]
@@ -145,7 +145,7 @@ def resolve_overlaps(entities: Column) -> Column:
         entities,
         lambda e: _precedence(e.label), lambda e: -(e.end - e.start), lambda e: e.start,
     )
-    kept = _keep(ranked, lambda k, e: (e.start < k.end) & (e.end > k.start))
+    kept = let(ranked, lambda r: _keep(r, lambda k, e: (e.start < k.end) & (e.end > k.start)))
     return _by(kept, lambda e: e.start)
 
 
@@ -158,7 +158,7 @@ def suppress(entities: Column, iou: float = 0.5, by_score: bool = True) -> Colum
         union = (k.end - k.start) + (e.end - e.start) - shared
         return (shared > 0) & (shared > iou * union)
 
-    return _keep(_by(entities, strength), clash)
+    return let(_by(entities, strength), lambda ranked: _keep(ranked, clash))
 
 
 def above_label_floor(entities: Column, floors: dict[str, float] | None = None, default: float = 0.4) -> Column:
@@ -203,9 +203,13 @@ def fill_slots(entities: Column, normalise: bool = True, floor: float | None = 0
     ones, then the entities of the single labels that were not chosen, each once.
     With ``normalise`` descriptors are dropped and unchosen ones need ``floor``.
     """
-    named = F.transform(
-        entities, lambda e: e.withField("text", drop_descriptors(e.text))) if normalise else entities
+    if normalise:
+        named = F.transform(entities, lambda e: e.withField("text", drop_descriptors(e.text)))
+        return let(named, lambda n: _slots(n, floor))
+    return let(entities, lambda n: _slots(n, None))
 
+
+def _slots(named: Column, floor: float | None) -> Column:
     def of(label: str) -> Column:
         return F.filter(named, lambda e: e.label == label)
 
@@ -213,7 +217,7 @@ def fill_slots(entities: Column, normalise: bool = True, floor: float | None = 0
     taken = F.array_compact(F.array(*chosen.values()))
     explicit = F.transform(of("OTHER_LOCATION"), lambda e: e.text)
     spare = F.concat(*[of(label) for label in SINGLE])
-    if normalise and floor is not None:
+    if floor is not None:
         spare = F.filter(spare, lambda e: e.score >= floor)
     spare = F.filter(F.transform(spare, lambda e: e.text), lambda t: ~F.array_contains(taken, t))
     others = F.filter(F.array_distinct(F.concat(explicit, spare)), lambda t: t != "")

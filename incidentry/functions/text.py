@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,9 +14,23 @@ from pyspark.sql.types import StringType
 SPACE = r"\s\x1C-\x1F\x85\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
+# The same characters as a string.
+WHITE = "".join(chr(n) for n in range(0x3001) if chr(n).isspace())
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
-    """Trim every kind of white space at both ends (``trim`` removes blanks only)."""
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    """Trim every kind of white space at both ends (plain ``trim`` removes blanks only)."""
+    return F.trim(c, F.lit(WHITE))
+
+
+def digits_to_long(c: Column) -> Column:
+    """Integer of a text that is either digits or ''. A failed cast costs an exception per row, so '' is not cast."""
+    return F.nullif(c, F.lit("")).try_cast("bigint")
 
 
 def squeeze(c: Column) -> Column:

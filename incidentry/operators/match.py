@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from incidentry.functions.similarity import jaro_once
 from incidentry.functions.text import strip
@@ -144,7 +148,38 @@ def match_rate(matched: DataFrame, found: str) -> DataFrame:
 
 # ---- names in texts ----------------------------------------------------------------------
 
-MAX_LISTED_NAMES = 2_000  # names put into the plan as a list; more go through the token join
+MAX_LISTED_NAMES = 100_000  # names sent to the tasks as a list; more go through the token join
+
+
+def first_listed(names: list[str]):
+    """Arrow UDF: the first of ``names`` that occurs in a text, by one scan of the text.
+
+    The automaton is built once per task. Without the automaton package each name is tried in turn.
+    """
+
+    @F.pandas_udf(StringType())
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            import ahocorasick
+
+            scan = ahocorasick.Automaton()
+            for i, n in enumerate(names):
+                if n not in scan:
+                    scan.add_word(n, i)
+            scan.make_automaton()
+
+            def first(text):
+                return min((i for _, i in scan.iter(text)), default=None)
+        except ImportError:
+
+            def first(text):
+                return next((i for i, n in enumerate(names) if n in text), None)
+
+        for texts in batches:
+            hits = [None if t is None or not names else first(t) for t in texts]
+            yield pd.Series([None if h is None else names[h] for h in hits], dtype=object)
+
+    return find
 
 
 def first_name_in_text(
@@ -153,14 +188,14 @@ def first_name_in_text(
 ) -> DataFrame:
     """Adds the first listed name that occurs in the text as a substring, null when none does.
 
-    A short list, checked for size, is tested in place without a shuffle. A long one
-    is joined on character trigrams of the text's words and verified.
+    A list of proven size goes to the tasks and every text is scanned where it is,
+    without a shuffle. A longer one is joined on character trigrams of the text's
+    words and verified.
     """
     listed = names.select(F.col(name).alias("n"), F.col(position).alias("p")).filter("n is not null and n <> ''")
     if fits(listed, max_listed):
         ordered = [r.n for r in sorted(listed.collect(), key=lambda r: r.p)]
-        arr = F.array(*[F.lit(x) for x in ordered]).cast("array<string>")
-        return texts.withColumn(out, F.try_element_at(F.filter(arr, lambda n: F.col(text).contains(n)), F.lit(1)))
+        return texts.withColumn(out, first_listed(ordered)(text))
     return first_name_by_tokens(texts, listed, text_id, text, out)
 
 
@@ -186,6 +221,9 @@ def first_name_by_tokens(texts: DataFrame, listed: DataFrame, text_id: str, text
     return texts.join(first, text_id, "left")
 
 
+MAX_KNOWN_WORDS = 5_000  # words looked up in place as a list; more are joined
+
+
 def district_by_keyword(texts: DataFrame, districts: DataFrame, text_id: str, text: str, name: str,
                         position: str, out: str = "found_district") -> DataFrame:
     """District named in a text.
@@ -197,8 +235,7 @@ def district_by_keyword(texts: DataFrame, districts: DataFrame, text_id: str, te
     names = districts.select(F.lower(name).alias("n"), F.col(position).alias("p")).filter("n is not null and n <> ''")
     known = names.select(F.explode(F.split("n", r"\s+")).alias("w")).union(names.select("n")).filter("w <> ''").distinct()
     before = F.split(strip(F.split(F.col("_low"), " district", 2)[0]), r"\s+")
-    listed = fits(known, MAX_LISTED_NAMES)
-    if listed:
+    if fits(known, MAX_KNOWN_WORDS):
         words = F.array(*[F.lit(r.w) for r in known.collect()]).cast("array<string>")
 
         def is_known(w: Column) -> Column:

@@ -282,6 +282,15 @@ def error_patterns(
 # ---- structured locations ----------------------------------------------------------------
 
 
+def settled(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
+    """Adds columns that are computed once.
+
+    Struct columns made by a plain projection are folded into each of their uses and
+    computed there again; the one-row ``inline`` keeps them apart.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
 def location_matches(
     df: DataFrame, truth: str, pred: str, fuzzy: float | None = 85.0, normalise: bool = True,
 ) -> DataFrame:
@@ -289,7 +298,7 @@ def location_matches(
 
     Whole-record equality minds case; fuzzy equality does not.
     """
-    out = df.withColumns({
+    out = settled(df, {
         "_t": places.parse_structured(F.col(truth), normalise), "_p": places.parse_structured(F.col(pred), normalise)})
     same = {x: F.col(f"_t.{x}").eqNullSafe(F.col(f"_p.{x}")) for x in places.LEVELS}
     out = out.withColumns({
@@ -373,7 +382,7 @@ def match_share_metrics(df: DataFrame, by: list[str], truth: str, pred: str) ->
 
 def location_indicators(df: DataFrame, truth: str, pred: str) -> DataFrame:
     """Case-blind match flags per level, two absent values matching each other."""
-    out = df.withColumns({
+    out = settled(df, {
         "_t": places.parse_structured(F.col(truth), normalise=False),
         "_p": places.parse_structured(F.col(pred), normalise=False)})
     out = out.withColumns({

@@ -55,30 +55,33 @@ def lower_names(df: DataFrame, first: str, last: str, suffix: str = "_name") ->
 
 
 def text_key(text: str) -> Column:
-    """Grouping key of a text: digest and length, with null texts as one group."""
-    return F.concat_ws(":", F.coalesce(F.sha2(F.col(text), 256), F.lit("null")), F.length(text).cast("string"))
+    """Grouping key of a text: its 16-byte digest, with null texts as one group."""
+    return F.coalesce(F.unhex(F.md5(F.col(text))), F.unhex(F.lit("00")))
+
+
+def repeated_keys(df: DataFrame, text: str, count: str) -> DataFrame:
+    """(_key, count) of the texts that occur more than once.
+
+    Only digests are shuffled, and copies are counted within each task first, so a
+    group with a large share of all rows costs no more than any other.
+    """
+    counts = df.select(text_key(text).alias("_key")).groupBy("_key").agg(F.count("*").alias(count))
+    return counts.filter(F.col(count) > 1)
 
 
 def duplicate_groups(df: DataFrame, text: str, count: str = "dupe_count") -> DataFrame:
     """All rows whose text occurs more than once, with the number of copies.
 
-    The counts are pre-aggregated by text digest. The copies stay where they are
-    when the repeated keys fit in memory; otherwise the join shuffles and AQE
-    splits a hot group.
+    Spark broadcasts the repeated keys when they are small, and the rows stay where
+    they are; otherwise it joins by shuffle, and AQE splits a hot group.
     """
-    keyed = df.withColumn("_key", text_key(text))
-    counts = keyed.groupBy("_key").agg(F.count("*").alias(count)).filter(F.col(count) > 1)
-    return keyed.join(counts, "_key").drop("_key")
+    return df.withColumn("_key", text_key(text)).join(repeated_keys(df, text, count), "_key").drop("_key")
 
 
 def without_duplicates(df: DataFrame, text: str) -> DataFrame:
-    """Rows whose text occurs exactly once; every copy of a repeated text goes, repeated nulls too.
-
-    One partial aggregation: groups shrink to one candidate row per task before the shuffle.
-    """
-    row = F.struct(*df.columns)
-    kept = df.groupBy(text_key(text).alias("_key")).agg(F.count("*").alias("_n"), F.any_value(row).alias("_row"))
-    return kept.filter("_n = 1").select("_row.*")
+    """Rows whose text occurs exactly once; every copy of a repeated text goes, repeated nulls too."""
+    keyed = df.withColumn("_key", text_key(text))
+    return keyed.join(repeated_keys(df, text, "_n").select("_key"), "_key", "left_anti").select(*df.columns)
 
 
 def recode_incidents(df: DataFrame, strict_reference: bool = False) -> DataFrame:

@@ -166,7 +166,7 @@ def test_district_by_keyword_both_ways(spark, monkeypatch):
     d = spark.createDataFrame([("North Goa", 1), ("South Goa", 2), ("Goa", 3)], "n string, p int")
     want = [(1, "north goa"), (2, "south goa"), (3, ""), (4, ""), (5, "goa"), (6, "")]
     got = [(r.id, r.found_district) for r in match.district_by_keyword(t, d, "id", "t", "n", "p").orderBy("id").collect()]
-    monkeypatch.setattr(match, "MAX_LISTED_NAMES", 1)
+    monkeypatch.setattr(match, "MAX_KNOWN_WORDS", 1)
     joined = [(r.id, r.found_district) for r in match.district_by_keyword(t, d, "id", "t", "n", "p").orderBy("id").collect()]
     assert got == joined == want
 
