@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from incidentry.session import checkpoint_dir
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +30,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, which every executor can reach."""
+    return f"{checkpoint_dir(spark)}/scratch/{name}-{uuid.uuid4().hex}"
+
+
 def load_all() -> None:
     """Import every module that registers queries."""
     from incidentry.plans import (  # noqa: F401

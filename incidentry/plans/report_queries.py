@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from incidentry.operators import match, metrics, profile, report, splits
+from incidentry.operators.ranks import global_rank
 from incidentry.plans import views
-from incidentry.plans.catalog import query, table
+from incidentry.plans.catalog import query, scratch, table
 from incidentry.plans.views import COUNTED_SQL, INCIDENTS_SQL, SCORED_SQL, with_
 from incidentry.sources import documents, tables
 
@@ -462,3 +463,20 @@ SELECT bin, count(*) AS n, round(count(*) / (SELECT count(*) FROM b)::DOUBLE, 6)
 def a50(spark, d):
     out = profile.histogram(views.counted(spark, d), "true_label", [0, 1, 2, 4, 9])
     return out.withColumn("proportion", F.round("proportion", 6))
+
+
+@query("k05_chronological", INC + """SELECT incident_number, CAST(row_number() OVER (ORDER BY date NULLS LAST, incident_number) AS BIGINT) AS position FROM incidents""")
+def k05(spark, d):
+    inc = views.incidents(spark, d).select("incident_number", "date")
+    ranked = global_rank(inc, [F.col("date").asc_nulls_last(), F.col("incident_number").asc()], "position")
+    return ranked.select("incident_number", "position")
+
+
+@query("s01_s03_csv_round_trip", """SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text || ' "quoted", ' || chr(10) || lang) AS digest FROM documents""")
+def s01(spark, d):
+    path = scratch(spark, "csv")
+    docs = table(spark, d, "documents").select(
+        "doc_id", F.concat("text", F.lit(' "quoted", \n'), "lang").alias("text"))
+    tables.write_csv(docs, path)
+    back = tables.read_csv(spark, path, as_text=True)
+    return back.select("doc_id", F.md5("text").alias("digest"))

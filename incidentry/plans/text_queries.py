@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import functions as F
 
 from incidentry.functions import counts, places, text
 from incidentry.plans import jobs, views
-from incidentry.plans.catalog import query, table
+from incidentry.plans.catalog import query, scratch, table
 from incidentry.plans.views import INCIDENTS_SQL, LOCATED_SQL, PLACES_SQL, with_
-from incidentry.session import checkpoint_dir
 from incidentry.sources import pages as page_source
 from incidentry.streaming import ingest
 
@@ -344,14 +341,10 @@ def e04(spark, d):
 # ---- streams -----------------------------------------------------------------------------
 
 
-def _folder(spark, name: str) -> str:
-    return f"{checkpoint_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
-
-
 @query("t01_stream_page_ingest", "SELECT DISTINCT \"Series\" || '_' || \"Incident_Number\" AS \"Incident_ID\" FROM (" + INCIDENT_ROWS_SQL + ")")
 def t01(spark, d):
     """Pages arrive in several files and are ingested in small batches; each key is stored once."""
-    root = _folder(spark, "ingest")
+    root = scratch(spark, "ingest")
     conversation_pages(spark, d).repartition(4, "series", "year").write.parquet(f"{root}/pages")
     stream = ingest.page_stream(spark, f"{root}/pages", files_per_trigger=2)
     ingest.ingest_pages(stream, f"{root}/incidents", f"{root}/state").awaitTermination()
@@ -360,7 +353,7 @@ def t01(spark, d):
 
 @query("t02_stream_raw_to_processed", """SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')""")
 def t02(spark, d):
-    root = _folder(spark, "move")
+    root = scratch(spark, "move")
     done = table(spark, d, "lineitem").filter("l_returnflag = 'A'").select(
         F.col("l_orderkey").cast("string").alias("Incident_Number"), "l_linestatus")
     done.repartition(3).write.parquet(f"{root}/scored")
@@ -376,7 +369,7 @@ DAILY_SQL = """SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, event_type,
 
 @query("t03_stream_daily_counts", DAILY_SQL)
 def t03(spark, d):
-    root = _folder(spark, "daily")
+    root = scratch(spark, "daily")
     e = spark.read.parquet(f"{d}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
     e.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(f"{root}/events")
     stream = spark.readStream.schema(e.schema).parquet(f"{root}/events")
