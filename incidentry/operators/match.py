@@ -236,10 +236,10 @@ def district_by_keyword(texts: DataFrame, districts: DataFrame, text_id: str, te
     known = names.select(F.explode(F.split("n", r"\s+")).alias("w")).union(names.select("n")).filter("w <> ''").distinct()
     before = F.split(strip(F.split(F.col("_low"), " district", 2)[0]), r"\s+")
     if fits(known, MAX_KNOWN_WORDS):
-        words = F.array(*[F.lit(r.w) for r in known.collect()]).cast("array<string>")
+        words = [r.w for r in known.collect()]
 
         def is_known(w: Column) -> Column:
-            return F.array_contains(words, w) | F.array_contains(words, F.replace(w, F.lit("-"), F.lit(" ")))
+            return w.isin(words) | F.replace(w, F.lit("-"), F.lit(" ")).isin(words)
 
         stop = F.array_max(F.transform(before, lambda w, i: F.when(~is_known(w), i + 1).otherwise(0)))
         run = F.slice(before, stop + 1, F.size(before))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from incidentry.functions.text import strip
+from incidentry.session import durable
 from incidentry.sources.pages import incidents
 from incidentry.sources.tables import sheet_values
 
@@ -34,12 +35,23 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def append_unseen(key: str, path: str):
-    """foreachBatch writer: rows whose key no earlier batch wrote, each key once."""
+def append_unseen(key: str, path: str, within: str | None = None):
+    """foreachBatch writer: rows whose key no earlier batch wrote, each key once.
+
+    ``within`` names a text column that the key fixes, such as the date of an incident
+    number. Only stored rows within the batch's range of it can hold the same key, so
+    the file statistics rule most of a long history out.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        seen = earlier_batches(spark, path, batch_id, f"`{key}` string").select(key)
+        if within is None:
+            seen = earlier_batches(spark, path, batch_id, f"`{key}` string").select(key)
+        else:
+            batch = durable(batch)  # read twice: once for the range, once to write
+            low, high = batch.agg(F.min(within), F.max(within)).first()
+            seen = earlier_batches(spark, path, batch_id, f"`{key}` string, `{within}` string").filter(
+                F.col(within).between(low, high)).select(key)
         fresh = batch.dropDuplicates([key]).join(seen, key, "left_anti").select(*batch.columns)
         write_batch(sheet_values(fresh), path, batch_id)
 
@@ -53,7 +65,8 @@ def ingest_pages(pages: DataFrame, target: str, checkpoint: str, key: str = "Inc
     Parsing and numbering are per page and stateless; the sink itself is the memory
     of the keys, so the state store stays empty however long the stream runs.
     """
-    writer = incidents(pages).writeStream.foreachBatch(append_unseen(key, target)).option("checkpointLocation", checkpoint)
+    writer = incidents(pages).writeStream.foreachBatch(
+        append_unseen(key, target, within="Date")).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
