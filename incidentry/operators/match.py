@@ -17,6 +17,7 @@ from incidentry.session import durable, fits, maybe_broadcast
 LETTER_ORDER = "zqxjkvbpygfwmucldrhsnioate "
 # Distance limits tried in turn. A best pair within a limit beats every pair outside it.
 STEPS = (0.1, 0.2)
+FEW_NAMES = 20_000  # with no more names than this left, the last limit is tried at once
 TOLERANCE = 1e-9  # distances are sums of quotients; ties are settled on nine digits
 
 
@@ -83,7 +84,7 @@ def best_gazetteer_match(
     Distinct name triples are matched, not incidents. Equal names are settled by an
     equi-join. The rest goes through rising limits: when the best sum found within
     a limit does not exceed it, no pair outside the limit can be better, and the
-    triple is done. Only what is left reaches the loosest limit.
+    triple is done. Only what is left reaches the loosest limit. Few names skip the tight limits.
     """
     names = ["state_name", "district_name", "village_name"]
     gaz = gazetteer.filter(F.col("village_name").isNotNull() & F.col("district_name").isNotNull()).groupBy(*names).agg(
@@ -101,15 +102,16 @@ def best_gazetteer_match(
     ).select(*[want[c] for c in names], gaz.gaz_district, gaz.gaz_village, gaz[gaz_id],
              F.lit(0.0).alias("district_dist"), F.lit(0.0).alias("village_dist"))
     done = exact
-    rest = want.join(exact.select(*names), names, "left_anti")
+    rest = durable(want.join(exact.select(*names), names, "left_anti"))
     for limit in [s for s in STEPS if s < max_dist] + [max_dist]:
-        rest = durable(rest)
         if rest.isEmpty():
             break
+        if limit < max_dist and fits(rest, FEW_NAMES):
+            continue
         found = _best_within(rest, gaz, names, gaz_id, limit)
         if limit < max_dist:
             found = durable(found.filter(F.col("district_dist") + F.col("village_dist") <= limit))
-            rest = rest.join(found.select(*names), names, "left_anti")
+            rest = durable(rest.join(found.select(*names), names, "left_anti"))
         done = done.unionByName(found)
 
     best = incidents.join(done, names, "left")

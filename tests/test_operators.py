@@ -116,8 +116,9 @@ def fuzzy_tables(spark, n=90, seed=5):
     return inc, gaz, a, g
 
 
-@pytest.mark.parametrize("limit", [0.4, 0.15])
-def test_best_match_equals_brute_force(spark, limit):
+@pytest.mark.parametrize(("limit", "few"), [(0.4, 0), (0.15, 0), (0.4, 10**6)])
+def test_best_match_equals_brute_force(spark, monkeypatch, limit, few):
+    monkeypatch.setattr(match, "FEW_NAMES", few)
     inc, gaz, a, g = fuzzy_tables(spark)
     best = {}
     for key, s, d, v in inc:
