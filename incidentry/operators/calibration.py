@@ -43,13 +43,14 @@ def temperature_table(df: DataFrame, loss, temperatures: list[float]) -> DataFra
     return row.select(F.inline(cells))
 
 
-def calibrate_and_tune(val: DataFrame, test: DataFrame, objective: str = "micro") -> DataFrame:
+def calibrate_and_tune(val: DataFrame, test: DataFrame, objective: str = "micro",
+                       temperature: float | None = None) -> DataFrame:
     """Test rows (row_id, label, truth, logit) with calibrated prob, threshold and pred.
 
     The temperature and the thresholds come from the validation rows: one global
-    threshold for micro F1, else one per label.
+    threshold for micro F1, else one per label. A given temperature is not fitted again.
     """
-    t = fit_sigmoid_temperature(val)
+    t = fit_sigmoid_temperature(val) if temperature is None else temperature
 
     def with_prob(df: DataFrame) -> DataFrame:
         return df.withColumns({"prob": sigmoid(F.col("logit"), t), "prob_uncalibrated": sigmoid(F.col("logit"))})

@@ -22,6 +22,7 @@ def build_session(app: str = "incidentry", master: str | None = None, **conf: st
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # Texts can be long: batches to Python are bounded by size, not by rows alone.
         "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
     }
