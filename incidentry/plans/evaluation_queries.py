@@ -449,9 +449,10 @@ B11_SQL = SCO + """, cal AS (SELECT row_id, label, truth, 1 / (1 + exp(-(prob *
  vk AS (SELECT label, threshold, count(*) FILTER (truth = 1 AND prob >= threshold) AS tp, count(*) FILTER (truth = 0 AND prob >= threshold) AS fp,
    count(*) FILTER (truth = 1 AND prob < threshold) AS fn FROM cal, g WHERE row_id % 2 = 0 GROUP BY ALL),
  vb AS (SELECT label, threshold, row_number() OVER (PARTITION BY label ORDER BY round(CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn)::DOUBLE ELSE 0 END, 12) DESC, threshold) AS rn FROM vk),
- p AS (SELECT 'calibrated' AS variant, label, truth, CASE WHEN prob >= threshold THEN 1 ELSE 0 END AS pred FROM cal JOIN vb USING (label) WHERE rn = 1 AND row_id % 2 = 1
-   UNION ALL SELECT 'uncalibrated', label, truth, CASE WHEN raw > 0.5 THEN 1 ELSE 0 END FROM cal WHERE row_id % 2 = 1),
- k AS (SELECT variant, label, count(*) FILTER (truth = 1 AND pred = 1) AS tp, count(*) FILTER (truth = 0 AND pred = 1) AS fp, count(*) FILTER (truth = 1 AND pred = 0) AS fn FROM p GROUP BY 1, 2)""" + report_sql("variant")
+ w AS MATERIALIZED (SELECT label, count(*) FILTER (truth = 1 AND prob >= threshold) AS tp, count(*) FILTER (truth = 0 AND prob >= threshold) AS fp,
+   count(*) FILTER (truth = 1 AND prob < threshold) AS fn, count(*) FILTER (truth = 1 AND raw > 0.5) AS rtp, count(*) FILTER (truth = 0 AND raw > 0.5) AS rfp,
+   count(*) FILTER (truth = 1 AND raw <= 0.5) AS rfn FROM cal JOIN vb USING (label) WHERE rn = 1 AND row_id % 2 = 1 GROUP BY 1),
+ k AS MATERIALIZED (SELECT 'calibrated' AS variant, label, tp, fp, fn FROM w UNION ALL SELECT 'uncalibrated', label, rtp, rfp, rfn FROM w)""" + report_sql("variant")
 
 
 @query("b11_threshold_after_given_temperature", B11_SQL)
