@@ -71,10 +71,19 @@ def row_map(df: DataFrame, f: Callable[..., tuple], schema: str, columns: list[s
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared checkpoint folder; later steps read the copy."""
+    """``df`` as a Parquet table in the shared checkpoint folder; later steps read the copy.
+
+    The shuffle files behind it are let go once it is written: a lost executor rereads the table.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

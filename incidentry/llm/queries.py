@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from incidentry.llm import decontaminate, quality_rules
+from incidentry.llm import decontaminate, ngram_join, quality_rules
 from incidentry.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,29 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     base, verdict = quality_rules.rejected("base"), quality_rules.rejected(quality_rules.CURRENT)
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                        base.alias("base_failed"), (~(base | verdict)).alias("kept"), "failed")
+
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(words, i, i + least(5, len(words)) - 1), ' ') AS g
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS MATERIALIZED (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY 1, 2),
+e AS MATERIALIZED (
+  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+  WHERE 100 * i >= 80 * (nx.n + ny.n - i)),
+r AS (SELECT doc_id AS node, doc_id AS reach FROM w UNION SELECT r.node, e.y FROM r JOIN e ON e.x = r.reach)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(reach) AS component_id FROM r GROUP BY node) c
+  ON c.node = w.doc_id
+"""
+
+
+@query("op9_ngram_join", OP9_SQL)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_components(documents(spark, folder))
