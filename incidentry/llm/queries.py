@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from incidentry.llm import decontaminate, ngram_join, quality_rules
+from incidentry.llm import decontaminate, ngram_join, quality_rules, token_archive
 from incidentry.llm.common import documents
+from incidentry.plans.catalog import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,6 +89,20 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.hits(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
 
 
+def token_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Write ``docs`` as a token archive and read it back."""
+    import public_tokenizers
+
+    path = scratch(spark, "token-archive")
+    token_archive.write_archive(docs, path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_archive.read_archive(spark.read.parquet(path))
+
+
+@query("op4_token_archive")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return token_rows(spark, documents(spark, folder))
+
+
 @query("op10_quality_rules", OP10_SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     book = quality_rules.ledger(documents(spark, folder))
