@@ -48,16 +48,22 @@ def worker_store(name: str, make: Callable[[], object]) -> object:
     return getattr(home, name)
 
 
+def arrow_schema(schema: str):
+    """The Arrow schema of a DDL string; made on the driver."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    return to_arrow_schema(_parse_datatype_string(schema))
+
+
 def row_map(df: DataFrame, f: Callable[..., tuple], schema: str, columns: list[str], rows: int = 500) -> DataFrame:
     """``f(*values)`` for each row of ``columns``; it returns one tuple of ``schema``. No shuffle.
 
     Arrow carries the batches; a batch is worked on in slices, so few results are held at once.
     """
     import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
 
-    target = to_arrow_schema(_parse_datatype_string(schema))
+    target = arrow_schema(schema)
 
     def run(batches: Iterator["pa.RecordBatch"]) -> Iterator["pa.RecordBatch"]:
         for batch in batches:

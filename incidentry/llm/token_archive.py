@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from incidentry.llm.common import worker_store
+from incidentry.llm.common import arrow_schema, worker_store
 
 SHARD_TOKENS = 2_000_000
 ROUNDS = 6
@@ -269,12 +269,11 @@ def write_archive(docs: DataFrame, path: str, tokenizer: str, end: int = 1, id_c
     kind = dict(docs.dtypes)[id_col]
     schema = f"part int, seq int, ids array<{kind}>, n_tokens long, payload binary"
 
+    target = arrow_schema(schema)
+
     def shards(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import _parse_datatype_string
 
-        target = to_arrow_schema(_parse_datatype_string(schema))
         encoder = worker_store(f"encoder-{hash(sent.value)}", lambda: Encoder(sent.value))
         part, seq, ids, held, size = TaskContext.get().partitionId(), 0, [], [], 0
         width = np.dtype(encoder.kind).itemsize
@@ -309,12 +308,11 @@ def read_archive(archive: DataFrame, id_col: str = "doc_id") -> DataFrame:
     kind = dict(archive.dtypes)["ids"].removeprefix("array<")[:-1]
     schema = f"part int, seq int, id {kind}, local long, n_tokens long, ids_crc32 long"
 
+    target = arrow_schema(schema)
+
     def unpack(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import _parse_datatype_string
 
-        target = to_arrow_schema(_parse_datatype_string(schema))
         for batch in batches:
             for k in range(batch.num_rows):
                 part, seq, ids, payload = (batch.column(c)[k].as_py() for c in range(4))
