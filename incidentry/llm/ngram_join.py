@@ -57,9 +57,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return store[0], store[1]
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash of each word ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased, from running sums over the bytes."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").translate(LOWER), np.uint8)
+def word_hashes(text: str | None, table: bytes = LOWER) -> np.ndarray:
+    """A 64-bit hash of each word ``[^\\x20\\x09-\\x0D]+``, its bytes changed by ``table`` first, from running sums."""
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").translate(table), np.uint8)
     solid = np.concatenate(([False], ~_SPACE[raw], [False])).view(np.int8)
     edge = np.diff(solid)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)

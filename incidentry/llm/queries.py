@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from incidentry.llm import decontaminate, ngram_join, quality_rules, token_archive
+from incidentry.llm import decontaminate, mixing, ngram_join, quality_rules, token_archive
 from incidentry.llm.common import documents
 from incidentry.plans.catalog import scratch
 
@@ -103,6 +103,17 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return token_rows(spark, documents(spark, folder))
 
 
+#: Shares of all tokens that the domains clean, low and toxic are mixed to.
+MIX_SHARES = (0.9, 0.08, 0.02)
+
+
+@query("op6_mixing")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    rates = mixing.mixed_rates(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"), MIX_SHARES)
+    p = [rates.p[k].alias(f"p_{name}") for k, name in enumerate(mixing.DOMAINS)]
+    return rates.select("doc_id", "n_tokens", *p, "rate")
+
+
 @query("op10_quality_rules", OP10_SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     book = quality_rules.ledger(documents(spark, folder))
