@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from incidentry.llm import decontaminate, mixing, ngram_join, quality_rules, token_archive
+from incidentry.llm import decontaminate, mixing, ngram_join, quality_rules, secrets, token_archive
 from incidentry.llm.common import documents
 from incidentry.plans.catalog import scratch
 
@@ -146,3 +146,9 @@ FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(reach) AS component_id
 @query("op9_ngram_join", OP9_SQL)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_components(documents(spark, folder))
+
+
+@query("op1_secrets")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return secrets.digest(docs, secrets.fit(docs))
