@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from incidentry.llm import decontaminate, mixing, ngram_join, quality_rules, secrets, token_archive
+from incidentry.llm import decontaminate, license_scan, mixing, ngram_join, quality_rules, secrets, token_archive
 from incidentry.llm.common import documents
 from incidentry.plans.catalog import scratch
 
@@ -152,3 +152,47 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     return secrets.digest(docs, secrets.fit(docs))
+
+
+def _phrase_rows() -> str:
+    return ", ".join(f"({p}, '{label}', {str(base).lower()}, {list(words)!r})"
+                     for p, (label, words, base) in enumerate(license_scan.PHRASES))
+
+
+OP8_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+ph AS (SELECT * FROM (VALUES {_phrase_rows()}) AS t(phrase, label, base, words)),
+pg AS (SELECT phrase, j - 1 AS place, list_slice(words, j, j + 2) AS g
+       FROM (SELECT phrase, words, unnest(range(1, len(words) - 1)) AS j FROM ph)),
+dg AS (SELECT rid, i - 1 AS pos, list_slice(words, i, i + 2) AS g
+       FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM d WHERE len(words) > 2)),
+v AS (SELECT rid, phrase, pos - place AS diagonal, place FROM dg JOIN pg USING (g)),
+di AS (SELECT rid, phrase, diagonal, count(*) AS votes FROM v GROUP BY ALL),
+sp AS (SELECT *, sum(CASE WHEN diagonal - p > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY rid, phrase ORDER BY diagonal) AS span
+       FROM (SELECT *, lag(diagonal) OVER (PARTITION BY rid, phrase ORDER BY diagonal) AS p FROM di)),
+cv AS (SELECT rid, phrase, span, count(DISTINCT w) AS covered
+       FROM (SELECT rid, phrase, span, unnest(range(place, place + 3)) AS w FROM v JOIN sp USING (rid, phrase, diagonal))
+       GROUP BY ALL),
+pl AS (SELECT rid, phrase, span, count(CASE WHEN base AND votes = len(words) - 2 THEN 1 END) AS places,
+         min(CASE WHEN base AND votes = len(words) - 2 THEN diagonal END) AS f,
+         max(CASE WHEN base AND votes = len(words) - 2 THEN diagonal END) AS l
+       FROM sp JOIN ph USING (phrase) GROUP BY ALL),
+r AS (
+  SELECT rid, sum(places) AS n_base, min(f) AS f, max(l) AS l, max(covered / len(words)) AS score,
+    string_agg(DISTINCT CASE WHEN places > 0 THEN label END, ',' ORDER BY CASE WHEN places > 0 THEN label END) AS bl,
+    string_agg(DISTINCT CASE WHEN places > 0 OR covered / len(words) >= 0.8 THEN label END, ','
+      ORDER BY CASE WHEN places > 0 OR covered / len(words) >= 0.8 THEN label END) AS la
+  FROM pl JOIN cv USING (rid, phrase, span) JOIN ph USING (phrase) GROUP BY rid)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
+  CAST(f AS BIGINT) AS first_word, CAST(l AS BIGINT) AS last_word, coalesce(bl, '') AS base_labels,
+  coalesce(la, '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN r USING (rid)
+"""
+
+
+@query("op8_license_scan", OP8_SQL)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan(documents(spark, folder))
