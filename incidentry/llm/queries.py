@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from incidentry.llm import decontaminate, license_scan, mixing, ngram_join, quality_rules, secrets, token_archive
+from incidentry.llm import decontaminate, license_scan, mixing, ngram_join, quality_rules, secrets, token_archive, warc
 from incidentry.llm.common import documents
 from incidentry.plans.catalog import scratch
 
@@ -196,3 +196,21 @@ FROM d LEFT JOIN r USING (rid)
 @query("op8_license_scan", OP8_SQL)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan(documents(spark, folder))
+
+
+OP7_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+d AS (SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, t FROM p),
+o AS (SELECT t, max(page_id) AS original FROM d WHERE payload_bytes >= 1000 GROUP BY t HAVING count(*) > 1)
+SELECT page_id, payload_bytes, sha1(t) AS payload_digest,
+  CASE WHEN original IS NOT NULL AND page_id IS DISTINCT FROM original THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN original IS NOT NULL AND page_id IS DISTINCT FROM original THEN original END AS refers_to
+FROM d LEFT JOIN o USING (t)
+"""
+
+
+@query("op7_warc_revisits", OP7_SQL)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write_archive(spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html"), path)
+    return warc.resolved(warc.read_records(spark, path))
