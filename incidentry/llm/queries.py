@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from incidentry.llm import decontaminate, license_scan, mixing, ngram_join, quality_rules, secrets, token_archive, warc
+from incidentry.llm import decontaminate, license_scan, mixing, ngram_join, quality_rules, secrets, token_archive, warc, wrapper_induction
 from incidentry.llm.common import documents
 from incidentry.plans.catalog import scratch
 
@@ -214,3 +214,9 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write_archive(spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html"), path)
     return warc.resolved(warc.read_records(spark, path))
+
+
+@query("op5_wrapper_induction")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html")
+    return wrapper_induction.extract(pages)
