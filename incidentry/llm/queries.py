@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from incidentry.llm import decontaminate, license_scan, mixing, ngram_join, quality_rules, secrets, token_archive, warc, wrapper_induction
+from incidentry.llm import decontaminate, license_scan, line_templates, mixing, ngram_join, quality_rules, secrets, token_archive, warc, wrapper_induction
 from incidentry.llm.common import documents
 from incidentry.plans.catalog import scratch
 
@@ -220,3 +220,31 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html")
     return wrapper_induction.extract(pages)
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS rid FROM documents),
+l AS (SELECT rid, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS p FROM d),
+m AS (SELECT rid, p, line, array_to_string(list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'),
+        lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END), ' ') AS mask FROM l),
+s AS (SELECT *, string_split(mask, ' ') AS k FROM m),
+u AS (SELECT mask, k, len(k) AS size, k[1:3] AS lead, count(DISTINCT rid) AS n FROM s WHERE len(k) >= 3 GROUP BY ALL),
+f AS (SELECT *, sum(n) OVER (PARTITION BY size, lead) AS reach FROM u),
+w AS (SELECT mask, size, lead, n, i, k[i] AS token FROM (
+        SELECT *, unnest(range(1, size + 1)) AS i FROM f WHERE reach >= 10)),
+c AS (SELECT *, CASE WHEN token <> '<*>' AND sum(n) OVER (PARTITION BY size, lead, i, token) >= 10 THEN 1 ELSE 0 END AS stays FROM w),
+t AS (SELECT mask, size, n, sum(stays) AS constant,
+        string_agg(CASE WHEN stays = 1 THEN token ELSE '<*>' END, ' ' ORDER BY i) AS template FROM c GROUP BY mask, size, n),
+r AS (SELECT mask FROM (SELECT mask, sum(n) OVER (PARTITION BY template) AS support FROM t
+        WHERE constant >= 3 AND constant >= 0.5 * size) WHERE support >= 10),
+k AS (SELECT rid, CAST(count(CASE WHEN regexp_matches(line, '[^\x20\x09-\x0D]') THEN 1 END) AS BIGINT) AS n_lines,
+        CAST(count(r.mask) AS BIGINT) AS n_dropped,
+        coalesce(string_agg(CASE WHEN r.mask IS NULL THEN line END, chr(10) ORDER BY p), '') AS text
+      FROM s LEFT JOIN r USING (mask) GROUP BY rid)
+SELECT doc_id, n_lines, n_dropped, text FROM d JOIN k USING (rid)
+"""
+
+
+@query("op2_line_templates", OP2_SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return line_templates.drop_recurring(documents(spark, folder))
