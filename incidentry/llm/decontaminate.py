@@ -12,6 +12,7 @@ takes part under the empty id. Repeated documents give one row each. Other colum
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -201,8 +202,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "drop", t
 
     Columns are kept as they are. A benchmark beyond the bound drops by the join; cutting spans needs the set.
     """
-    import pandas as pd
-
     found = window_set(benchmark, item_col, item_text, size, max_bytes)
     if found is None:
         if action != "drop":

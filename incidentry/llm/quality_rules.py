@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,8 +130,6 @@ def apply_policy(docs: DataFrame, policy: str | tuple[str, ...] = CURRENT, text_
 
     The figures are computed beside each row, so nothing is shuffled or joined.
     """
-    import pandas as pd
-
     @F.pandas_udf(", ".join(f"{c} long" for c in FIGURES))
     def measure(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([figures(t) for t in texts], columns=list(FIGURES), dtype="int64")

@@ -20,6 +20,7 @@ import zlib
 from itertools import islice, takewhile
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -296,8 +297,6 @@ def scan(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
 
 def redact(docs: DataFrame, field: Field, mark: str = "[SECRET]", text_col: str = "text") -> DataFrame:
     """``docs`` with every span, or what overlapping spans cover together, replaced by ``mark``."""
-    import pandas as pd
-
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
     @F.pandas_udf("string")
