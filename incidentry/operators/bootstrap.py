@@ -26,7 +26,7 @@ def draw_weights(spark, n: int, reps: int, seed: int = 42) -> DataFrame:
     draws = spark.range(reps * n).select(
         F.expr(f"id div {n}").cast("int").alias("rep"), (F.col("id") % n).alias("d"))
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("d").cast("string")))
-    row_no = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % n
+    row_no = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % n
     return draws.groupBy("rep", row_no.alias("row_no")).agg(F.count("*").alias("weight"))
 
 
@@ -40,7 +40,7 @@ def resample(df: DataFrame, id_col: str, reps: int, seed: int = 42, mode: str =
         bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("rep"), F.col(id_col)), 11)
         # The number is its own column so that it is computed once, not once per term.
         each = each.withColumn("_u", (bits.cast("double") + 0.5) / F.lit(float(2**53)))
-        return each.withColumn("weight", poisson_count(F.col("_u"), 1.0, 20).cast("bigint")).filter("weight > 0").drop("_u")
+        return each.withColumn("weight", poisson_count(F.col("_u"), 1.0).cast("bigint")).filter("weight > 0").drop("_u")
     raise ValueError(f"mode is exact or poisson, not {mode}")
 
 

@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from incidentry.functions.similarity import jaro_once
 from incidentry.functions.text import strip
-from incidentry.session import durable, fits, maybe_broadcast
+from incidentry.session import durable, maybe_broadcast
 
 # Fixed value: letters from rare to common; any other character counts as rarer.
 LETTER_ORDER = "zqxjkvbpygfwmucldrhsnioate "
 # Distance limits tried in turn. A best pair within a limit beats every pair outside it.
 STEPS = (0.1, 0.2)
-FEW_NAMES = 20_000  # with no more names than this left, the last limit is tried at once
 TOLERANCE = 1e-9  # distances are sums of quotients; ties are settled on nine digits
 
 
@@ -84,7 +79,7 @@ def best_gazetteer_match(
     Distinct name triples are matched, not incidents. Equal names are settled by an
     equi-join. The rest goes through rising limits: when the best sum found within
     a limit does not exceed it, no pair outside the limit can be better, and the
-    triple is done. Only what is left reaches the loosest limit. Few names skip the tight limits.
+    triple is done. Only what is left reaches the loosest limit.
     """
     names = ["state_name", "district_name", "village_name"]
     gaz = gazetteer.filter(F.col("village_name").isNotNull() & F.col("district_name").isNotNull()).groupBy(*names).agg(
@@ -106,8 +101,6 @@ def best_gazetteer_match(
     for limit in [s for s in STEPS if s < max_dist] + [max_dist]:
         if rest.isEmpty():
             break
-        if limit < max_dist and fits(rest, FEW_NAMES):
-            continue
         found = _best_within(rest, gaz, names, gaz_id, limit)
         if limit < max_dist:
             found = durable(found.filter(F.col("district_dist") + F.col("village_dist") <= limit))
@@ -150,80 +143,46 @@ def match_rate(matched: DataFrame, found: str) -> DataFrame:
 
 # ---- names in texts ----------------------------------------------------------------------
 
-MAX_LISTED_NAMES = 100_000  # names sent to the tasks as a list; more go through the token join
-
-
-def first_listed(names: list[str]):
-    """Arrow UDF: the first of ``names`` that occurs in a text, by one scan of the text.
-
-    The automaton is built once per task. Without the automaton package each name is tried in turn.
-    """
-
-    @F.pandas_udf(StringType())
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        try:
-            import ahocorasick
-
-            scan = ahocorasick.Automaton()
-            for i, n in enumerate(names):
-                if n not in scan:
-                    scan.add_word(n, i)
-            scan.make_automaton()
-
-            def first(text):
-                return min((i for _, i in scan.iter(text)), default=None)
-        except ImportError:
+def _grams(words: Column) -> Column:
+    """Pieces of three characters of the words, and shorter words and pieces of two and one for names that have no more."""
+    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.flatten(F.transform(
+        F.filter(F.sequence(F.lit(1), F.lit(3)), lambda k: k <= F.length(w)),
+        lambda k: F.transform(F.sequence(F.lit(1), F.length(w) - k + 1), lambda i: w.substr(i, k)))))))
 
-            def first(text):
-                return next((i for i, n in enumerate(names) if n in text), None)
 
-        for texts in batches:
-            hits = [None if t is None or not names else first(t) for t in texts]
-            yield pd.Series([None if h is None else names[h] for h in hits], dtype=object)
-
-    return find
+def _anchors(name: Column) -> Column:
+    """The longest pieces, three characters at most, of a name's longest word."""
+    words = F.split(name, r"\s+")
+    longest = F.element_at(F.array_sort(F.transform(words, lambda w: F.struct(F.length(w).alias("l"), w.alias("w")))), -1).w
+    size = F.least(F.lit(3), F.length(longest))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(longest) - size + 1), lambda i: longest.substr(i, size)))
 
 
 def first_name_in_text(
-    texts: DataFrame, names: DataFrame, text_id: str, text: str, name: str, position: str,
-    out: str = "found_name", max_listed: int = MAX_LISTED_NAMES,
+    texts: DataFrame, names: DataFrame, text_id: str, text: str, name: str, position: str, out: str = "found_name",
 ) -> DataFrame:
     """Adds the first listed name that occurs in the text as a substring, null when none does.
 
-    A list of proven size goes to the tasks and every text is scanned where it is,
-    without a shuffle. A longer one is joined on character trigrams of the text's
-    words and verified.
+    A text that holds a name holds each piece of the name's longest word inside one of its own words. Of these the
+    piece that the fewest texts hold is joined, so common syllables bring no candidates, and each candidate is
+    verified. Names are found per distinct text: what a row gets depends on its text alone, not on ``text_id``.
+    Null and blank names match nothing; names without a position come last, equal positions by the name.
     """
-    listed = names.select(F.col(name).alias("n"), F.col(position).alias("p")).filter("n is not null and n <> ''")
-    if fits(listed, max_listed):
-        ordered = [r.n for r in sorted(listed.collect(), key=lambda r: r.p)]
-        return texts.withColumn(out, first_listed(ordered)(text))
-    return first_name_by_tokens(texts, listed, text_id, text, out)
-
-
-def first_name_by_tokens(texts: DataFrame, listed: DataFrame, text_id: str, text: str, out: str) -> DataFrame:
-    """The join form of :func:`first_name_in_text` for name lists of any length (columns n, p).
-
-    The anchor of a name is the head of its longest word, up to three characters. A
-    text that holds the name holds that word inside one of its own words.
-    """
-    words = F.split(F.col("n"), r"\s+")
-    longest = F.element_at(F.array_sort(F.transform(words, lambda w: F.struct(F.length(w).alias("l"), w.alias("w")))), -1).w
-    anchored = listed.withColumn("_anchor", F.substring(longest, 1, 3)).filter("_anchor <> ''")
-    grams = F.flatten(F.transform(
-        F.array_distinct(F.split(F.col(text), r"\s+")),
-        lambda w: F.flatten(F.transform(
-            F.filter(F.sequence(F.lit(1), F.lit(3)), lambda k: k <= F.length(w)),
-            lambda k: F.transform(F.sequence(F.lit(1), F.length(w) - k + 1), lambda i: w.substr(i, k)))),
-    ))
-    keys = texts.select(text_id, F.explode(F.array_distinct(grams)).alias("_anchor"))
-    candidates = keys.join(anchored, "_anchor").select(text_id, "n", "p").distinct()
-    checked = texts.select(text_id, text).join(candidates, text_id).filter(F.col(text).contains(F.col("n")))
-    first = checked.groupBy(text_id).agg(F.min_by("n", "p").alias(out))
-    return texts.join(first, text_id, "left")
-
-
-MAX_KNOWN_WORDS = 5_000  # words looked up in place as a list; more are joined
+    listed = names.select(F.col(name).alias("n"), F.col(position).alias("p")).filter("trim(n) <> ''").distinct()
+    held = texts.select(F.col(text).alias("_text")).filter("_text is not null").distinct().withColumn("_key", F.md5("_text"))
+    wanted = listed.select("n").distinct().withColumn("_gram", F.explode(_anchors(F.col("n"))))
+    grams = held.select("_key", F.explode(_grams(F.split("_text", r"\s+"))).alias("_gram"))
+    grams = grams.join(maybe_broadcast(wanted.select("_gram").distinct()), "_gram", "left_semi")
+    spread = grams.groupBy("_gram").agg(F.count("*").alias("_spread"))
+    rare = wanted.join(spread, "_gram", "left").groupBy("n").agg(
+        F.min(F.struct(F.coalesce("_spread", F.lit(0)).alias("s"), F.col("_gram").alias("g"))).alias("a"))
+    rare = rare.filter("a.s > 0").select("n", F.col("a.g").alias("_gram"))
+    candidates = grams.join(rare, "_gram").select("_key", "n")
+    checked = candidates.join(held, "_key").filter(F.col("_text").contains(F.col("n"))).select("_key", "n").join(listed, "n")
+    first = checked.groupBy("_key").agg(F.min_by("n", F.struct(F.col("p").isNull().alias("l"), "p", "n")).alias(out))
+    keyed = texts.withColumn("_key", F.md5(F.col(text)))
+    blank = keyed.filter(F.col("_key").isNull()).withColumn(out, F.lit(None).cast("string"))
+    return keyed.filter(F.col("_key").isNotNull()).join(first, "_key", "left").unionByName(blank).drop("_key")
 
 
 def district_by_keyword(texts: DataFrame, districts: DataFrame, text_id: str, text: str, name: str,
@@ -232,40 +191,29 @@ def district_by_keyword(texts: DataFrame, districts: DataFrame, text_id: str, te
 
     The run of known words before the first ' district' is taken when it is a listed
     district; otherwise the first listed district that occurs in the text; else ''.
+    Runs are found per distinct text, like the names.
     """
     low = texts.withColumn("_low", F.lower(F.col(text)))
-    names = districts.select(F.lower(name).alias("n"), F.col(position).alias("p")).filter("n is not null and n <> ''")
+    names = districts.select(F.lower(name).alias("n"), F.col(position).alias("p")).filter("trim(n) <> ''")
     known = names.select(F.explode(F.split("n", r"\s+")).alias("w")).union(names.select("n")).filter("w <> ''").distinct()
     before = F.split(strip(F.split(F.col("_low"), " district", 2)[0]), r"\s+")
-    if fits(known, MAX_KNOWN_WORDS):
-        words = [r.w for r in known.collect()]
-
-        def is_known(w: Column) -> Column:
-            return w.isin(words) | F.replace(w, F.lit("-"), F.lit(" ")).isin(words)
-
-        stop = F.array_max(F.transform(before, lambda w, i: F.when(~is_known(w), i + 1).otherwise(0)))
-        run = F.slice(before, stop + 1, F.size(before))
-        low = low.withColumn("_run", F.replace(F.array_join(run, " "), F.lit("-"), F.lit(" ")))
-    else:
-        # Long list: the words before the keyword are looked up by a join, the run rebuilt from their positions.
-        with_word = low.filter(F.col("_low").contains(" district"))
-        exploded = with_word.select(text_id, F.posexplode(before).alias("i", "w"))
-        hits = exploded.join(known.withColumn("_k", F.lit(True)), "w", "left")
-        dash = exploded.select(text_id, "i", F.replace("w", F.lit("-"), F.lit(" ")).alias("w")).join(known, "w", "left_semi")
-        hits = hits.join(dash.select(text_id, "i", F.lit(True).alias("_d")).distinct(), [text_id, "i"], "left")
-        hits = hits.withColumn("_ok", F.coalesce("_k", "_d", F.lit(False)))
-        stop = hits.groupBy(text_id).agg(
-            F.coalesce(F.max(F.when(~F.col("_ok"), F.col("i"))), F.lit(-1)).alias("_stop"),
-            F.array_sort(F.collect_list(F.struct("i", "w"))).alias("_ws"))
-        run = F.filter(F.col("_ws"), lambda x: x.i > F.col("_stop"))
-        run = F.replace(F.array_join(F.transform(run, lambda x: x.w), " "), F.lit("-"), F.lit(" "))
-        low = low.join(stop.select(text_id, run.alias("_run")), text_id, "left")
-    low = low.withColumn("_run", F.when(F.col("_low").contains(" district"), F.col("_run")))
-    checked = low.join(names.select(F.col("n").alias("_run"), F.lit(True).alias("_hit")).distinct(), "_run", "left")
-    guess = first_name_in_text(checked, names, text_id, "_low", "n", "p", out="_first")
-    return guess.withColumn(
-        out, F.coalesce(F.when(F.col("_hit"), F.col("_run")), F.col("_first"), F.lit(""))
-    ).drop("_low", "_run", "_hit", "_first")
+    with_word = low.filter(F.col("_low").contains(" district")).select(
+        F.md5("_low").alias("_key"), "_low").dropDuplicates(["_key"])
+    exploded = with_word.select("_key", F.posexplode(before).alias("i", "w"))
+    # A word is known as it stands or with its dashes as blanks.
+    forms = exploded.select("_key", "i", "w", F.explode(F.array("w", F.replace("w", F.lit("-"), F.lit(" ")))).alias("form"))
+    hits = forms.join(maybe_broadcast(known.withColumnRenamed("w", "form").withColumn("_k", F.lit(True))), "form", "left").groupBy(
+        "_key", "i").agg(F.first("w").alias("w"), F.max(F.coalesce("_k", F.lit(False))).alias("_ok"))
+    runs = hits.groupBy("_key").agg(
+        F.coalesce(F.max(F.when(~F.col("_ok"), F.col("i"))), F.lit(-1)).alias("_stop"),
+        F.array_sort(F.collect_list(F.struct("i", "w"))).alias("_ws"))
+    run = F.filter(F.col("_ws"), lambda x: x.i > F.col("_stop"))
+    run = F.replace(F.array_join(F.transform(run, lambda x: x.w), " "), F.lit("-"), F.lit(" "))
+    listed = names.select(F.col("n").alias("_run")).distinct()
+    named = runs.select("_key", run.alias("_run")).join(listed, "_run", "left_semi")
+    guess = first_name_in_text(low, names, text_id, "_low", "n", "p", out="_first").withColumn("_key", F.md5("_low"))
+    return guess.join(named, "_key", "left").withColumn(out, F.coalesce("_run", "_first", F.lit(""))).drop(
+        "_key", "_low", "_run", "_first")
 
 
 def tag_words(texts: DataFrame, dictionary: DataFrame, text_id: str, text: str) -> DataFrame:
@@ -284,27 +232,19 @@ def names_by_state(df: DataFrame, district: str, state: str) -> DataFrame:
     return pairs.groupBy(district).agg(F.count(state).alias("num_states"), F.sum("_n").alias("total_incidents"))
 
 
-MAX_STATES = 1_000
-
-
 def conditional_probability(df: DataFrame, district: str, state: str, smoothing: float = 1.0) -> DataFrame:
-    """P(state | district) with Laplace smoothing, a row for every district and state.
+    """P(state | district) with Laplace smoothing.
 
-    The states are a short vocabulary, checked for size; each district row is
-    expanded by that list, so no two tables are crossed.
+    One row for each pair that occurs, and one with a null state for each district: the probability of any state that
+    does not occur with it. Every district and state can be read off these, without a row for each.
     """
     pairs = df.filter((F.trim(district) != "") & (F.trim(state) != "")).groupBy(
         F.trim(district).alias(district), F.trim(state).alias(state)).agg(F.count("*").alias("n"))
-    vocab = pairs.select(state).distinct()
-    if not fits(vocab, MAX_STATES):
-        raise ValueError(f"more than {MAX_STATES} states: this column is not a state vocabulary")
-    states = sorted(r[0] for r in vocab.collect())
-    per = pairs.groupBy(district).agg(
-        F.sum("n").alias("_total"), F.map_from_entries(F.collect_list(F.struct(state, "n"))).alias("_seen"))
-    wide = per.withColumn(state, F.explode(F.array(*[F.lit(s) for s in states]).cast("array<string>")))
-    count = F.coalesce(F.try_element_at("_seen", F.col(state)), F.lit(0))
-    p = (count + smoothing) / (F.col("_total") + smoothing * len(states))
-    return wide.select(district, state, count.alias("n"), p.alias("p"))
+    states = pairs.agg(F.countDistinct(state)).scalar()
+    per = pairs.groupBy(district).agg(F.sum("n").alias("_total"), F.collect_list(F.struct(state, "n")).alias("_seen"))
+    none = F.array(F.struct(F.lit(None).cast("string").alias(state), F.lit(0).cast("bigint").alias("n")))
+    rows = per.select(district, "_total", F.inline(F.concat("_seen", none)))
+    return rows.select(district, state, "n", ((F.col("n") + smoothing) / (F.col("_total") + smoothing * states)).alias("p"))
 
 
 def pair_with_baseline(baseline: DataFrame, model: DataFrame, key: str = "incident_number",

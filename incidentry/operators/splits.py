@@ -101,8 +101,14 @@ def uniform(digest: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(16**13))
 
 
-def poisson_count(u: Column, rate: Column | float, terms: int = 30) -> Column:
-    """Poisson draw by inversion of a uniform number; exact up to ``terms``, which no modest rate reaches."""
+# The largest number that ``uniform`` gives lies below the cumulated probability of this many terms at PART_RATE,
+# so the inversion ends by itself and cuts nothing.
+PART_RATE = 8
+TERMS = 64
+
+
+def poisson_count(u: Column, rate: Column | float, terms: int = TERMS) -> Column:
+    """Poisson draw by inversion of a uniform number, for a rate up to ``PART_RATE``."""
     if isinstance(rate, (int, float)):
         term = total = math.exp(-rate)
         count = F.when(u > total, 1).otherwise(0)
@@ -123,14 +129,31 @@ def poisson_count(u: Column, rate: Column | float, terms: int = 30) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(terms - 1)), start, step, lambda acc: acc["n"])
 
 
+def poisson_parts(id_col: str, rate: Column, seed: int = 42) -> Column:
+    """Poisson draw for any rate: a sum of draws of rates up to ``PART_RATE``, each from a number of its own.
+
+    The cost grows with the rate, as the draw does. Null and nonpositive rates draw 0.
+    """
+    rate = rate.cast("double")
+    parts = F.ceil(rate / PART_RATE)
+
+    def drawn(part: Column) -> Column:
+        key = F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), part.cast("string"))
+        return F.struct(uniform(F.md5(key)).alias("u"))
+
+    # The numbers are made before they are drawn from, once each.
+    draws = F.transform(F.transform(F.sequence(F.lit(1), parts), drawn), lambda x: poisson_count(x.u, rate / parts))
+    total = F.aggregate(draws, F.lit(0).cast("bigint"), lambda acc, n: acc + n)
+    return F.when(rate > 0, total).otherwise(F.lit(0).cast("bigint"))
+
+
 def weighted_resample(df: DataFrame, id_col: str, weight: str, seed: int = 42) -> DataFrame:
     """Resample with replacement in proportion to a mean-one weight; the expected size is the table's.
 
-    Each row draws its own number of copies, so no row order or total is needed.
+    Each row draws its own number of copies, so no row order or total is needed, and no weight is too large.
     """
-    copies = poisson_count(uniform(id_digest(id_col, seed)), F.col(weight))
-    return df.withColumn("_k", copies).filter("_k > 0").withColumn(
-        "copy", F.explode(F.sequence(F.lit(1), F.col("_k")))).drop("_k")
+    return df.withColumn("_k", poisson_parts(id_col, F.col(weight), seed)).filter("_k > 0").withColumn(
+        "copy", F.explode(F.sequence(F.lit(1), F.col("_k").cast("int")))).drop("_k")
 
 
 def keep_known_labels(df: DataFrame, train: DataFrame, label: str) -> DataFrame:

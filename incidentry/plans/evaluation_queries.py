@@ -478,7 +478,7 @@ REPS = 50
 
 def draws_sql(source: str, id_col: str) -> str:
     return f"""rn AS (SELECT *, row_number() OVER (ORDER BY {id_col}) - 1 AS row_no FROM {source}), nn AS (SELECT count(*) AS n FROM rn),
- dr AS (SELECT rep, CAST('0x' || md5('42:' || rep || ':' || d)[1:8] AS BIGINT) % n AS row_no FROM nn, LATERAL range({REPS}) AS a(rep), LATERAL range(n) AS b(d)),
+ dr AS (SELECT rep, CAST('0x' || md5('42:' || rep || ':' || d)[1:15] AS BIGINT) % n AS row_no FROM nn, LATERAL range({REPS}) AS a(rep), LATERAL range(n) AS b(d)),
  dw AS (SELECT rep, row_no, count(*) AS w FROM dr GROUP BY 1, 2)"""
 
 

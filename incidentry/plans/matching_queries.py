@@ -113,7 +113,7 @@ def j12b(spark, d):
     texts = p.select(k.alias("id"), F.when(k % 3 == 0, F.concat(F.lit("at pre"), n, F.lit("ia today"))).when(
         k % 3 == 1, "no name here").otherwise(F.concat(F.lit("both "), n, F.lit(" and small box"))).alias("text"))
     listed = p.groupBy(n.alias("n")).agg(F.min("p_partkey").alias("p"))
-    return match.first_name_by_tokens(texts, listed, "id", "text", "found").select("id", "found")
+    return match.first_name_in_text(texts, listed, "id", "text", "n", "p", "found").select("id", "found")
 
 
 @query("j13_district_by_keyword", """WITH n AS (SELECT p_name AS n, min(p_partkey) AS p FROM part GROUP BY 1),

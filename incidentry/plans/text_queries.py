@@ -10,6 +10,7 @@ from incidentry.plans import jobs, views
 from incidentry.plans.catalog import query, scratch, table
 from incidentry.plans.views import INCIDENTS_SQL, LOCATED_SQL, PLACES_SQL, with_
 from incidentry.sources import pages as page_source
+from incidentry.sources import tables
 from incidentry.streaming import ingest
 
 LOC = with_(LOCATED_SQL)
@@ -18,7 +19,7 @@ PLA = with_(PLACES_SQL)
 
 # ---- pages -------------------------------------------------------------------------------
 
-PAGES_SQL = """turns AS (SELECT conv_id, turn, 'Aug' AS month, CAST(2000 + conv_id % 20 AS VARCHAR) AS year, 'series-' || conv_id % 3 AS series,
+PAGES_SQL = """turns AS (SELECT conv_id, turn, 'Aug' AS month, CAST(2000 + conv_id % 20 AS VARCHAR) AS year, 'series-' || conv_id AS series,
   1 + turn % 3 AS day, regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g') AS summary,
   row_number() OVER (PARTITION BY conv_id, turn % 3 ORDER BY turn) AS nn FROM conversations)"""
 INCIDENT_ROWS_SQL = with_(PAGES_SQL) + """SELECT 'I08' || lpad(CAST(day AS VARCHAR), 2, '0') || year[3:4] || CASE WHEN nn < 10 THEN '0' ELSE '' END || nn AS "Incident_Number",
@@ -36,7 +37,7 @@ def conversation_pages(spark, d):
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", row.alias("r")))), lambda x: x.r), "\n")
     # A conversation is one page of the source, so its turns belong in one row.
     return safe.groupBy("conv_id").agg(F.concat(F.lit("<html><table>"), body, F.lit("</table></html>")).alias("html")).select(
-        F.concat(F.lit("series-"), (F.col("conv_id") % 3).cast("string")).alias("series"),
+        F.concat(F.lit("series-"), F.col("conv_id").cast("string")).alias("series"),
         (2000 + F.col("conv_id") % 20).cast("string").alias("year"), F.lit("Aug").alias("month"), "html")
 
 
@@ -341,14 +342,25 @@ def e04(spark, d):
 # ---- streams -----------------------------------------------------------------------------
 
 
-@query("t01_stream_page_ingest", "SELECT DISTINCT \"Series\" || '_' || \"Incident_Number\" AS \"Incident_ID\" FROM (" + INCIDENT_ROWS_SQL + ")")
+@query("t01_stream_page_ingest", "SELECT *, \"Series\" || '_' || \"Incident_Number\" AS \"Incident_ID\" FROM (" + INCIDENT_ROWS_SQL + ")")
 def t01(spark, d):
-    """Pages arrive in several files and are ingested in small batches; each key is stored once."""
+    """Pages arrive in several files and are ingested in small batches; a second run finds nothing new."""
     root = scratch(spark, "ingest")
-    conversation_pages(spark, d).repartition(4, "series", "year").write.parquet(f"{root}/pages")
-    stream = ingest.page_stream(spark, f"{root}/pages", files_per_trigger=2)
-    ingest.ingest_pages(stream, f"{root}/incidents", f"{root}/state").awaitTermination()
-    return spark.read.parquet(f"{root}/incidents").select("Incident_ID")
+    conversation_pages(spark, d).repartition("series").write.parquet(f"{root}/pages")
+    for _ in range(2):
+        stream = ingest.page_stream(spark, f"{root}/pages", files_per_trigger=4)
+        ingest.ingest_pages(stream, f"{root}/incidents", f"{root}/state").awaitTermination()
+    return spark.read.parquet(f"{root}/incidents").drop("batch_id")
+
+
+@query("s07_append_twice", """SELECT doc_id, source, lang, n_chars FROM documents""")
+def s07b(spark, d):
+    """Two appends by a key that many rows share: all rows of a new key stay, rows of a stored key do not come again."""
+    path = f"{scratch(spark, 'append')}/t"
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars")
+    tables.append_new(docs.filter("lang = 'en'").withColumn("key", F.col("lang")), path, "key")
+    tables.append_new(docs.withColumn("key", F.col("lang")), path, "key")
+    return spark.read.parquet(path).drop("key")
 
 
 @query("t02_stream_raw_to_processed", """SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')""")
@@ -356,8 +368,8 @@ def t02(spark, d):
     root = scratch(spark, "move")
     done = table(spark, d, "lineitem").filter("l_returnflag = 'A'").select(
         F.col("l_orderkey").cast("string").alias("Incident_Number"), "l_linestatus")
-    done.repartition(3).write.parquet(f"{root}/scored")
-    stream = spark.readStream.schema("Incident_Number string, l_linestatus string").option("maxFilesPerTrigger", 1).parquet(f"{root}/scored")
+    done.repartition("Incident_Number").write.parquet(f"{root}/scored")
+    stream = spark.readStream.schema("Incident_Number string, l_linestatus string").option("maxFilesPerTrigger", 4).parquet(f"{root}/scored")
     ingest.move_batches(stream, f"{root}/processed", f"{root}/state").awaitTermination()
     raw = table(spark, d, "orders").select(F.col("o_orderkey").alias("Incident_Number"))
     left = ingest.raw_left(raw, spark.read.parquet(f"{root}/processed"))
@@ -371,7 +383,7 @@ DAILY_SQL = """SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, event_type,
 def t03(spark, d):
     root = scratch(spark, "daily")
     e = spark.read.parquet(f"{d}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
-    e.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(f"{root}/events")
+    e.repartitionByRange("ts").sortWithinPartitions("ts").write.parquet(f"{root}/events")
     stream = spark.readStream.schema(e.schema).parquet(f"{root}/events")
     out = ingest.daily_counts(stream, "ts", ["value"], "2 days", "event_type")
 

@@ -288,9 +288,9 @@ def f31(spark, d):
 
 
 @query("a24_j17_state_given_district", AMB + """, c AS (SELECT district, state, count(*) AS n FROM named GROUP BY 1, 2),
- t AS (SELECT district, sum(n) AS total FROM c GROUP BY 1), s AS (SELECT DISTINCT state FROM c)
-SELECT t.district, s.state, coalesce(n, 0) AS n, round((coalesce(n, 0) + 1.0) / (total + 1.0 * (SELECT count(*) FROM s)), 6) AS p
-FROM t CROSS JOIN s LEFT JOIN c ON c.district = t.district AND c.state = s.state""")
+ t AS (SELECT district, sum(n) AS total FROM c GROUP BY 1), s AS (SELECT count(DISTINCT state) AS k FROM c)
+SELECT district, state, n, round((n + 1.0) / (total + k), 6) AS p FROM c JOIN t USING (district), s
+UNION ALL SELECT district, NULL, 0, round(1.0 / (total + k), 6) FROM t, s""")
 def a24(spark, d):
     return match.conditional_probability(_named(spark, d), "district", "state").withColumn("p", F.round("p", 6))
 
@@ -433,15 +433,28 @@ def a30(spark, d):
     return out.select("doc_id", F.round("sample_weight", 6).alias("sample_weight"))
 
 
-@query("w12_weighted_resample", with_(
-    WEIGHT_SQL, "u AS (SELECT doc_id, sample_weight AS r, (CAST('0x' || md5('42:' || doc_id)[1:13] AS BIGINT) + 0.5) / 4503599627370496.0 AS u FROM w2)",
-    """p AS (SELECT doc_id, u, i, sum(exp(-r) * pow(r, i) / factorial(CAST(i AS INTEGER))::DOUBLE) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM u, generate_series(0, 29) AS g(i))""")
-    + "SELECT doc_id, CAST(generate_series AS INTEGER) AS copy FROM (SELECT doc_id, count(*) FILTER (u > c) AS k FROM p GROUP BY 1) AS q, LATERAL generate_series(1, k)")
+def resample_sql(source: str) -> str:
+    """Copies of each (doc_id, r) of ``source``: draws by parts of a rate up to 8, on a table of cumulated terms."""
+    return f"""parts AS (SELECT doc_id, r / ceil(r / 8) AS r, unnest(range(1, CAST(ceil(r / 8) AS BIGINT) + 1)) AS part FROM {source} WHERE r > 0),
+u AS (SELECT doc_id, part, r, (CAST('0x' || md5('42:' || doc_id || ':' || part)[1:13] AS BIGINT) + 0.5) / 4503599627370496.0 AS u FROM parts),
+p AS (SELECT doc_id, u, sum(exp(i * ln(r) - r - lgamma(i + 1))) OVER (PARTITION BY doc_id, part ORDER BY i) AS c FROM u, generate_series(0, 120) AS g(i))
+SELECT doc_id, CAST(generate_series AS INTEGER) AS copy FROM (SELECT doc_id, count(*) FILTER (u > c) AS k FROM p GROUP BY 1) AS q, LATERAL generate_series(1, k)"""
+
+
+@query("w12_weighted_resample", with_(WEIGHT_SQL, "rates AS (SELECT doc_id, sample_weight AS r FROM w2)", resample_sql("rates")))
 def w12(spark, d):
     w = weights.sample_weights(table(spark, d, "labels"), ["quality", "toxic"])
     return splits.weighted_resample(w, "doc_id", "sample_weight").select("doc_id", "copy")
 
 
+@query("w12_resample_rare_labels", "WITH rates AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 120.0 + doc_id % 400 ELSE 0.25 END AS r FROM labels), "
+       + resample_sql("rates"))
+def w12b(spark, d):
+    """Weights of several hundred, as labels of a tenth of a percent get them."""
+    w = table(spark, d, "labels").withColumn("w", F.when(F.col("toxic") == 1, 120.0 + F.col("doc_id") % 400).otherwise(0.25))
+    return splits.weighted_resample(w, "doc_id", "w").select("doc_id", "copy")
+
+
 @query("a27_a28_class_weights", """WITH t AS (SELECT count(*) AS n, CAST(sum(quality) AS BIGINT) AS q, CAST(sum(toxic) AS BIGINT) AS x FROM labels),
 l AS (SELECT label, (n - s) / greatest(s, 1)::DOUBLE AS pos_weight FROM t, LATERAL (VALUES ('quality', q), ('toxic', x)) AS v(label, s))
 SELECT label, round(pos_weight, 6) AS pos_weight, round(CASE label WHEN 'toxic' THEN greatest(least(least(pos_weight, 5.0), 10.0), 1.0)

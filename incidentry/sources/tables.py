@@ -48,37 +48,40 @@ def sheet_values(df: DataFrame) -> DataFrame:
 
 
 def unseen(incoming: DataFrame, existing: DataFrame | None, key: str) -> DataFrame:
-    """Rows to append: all of them to an empty or missing table, none when a side lacks the key, else the new keys."""
+    """Rows to append: all of them to an empty or missing table, none when a side lacks the key, else the new keys.
+
+    Every incoming row of a new key stays, however often the key comes. A null key is a key like any other.
+    """
     if existing is None or not existing.columns:
         return incoming
     if key not in existing.columns or key not in incoming.columns:
         if existing.limit(1).count() == 0 and key in incoming.columns:
             return incoming
         return incoming.limit(0)
-    return incoming.join(existing.select(key), key, "left_anti").select(*incoming.columns)
+    seen = existing.select(F.col(key).alias("_seen")).distinct()
+    return incoming.join(seen, F.col(key).eqNullSafe(F.col("_seen")), "left_anti").select(*incoming.columns)
 
 
 def append_new(incoming: DataFrame, path: str, key: str) -> DataFrame:
-    """Append the unseen keys to a Parquet table and return them; running it again appends nothing."""
+    """Append the rows of unseen keys to a Parquet table and return them; running it again appends nothing."""
     from incidentry.session import durable
 
-    spark = incoming.sparkSession
-    fresh = sheet_values(unseen(incoming, read_if_there(spark, path), key))
-    if key in fresh.columns:
-        fresh = fresh.dropDuplicates([key])
-    fresh = durable(fresh)  # the target changes below, so the rows are fixed first
-    fresh.write.mode("append").parquet(path)
+    # Sanitised first, as stored keys are: a missing text key is ''.
+    fresh = durable(unseen(sheet_values(incoming), read_if_there(incoming.sparkSession, path), key))
+    fresh.write.mode("append").parquet(path)  # the target changes here, so the rows were fixed before
     return fresh
 
 
 def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
-    """Parquet table, or null when nothing has been written."""
+    """Parquet table, or null when its folder is not there. Any other failure is raised."""
     from pyspark.errors import AnalysisException
 
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def remaining(raw: DataFrame, done: DataFrame, key: str = "Incident_Number") -> DataFrame:

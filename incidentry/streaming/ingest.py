@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -24,8 +25,8 @@ def earlier_batches(spark: SparkSession, path: str, batch_id: int, cols: str) ->
     schema = f"{cols}, batch_id bigint"
     try:
         return spark.read.schema(schema).parquet(path).filter(F.col("batch_id") < batch_id)
-    except Exception as e:  # nothing written yet
-        if "PATH_NOT_FOUND" in str(e):
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":  # nothing written yet
             return spark.createDataFrame([], schema)
         raise
 
@@ -36,7 +37,9 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 def append_unseen(key: str, path: str, within: str | None = None):
-    """foreachBatch writer: rows whose key no earlier batch wrote, each key once.
+    """foreachBatch writer: rows whose key no earlier batch wrote.
+
+    All rows of a key that is new in the batch stay. A missing key is stored as '' and is a key like any other.
 
     ``within`` names a text column that the key fixes, such as the date of an incident
     number. Only stored rows within the batch's range of it can hold the same key, so
@@ -45,6 +48,7 @@ def append_unseen(key: str, path: str, within: str | None = None):
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        batch = sheet_values(batch)  # compared as it is stored
         if within is None:
             seen = earlier_batches(spark, path, batch_id, f"`{key}` string").select(key)
         else:
@@ -52,8 +56,7 @@ def append_unseen(key: str, path: str, within: str | None = None):
             low, high = batch.agg(F.min(within), F.max(within)).first()
             seen = earlier_batches(spark, path, batch_id, f"`{key}` string, `{within}` string").filter(
                 F.col(within).between(low, high)).select(key)
-        fresh = batch.dropDuplicates([key]).join(seen, key, "left_anti").select(*batch.columns)
-        write_batch(sheet_values(fresh), path, batch_id)
+        write_batch(batch.join(seen.distinct(), key, "left_anti").select(*batch.columns), path, batch_id)
 
     return write
 

@@ -40,11 +40,18 @@ def test_page_plan_has_no_shuffle(spark):
 def test_append_is_idempotent(spark, tmp_path):
     path = str(tmp_path / "t")
     first = spark.createDataFrame([("a", float("inf")), ("b", 1.0), ("b", 1.0)], "k string, v double")
-    assert tables.append_new(first, path, "k").count() == 2
+    assert tables.append_new(first, path, "k").count() == 3  # every row of a new key
     assert tables.append_new(first, path, "k").count() == 0
-    more = spark.createDataFrame([("b", 2.0), ("c", 3.0)], "k string, v double")
-    assert tables.append_new(more, path, "k").count() == 1
-    assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [("a", None), ("b", 1.0), ("c", 3.0)]
+    more = spark.createDataFrame([("b", 2.0), ("c", 3.0), (None, 4.0)], "k string, v double")
+    assert tables.append_new(more, path, "k").count() == 2
+    assert tables.append_new(more, path, "k").count() == 0
+    assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [("", 4.0), ("a", None), ("b", 1.0), ("b", 1.0), ("c", 3.0)]
+
+
+def test_broken_table_is_no_empty_table(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    with pytest.raises(Exception, match="UNABLE_TO_INFER_SCHEMA"):
+        tables.append_new(spark.createDataFrame([("a",)], "k string"), str(tmp_path / "t"), "k")
 
 
 def test_missing_key_appends_nothing(spark):
@@ -104,7 +111,7 @@ def test_stream_equals_batch_and_replays(spark, tmp_path, page_folder):
         ingest.ingest_pages(ingest.page_stream(spark, page_folder, 1), target, checkpoint).awaitTermination()
         return sorted(r.Incident_ID for r in spark.read.parquet(target).collect())
 
-    batch = sorted({r.Incident_ID for r in jobs.ingest_pages(spark.createDataFrame(PAGES, SCHEMA)).collect()})
+    batch = sorted(r.Incident_ID for r in jobs.ingest_pages(spark.createDataFrame(PAGES, SCHEMA)).collect())
     assert run(state) == batch
     assert run(state) == batch  # nothing new
     spark.createDataFrame([PAGES[0], ("maoist", "2023", "Oct", page(("Oct-2", "Six")))], SCHEMA).coalesce(1).write.mode(
@@ -119,7 +126,7 @@ def test_replayed_batch_leaves_one_copy(spark, tmp_path):
     write(rows, 0)
     write(rows, 0)
     write(rows.unionByName(spark.createDataFrame([("c", 3)], "k string, v int")), 1)
-    assert sorted(r.k for r in spark.read.parquet(path).collect()) == ["a", "b", "c"]
+    assert sorted(r.k for r in spark.read.parquet(path).collect()) == ["a", "a", "b", "c"]
 
 
 def test_scorer_gets_batches(spark):
