@@ -20,7 +20,7 @@ PLA = with_(PLACES_SQL)
 # ---- pages -------------------------------------------------------------------------------
 
 PAGES_SQL = """turns AS (SELECT conv_id, turn, 'Aug' AS month, CAST(2000 + conv_id % 20 AS VARCHAR) AS year, 'series-' || conv_id AS series,
-  1 + turn % 3 AS day, regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g') AS summary,
+  1 + turn % 3 AS day, trim(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g') || ' ©’') AS summary,
   row_number() OVER (PARTITION BY conv_id, turn % 3 ORDER BY turn) AS nn FROM conversations)"""
 INCIDENT_ROWS_SQL = with_(PAGES_SQL) + """SELECT 'I08' || lpad(CAST(day AS VARCHAR), 2, '0') || year[3:4] || CASE WHEN nn < 10 THEN '0' ELSE '' END || nn AS "Incident_Number",
  year || '-08-' || lpad(CAST(day AS VARCHAR), 2, '0') AS "Date", summary AS "Incident_Summary", series AS "Series" FROM turns"""
@@ -33,7 +33,7 @@ def conversation_pages(spark, d):
         "text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")))
     row = F.concat(
         F.lit('<tr><td style="width: 15%;"> Aug-'), (1 + F.col("turn") % 3).cast("string"),
-        F.lit(' </td><td><div class="card more">\n<b>'), F.col("text"), F.lit("</b></div></td></tr>"))
+        F.lit(' </td><td><div class="card more">\n<div><b>'), F.col("text"), F.lit("</b></div> &copy;&#8217;</div></td></tr>"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", row.alias("r")))), lambda x: x.r), "\n")
     # A conversation is one page of the source, so its turns belong in one row.
     return safe.groupBy("conv_id").agg(F.concat(F.lit("<html><table>"), body, F.lit("</table></html>")).alias("html")).select(

@@ -2,14 +2,74 @@
 
 from __future__ import annotations
 
+from html import unescape
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
+
+from incidentry.functions.text import day_of, month_number, squeeze, strip, summary_text
+
+# Where the page holds an incident and its date, as (tag, attribute, value).
+ITEM = ("div", "class", "more")
+DATE = ("td", "style", "width: 15%;")
+
+
+class _Finder(HTMLParser):
+    """Texts of the elements that a selector names, nested ones included, in page order."""
+
+    def __init__(self, selectors: list[tuple[str, str, str]]):
+        super().__init__(convert_charrefs=True)
+        self.selectors = selectors
+        self.found: list[list[list[str]]] = [[] for _ in selectors]
+        self.open: list[tuple[str, list[str] | None]] = []
+        self.silent = 0
+
+    def handle_starttag(self, tag, attrs):
+        self.silent += tag in ("script", "style")
+        named = dict(attrs)
+        for at, (wanted, name, value) in enumerate(self.selectors):
+            if tag == wanted:
+                given = named.get(name) or ""
+                hit = value in given.split() if name == "class" else given == value
+                parts = [] if hit else None
+                if hit:
+                    self.found[at].append(parts)
+                self.open.append((tag, parts))
+
+    def handle_endtag(self, tag):
+        self.silent -= tag in ("script", "style") and self.silent > 0
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] == tag:
+                del self.open[k:]
+                break
+
+    def handle_data(self, data):
+        if not self.silent:
+            for _, parts in self.open:
+                if parts is not None:
+                    parts.append(data)
 
-from incidentry.functions.text import day_of, month_number, plain_html, squeeze, strip, summary_text
+    def texts(self) -> list[list[str]]:
+        return [["".join(parts).replace("\xa0", " ") for parts in each] for each in self.found]
 
-# Where the page holds an incident and its date.
-ITEM = r'(?is)<div\b[^>]*\bclass\s*=\s*["\'](?:[^"\']*\s)?more(?:\s[^"\']*)?["\'][^>]*>(.*?)</div>'
-DATE = r'(?is)<td\b[^>]*\bstyle\s*=\s*["\']width: 15%;["\'][^>]*>(.*?)</td>'
+
+def element_texts(html: Column, selectors: list[tuple[str, str, str]]) -> Column:
+    """Per page a struct of arrays ``t0, t1, ...``: the texts of the elements of each selector, entities decoded."""
+
+    @F.pandas_udf(", ".join(f"t{k} array<string>" for k in range(len(selectors))))
+    def parse(pages: pd.Series) -> pd.DataFrame:
+        rows = []
+        for page in pages:
+            finder = _Finder(selectors)
+            finder.feed(page or "")
+            finder.close()
+            rows.append(finder.texts())
+        return pd.DataFrame(rows, columns=[f"t{k}" for k in range(len(selectors))], dtype=object)
+
+    return parse(html)
 
 
 def fragments(html: Column, pattern: str) -> Column:
@@ -17,13 +77,29 @@ def fragments(html: Column, pattern: str) -> Column:
     return F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
 
 
-def page_items(pages: DataFrame, item: str = ITEM, date: str = DATE) -> DataFrame:
-    """Pages with ``items`` and ``dates`` as plain text; pages whose numbers differ are dropped."""
-    found = pages.withColumns({"_i": fragments(F.col("html"), item), "_d": fragments(F.col("html"), date)}).drop("html")
+@F.pandas_udf(ArrayType(StringType()))
+def decoded(parts: pd.Series) -> pd.Series:
+    """Every character reference of the texts decoded."""
+    return parts.map(lambda p: None if p is None else [unescape(x).replace("\xa0", " ") for x in p])
+
+
+def page_items(pages: DataFrame, item: tuple | str = ITEM, date: tuple | str = DATE) -> DataFrame:
+    """Pages with ``items`` and ``dates`` as plain text; pages whose numbers differ are dropped.
+
+    Both are selectors of elements, parsed in one pass, or both are patterns of fragments.
+    """
+    if isinstance(item, str):
+        def texts(pattern: str) -> Column:
+            bare = F.transform(fragments(F.col("html"), pattern), lambda x: F.regexp_replace(x, r"(?s)<!--.*?-->|<[^>]*>", ""))
+            return decoded(bare)
+
+        found = pages.withColumns({"_i": texts(item), "_d": texts(date)}).drop("html")
+    else:
+        found = pages.withColumn("_t", element_texts(F.col("html"), [item, date])).drop("html")
+        found = found.withColumns({"_i": F.col("_t.t0"), "_d": F.col("_t.t1")}).drop("_t")
     kept = found.filter(F.size("_i") == F.size("_d"))
     return kept.withColumns({
-        "items": F.transform("_i", lambda x: summary_text(plain_html(x))),
-        "dates": F.transform("_d", lambda x: squeeze(strip(plain_html(x)))),
+        "items": F.transform("_i", summary_text), "dates": F.transform("_d", lambda x: squeeze(strip(x))),
     }).drop("_i", "_d")
 
 
@@ -56,6 +132,6 @@ def numbered_incidents(pages: DataFrame) -> DataFrame:
     )
 
 
-def incidents(pages: DataFrame, item: str = ITEM, date: str = DATE) -> DataFrame:
+def incidents(pages: DataFrame, item: tuple | str = ITEM, date: tuple | str = DATE) -> DataFrame:
     """Incident rows of a page table (series, year, month, html), batch or stream."""
     return numbered_incidents(page_items(pages, item, date))
