@@ -122,42 +122,44 @@ def best_global_threshold(long: DataFrame, by: list[str], grid: list[float] | No
     return best.select(*by, F.when(F.col("micro_f1") > 0, F.col("_t")).otherwise(F.lit(0.5)).alias("threshold"), "micro_f1")
 
 
-MAX_TUNED_LABELS = 10_000
-
-
 def coordinate_thresholds(long: DataFrame, objective: str = "macro", grid: list[float] | None = None,
                           max_passes: int = 3) -> dict[str, float]:
     """Per-label thresholds by coordinate ascent on macro or micro F1, starting at 0.5.
 
-    Spark counts every (label, threshold) once; the ascent itself walks that table
-    of labels x grid points, whose size is checked, on the driver.
+    Spark counts every (label, threshold) once. Macro F1 is a mean over labels, so each label is settled alone, in
+    Spark. Micro F1 ties the labels together: the ascent walks the counts, labels x grid points, keeping running totals.
     """
     points = grid or even_grid(0.05, 0.95, 19)
     table = threshold_counts(long, ["label"], sorted({*points, 0.5}))
-    rows = table.limit(MAX_TUNED_LABELS * (len(points) + 1) + 1).collect()
-    if len(rows) > MAX_TUNED_LABELS * (len(points) + 1):
-        raise ValueError("too many labels to tune together")
-    cell = {(r["label"], r["threshold"]): (r["tp"], r["fp"], r["fn"]) for r in rows}
-    chosen = {label: 0.5 for label in sorted({r["label"] for r in rows})}
+    if objective == "macro":
+        f1 = ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
+        scored = table.withColumn("f1", F.coalesce(f1, F.lit(0.0)))
+        tried = F.col("threshold").isin(points)
+        order = F.struct((-F.col("f1")).alias("s"), "threshold")
+        best = scored.groupBy("label").agg(
+            F.max(F.when(F.col("threshold") == 0.5, F.col("f1"))).alias("start"),
+            F.max(F.when(tried, F.col("f1"))).alias("top"), F.min_by("threshold", F.when(tried, order)).alias("at"))
+        chosen = best.select("label", F.when(F.col("top") > F.col("start"), F.col("at")).otherwise(0.5).alias("t"))
+        return {r["label"]: r["t"] for r in chosen.orderBy("label").collect()}
+
+    cell = {(r["label"], r["threshold"]): (r["tp"], r["fp"], r["fn"]) for r in table.collect()}
+    chosen = {label: 0.5 for label in sorted({label for label, _ in cell})}
 
     def f1(tp: int, fp: int, fn: int) -> float:
         return 2 * tp / (2 * tp + fp + fn) if tp else 0.0
 
-    def score(trial: dict[str, float]) -> float:
-        parts = [cell[label, t] for label, t in trial.items()]
-        if objective == "micro":
-            return f1(*(sum(p[k] for p in parts) for k in range(3)))
-        return sum(f1(*p) for p in parts) / len(parts)
-
-    best = score(chosen) if chosen else 0.0
+    total = [sum(cell[label, 0.5][k] for label in chosen) for k in range(3)]
+    best = f1(*total)
     for _ in range(max_passes):
         moved = False
-        for label in chosen:
-            options = [(score({**chosen, label: t}), t) for t in points]
+        for label, now in chosen.items():
+            rest = [t - c for t, c in zip(total, cell[label, now])]
+            options = [(f1(*(r + c for r, c in zip(rest, cell[label, t]))), t) for t in points]
             top = max(s for s, _ in options)
             if top > best:
-                chosen[label] = next(t for s, t in options if s == top)
-                best, moved = top, True
+                at = next(t for s, t in options if s == top)
+                chosen[label], best, moved = at, top, True
+                total = [r + c for r, c in zip(rest, cell[label, at])]
         if not moved:
             break
     return chosen

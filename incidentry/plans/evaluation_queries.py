@@ -399,35 +399,39 @@ def p26(spark, d):
     return wide.select("row_id", recode.clear_exclusive(q, [x]).alias("pred_quality"), x.alias("pred_toxic"))
 
 
-EMB = """WITH e AS (SELECT vec_id, label, [x::DOUBLE for x in embedding[1:4]] AS v FROM embeddings),
- s AS (SELECT vec_id, label, v, list_sum([exp((x - list_max(v)) / 0.5) for x in v]) AS z FROM e)"""
+EMB = """WITH e AS (SELECT vec_id, label, [x::DOUBLE for x in embedding] AS v FROM embeddings),
+ s AS (SELECT vec_id, label, v, list_sum([exp((x - list_max(v)) / 0.1) for x in v]) AS z FROM e)"""
+DIMENSIONS = 64
+CLASSES = [f"class{i}" for i in range(1, DIMENSIONS)]  # the last has no name
 
 
-@query("p27_argmax_labels", EMB + """SELECT vec_id, CASE list_position(v, list_max(v)) WHEN 1 THEN 'Security' WHEN 2 THEN 'Maoist' WHEN 3 THEN 'Unknown' ELSE 'Unknown' END AS label FROM e""")
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
+
+
+@query("p27_argmax_labels", EMB + f"""SELECT vec_id, CASE WHEN list_position(v, list_max(v)) < {DIMENSIONS} THEN 'class' || list_position(v, list_max(v)) ELSE 'Unknown' END AS label FROM e""")
 def p27(spark, d):
-    e = table(spark, d, "embeddings").withColumn("v", F.slice("embedding", 1, 4).cast("array<double>"))
-    return e.select("vec_id", recode.argmax_label(F.col("v"), ["Security", "Maoist", "Unknown"]).alias("label"))
+    return _vectors(spark, d).select("vec_id", recode.argmax_label(F.col("v"), CLASSES).alias("label"))
 
 
-@query("f37_state_fusion", EMB + """, p AS (SELECT vec_id, label, [exp((x - list_max(v)) / 0.5) / z for x in v] AS p FROM s),
- m AS (SELECT vec_id, label, p, CASE WHEN label % 2 = 0 THEN [p[1] * 0.7, p[2] * 0.1, p[3] * 0.1, p[4] * 0.1] ELSE p END AS raw FROM p),
+@query("f37_state_fusion", EMB + f""", p AS (SELECT vec_id, label, [exp((x - list_max(v)) / 0.1) / z for x in v] AS p FROM s),
+ m AS (SELECT vec_id, label, p, CASE WHEN label % 2 = 0 THEN list_transform(p, lambda x, i: x * CASE WHEN i = label + 1 THEN 0.7 ELSE 0.3 / {DIMENSIONS - 1} END) ELSE p END AS raw FROM p),
  f AS (SELECT vec_id, [x / list_sum(raw) for x in raw] AS f FROM m)
-SELECT vec_id, CASE WHEN list_max(f) >= 0.4 THEN ['a', 'b', 'c', 'd'][list_position(f, list_max(f))] END AS state, round(list_max(f), 6) AS p FROM f""")
+SELECT vec_id, CASE WHEN list_max(f) >= 0.1 AND list_position(f, list_max(f)) < {DIMENSIONS} THEN 'class' || list_position(f, list_max(f)) END AS state, round(list_max(f), 6) AS p FROM f""")
 def f37(spark, d):
-    e = table(spark, d, "embeddings").withColumn("v", F.slice("embedding", 1, 4).cast("array<double>"))
-    prior = F.when(F.col("label") % 2 == 0, F.array(*[F.lit(x) for x in (0.7, 0.1, 0.1, 0.1)]))
-    mixed = e.withColumn("f", probability.fuse(probability.softmax(F.col("v"), 0.5), prior))
-    return mixed.select("vec_id", probability.confident_label(F.col("f"), ["a", "b", "c", "d"], 0.4).alias("state"),
+    places = F.sequence(F.lit(1), F.lit(DIMENSIONS))
+    prior = F.when(F.col("label") % 2 == 0, F.transform(
+        places, lambda i: F.when(i == F.col("label") + 1, 0.7).otherwise(0.3 / (DIMENSIONS - 1))))
+    mixed = _vectors(spark, d).withColumn("f", probability.fuse(probability.softmax(F.col("v"), 0.1), prior))
+    return mixed.select("vec_id", probability.confident_label(F.col("f"), CLASSES, 0.1).alias("state"),
                         F.round(F.array_max("f"), 6).alias("p"))
 
 
-@query("b10_softmax_nll_grid", """WITH e AS (SELECT label % 4 AS y, [x::DOUBLE for x in embedding[1:4]] AS v FROM embeddings), t AS (SELECT unnest([0.1, 0.5, 1.0, 5.0])::DOUBLE AS temperature)
+@query("b10_softmax_nll_grid", """WITH e AS (SELECT label AS y, [x::DOUBLE for x in embedding] AS v FROM embeddings), t AS (SELECT unnest([0.1, 0.5, 1.0, 5.0])::DOUBLE AS temperature)
 SELECT temperature, round(avg(ln(list_sum([exp((x - list_max(v)) / temperature) for x in v])) - (v[y + 1] - list_max(v)) / temperature), 6) AS nll FROM e, t GROUP BY 1""")
 def b10(spark, d):
-    e = table(spark, d, "embeddings").select(
-        (F.col("label") % 4).alias("y"), F.slice("embedding", 1, 4).cast("array<double>").alias("v"))
     out = calibration.temperature_table(
-        e, lambda t: probability.softmax_nll(F.col("v"), F.col("y"), t), [0.1, 0.5, 1.0, 5.0])
+        _vectors(spark, d), lambda t: probability.softmax_nll(F.col("v"), F.col("label"), t), [0.1, 0.5, 1.0, 5.0])
     return rounded(out, "nll")
 
 
