@@ -7,19 +7,37 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from incidentry.operators.ranks import global_rank, hash_rank, id_digest, null_safe
+from incidentry.operators.ranks import global_rank, hash_rank, id_digest, null_safe, running_totals
+from incidentry.session import durable, maybe_broadcast
 
 
 def temporal_split(df: DataFrame, date: str, id_col: str, train: float = 0.8, val_end: float = 0.9) -> DataFrame:
-    """Adds ``split`` by date order, undated rows last, ties by id; cuts at int(train*n) and int(val_end*n)."""
-    ranked = global_rank(df, [F.col(date).asc_nulls_last(), F.col(id_col).asc()], "_rank")
-    out = ranked.withColumn("_n", ranked.agg(F.max("_rank")).scalar())
-    i = F.col("_rank") - 1
-    return out.withColumn(
-        "split",
-        F.when(i < F.floor(F.col("_n") * train), "train").when(i < F.floor(F.col("_n") * val_end), "val")
-        .otherwise("test"),
-    ).drop("_rank", "_n")
+    """Adds ``split`` by date order, undated rows last, ties by id; cuts at int(train*n) and int(val_end*n).
+
+    Rows are counted per date, and the dates are cumulated. Only the dates that a cut falls into, two at most, have
+    their rows ranked by id; all other rows follow their date and are not moved.
+    """
+    order = [F.col(date).asc_nulls_last()]
+    per_date = df.groupBy(date).agg(F.count("*").alias("_n"))
+    dates = durable(running_totals(per_date, [], order, {"_n": "_end"}).withColumn("_start", F.col("_end") - F.col("_n")))
+    total = dates.agg(F.coalesce(F.max("_end"), F.lit(0))).first()[0]
+    cuts = [math.floor(total * train), math.floor(total * val_end)]
+
+    def named(first: Column, last: Column) -> Column:
+        """The split of the rows from place ``first`` to before ``last``, null if a cut parts them."""
+        return F.when(last <= cuts[0], "train").when((first >= cuts[0]) & (last <= cuts[1]), "val").when(
+            first >= cuts[1], "test")
+
+    dates = dates.select(date, "_start", named(F.col("_start"), F.col("_end")).alias("split"))
+    # One row per distinct date; a calendar is short, but its size is checked.
+    placed = null_safe(df, maybe_broadcast(dates), [date])
+    out = placed.filter("split is not null").drop("_start")
+    for edge in dates.filter("split is null").collect():  # two rows at most
+        rows = df.filter(F.col(date).eqNullSafe(F.lit(edge[date])))
+        place = F.col("_rank") - 1 + edge["_start"]
+        ranked = global_rank(rows, [F.col(id_col).asc()], "_rank")
+        out = out.unionByName(ranked.withColumn("split", named(place, place + 1)).drop("_rank"))
+    return out
 
 
 def stratified_split(df: DataFrame, id_col: str, strata: list[str], train: float = 0.8, val: float = 0.1,
