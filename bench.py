@@ -39,6 +39,10 @@ HEADLINES = [
     "b03_paired_significance_poisson",
     "s06_w01_page_incidents",
     "t01_stream_page_ingest",
+    "op3_decontaminate",
+    "op8_license_scan",
+    "op9_ngram_join",
+    "op10_quality_rules",
 ]
 
 
