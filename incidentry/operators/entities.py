@@ -79,7 +79,7 @@ def tags_to_spans(tokens: DataFrame, doc: str = "doc_id", pos: str = "pos", toke
     it. Special tokens and O end a span. The windows are per document.
     """
     special = F.col(token).isin(*spans.SPECIAL_TOKENS)
-    label = F.when(~special & F.col(tag).rlike("^[BI]-"), F.substring(F.col(tag), 3, 100))
+    label = F.when(~special & F.col(tag).rlike("^[BI]-"), F.expr(f"substring(`{tag}`, 3)"))
     order = W.partitionBy(doc).orderBy(pos)
     t = tokens.withColumn("_label", label)
     opens = F.col("_label").isNotNull() & (
@@ -92,6 +92,35 @@ def tags_to_spans(tokens: DataFrame, doc: str = "doc_id", pos: str = "pos", toke
         F.array_join(words, " ").alias("text")).drop("_span")
 
 
+def tag_arrays_to_spans(df: DataFrame, doc: str, tokens: str, tags: str) -> DataFrame:
+    """The spans of :func:`tags_to_spans` from one row per document with arrays of tokens and tags.
+
+    The tags are folded in the row, so nothing is shuffled or sorted. A span ends where the next place stands that
+    begins one or lies outside. Tags without a token and tokens without a tag are outside.
+    """
+    pairs = F.arrays_zip(F.col(tokens).alias("token"), F.col(tags).alias("tag"))
+    t = df.select(doc, F.transform(pairs, lambda x: F.struct(
+        x.token.alias("token"), x.tag.startswith("B-").alias("b"),
+        F.when(x.token.isNotNull() & ~x.token.isin(*spans.SPECIAL_TOKENS) & x.tag.rlike("^[BI]-"),
+               x.tag.substr(F.lit(3), F.length(x.tag))).alias("label"))).alias("_t"))
+    n = F.size("_t")
+
+    def bound(i: Column) -> Column:
+        here = F.element_at("_t", i)
+        before = F.when(i > 1, F.element_at("_t", F.greatest(i - 1, F.lit(1))))
+        return here.label.isNull() | here.b | ~here.label.eqNullSafe(before.label)
+
+    t = t.withColumn("_b", F.when(n > 0, F.filter(F.sequence(F.lit(1), n), bound)))
+    spans_ = F.transform("_b", lambda i, k: F.struct(
+        F.element_at("_t", i).label.alias("label"), (i - 1).alias("start_token"),
+        (F.coalesce(F.try_element_at("_b", k + 2), n + 1) - 1).alias("end_token")))
+    found = t.select(doc, "_t", F.filter(spans_, lambda s: s.label.isNotNull()).alias("_s"))
+    texts = F.transform("_s", lambda s: F.struct(
+        s.label.alias("label"), s.start_token.alias("start_token"), s.end_token.alias("end_token"),
+        F.array_join(F.transform(F.slice("_t", s.start_token + 1, s.end_token - s.start_token), lambda x: x.token), " ").alias("text")))
+    return found.select(doc, F.inline(texts))
+
+
 def tag_names(tag_id: str = "tag_id"):
     """BIO tag text of a tag id: 0 outside, then B and I per label."""
     names = ["O"] + [f"{k}-{label}" for label in spans.LABELS for k in ("B", "I")]

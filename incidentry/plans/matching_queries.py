@@ -204,13 +204,26 @@ TAGGED_SQL = """WITH t AS (SELECT doc_id, unnest(string_split(text, ' ')) AS tok
  s AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY pos) AS sp FROM o)"""
 
 
-@query("w14_tags_to_spans", TAGGED_SQL + """SELECT doc_id, min(label) AS label, CAST(min(pos) AS INTEGER) AS start_token, CAST(max(pos) + 1 AS INTEGER) AS end_token,
- md5(string_agg(token, ' ' ORDER BY pos)) AS digest FROM s WHERE label IS NOT NULL GROUP BY doc_id, sp""")
+SPANS_SQL = TAGGED_SQL + """SELECT doc_id, min(label) AS label, CAST(min(pos) AS INTEGER) AS start_token, CAST(max(pos) + 1 AS INTEGER) AS end_token,
+ md5(string_agg(token, ' ' ORDER BY pos)) AS digest FROM s WHERE label IS NOT NULL GROUP BY doc_id, sp"""
+
+
+def _tag(token):
+    k = F.length(token) % 6
+    return F.when(k == 0, "B-STATE").when(k == 1, "I-STATE").when(k.isin(2, 3), "I-DISTRICT").otherwise("O")
+
+
+@query("w14_tags_to_spans", SPANS_SQL)
 def w14(spark, d):
+    t = table(spark, d, "documents").select("doc_id", F.split("text", " ").alias("tokens"))
+    out = entities.tag_arrays_to_spans(t.withColumn("tags", F.transform("tokens", _tag)), "doc_id", "tokens", "tags")
+    return out.select("doc_id", "label", "start_token", "end_token", F.md5("text").alias("digest"))
+
+
+@query("w14_token_rows_to_spans", SPANS_SQL)
+def w14b(spark, d):
     t = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "token"))
-    k = F.length("token") % 6
-    tag = F.when(k == 0, "B-STATE").when(k == 1, "I-STATE").when(k.isin(2, 3), "I-DISTRICT").otherwise("O")
-    out = entities.tags_to_spans(t.withColumn("tag", tag))
+    out = entities.tags_to_spans(t.withColumn("tag", _tag(F.col("token"))))
     return out.select("doc_id", "label", "start_token", "end_token", F.md5("text").alias("digest"))
 
 
