@@ -2,7 +2,7 @@
 
 Headers alone (page id, digest, size) are grouped by payload digest to find the original of each repeated payload:
 the largest page id. The few digests that repeat are joined back to the pages, and Spark's text writer lays the records
-down one after the other, so a part of the archive is a WARC file as it stands. Reading parses the parts and joins
+down one after the other, so a part of the archive is a gzipped WARC file as it stands. Reading parses the parts and joins
 revisit records to their originals for what a revisit does not repeat.
 
 Records: a response carries an HTTP header and the payload; a revisit carries the HTTP header alone, under the
@@ -16,13 +16,14 @@ beyond id, url and html are not kept. An empty table gives an empty archive.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incidentry.llm.common import arrow_schema
+from incidentry.llm.common import arrow_schema, checked_broadcast, written
 
 LEAST_BYTES = 1000
 #: Size of one archive part before the last record in it.
@@ -65,11 +66,12 @@ def records(pages: DataFrame, date: str, id_col: str = "page_id", url_col: str =
     """(bytes, record): the text of each page's WARC record without its closing blank lines."""
     payload = F.coalesce(F.col(html_col), F.lit(""))
     url = F.replace(F.replace(F.col(url_col), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    heads = headers(pages, id_col, html_col)
+    # The payloads that repeat are few beside the pages; where they are not, the join shuffles.
+    again = written(originals(headers(pages, id_col, html_col), least), "originals")
     rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), payload.alias("payload"),
                         F.sha1(F.encode(payload, "utf-8")).alias("digest"),
                         F.octet_length(F.encode(payload, "utf-8")).cast("long").alias("bytes"))
-    placed = rows.join(originals(heads, least), ["digest", "bytes"], "left").withColumn(
+    placed = rows.join(checked_broadcast(again, 96), ["digest", "bytes"], "left").withColumn(
         "again", F.coalesce(~F.col("page_id").eqNullSafe(F.col("original")) & F.col("original").isNotNull(), F.lit(False)))
     http = F.concat(F.lit(HTTP), F.lit("Content-Length: "), F.col("bytes").cast("string"), F.lit(END))
     block = F.when(F.col("again"), http).otherwise(F.concat(http, F.col("payload")))
@@ -91,11 +93,11 @@ def records(pages: DataFrame, date: str, id_col: str = "page_id", url_col: str =
 
 def write_archive(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z", part_bytes: int = PART_BYTES,
                   id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Write ``pages`` as WARC parts of about ``part_bytes`` each."""
+    """Write ``pages`` as WARC parts of about ``part_bytes`` each before they are compressed."""
     total = pages.agg(F.sum(F.octet_length(html_col) + 600)).first()[0] or 0
     found = records(pages, date, id_col, url_col, html_col)
     parts = max(1, -(-total // part_bytes))
-    found.select("record").repartition(int(parts)).write.option("lineSep", END).text(path)
+    found.select("record").repartition(int(parts)).write.option("lineSep", END).text(path, compression="gzip")
 
 
 def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -127,7 +129,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 rows = []
-                for fields, block in parse(batch.column(0)[k].as_py()):
+                for fields, block in parse(gzip.decompress(batch.column(0)[k].as_py())):
                     page, other = fields.get("x-page-id"), fields.get("x-refers-to-page-id")
                     payload = memoryview(block)[block.index(b"\r\n\r\n") + 4:]
                     said = fields["warc-payload-digest"].removeprefix("sha1:")
@@ -138,11 +140,11 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                     else:
                         size = None
                     rows.append((page and int(page), fields["warc-type"], said, size, other and int(other)))
+                columns = zip(*rows) if rows else [()] * len(target)  # an empty table leaves an empty part
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t.type) for c, t in zip(zip(*rows), target)], schema=target)
+                    [pa.array(c, t.type) for c, t in zip(columns, target)], schema=target)
 
-    # Only parts with bytes: an empty table leaves empty ones.
-    files = spark.read.format("binaryFile").load(path).where("length > 0").select("content")
+    files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(unpack, schema)
 
 
