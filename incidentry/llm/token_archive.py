@@ -20,6 +20,7 @@ each other, ordered by a hash of their text; an empty table gives an empty archi
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,13 +36,21 @@ SHARD_TOKENS = 2_000_000
 ROUNDS = 6
 #: A pair that stands so often or more pays for its rule.
 LEAST_COUNT = 16
-#: Words whose ids one Python worker remembers.
-REMEMBERED = 500_000
+#: Parts of texts, and words in lower case, whose ids one Python worker remembers.
+REMEMBERED = 900_000, 900_000
 MAGIC = b"RPS1"
-#: Signs that the tokenizer parts from the letters before them.
-TAIL = ".,;:!?"
-#: Letters up to here are one code point each in lower case and normal form.
-PLAIN_LETTERS = "į"
+#: A part of plain letters, one code point each in lower case and normal form, and the signs that end it; or any other.
+#: The signs are all of ASCII but the apostrophe, which may join the letters after it.
+PLAIN = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-į]+)([!-&(-/:-@\[-`{-~]*)|(.*))$", re.M)
+
+def _byte_names() -> dict[int, int]:
+    """Code points that byte-level models name bytes by: printable bytes by themselves, the rest in order from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in shown]
+    return {b: 256 + k for k, b in enumerate(rest)}
+
+
+BYTE_NAMES = _byte_names()
 
 
 class Encoder:
@@ -56,14 +65,32 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 2 ** 15 * 2 else "<u4"
+        width = np.dtype(self.kind).itemsize
+        self.code = [i.to_bytes(width, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
+        # Whether letters are lower-cased, and whether lower-case words reach the model as they are.
+        probes = ["a", "the", "word", "unbelievably", "é", "ñandú", "ąćį", "straße"]
+        self.lowers = self._single([p.upper() for p in probes[:-1]]) == self._single(probes[:-1])
+        self.direct = self.lowers and self._modelled(probes) == self._single(probes)
         self.known: dict[bytes, bytes] = {}
+        #: Ids of words of plain letters, in lower case where the tokenizer makes them so.
+        self.cores: dict[str, bytes] = {}
 
     def _single(self, parts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in found]
+        return [b"".join(map(self.code.__getitem__, e.ids)) for e in found]
+
+    def _modelled(self, words: list[str]) -> list[bytes]:
+        """Ids from the library's model alone, of words in lower case; their bytes are named as byte-level models do."""
+        number, pieces = self.code.__getitem__, self.tokenizer.model.tokenize
+        named = [w if w.isascii() else w.encode("utf-8").decode("latin-1").translate(BYTE_NAMES) for w in words]
+        return [b"".join([number(t.id) for t in pieces(w)]) for w in named]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of plain letters; they go straight to the model where probes show that this is the same."""
+        return self._modelled(words) if self.direct else self._letters(words)
 
     def _letters(self, words: list[str]) -> list[bytes]:
         """Ids of words of plain letters; a run of them is encoded as one text and cut at the ids that end a word."""
@@ -82,39 +109,45 @@ class Encoder:
         return out
 
     def learn(self, parts: set[bytes]) -> None:
-        if len(self.known) + len(parts) > REMEMBERED:
-            self.known.clear()
-        split, cores, rest = [], set(), set()
-        for raw in parts:
-            text = raw.decode("utf-8", "surrogatepass")
-            core = text.rstrip(TAIL)
-            if core.isalpha() and max(core) <= PLAIN_LETTERS:
-                tail = text[len(core):]
-                split.append((raw, core, tail))
-                cores.add(core)
-                if tail:
-                    rest.add(tail)
-            else:
-                rest.add(text)
-        cores, rest = sorted(cores), sorted(rest)
-        ids = dict(zip(cores, self._letters(cores))) | dict(zip(rest, self._single(rest)))
-        ids[""] = b""
-        for raw, core, tail in split:
-            self.known[raw] = ids[core] + ids[tail]
-        for text in rest:
-            self.known[text.encode("utf-8", "surrogatepass")] = ids[text]
+        if len(self.cores) > REMEMBERED[1]:
+            self.cores.clear()
+        raws = list(parts)
+        found = PLAIN.findall(b"\n".join(raws).decode("utf-8", "surrogatepass"))
+        words = [c.lower() for c, _, _ in found] if self.lowers else [c for c, _, _ in found]
+        tails = {t for _, t, _ in found}
+        rest = sorted({r for _, _, r in found} | tails)
+        cores = sorted(set(words).difference(self.cores, ("",)))
+        self.cores.update(zip(cores, self._words(cores)))
+        others = dict(zip(rest, self._single(rest)))
+        core = self.cores
+        self.known.update(zip(raws, [
+            (core[w] + others[t] if t else core[w]) if w else others[r] for w, (_, t, r) in zip(words, found)]))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian bytes."""
+        if len(self.known) > REMEMBERED[0]:
+            self.known.clear()
         parts = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        met = set().union(*parts) if parts else set()
-        new = met.difference(self.known)
+        found = [list(map(self.known.get, ps)) for ps in parts]
+        gaps = [_gaps(ids) for ids in found]
+        new = {ps[k] for ps, at in zip(parts, gaps) for k in at}
         if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                new = met
             self.learn(new)
-        known = self.known
-        return [b"".join([known[p] for p in ps]) for ps in parts]
+        for ps, ids, at in zip(parts, found, gaps):
+            for k in at:
+                ids[k] = self.known[ps[k]]
+        return list(map(b"".join, found))
+
+
+def _gaps(ids: list) -> list[int]:
+    """Where ``ids`` holds None."""
+    out, at = [], -1
+    try:
+        while True:
+            at = ids.index(None, at + 1)
+            out.append(at)
+    except ValueError:
+        return out
 
 
 def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,6 +158,11 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[edge[:-1][often]], counts[often]
 
 
+def _slot(keys: np.ndarray) -> np.ndarray:
+    """A slot of 2 to the 18 for each pair."""
+    return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
+
+
 def _apart(hits: np.ndarray) -> np.ndarray:
     """Of ascending places in runs of neighbours, every other one from the start of its run."""
     if len(hits) < 2:
@@ -165,9 +203,15 @@ def re_pair(symbols: np.ndarray, first: int, end: int, most_rules: int, rounds:
             break
         wanted = np.array(sorted(chosen), np.uint64)
         is_left = np.zeros(first + len(rules) + 1, bool)
+        is_right = is_left.copy()
         is_left[list(lefts)] = True
-        at = np.flatnonzero(is_left[s[:-1]])
+        is_right[list(rights)] = True
         names = wanted[:, 0].astype(kind)
+        # Most places are ruled out by their symbols or a hash of their pair.
+        listed = np.zeros(2 ** 18, bool)
+        listed[_slot(names)] = True
+        at = np.flatnonzero(is_left[s[:-1]] & is_right[s[1:]])
+        at = at[listed[_slot(keys[at])]]
         near = np.searchsorted(names, keys[at])
         near[near == len(names)] = 0
         hit = names[near] == keys[at]
