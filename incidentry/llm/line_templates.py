@@ -85,9 +85,10 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Per row: its id, ``n_lines`` that are not blank, ``n_dropped`` of them, and ``text`` of the lines left."""
     found = written(templates(docs, text_col, least).select(F.md5("mask").alias("line")).distinct(), "recurring-lines")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lines = rows.select(F.md5("text").alias("whole"), F.posexplode(lines_of(F.col("text"))).alias("at", "line"))
-    lines = lines.select("whole", "at", masked(F.col("line")).alias("mask")).where(
-        tokens_in(F.col("mask")) >= LEAST_CONSTANT).select("whole", "at", F.md5("mask").alias("line"))
+    # Masked before they are parted, so that each mask is made once.
+    lines = rows.select(F.md5("text").alias("whole"), F.posexplode(
+        F.transform(lines_of(F.col("text")), masked)).alias("at", "mask"))
+    lines = lines.where(tokens_in(F.col("mask")) >= LEAST_CONSTANT).select("whole", "at", F.md5("mask").alias("line"))
     gone = lines.join(checked_broadcast(found, 64), "line", "left_semi").groupBy("whole").agg(
         F.collect_set("at").alias("gone"))
     gone = written(gone, "dropped-lines")
