@@ -4,7 +4,8 @@ Each page becomes a small tree: elements that are boilerplate by their own tag,
 neighbours of one kind are one node. All pages of a host are aligned with one reference page of it by simple tree
 matching. Per reference node the pages that have it, those with the same text there, and the text they hold are
 counted; nodes whose text is constant are template, and the node around most of the varying text is the content slot.
-A page's text is then what lies in its article or, without one, in the slot of its host, less boilerplate and template.
+A page's text is then what lies in its articles or, without one, in the elements of its host's slot, less boilerplate
+and template.
 
 A host may hold a third of all pages: alignments are counted before they are shuffled, and a page meets one row of its
 host only. What is kept per host is bounded by its reference page.
@@ -260,14 +261,8 @@ def main_text(source: str | None, content: str | None = None, template: frozense
     """The main text of a page, given the content path and the template of its host."""
     page = Page(source)
     n = len(page.tags)
-    sizes = [0] * n
-    for node, text in page.items:
-        if text and not page.noise[node]:
-            sizes[node] += len(text)
-    for node in range(n - 1, 0, -1):
-        sizes[page.parents[node]] += sizes[node]
-    named = [k for k in range(1, n) if page.tags[k] == "article" and not page.noise[k]] or [
-        k for k in range(1, n) if page.tags[k] == "main" and not page.noise[k]]
+    named = {k for k in range(1, n) if page.tags[k] == "article" and not page.noise[k]} or {
+        k for k in range(1, n) if page.tags[k] == "main" and not page.noise[k]}
     dropped: set[int] = set()
     if template or content:
         tree = page.skeleton()
@@ -277,13 +272,12 @@ def main_text(source: str | None, content: str | None = None, template: frozense
                     label.split(".")[0] in PARAGRAPHS and (page.article[members[0]] or not named)):
                 dropped.update(members)
         if not named and content:
-            named = [m for path, t in zip(paths, tree) if path == content for m in t[4]]
-    root = max(named, key=lambda k: (sizes[k], -k)) if named else next(
-        (k for k in range(1, n) if page.tags[k] == "body"), 0)
+            named = {m for path, t in zip(paths, tree) if path == content for m in t[4]}
+    roots = named or {next((k for k in range(1, n) if page.tags[k] == "body"), 0)}
     inside = [False] * n
     blocks, held = [], []
     for k in range(n):
-        inside[k] = k == root or (page.parents[k] >= 0 and inside[page.parents[k]])
+        inside[k] = k in roots or (page.parents[k] >= 0 and inside[page.parents[k]])
 
     def flush() -> None:
         text = BLANKS.sub(" ", entities.unescape("".join(held))).strip()

@@ -118,3 +118,16 @@ def test_hosts_learn_their_template(spark):
     found = {r.host: r for r in wi.wrappers(pages).collect()}
     assert found["news.example"].content.endswith("div.x1") and len(found["news.example"].template) == 2
     assert wi.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def hosts_texts(spark, sources):
+    pages = spark.createDataFrame([(k, f"http://h.example/{k}", x) for k, x in enumerate(sources)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in wi.extract(pages).collect()}
+
+
+def test_every_element_of_the_slot_is_read(spark):
+    got = hosts_texts(spark, [f"<body><div class=top>Same words</div><div class=c><div>one {k} {'story ' * 9}</div><div>two {k}</div></div></body>"
+                              for k in range(4)])
+    assert got == {k: f"one {k} {'story ' * 9}".strip() + f"\ntwo {k}" for k in range(4)}
+    assert wi.main_text("<main><article>a</article><article>long one<article>in it</article></article></main><aside><article>x</article></aside>"
+                        ) == "a\nlong one\nin it"
