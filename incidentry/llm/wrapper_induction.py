@@ -1,8 +1,8 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
 Each page becomes a small tree: elements that are boilerplate by their own tag, role or class are left out, and
-neighbours of one kind are one node. All pages of a host are aligned with one reference page of it by simple tree
-matching. Per reference node the pages that have it, those with the same text there, and the text they hold are
+neighbours of one kind are one node. All different pages of a host are aligned with one reference page of it by
+simple tree matching. Per reference node the pages that have it, those with the same text there, and the text they hold are
 counted; nodes whose text is constant are template, and the node around most of the varying text is the content slot.
 A page's text is then what lies in its articles or, without one, in the elements of its host's slot, less boilerplate
 and template.
@@ -12,8 +12,8 @@ host only. What is kept per host is bounded by its reference page.
 
 Defined results: null or empty html gives an empty text; unclosed and unmatched tags are repaired as browsers do in
 the common cases; a page alone on its host has no template; pages without a host share one. Repeated rows and ids give
-one row each. Paragraphs, headings and list items inside the article are never template. A line break tag is white
-space. Columns beyond id, url and html are not read.
+one row each. Paragraphs, headings and list items inside the article, and what stands in them, are never template. Exact
+copies of a page are one page of the host. A line break tag is white space. Columns beyond id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from incidentry.llm.common import BROADCAST_BYTES, arrow_schema, row_map, written
 
-#: Pages of a host that must have a node, and the share of them with equal text, before it is template.
+#: Different pages of a host that must have a node, and the share of them with equal text, before it is template.
 LEAST_PAGES = 3
 CONSTANT_SHARE = 0.6
 #: Share of the varying text that the content slot must hold.
@@ -267,12 +267,20 @@ def main_text(source: str | None, content: str | None = None, template: frozense
     if template or content:
         tree = page.skeleton()
         paths = _paths([t[0] for t in tree], [t[1] for t in tree])
-        for path, (_, label, text_hash, chars, members) in zip(paths, tree):
+        slot = {m for path, t in zip(paths, tree) if path == content for m in t[4]} if not named and content else set()
+        #: Per node: whether it lies in the slot, and its nearest paragraph.
+        held_by, paragraph = [], []
+        for me, (path, (parent, label, text_hash, chars, members)) in enumerate(zip(paths, tree)):
+            kind = label.split(".")[0] in PARAGRAPHS
+            above = paragraph[parent] if parent >= 0 else -1
+            held_by.append(path == content or (parent >= 0 and held_by[parent]))
+            paragraph.append(me if kind else above)
             if chars and template and _template_key(path, text_hash) in template and not (
-                    label.split(".")[0] in PARAGRAPHS and (page.article[members[0]] or not named)):
+                    page.article[members[0]] and (kind or above >= 0)
+                    # Without an article a list may be a menu: words in a paragraph stay if it has others beside them.
+                    or not named and (kind or held_by[me] and above >= 0 and tree[above][3])):
                 dropped.update(members)
-        if not named and content:
-            named = {m for path, t in zip(paths, tree) if path == content for m in t[4]}
+        named = named or slot
     roots = named or {next((k for k in range(1, n) if page.tags[k] == "body"), 0)}
     inside = [False] * n
     blocks, held = [], []
@@ -314,7 +322,8 @@ def skeletons(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, content, template) of each host."""
-    trees = written(skeletons(pages, url_col, html_col), "skeletons")
+    # A copy says nothing new of what a host repeats.
+    trees = written(skeletons(pages, url_col, html_col).dropDuplicates(["host", "pick"]), "skeletons")
     picks = trees.groupBy("host").agg(F.min("pick").alias("pick"), F.count("*").alias("pages")).where(
         F.col("pages") >= LEAST_PAGES).select("host", "pick")
     references = written(trees.join(picks, ["host", "pick"]).groupBy("host").agg(

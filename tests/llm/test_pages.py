@@ -131,3 +131,15 @@ def test_every_element_of_the_slot_is_read(spark):
     assert got == {k: f"one {k} {'story ' * 9}".strip() + f"\ntwo {k}" for k in range(4)}
     assert wi.main_text("<main><article>a</article><article>long one<article>in it</article></article></main><aside><article>x</article></aside>"
                         ) == "a\nlong one\nin it"
+
+
+def test_copies_are_one_witness(spark):
+    page = "<body><article><div>text {}</div></article></body>"
+    got = hosts_texts(spark, [page.format("copied")] * 7 + [page.format(k) for k in range(2)])
+    assert got == {**{k: "text copied" for k in range(7)}, 7: "text 0", 8: "text 1"}
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_recurring_inline_words_stay(spark, tag):
+    got = hosts_texts(spark, [f"<body><ul><li><a>Home</a></li></ul><{tag}><p><b>Summary:</b> {'story ' * 9}{k}</p></{tag}></body>" for k in range(4)])
+    assert got == {k: f"Summary: {'story ' * 9}{k}" for k in range(4)}
