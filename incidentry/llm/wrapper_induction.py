@@ -33,8 +33,6 @@ LEAST_PAGES = 3
 CONSTANT_SHARE = 0.6
 #: Share of the varying text that the content slot must hold.
 SLOT_SHARE = 0.8
-#: Elements below this depth count with their ancestor when pages are aligned.
-DEPTH = 40
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
@@ -163,21 +161,20 @@ class Page:
             if not self.noise[node]:
                 kids[self.parents[node]].append(node)
         own = self.texts()
-        out, todo = [], [(-1, 0, [0])]
+        out, todo = [], [(-1, [0])]
         while todo:
-            parent, depth, members = todo.pop()
+            parent, members = todo.pop()
             text = "\n".join(own[x] for x in members)
             out.append((parent, self.labels[members[0]], xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2 ** 63,
                         sum(len(own[x]) for x in members), members))
             me = len(out) - 1
-            if depth < DEPTH:
-                groups: list[list[int]] = []
-                for kid in (k for x in members for k in kids[x]):
-                    if groups and self.labels[groups[-1][0]] == self.labels[kid]:
-                        groups[-1].append(kid)
-                    else:
-                        groups.append([kid])
-                todo += [(me, depth + 1, g) for g in reversed(groups)]
+            groups: list[list[int]] = []
+            for kid in (k for x in members for k in kids[x]):
+                if groups and self.labels[groups[-1][0]] == self.labels[kid]:
+                    groups[-1].append(kid)
+                else:
+                    groups.append([kid])
+            todo += [(me, g) for g in reversed(groups)]
         return out
 
 
@@ -190,23 +187,23 @@ def matched(a_parents: list[int], a_labels: list[str], b_parents: list[int], b_l
             if parent >= 0:
                 rows[parent].append(node)
         kids.append(rows)
+    if not a_parents or not b_parents or a_labels[0] != b_labels[0]:
+        return []
+    # Pairs of one label below pairs of one label, parents first; a page may be deeper than Python recurses.
+    pairs = [(0, 0)]
+    for a, b in pairs:
+        y = kids[1][b]
+        pairs += [(c, d) for c in kids[0][a] for d in y if a_labels[c] == b_labels[d]]
     memo: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def size(a: int, b: int) -> int:
-        if a_labels[a] != b_labels[b]:
-            return 0
-        if (a, b) in memo:
-            return memo[a, b][0]
+    for a, b in reversed(pairs):
         x, y = kids[0][a], kids[1][b]
-        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i, c in enumerate(x, 1):
-            for j, d in enumerate(y, 1):
-                best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + size(c, d))
+        best = [[0] * (len(y) + 1)]
+        for c in x:
+            above, row = best[-1], [0]
+            for j, d in enumerate(y):
+                row.append(max(above[j + 1], row[j], above[j] + memo[c, d][0] if (c, d) in memo else 0))
+            best.append(row)
         memo[a, b] = best[-1][-1] + 1, best
-        return memo[a, b][0]
-
-    if not a_parents or not b_parents or not size(0, 0):
-        return []
     out, todo = [], [(0, 0)]
     while todo:
         a, b = todo.pop()
@@ -224,25 +221,42 @@ def matched(a_parents: list[int], a_labels: list[str], b_parents: list[int], b_l
     return out
 
 
-def _paths(parents: list[int], labels: list[str]) -> list[str]:
-    out: list[str] = []
+def _path_keys(parents: list[int], labels: list[str]) -> list[int]:
+    """A hash of each node's path, in which the hash of its parent stands for the path so far."""
+    out: list[int] = []
     for parent, label in zip(parents, labels):
-        out.append(f"{out[parent]}/{label}" if parent >= 0 else label)
+        out.append(xxhash.xxh3_64_intdigest(label.encode("utf-8", "surrogatepass"), out[parent] if parent >= 0 else 0))
     return out
 
 
-def _template_key(path: str, text_hash: int) -> int:
-    return xxhash.xxh3_64_intdigest(f"{path}\n{text_hash}".encode("utf-8", "surrogatepass")) - 2 ** 63
+def _path(parents: list[int], labels: list[str], node: int) -> str:
+    out = []
+    while node >= 0:
+        out.append(labels[node])
+        node = parents[node]
+    return "/".join(reversed(out))
+
+
+def _at_path(parents: list[int], labels: list[str], path: str) -> list[bool]:
+    """Which nodes have this path; only what its length and last label allow is put together."""
+    lengths: list[int] = []
+    for parent, label in zip(parents, labels):
+        lengths.append(len(label) + (lengths[parent] + 1 if parent >= 0 else 0))
+    return [n == len(path) and path.endswith(labels[k]) and _path(parents, labels, k) == path for k, n in enumerate(lengths)]
+
+
+def _template_key(path_key: int, text_hash: int) -> int:
+    return xxhash.xxh3_64_intdigest(text_hash.to_bytes(8, "little", signed=True), path_key) - 2 ** 63
 
 
 def decide(parents: list[int], labels: list[str], hashes: list[int], counts: dict[int, tuple[int, int, int]]):
     """(content path, template keys) of a host from its reference tree and (pages, same, chars) per node."""
     pages = max((c[0] for c in counts.values()), default=0)
-    paths, template, varying = _paths(parents, labels), [], [0] * len(parents)
+    keys, template, varying = _path_keys(parents, labels), [], [0] * len(parents)
     for node in range(len(parents)):
         n, same, chars = counts.get(node, (0, 0, 0))
         if pages >= LEAST_PAGES and n >= CONSTANT_SHARE * pages and same >= CONSTANT_SHARE * pages and chars:
-            template.append(_template_key(paths[node], hashes[node]))
+            template.append(_template_key(keys[node], hashes[node]))
         else:
             varying[node] += chars
     for node in range(len(parents) - 1, 0, -1):
@@ -254,7 +268,7 @@ def decide(parents: list[int], labels: list[str], hashes: list[int], counts: dic
         if not heavy:
             break
         slot = heavy[0]
-    return (paths[slot] if varying[0] else None), template
+    return (_path(parents, labels, slot) if varying[0] else None), template
 
 
 def main_text(source: str | None, content: str | None = None, template: frozenset[int] | None = None) -> str:
@@ -266,16 +280,18 @@ def main_text(source: str | None, content: str | None = None, template: frozense
     dropped: set[int] = set()
     if template or content:
         tree = page.skeleton()
-        paths = _paths([t[0] for t in tree], [t[1] for t in tree])
-        slot = {m for path, t in zip(paths, tree) if path == content for m in t[4]} if not named and content else set()
+        parents, labels = [t[0] for t in tree], [t[1] for t in tree]
+        keys = _path_keys(parents, labels)
+        there = _at_path(parents, labels, content) if not named and content else [False] * len(tree)
+        slot = {m for here, t in zip(there, tree) if here for m in t[4]}
         #: Per node: whether it lies in the slot, and its nearest paragraph.
         held_by, paragraph = [], []
-        for me, (path, (parent, label, text_hash, chars, members)) in enumerate(zip(paths, tree)):
+        for me, (parent, label, text_hash, chars, members) in enumerate(tree):
             kind = label.split(".")[0] in PARAGRAPHS
             above = paragraph[parent] if parent >= 0 else -1
-            held_by.append(path == content or (parent >= 0 and held_by[parent]))
+            held_by.append(there[me] or (parent >= 0 and held_by[parent]))
             paragraph.append(me if kind else above)
-            if chars and template and _template_key(path, text_hash) in template and not (
+            if chars and template and _template_key(keys[me], text_hash) in template and not (
                     page.article[members[0]] and (kind or above >= 0)
                     # Without an article a list may be a menu: words in a paragraph stay if it has others beside them.
                     or not named and (kind or held_by[me] and above >= 0 and tree[above][3])):

@@ -143,3 +143,9 @@ def test_copies_are_one_witness(spark):
 def test_recurring_inline_words_stay(spark, tag):
     got = hosts_texts(spark, [f"<body><ul><li><a>Home</a></li></ul><{tag}><p><b>Summary:</b> {'story ' * 9}{k}</p></{tag}></body>" for k in range(4)])
     assert got == {k: f"Summary: {'story ' * 9}{k}" for k in range(4)}
+
+
+def test_deep_hosts_are_learned_to_the_end(spark):
+    got = hosts_texts(spark, ["<body><div class=s>" + f"{k} seen</div>" + "<font>" * 2000 + f"<div class=t>Same words</div><div class=c><div>story {k} {'on ' * 30}</div></div>"
+                              for k in range(4)])
+    assert got == {k: f"story {k} {'on ' * 30}".strip() for k in range(4)}
