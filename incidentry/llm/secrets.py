@@ -1,12 +1,11 @@
 """Secret scan: fixed patterns, and a linear-chain conditional random field that finds secrets beyond them.
 
 Tokens are the parts of a text between blanks. The field tags each as begin, inside or outside of a secret from its
-shape, the words beside it and figures of the whole file, decoded by Viterbi. A token is inert if it is shorter than
-``LONG``, holds no digit and none of ``:=`` and names no secret; inert tokens are outside by definition, so a text
-falls apart into runs of active tokens, and decoding each run alone gives the best tags of the whole text.
+shape, the words beside it and figures of the whole file. All tokens of a text are decoded together by Viterbi, and none
+is outside beforehand.
 
 The field is trained on documents whose pattern spans serve as tags: at most ``SAMPLE_DOCS`` documents, those of
-the least hash of their id, and at most ``SAMPLE_RUNS`` of their runs. Spans of the patterns always stay; spans of
+the least hash of their id, and at most ``SAMPLE_RUNS`` of their runs of ``TRAIN_LENGTH`` tokens. Spans of the patterns always stay; spans of
 the field are added where they meet none of them. Offsets are code points, ends exclusive.
 
 Defined results: null text is empty and has no span; without a training row nothing is added; repeated rows and ids
@@ -28,10 +27,12 @@ from incidentry.llm.common import row_map, sha256
 
 SAMPLE_DOCS = 6000
 SAMPLE_RUNS = 6000
-#: Longer runs are cut for training, not for decoding.
+#: Texts are cut into runs for training, not for decoding.
 TRAIN_LENGTH = 32
 LONG = 25
 FEATURES = 4096
+#: Different tokens whose weights a worker remembers at most.
+REMEMBERED = 200_000
 
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -56,12 +57,15 @@ def base_spans(text: str) -> list[Span]:
 
 
 NAMES = re.compile(r"passw|passphrase|secret|token|api.?key|private.?key|credential|bearer|auth|pwd", re.I | re.A)
-ANCHOR = re.compile(rf"[0-9:=]|\S{{{LONG}}}|passw|passphrase|secret|token|api.?key|private.?key|credential|bearer", re.I | re.A)
+ANCHOR = re.compile(rf"[0-9:=]|\S{{{LONG}}}|passw|passphrase|secret|token|api.?key|private.?key|credential|bearer|auth|pwd", re.I | re.A)
+TOKEN = re.compile(r"\S+")
+#: One of these is in whatever ``NAMES`` matches.
+HINTS = ("passw", "passph", "secret", "token", "key", "credential", "bearer", "auth", "pwd")
 BLANK = re.compile(r"\s")
 
 
 def active_tokens(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the tokens that are not inert."""
+    """(start, end) of the tokens that could hold a secret at first sight; a figure of the file is made of their number."""
     out, at = [], 0
     while m := ANCHOR.search(text, at):
         start = m.start()
@@ -74,17 +78,6 @@ def active_tokens(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def runs(text: str) -> list[list[tuple[int, int]]]:
-    """Active tokens in runs with only blanks between them."""
-    out: list[list[tuple[int, int]]] = []
-    for token in active_tokens(text):
-        if out and text[out[-1][-1][1]:token[0]].isspace():
-            out[-1].append(token)
-        else:
-            out.append([token])
-    return out
-
-
 SHAPES = (
     ("hex", re.compile(r"[0-9a-f]+")), ("number", re.compile(r"[0-9.,:/%()+-]+")), ("upper", re.compile(r"[A-Z]+[0-9][A-Z0-9]*")),
     ("letters", re.compile(r"[^\W\d_]+")), ("word", re.compile(r"[A-Za-z0-9]+")), ("base64", re.compile(r"[A-Za-z0-9+/_.=-]+")),
@@ -101,46 +94,69 @@ def _level(x: float, cuts: tuple) -> int:
     return sum(x >= c for c in cuts)
 
 
-def _beside(text: str, at: int, step: int) -> str:
-    """The word before ``at`` (step -1) or from ``at`` on (step 1), blanks passed over; at most 40 signs of it."""
-    if step < 0:
-        words = text[max(0, at - 41):at].split()
-        return words[-1] if words else ""
-    words = text[at:at + 41].split()
-    return words[0] if words else ""
+def _name(word: str) -> str:
+    """The first name word in a token, in lower case; to see that there is none is cheap."""
+    low = word.lower()
+    for hint in HINTS:
+        if hint in low:
+            found = NAMES.search(word)
+            return found.group(0).lower() if found else ""
+    return ""
 
 
 def _word_class(word: str) -> str:
     if not word:
         return "edge"
-    name = NAMES.search(word)
     sign = word[-1] if word[-1] in ":=" else ""
-    return (name.group(0).lower() if name else _shape(word.strip(EDGE))) + sign
+    return (_name(word) or _shape(word.strip(EDGE))) + sign
+
+
+def _look(token: str) -> tuple:
+    """What the features of a token alone are made of; few different values, its size second."""
+    core = token.strip(EDGE)
+    n = len(core)
+    digits = sum(map(core.count, "0123456789")) if not core.isalpha() else 0
+    return (_shape(core), _level(n, (4, 6, 9, 12, 16, 20, 24, 32, 48, 64)),
+            _level(digits / n if n else 0, (0.01, 0.15, 0.3, 0.5, 0.8)),
+            _level(len(set(core)) / n if n else 0, (0.2, 0.4, 0.6, 0.8)), _name(token),
+            "=" in token.rstrip("="), ":" in token, token[:1] in EDGE, token[-1:] in EDGE)
+
+
+def _own(look: tuple) -> list[str]:
+    """The features of a token alone."""
+    shape, size, digits, kinds, name, equals, colon, first, last = look
+    sign = equals, colon
+    return ["bias", f"shape={shape}", f"size={size}", f"shape,size={shape},{size}", f"digits={digits}", f"kinds={kinds}",
+            f"name={name}", f"sign={sign}", f"name,sign={bool(name)},{sign}", f"quoted={first},{last}"]
 
 
-def run_features(text: str, run: list[tuple[int, int]], file: str) -> list[list[int]]:
-    """The feature numbers of each token of a run."""
+def _before(word: str, size: int) -> list[str]:
+    before = _word_class(word[-40:])
+    return [f"before={before}", f"before,size={before},{size}"]
+
+
+def _after(word: str) -> list[str]:
+    return [f"after={_word_class(word[:40])}"]
+
+
+def _numbers(names: list[str]) -> list[int]:
+    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % FEATURES for x in names]
+
+
+def run_features(tokens: list[str], file: str, start: int = 0, end: int | None = None) -> list[list[int]]:
+    """The feature numbers of the tokens from ``start`` to ``end`` of a text."""
     out = []
-    for start, end in run:
-        token = text[start:end]
-        core = token.strip(EDGE)
-        n = len(core)
-        digits = sum(map(core.count, "0123456789"))
-        shape, size = _shape(core), _level(n, (4, 6, 9, 12, 16, 20, 24, 32, 48, 64))
-        before, after = _word_class(_beside(text, start, -1)), _word_class(_beside(text, end, 1))
-        name = NAMES.search(token)
-        sign = "=" in token.rstrip("="), ":" in token
-        names = (
-            "bias", f"shape={shape}", f"size={size}", f"shape,size={shape},{size}",
-            f"digits={_level(digits / n if n else 0, (0.01, 0.15, 0.3, 0.5, 0.8))}",
-            f"kinds={_level(len(set(core)) / n if n else 0, (0.2, 0.4, 0.6, 0.8))}",
-            f"before={before}", f"after={after}", f"before,size={before},{size}", f"name={name.group(0).lower() if name else ''}",
-            f"sign={sign}", f"name,sign={bool(name)},{sign}", f"quoted={token[:1] in EDGE},{token[-1:] in EDGE}", file,
-        )
-        out.append([zlib.crc32(x.encode()) % FEATURES for x in names])
+    for i in range(start, len(tokens) if end is None else min(end, len(tokens))):
+        look = _look(tokens[i])
+        out.append(_numbers(_own(look) + _before(tokens[i - 1] if i else "", look[1])
+                            + _after(tokens[i + 1] if i + 1 < len(tokens) else "") + [file]))
     return out
 
 
+def _active(token: str) -> bool:
+    return len(token) >= LONG or ":" in token or "=" in token or _name(token) != "" or any(c in token for c in "0123456789")
+
+
 def file_feature(text: str, active: int) -> str:
     """A figure of the whole file: how dense its active tokens are, and how its lines are."""
     return f"file={_level(1000 * active / (len(text) + 1), (0.5, 2, 8, 30))},{_level(len(text) / (text.count(chr(10)) + 1), (40, 120))}"
@@ -158,6 +174,84 @@ class Field:
         self.weights[:, OUTSIDE] = 1e-3  # untrained, everything is outside
         self.steps = np.zeros((3, 3))
         self.first = np.zeros(3)
+        self._forget()
+
+    def _forget(self) -> None:
+        self._tokens: dict[str, tuple] = {}
+        self._parts: dict[tuple, tuple] = {}
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("_tokens", "_parts")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._forget()
+
+    def _weight(self, names: list[str]) -> list[float]:
+        return self.weights[_numbers(names)].sum(0).tolist()
+
+    def _part(self, key: tuple, names: list[str]) -> tuple:
+        if key not in self._parts:
+            self._parts[key] = tuple(self._weight(names))
+        return self._parts[key]
+
+    def _known(self, token: str) -> tuple:
+        """Weights of a token alone and as the word after another, its size, its class as the word before, and whether
+        it counts for the figure of the file."""
+        look = _look(token)
+        if len(token) <= 40:
+            before = after = (look[4] or look[0]) + (token[-1] if token[-1] in ":=" else "")
+        else:
+            before, after = _word_class(token[-40:]), _word_class(token[:40])
+        out = self._tokens[token] = (*self._part(look, _own(look)), *self._part((after,), [f"after={after}"]), look[1], before,
+                                     _active(token))
+        return out
+
+    def _paired(self, before: str, size: int) -> tuple:
+        return self._part((before, size), [f"before={before}", f"before,size={before},{size}"])
+
+    def tags(self, tokens: list[str], file: str | None = None, text: str = "") -> list[int]:
+        """The best tags of a whole text: what ``decode`` gives for its features, with weights summed once per token."""
+        if not tokens:
+            return []
+        if len(self._tokens) > REMEMBERED:
+            self._forget()
+        get, parts = self._tokens.get, self._parts
+        known = [get(t) or self._known(t) for t in tokens]
+        if file is None:
+            file = file_feature(text, sum([x[8] for x in known]))
+        steps, first = self._masks()
+        (bb, bi, bo), (ib, ii, io), (ob, _, oo) = steps.tolist()
+        f0, f1, f2 = self._weight([file])
+        edge = (0.0,) * 3 + tuple(self._weight(_after(""))) + (0, _word_class(""))
+        before, back = edge[7], []
+        b, i, o = (0.0, NEVER, 0.0)
+        for k, now in enumerate(known):
+            after = known[k + 1] if k + 1 < len(known) else edge
+            p = parts.get((before, now[6])) or self._paired(before, now[6])
+            if k:
+                vb, vi, vo, tb, ti, to = b + bb, b + bi, b + bo, 0, 0, 0
+                if i + ib > vb:
+                    vb, tb = i + ib, 1
+                if o + ob > vb:
+                    vb, tb = o + ob, 2
+                if i + ii > vi:
+                    vi, ti = i + ii, 1
+                if i + io > vo:
+                    vo, to = i + io, 1
+                if o + oo > vo:
+                    vo, to = o + oo, 2
+                back.append((tb, ti, to))
+            else:
+                vb, vi, vo = first.tolist()
+            b, i, o = (vb + now[0] + after[3] + p[0] + f0, vi + now[1] + after[4] + p[1] + f1, vo + now[2] + after[5] + p[2] + f2)
+            before = now[7]
+        tag = 0 if b >= i and b >= o else 1 if i >= o else 2
+        out = [tag]
+        for step in reversed(back):
+            tag = step[tag]
+            out.append(tag)
+        return out[::-1]
 
     def _masks(self) -> tuple[np.ndarray, np.ndarray]:
         steps, first = self.steps.copy(), self.first.copy()
@@ -194,6 +288,7 @@ class Field:
         pair = there[:, 1:]
         gold_steps = np.einsum("kti,ktj->ij", want[:, :-1] * pair[..., None], want[:, 1:])
         moments = {n: [np.zeros_like(getattr(self, n))] * 2 for n in ("weights", "steps", "first")}
+        self._forget()
         self.weights[:] = 0
         for r in range(1, rounds + 1):
             steps, first = self._masks()
@@ -228,21 +323,36 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - top).sum(axis)) + top.squeeze(axis)
 
 
-def tagged_runs(text: str) -> list[tuple[list[list[int]], list[int]]]:
-    """Features and tags of the runs of a text; the tags are those of its pattern spans."""
-    found = runs(text)
-    file, spans = file_feature(text, sum(map(len, found))), base_spans(text)
-    out = []
-    for run in found:
-        tags, last = [], None
-        for start, end in run:
-            span = next((s for s in spans if s[0] < end and s[2] > start), None)
-            tags.append(OUTSIDE if span is None else INSIDE if span == last else BEGIN)
-            last = span
-        features = run_features(text, run, file)
-        out += [(features[i:i + TRAIN_LENGTH], tags[i:i + TRAIN_LENGTH]) for i in range(0, len(run), TRAIN_LENGTH)
-                if tags[i] != INSIDE]
-    return out
+def _tagged(text: str) -> tuple[list[str], list[int]]:
+    """The tokens of a text and their tags, those of its pattern spans."""
+    spans, tokens, tags, last, at = base_spans(text), [], [], None, 0
+    for m in TOKEN.finditer(text):
+        start, end = m.span()
+        while at < len(spans) and spans[at][2] <= start:
+            at += 1
+        near = takewhile(lambda s, end=end: s[0] < end, islice(spans, at, None))
+        span = next((s for s in near if s[2] > start), None)
+        tokens.append(m.group())
+        tags.append(OUTSIDE if span is None else INSIDE if span == last else BEGIN)
+        last = span
+    return tokens, tags
+
+
+def _picked(text: str) -> tuple[list[str], list[int], list[tuple[int, bool, int]]]:
+    """What ``_tagged`` gives, and (start, no secret, hash) of each run of the text."""
+    tokens, tags = _tagged(text)
+    return tokens, tags, [
+        (k, all(t == OUTSIDE for t in tags[k:k + TRAIN_LENGTH]),
+         zlib.crc32(" ".join(tokens[k:k + TRAIN_LENGTH]).encode("utf-8", "surrogatepass")))
+        for k in range(0, len(tokens), TRAIN_LENGTH) if tags[k] != INSIDE]
+
+
+def tagged_runs(text: str, most: tuple[bool, int] = (True, 1 << 32)) -> list[tuple[list[list[int]], list[int]]]:
+    """Features and tags of the runs of a text that come no later than ``most`` (no secret, hash)."""
+    tokens, tags, found = _picked(text)
+    found = [k for k, outside, pick in found if (outside, pick) <= most]
+    file = file_feature(text, sum(map(_active, tokens))) if found else ""
+    return [(run_features(tokens, file, k, k + TRAIN_LENGTH), tags[k:k + TRAIN_LENGTH]) for k in found]
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS,
@@ -251,12 +361,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
     ids = docs.select(F.col(id_col).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(sample_docs)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
 
+    # Runs that hold a secret come first, so that a sample of few secrets still has them. Features are made of the
+    # runs that the sample can hold alone.
+    order = row_map(texts, lambda i, text: ([{"o": o, "h": h} for _, o, h in _picked(text or "")[2]],),
+                    "runs array<struct<o:boolean,h:long>>", ["id", "text"]).select(F.inline("runs"))
+    most = order.orderBy("o", "h").limit(sample_runs).agg(F.max(F.struct("o", "h")).alias("m")).first().m
+    if most is None:
+        return Field()
+    most = tuple(most)
+
     def one(i, text):
-        return ([{"features": f, "tags": t} for f, t in tagged_runs(text or "")],)
+        return ([{"features": f, "tags": t} for f, t in tagged_runs(text or "", most)],)
 
     schema = "runs array<struct<features:array<array<int>>,tags:array<int>>>"
     every = row_map(texts, one, schema, ["id", "text"]).select(F.inline("runs"))
-    # Runs that hold a secret come first, so that a sample of few secrets still has them.
     got = every.orderBy(F.forall("tags", lambda t: t == OUTSIDE), F.xxhash64("features"), "tags").limit(sample_runs)
     return Field().fit([(r.features, r.tags) for r in got.collect()])
 
@@ -265,18 +383,17 @@ def all_spans(text: str | None, field: Field) -> list[Span]:
     """The pattern spans and those the field adds, by start, then kind."""
     text = text or ""
     base = base_spans(text)
-    found = runs(text)
-    file, added = file_feature(text, sum(map(len, found))), []
-    for run in found:
-        begin = None
-        for (start, end), tag in [*zip(run, field.decode(run_features(text, run, file))), ((0, 0), OUTSIDE)]:
-            if begin is not None and tag != INSIDE:
-                added.append(begin)
-                begin = None
-            if tag == BEGIN:
-                begin = (start, 3, end)
-            elif tag == INSIDE and begin is not None:
-                begin = (begin[0], 3, end)
+    places = [m.span() for m in TOKEN.finditer(text)]
+    added, begin = [], None
+    tags = field.tags([text[a:b] for a, b in places], text=text)
+    for (start, end), tag in [*zip(places, tags), ((0, 0), OUTSIDE)]:
+        if begin is not None and tag != INSIDE:
+            added.append(begin)
+            begin = None
+        if tag == BEGIN:
+            begin = (start, 3, end)
+        elif tag == INSIDE and begin is not None:
+            begin = (begin[0], 3, end)
     at, extra = 0, []
     for span in added:  # both lists ascend by start
         while at < len(base) and base[at][2] <= span[0]:

@@ -97,3 +97,28 @@ def test_edges_and_digest(spark):
     assert s.redact(docs, field).columns == docs.columns
     assert [x.kind for x in s.scan(one, field).first().spans] == ["assign", "access"]
     assert s.digest(empty_docs(spark), s.fit(empty_docs(spark))).count() == 0
+
+
+def test_tags_of_a_text_are_those_of_its_features():
+    r = np.random.default_rng(5)
+    field = s.Field()
+    field.weights, field.steps, field.first = r.normal(size=(s.FEATURES, 3)), r.normal(size=(3, 3)), r.normal(size=3)
+    for text in ["", "one", 'password is CorrectHorseBattery here', "x = 1 " * 40, 'é "tok": ' + prose(3, 60), "y" * 99 + " auth"]:
+        tokens = text.split()
+        assert field.tags(tokens, "f") == (field.decode(s.run_features(tokens, "f")) if tokens else [])
+
+
+def test_secrets_of_letters_alone(spark):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(16))
+    rows = []
+    for i in range(200):
+        words = prose(i, 40).split()
+        words.insert(9, f"token = {word()}" if i % 2 else "a CamelCaseWordHere too")
+        rows.append((i, " ".join(words)))
+    assert s.BEGIN in [t for _, text in rows[1:2] for _, tags in s.tagged_runs(text) for t in tags]
+    field = s.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    # No pattern knows it: two words stand between.
+    text = "w1 w2 of the token = = CorrectHorseBattery of w3 the w4"
+    at = text.index("Correct")
+    assert not s.base_spans(text) and any(a <= at < b for a, k, b in s.all_spans(text, field) if k == 3)
