@@ -11,11 +11,9 @@ The join is exact. Equal sets are one class, found by a fingerprint. Between cla
    hash, two of them meet in one group: every pair of frequent shingles in a group of the prefix is a key. ``l``
    follows from a size class, and sets of neighbouring classes write keys for both. The smaller set of a pair
    needs the shorter prefix ``n - 8n/9``, so only its keys of that prefix are matched.
-4. Under each key every set is first held against one set, the most central. Verified links give components, and
-   keys whose sets are all in one component are done. Few sets left under a key are paired. Where there are many, two
-   of them that overlap enough either do so within the centre, which their overlaps with it bound, or share a shingle
-   outside of it: that shingle and the centre are a key for the next round. So a large group of copies costs about one
-   pair a member and round, and loses no link.
+4. Under each key every set is first held against one set, the most central, and small keys are paired. Large keys
+   whose sets are not in one component are lengthened by shingles outside of their smallest set until they are small
+   (``set_links``): a combination of ever more tokens. A large group of copies costs a few pairs a member and round.
 
 Set fingerprints and shingles are 64-bit hashes. Defined results: null or empty text has an empty set, is its own
 component and is linked with nothing; rows that repeat an id are one document with several texts; a null id counts
@@ -25,23 +23,19 @@ for nothing in a component and stays null where no other id is there. Other colu
 from __future__ import annotations
 
 from bisect import bisect_right
-from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from incidentry.llm.common import LOWER, arrow_schema, checked_broadcast, mixed, row_map, worker_store, written
+from incidentry.llm.common import LOWER, checked_broadcast, mixed, row_map, worker_store, written
 from incidentry.llm.components import components
+from incidentry.llm.set_links import links_within
 
 SHINGLE = 5
 #: Shingles held by so many classes or fewer are rare: each is a key of its own.
 RARE = 8
-#: Keys of so many sets or fewer are paired at once; larger ones are parted by what lies outside their centre.
-FEW = 16
-#: Rounds of such parting at most; it ends when the pairs left are no more than the keys there were, and pairs them.
-ROUNDS = 4
 #: The range of hashes counted first, as a share of all.
 HEAD_SHARE = 0.3
 _HEAD_END = int(HEAD_SHARE * 2 ** 64) - 2 ** 63
@@ -211,146 +205,13 @@ def _keys(full: DataFrame) -> DataFrame:
                    ["ref", "n", "shared"], rows=200).select("ref", "n", "cap", F.inline("keys"))
 
 
-def _with_sets(pairs: DataFrame, full: DataFrame, run, schema: str) -> DataFrame:
-    """``run(a, b, the set of a, the set of b)`` over pairs (a, b); it yields rows of ``schema``."""
-    import pyarrow as pa
-
-    target = arrow_schema(schema)
-    left = full.select(F.col("ref").alias("a"), F.col("tokens").alias("a_tokens"))
-    right = full.select(F.col("ref").alias("b"), F.col("tokens").alias("b_tokens"))
-
-    def over(batches):
-        for batch in batches:
-            values, offsets = [], []
-            for c in (2, 3):
-                column = batch.column(c)
-                values.append(column.flatten().to_numpy(zero_copy_only=False))
-                offsets.append(column.offsets.to_numpy() - column.offsets[0].as_py())
-            names = [batch.column(k).to_pylist() for k in (0, 1)]
-            rows = [row for i, (a, b) in enumerate(zip(*names))
-                    for row in run(a, b, *(v[o[i]:o[i + 1]] for v, o in zip(values, offsets)))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t.type) for c, t in zip(zip(*rows) if rows else [()] * len(target), target)], schema=target)
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "a_tokens", "b_tokens").mapInArrow(over, schema)
-
-
-def _overlaps(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """(a, b, overlap, linked) of pairs (a, b)."""
-
-    def run(a, b, x, y):
-        both = np.concatenate((x, y))
-        both.sort()
-        overlap = int((both[1:] == both[:-1]).sum())
-        yield a, b, overlap, 100 * overlap >= 80 * (len(both) - overlap)
-
-    return _with_sets(pairs, full, run, "a long, b long, overlap int, linked boolean").distinct()
-
-
-def _unordered(a: str, b: str) -> list:
-    return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
-
-
-def _centred(keys: DataFrame) -> DataFrame:
-    """Keys that more than one set holds, with the most central set of each: that with the least share of shingles
-    of its own. ``members`` counts the rows of the key and ``least`` is its smallest set."""
-    lone = ((F.col("n") - F.col("cap")) / F.col("n")).alias("lone")
-    centres = keys.groupBy("key").agg(
-        F.min(F.struct(lone, "ref")).alias("c"), F.min("ref").alias("lo"), F.max("ref").alias("hi"),
-        F.count("*").alias("members"), F.min("n").alias("least")).where("lo <> hi").select(
-        "key", F.col("c.ref").alias("centre"), "members", "least")
-    return keys.join(centres, "key")
-
-
-def _still_open(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of keys whose sets are in more than one component, with ``root`` and ``centre_root``."""
-    named = [roots.select(F.col("node").alias(c), F.col("root").alias(r)) for c, r in
-             (("ref", "root"), ("centre", "centre_root"))]
-    placed = rows.join(named[0], "ref", "left").join(named[1], "centre", "left").withColumns(
-        {"root": F.coalesce("root", "ref"), "centre_root": F.coalesce("centre_root", "centre")})
-    apart = placed.where("root <> centre_root").select("key").distinct()
-    return placed.join(apart, "key", "left_semi")
-
-
-#: No overlap is larger than what either set shares with any other, and it must reach 4/9 of both sizes together.
-_NEAR = "9 * least(cap, other_cap) >= 4 * (n + other_n)"
-_OTHER = ("ref", "n", "cap", "root", "short", "overlap")
-
-
-def _others(rows: DataFrame) -> DataFrame:
-    return rows.select("key", *[F.col(c).alias(f"other_{c}") for c in _OTHER if c in rows.columns])
-
-
-def _all_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs under one key that lie in different components; the smaller set must be there by its shorter prefix."""
-    smaller = "n < other_n or n = other_n and ref < other_ref"
-    return rows.where("short").join(_others(rows), "key").where("root <> other_root").where(smaller).where(
-        _NEAR).select(*_unordered("ref", "other_ref"))
-
-
-def _pairs_inside(rows: DataFrame) -> DataFrame:
-    """Pairs whose overlap could be large enough within the centre of their key alone.
-
-    Both share at most their overlap with the centre there. A set outside the centre's component names the sizes that
-    a partner may then have, which are few, and meets sets of just these sizes.
-    """
-    from_, to = F.expr("greatest(least, (4 * n + 4) div 5)"), F.expr("9 * overlap div 4 - n")
-    outside = rows.where("root <> centre_root").where(from_ <= to).withColumn("other_n", F.explode(F.sequence(from_, to)))
-    return outside.join(_others(rows), ["key", "other_n"]).where("root <> other_root").where(
-        "9 * other_overlap >= 4 * (n + other_n)").where(
-        "case when n < other_n then short when n > other_n then other_short else short or other_short end").select(
-        *_unordered("ref", "other_ref"))
-
-
-def _keys_outside(rows: DataFrame, full: DataFrame) -> DataFrame:
-    """Keys for pairs that share a shingle outside their centre: one for each centre and shingle."""
-    held = rows.groupBy("centre", "ref").agg(F.first("n").alias("n"), F.first("cap").alias("cap"),
-                                             F.max("short").alias("short")).where("ref <> centre")
-
-    def run(ref, centre, x, y):
-        for token in np.setdiff1d(x, y, assume_unique=True):
-            yield ref, centre, fingerprint(np.array([centre, token], np.int64))
-
-    keys = _with_sets(held.select(F.col("ref").alias("a"), F.col("centre").alias("b")), full, run,
-                      "ref long, centre long, key long").distinct()
-    return keys.join(held, ["ref", "centre"]).select("key", "ref", "n", "cap", "short")
-
-
 def links(docs: DataFrame, sets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links (a, b) between classes: enough of them to join all that are linked."""
     hopeful = written(_hopeful(sets), "hopeful")
     full = written(_full_sets(docs, hopeful, id_col, text_col), "full-sets")
-    keys = written(_keys(full), "keys")
-    allowed = keys.count()  # so that what is paired at once stays in proportion to the keys
-    found, pairs, tried = _one_id(sets), [], None
-    for step in range(ROUNDS):
-        rows = written(_centred(keys), "centred-keys")
-        stars = rows.where("ref <> centre").select(*_unordered("ref", "centre")).distinct()
-        if tried is not None:
-            stars = stars.join(tried, ["a", "b"], "left_anti")
-        overlaps = written(_overlaps(stars, full), "overlaps")
-        tried = overlaps if tried is None else tried.unionByName(overlaps)
-        found = found.unionByName(overlaps.where("linked").select("a", "b"))
-        # Components need not be whole here: what is taken apart too far is paired, not lost.
-        rows = written(_still_open(rows, components(found, rounds=1)), "open-keys")
-        large = rows.where(F.col("members") > FEW)
-        pairs_of_large = large.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
-        if pairs_of_large <= allowed or step == ROUNDS - 1:
-            pairs.append(_all_pairs(rows))
-            break
-        pairs.append(_all_pairs(rows.where(F.col("members") <= FEW)))
-        rows = large
-        to_centre = tried.select("a", "b", "overlap").unionByName(
-            tried.select(F.col("b").alias("a"), F.col("a").alias("b"), "overlap")).withColumnsRenamed(
-            {"a": "ref", "b": "centre"})
-        rows = rows.join(to_centre, ["ref", "centre"], "left").withColumn(
-            "overlap", F.when(F.col("ref") == F.col("centre"), F.col("n")).otherwise(F.col("overlap")))
-        rows = written(rows, "large-keys")
-        pairs.append(_pairs_inside(rows))
-        keys = written(_keys_outside(rows, full), "outer-keys")
-    rest = reduce(DataFrame.unionByName, pairs).distinct().join(tried, ["a", "b"], "left_anti")
-    rest = written(rest, "cross-pairs")
-    return found.unionByName(_overlaps(rest, full).where("linked").select("a", "b"))
+    lone = ((F.col("n") - F.col("cap")) / F.col("n")).alias("rank")
+    keys = written(_keys(full).select("key", "ref", "n", "cap", "short", lone), "keys")
+    return links_within(keys, full, _one_id(sets))
 
 
 def _one_id(sets: DataFrame) -> DataFrame:
@@ -364,10 +225,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per row of ``docs``: its id, ``n_shingles`` and ``component_id``, the least id reachable by links."""
     sets = written(shingle_sets(docs, id_col, text_col), "shingle-sets")
     roots = components(links(docs, sets, id_col, text_col))
-    return _placed(sets, roots, id_col)
+    return place_components(sets, roots, id_col)
 
 
-def _placed(sets: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
+def place_components(sets: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
     classes = sets.where("n > 0").groupBy("ref").agg(F.min("id").alias("least")).join(
         roots.select(F.col("node").alias("ref"), "root"), "ref", "left").withColumn("root", F.coalesce("root", "ref"))
     classes = written(classes, "classes")

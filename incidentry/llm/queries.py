@@ -5,8 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from incidentry.llm import decontaminate, license_scan, line_templates, mixing, ngram_join, quality_rules, secrets, token_archive, warc, wrapper_induction
+from pyspark.sql import functions as F
+
+from incidentry.llm import (
+    decontaminate,
+    fill_in_middle,
+    license_scan,
+    line_templates,
+    minhash_dedup,
+    mixing,
+    ngram_join,
+    quality_rules,
+    secrets,
+    spelling_variants,
+    token_archive,
+    warc,
+    wrapper_induction,
+)
 from incidentry.llm.common import documents
 from incidentry.plans.catalog import scratch
 
@@ -248,3 +263,64 @@ SELECT doc_id, n_lines, n_dropped, text FROM d JOIN k USING (rid)
 @query("op2_line_templates", OP2_SQL)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return line_templates.drop_recurring(documents(spark, folder))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (
+  SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tok,
+    CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+    CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+c AS (
+  SELECT doc_id, t, tok, CAST(len(tok) AS BIGINT) AS n,
+    least(h1 % (len(tok) + 1), h2 % (len(tok) + 1)) AS a, greatest(h1 % (len(tok) + 1), h2 % (len(tok) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+      WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (
+  SELECT *, array_to_string(list_slice(tok, 1, a), '') AS pre, array_to_string(list_slice(tok, a + 1, b), '') AS mid,
+    array_to_string(list_slice(tok, b + 1, n), '') AS suf FROM c)
+SELECT doc_id, n, form, CAST(CASE WHEN form <> 'plain' THEN length(pre) END AS BIGINT) AS prefix_chars,
+  CAST(CASE WHEN form <> 'plain' THEN length(mid) END AS BIGINT) AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
+
+
+@query("op11_fill_in_middle", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    out = fill_in_middle.transform(documents(spark, folder))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fill_in_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(words, i, i + least(2, len(words)) - 1), ' ') AS g
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS MATERIALIZED (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY 1, 2),
+l AS MATERIALIZED (
+  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+  WHERE 100 * i >= 80 * (nx.n + ny.n - i)),
+e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS node, doc_id AS reach FROM w UNION SELECT r.node, e.y FROM r JOIN e ON e.x = r.reach)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(reach) AS component_id FROM r GROUP BY node) c
+  ON c.node = w.doc_id
+"""
+
+
+@query("op12_minhash_dedup", OP12_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash_dedup.near_components(documents(spark, folder))
+
+
+@query("op13_spelling_variants")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants.variants(documents(spark, folder))
