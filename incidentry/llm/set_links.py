@@ -1,12 +1,18 @@
 """Links between token sets that share keys: no pairing of large groups, and no link lost.
 
 A key stands for a group of sets, any two of which may overlap by 80 of 100. Every group is first held against one
-set, the most central; groups whose sets are all in one component are done, and small ones are paired. A large group
-is then held against its smallest set ``c``. Two of its sets ``x`` and ``y`` that are linked share at least
-``4 (|x| + |y|) / 9`` tokens. If ``c`` holds as many of these, then both overlap ``c`` so much that they are linked
-with it, for it is the smallest. So a link that the star around ``c`` leaves out shares tokens outside of ``c``; of
-these, the rare ones that members of several components hold are the keys of the next round, each of a group without
-``c``. Rounds end when no group is large.
+set ``c``, the most central; groups whose sets are all in one component are done. Where few sets are outside the
+component that most are in, these few are paired with the others. Any other group is taken apart by what its sets share
+with ``c``. Two linked sets ``x`` and ``y`` share at least ``4 (|x| + |y|) / 9`` tokens. Either
+
+- they share tokens outside of ``c``. Of these, the rare ones that members of several components hold are keys of the
+  next round, each of a group without ``c``; or
+- each shares that many with ``c``. Unless both are linked with ``c``, one of them, ``x``, is not, and then ``y`` is
+  smaller than ``9 |x & c| / 4 - |x|``, which is smaller than ``c``. Sets of such sizes are a group of the next round,
+  again without ``c``; near copies of one size have none.
+
+Rounds end when no group has many sets outside its major component, or when all pairs of these with their groups are
+no more than the keys there were at first; such a rest is paired, so pairs stay in proportion to the keys.
 """
 
 from __future__ import annotations
@@ -21,8 +27,10 @@ from pyspark.sql import functions as F
 from incidentry.llm.common import arrow_schema, written
 from incidentry.llm.components import components
 
-#: Groups of so many sets or fewer are paired at once.
+#: So many sets or fewer outside the major component of a group are paired with the rest of it at once.
 FEW = 16
+#: What is left of larger groups is paired when it makes no more pairs than this or than the keys at first.
+PAIRS_AT_ONCE = 100_000
 
 #: Columns of a key table. ``cap`` bounds the overlap with any other set, ``short`` says whether the set may be the
 #: smaller one of a pair under this key, and the least ``rank`` is the most central.
@@ -74,60 +82,77 @@ def unordered(a: str, b: str) -> list:
 
 
 def _centred(keys: DataFrame) -> DataFrame:
-    """Keys that more than one set holds, with their most central set ``centre`` and their smallest set ``least``."""
+    """Keys that more than one set holds, with their most central set ``centre`` and their least size ``least``."""
     centres = keys.groupBy("key").agg(
-        F.min(F.struct("rank", "ref")).alias("c"), F.min(F.struct("n", "ref")).alias("l"),
-        F.min("ref").alias("lo"), F.max("ref").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select(
-        "key", F.col("c.ref").alias("centre"), F.col("l.ref").alias("least"), F.col("l.n").alias("least_n"), "members")
+        F.min(F.struct("rank", "ref")).alias("c"), F.min("n").alias("least"),
+        F.min("ref").alias("lo"), F.max("ref").alias("hi")).where("lo <> hi").select(
+        "key", F.col("c.ref").alias("centre"), "least")
     return keys.join(centres, "key")
 
 
 def _still_open(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of keys whose sets are in more than one component, with their ``root``."""
-    rows = rows.drop("root").join(roots.select(F.col("node").alias("ref"), "root"), "ref", "left").withColumn(
-        "root", F.coalesce("root", "ref"))
-    apart = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    return rows.join(apart.select("key"), "key", "left_semi")
-
-
-_OTHER = ("ref", "n", "cap", "root")
+    """The rows of keys whose sets are in more than one component, with their ``root``, the root ``major`` of the
+    component that most sets of the key are in, and the number ``minors`` of the other sets."""
+    rows = rows.drop("root", "major", "minors").join(
+        roots.select(F.col("node").alias("ref"), "root"), "ref", "left").withColumn("root", F.coalesce("root", "ref"))
+    parts = rows.groupBy("key", "root").agg(F.count("*").alias("part"))
+    apart = parts.groupBy("key").agg(
+        F.max(F.struct("part", "root")).alias("m"), F.sum("part").alias("all")).where("all > m.part").select(
+        "key", F.col("m.root").alias("major"), (F.col("all") - F.col("m.part")).alias("minors"))
+    return rows.join(apart, "key")
+
+
+_OTHER = ("ref", "n", "cap", "root", "short")
 #: No overlap is larger than what either set shares with any other, and it must reach 4/9 of both sizes together.
 _NEAR = "9 * least(cap, other_cap, n, other_n) >= 4 * (n + other_n)"
 
 
-def _all_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs under one small key that lie in different components; the smaller set must be there as ``short``."""
+def _few_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of the few sets outside the major component of a key with its sets of other components.
+
+    At most ``FEW`` pairs a set. The smaller set of a pair must be there as ``short``.
+    """
     others = rows.select("key", *[F.col(c).alias(f"other_{c}") for c in _OTHER])
-    smaller = "n < other_n or n = other_n and ref < other_ref"
-    return rows.where("short").join(others, "key").where("root <> other_root").where(smaller).where(
+    short = "case when n < other_n then short when n > other_n then other_short else short or other_short end"
+    return rows.where("root <> major").join(others, "key").where("root <> other_root").where(short).where(
         _NEAR).select(*unordered("ref", "other_ref"))
 
 
-def _around_least(rows: DataFrame, full: DataFrame) -> DataFrame:
-    """(ref, centre, n, cap, rank, overlap, linked, outside) of the sets held against the smallest set of their key."""
+def _around(rows: DataFrame, full: DataFrame) -> DataFrame:
+    """(ref, centre, overlap, linked, outside) of the sets of ``rows`` held against the centres of their keys."""
 
     def run(a, b, x, y):
         outside = np.setdiff1d(x, y, assume_unique=True)
         overlap = len(x) - len(outside)
         yield a, b, overlap, 100 * overlap >= 80 * (len(x) + len(y) - overlap), outside.tolist()
 
-    held = rows.where("ref <> least").groupBy("ref", F.col("least").alias("centre")).agg(
-        *[F.first(c).alias(c) for c in ("n", "cap", "rank", "least_n")])
-    seen = with_sets(held.select(F.col("ref").alias("a"), F.col("centre").alias("b")), full, run,
-                     "ref long, centre long, overlap int, linked boolean, outside array<long>")
-    return held.join(seen.dropDuplicates(["ref", "centre"]), ["ref", "centre"])
+    held = rows.where("ref <> centre").select(F.col("ref").alias("a"), F.col("centre").alias("b")).distinct()
+    return with_sets(held, full, run, "ref long, centre long, overlap int, linked boolean, outside array<long>")
+
+
+def _keys_inside(rows: DataFrame) -> DataFrame:
+    """Groups of the sets whose overlaps with their centre allow a link without any other token."""
+    sized = rows.withColumn("cap_n", F.expr("9 * overlap div 4 - n")).withColumn(
+        "from_n", F.expr("greatest(least, (4 * n + 4) div 5)"))
+    apart = F.expr("not linked and cap_n >= from_n")
+    asking = sized.where(apart).groupBy("key").agg(
+        F.max("cap_n").alias("to"), F.min("from_n").alias("from"), F.min("n").alias("asking_n"))
+    met = sized.join(asking, "key").where(
+        apart | F.expr("n between `from` and `to` and 9 * overlap >= 4 * (n + asking_n)"))
+    return met.select(F.xxhash64("key", "centre").alias("key"), "ref", "n", "cap", "short", "rank")
 
 
-def _keys_outside(stars: DataFrame, rows: DataFrame) -> DataFrame:
-    """Keys for pairs that share tokens outside the smallest set of their group: one for each such set and token.
+def _keys_outside(rows: DataFrame, around: DataFrame) -> DataFrame:
+    """Keys for pairs that share tokens outside the centre of their group: one for each centre and token.
 
-    A set of ``n`` that shares ``overlap`` with the smallest set must share ``needed`` more with a partner, so these
-    many less one of its tokens outside need no key: the ones most of the group holds. Tokens that one component
-    alone holds come first in the order and need none either.
+    A set of ``n`` that shares ``overlap`` with the centre must share ``needed`` more with a partner, so these many less
+    one of its tokens outside need no key: the ones most of the group holds. Tokens that one component alone holds come
+    first in the order and need none either.
     """
-    members = rows.where("ref <> least").select("ref", F.col("least").alias("centre"), "root").distinct()
-    held = stars.join(members, ["ref", "centre"]).withColumn(
-        "needed", F.expr("greatest(1, (4 * (n + greatest(least_n, (4 * n + 4) div 5)) + 8) div 9 - overlap)"))
+    members = rows.where("ref <> centre").groupBy("ref", "centre").agg(
+        F.min("least").alias("least"), *[F.first(c).alias(c) for c in ("n", "cap", "rank", "root")])
+    held = members.join(around.select("ref", "centre", "overlap", "outside"), ["ref", "centre"]).withColumn(
+        "needed", F.expr("greatest(1, (4 * (n + greatest(least, (4 * n + 4) div 5)) + 8) div 9 - overlap)"))
     held = held.where("size(outside) >= needed")
     tokens = held.select("ref", "centre", "root", F.explode("outside").alias("token"))
     shared = written(tokens.groupBy("centre", "token").agg(
@@ -135,8 +160,8 @@ def _keys_outside(stars: DataFrame, rows: DataFrame) -> DataFrame:
         "centre", "token", "count"), "outer-tokens")
     lists = tokens.join(shared, ["centre", "token"]).groupBy("ref", "centre").agg(
         F.sort_array(F.collect_list(F.struct("count", "token"))).alias("shared"))
-    lists = held.join(lists, ["ref", "centre"])
-    prefix = F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.expr("size(shared) - needed + 1")).cast("int"))
+    lists = held.drop("outside").join(lists, ["ref", "centre"]).where("size(shared) >= needed")
+    prefix = F.slice("shared", F.lit(1), F.expr("size(shared) - needed + 1").cast("int"))
     keys = lists.select("ref", "n", "cap", "rank", "centre", F.explode(prefix).alias("t"))
     return keys.select(F.xxhash64("centre", "t.token").alias("key"), "ref", "n", "cap", F.lit(True).alias("short"), "rank")
 
@@ -150,6 +175,7 @@ def links_within(keys: DataFrame, full: DataFrame, known: DataFrame,
     """
     sieve = sieve or (lambda pairs: pairs)
     found, pairs, tried = known, [], None
+    allowed = max(PAIRS_AT_ONCE, keys.count())
     while True:
         rows = written(_centred(keys), "centred-keys")
         if rows.isEmpty():
@@ -162,14 +188,15 @@ def links_within(keys: DataFrame, full: DataFrame, known: DataFrame,
         found = found.unionByName(checked.where("linked").select("a", "b"))
         # Components need not be whole here: what is taken apart too far is paired, not lost.
         rows = written(_still_open(rows, components(found, rounds=1)), "open-keys")
-        pairs.append(_all_pairs(rows.where(F.col("members") <= FEW)))
-        large = rows.where(F.col("members") > FEW)
-        if large.isEmpty():
+        large = rows.where(F.col("minors") > FEW)
+        left = large.agg(F.coalesce(F.sum("minors"), F.lit(0))).first()[0]
+        if left <= allowed:
+            pairs.append(_few_pairs(rows))
             break
-        outer = written(_around_least(large, full), "around-least")
-        found = found.unionByName(outer.where("linked").select(*unordered("ref", "centre")))
-        large = written(_still_open(large, components(found, rounds=1)), "large-keys")
-        keys = written(_keys_outside(outer, large), "outer-keys")
+        pairs.append(_few_pairs(rows.where(F.col("minors") <= FEW)))
+        around = written(_around(large, full), "around-centre")
+        keys = written(_keys_inside(large.join(around.drop("outside"), ["ref", "centre"])).unionByName(
+            _keys_outside(large, around)), "narrower-keys")
     if not pairs:
         return found
     rest = reduce(DataFrame.unionByName, pairs).distinct().join(tried, ["a", "b"], "left_anti")

@@ -64,10 +64,11 @@ def test_against_brute_force(spark, monkeypatch, few):
     assert sorted(repr(tuple(r)) for r in m.near_components(docs).collect()) == slow_components(rows)
 
 
-@pytest.mark.parametrize("few", [8, 2])
-def test_links_within_one_large_key_lose_none(spark, monkeypatch, few):
-    """All sets under one key: chains, rings about a far smallest set, subsets, and sets with nothing in common."""
+@pytest.mark.parametrize("few,at_once", [(8, 6000)])
+def test_links_within_one_large_key_lose_none(spark, monkeypatch, few, at_once):
+    """All sets under one key: chains, near and far copies, subsets, and sets with nothing in common."""
     monkeypatch.setattr(set_links, "FEW", few)
+    monkeypatch.setattr(set_links, "PAIRS_AT_ONCE", at_once)
     r = random.Random(few)
     base = r.sample(range(10 ** 6), 100)
     sets = {}
