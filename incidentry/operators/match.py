@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,19 +145,80 @@ def match_rate(matched: DataFrame, found: str) -> DataFrame:
 
 # ---- names in texts ----------------------------------------------------------------------
 
-def _grams(words: Column) -> Column:
-    """Pieces of three characters of the words, and shorter words and pieces of two and one for names that have no more."""
-    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.flatten(F.transform(
-        F.filter(F.sequence(F.lit(1), F.lit(3)), lambda k: k <= F.length(w)),
-        lambda k: F.transform(F.sequence(F.lit(1), F.length(w) - k + 1), lambda i: w.substr(i, k)))))))
-
-
-def _anchors(name: Column) -> Column:
-    """The longest pieces, three characters at most, of a name's longest word."""
-    words = F.split(name, r"\s+")
-    longest = F.element_at(F.array_sort(F.transform(words, lambda w: F.struct(F.length(w).alias("l"), w.alias("w")))), -1).w
-    size = F.least(F.lit(3), F.length(longest))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(longest) - size + 1), lambda i: longest.substr(i, size)))
+# Keys that a text and a name in it share, by the number of the name's words. Inside a name words are whole words of the
+# text; its first word may begin, and its last word end, inside a longer one.
+PAIR, WORD, SEAM, PIECE = "pair", "word", "seam", "piece"
+#: Keys of a name at most, the longest ones; the one that the fewest texts hold is used.
+ANCHORS = 3
+#: Characters on each side of the seam of two words, and of a piece of a single word.
+SEAM_SIDE, PIECE_SIZE = 2, 3
+
+
+def _hashed(kind: str, *parts: Column) -> Column:
+    """A key as 64 bits, so that a number of keys is a number of bytes; keys that collide are told apart when verified."""
+    return F.xxhash64(F.lit(kind), *parts)
+
+
+def _pieces(word: Column, size: int) -> Column:
+    """The pieces of ``size`` characters of a word."""
+    places = F.when(F.length(word) >= size, F.sequence(F.lit(1), F.length(word) - size + 1)).otherwise(
+        F.array().cast("array<int>"))
+    return F.transform(places, lambda i: word.substr(i, F.lit(size)))
+
+
+def name_anchors(names: DataFrame, name: str) -> DataFrame:
+    """(name, kind, a, b, size, key) of the keys of distinct names; a text that holds a name holds all of its keys."""
+    words = names.select(name, F.split(name, r"\s+").alias("w")).withColumn("m", F.size("w"))
+
+    def rows(at_words: str, kind: str, found: Column) -> DataFrame:
+        return words.where(at_words).select(name, F.lit(kind).alias("kind"), F.explode(found).alias("s")).select(
+            name, "kind", "s.a", "s.b", "s.size")
+
+    def longest(found: Column) -> Column:
+        """The few longest of an array of structs (length, ...)."""
+        return F.slice(F.sort_array(F.array_distinct(found), asc=False), 1, ANCHORS)
+
+    def side(word: Column, at_end: bool) -> Column:
+        size = F.least(F.lit(SEAM_SIDE), F.length(word))
+        return F.right(word, size) if at_end else F.left(word, size)
+
+    inner = F.slice("w", F.lit(2), F.greatest(F.lit(0), F.col("m") - 3))
+    after = F.slice("w", F.lit(3), F.greatest(F.lit(0), F.col("m") - 3))
+    pairs = longest(F.zip_with(inner, after, lambda a, b: F.struct(
+        (F.length(a) + F.length(b)).alias("size"), a.alias("a"), b.alias("b"))))
+    first, last = F.col("w")[0], F.col("w")[1]
+    seam = F.array(F.struct(side(first, True).alias("a"), side(last, False).alias("b"), F.lit(0).alias("size")))
+    piece = F.least(F.lit(PIECE_SIZE), F.length(first))
+    pieces = F.when(F.length(first) > 2, _pieces(first, 3)).when(F.length(first) > 1, _pieces(first, 2)).otherwise(
+        _pieces(first, 1))
+    found = rows("m > 3", PAIR, pairs).unionByName(
+        rows("m = 3", WORD, F.array(F.struct(F.col("w")[1].alias("a"), F.lit("").alias("b"), F.lit(0).alias("size"))))).unionByName(
+        rows("m = 2", SEAM, seam)).unionByName(rows("m = 1", PIECE, F.transform(
+            F.array_distinct(pieces), lambda g: F.struct(g.alias("a"), F.lit("").alias("b"), piece.alias("size")))))
+    return found.withColumn("key", F.xxhash64("kind", "a", "b"))
+
+
+def _text_keys(texts: DataFrame, shapes: list) -> DataFrame:
+    """(_key, key) of the texts (_key, words): all keys of the shapes that names have (kind, length of a and of b)."""
+    kinds = {s.kind for s in shapes}
+    found = []
+    if kinds & {PAIR, SEAM}:
+        n = F.greatest(F.lit(0), F.size("words") - 1)
+        # Neighbours are exploded first and hashed as columns, which keeps both in generated code.
+        pairs = texts.select("_key", F.inline(F.arrays_zip(
+            F.slice("words", F.lit(1), n).alias("a"), F.slice("words", F.lit(2), n).alias("b"))))
+        keys = [_hashed(PAIR, F.col("a"), F.col("b"))] if PAIR in kinds else []
+        keys += [_hashed(SEAM, F.right("a", F.lit(s.la)), F.left("b", F.lit(s.lb))) for s in shapes if s.kind == SEAM]
+        found.append(pairs.select("_key", keys[0].alias("key") if len(keys) == 1 else F.explode(F.array(*keys)).alias("key")))
+    if kinds & {WORD, PIECE}:
+        single = texts.select("_key", F.explode("words").alias("a"))
+        if WORD in kinds:
+            found.append(single.select("_key", _hashed(WORD, F.col("a"), F.lit("")).alias("key")))
+        for s in shapes:
+            if s.kind == PIECE:
+                pieces = single.distinct().select("_key", F.explode(_pieces(F.col("a"), s.la)).alias("g"))
+                found.append(pieces.select("_key", _hashed(PIECE, F.col("g"), F.lit("")).alias("key")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def first_name_in_text(
@@ -163,26 +226,33 @@ def first_name_in_text(
 ) -> DataFrame:
     """Adds the first listed name that occurs in the text as a substring, null when none does.
 
-    A text that holds a name holds each piece of the name's longest word inside one of its own words. Of these the
-    piece that the fewest texts hold is joined, so common syllables bring no candidates, and each candidate is
-    verified. Names are found per distinct text: what a row gets depends on its text alone, not on ``text_id``.
-    Null and blank names match nothing; names without a position come last, equal positions by the name.
+    A text that holds a name holds the name's keys: two neighbouring words from inside it, or, for shorter names, the
+    inner word, the characters around the only blank, or pieces of the only word. Texts are filtered by the keys that names
+    have; of the keys of a name the one that the fewest texts hold brings the candidates, and each is verified. Texts
+    are not moved, only their digests. What a row gets depends on its text alone, not on ``text_id``. Null and blank
+    names match nothing; names without a position come last, equal positions by the name.
     """
     listed = names.select(F.col(name).alias("n"), F.col(position).alias("p")).filter("trim(n) <> ''").distinct()
-    held = texts.select(F.col(text).alias("_text")).filter("_text is not null").distinct().withColumn("_key", F.md5("_text"))
-    wanted = listed.select("n").distinct().withColumn("_gram", F.explode(_anchors(F.col("n"))))
-    grams = held.select("_key", F.explode(_grams(F.split("_text", r"\s+"))).alias("_gram"))
-    grams = grams.join(maybe_broadcast(wanted.select("_gram").distinct()), "_gram", "left_semi")
-    spread = grams.groupBy("_gram").agg(F.count("*").alias("_spread"))
-    rare = wanted.join(spread, "_gram", "left").groupBy("n").agg(
-        F.min(F.struct(F.coalesce("_spread", F.lit(0)).alias("s"), F.col("_gram").alias("g"))).alias("a"))
-    rare = rare.filter("a.s > 0").select("n", F.col("a.g").alias("_gram"))
-    candidates = grams.join(rare, "_gram").select("_key", "n")
-    checked = candidates.join(held, "_key").filter(F.col("_text").contains(F.col("n"))).select("_key", "n").join(listed, "n")
-    first = checked.groupBy("_key").agg(F.min_by("n", F.struct(F.col("p").isNull().alias("l"), "p", "n")).alias(out))
+    anchors = durable(name_anchors(listed.select("n").distinct(), "n"))
+    shapes = anchors.select("kind", F.when(F.col("kind").isin(SEAM, PIECE), F.length("a")).alias("la"),
+                            F.when(F.col("kind") == SEAM, F.length("b")).alias("lb")).distinct().collect()  # 14 at most
     keyed = texts.withColumn("_key", F.md5(F.col(text)))
-    blank = keyed.filter(F.col("_key").isNull()).withColumn(out, F.lit(None).cast("string"))
-    return keyed.filter(F.col("_key").isNotNull()).join(first, "_key", "left").unionByName(blank).drop("_key")
+    known = keyed.filter("_key is not null")
+    blank = keyed.filter("_key is null").withColumn(out, F.lit(None).cast("string"))
+    if not shapes:
+        return known.withColumn(out, F.lit(None).cast("string")).unionByName(blank).drop("_key")
+    keys = _text_keys(known.select("_key", F.split(F.col(text), r"\s+").alias("words")), shapes)
+    hits = durable(keys.join(maybe_broadcast(anchors.select("key").distinct()), "key", "left_semi").distinct())
+    spread = hits.groupBy("key").agg(F.count("*").alias("_spread"))
+    rare = anchors.join(spread, "key", "left").groupBy("n").agg(
+        F.min(F.struct(F.coalesce("_spread", F.lit(0)).alias("s"), F.col("key").alias("k"))).alias("a"))
+    rare = rare.filter("a.s > 0").select("n", F.col("a.k").alias("key"))
+    candidates = hits.join(rare, "key").select("_key", "n").distinct()
+    # Few texts have candidates: where these are few as well, they go to the texts and no text is moved.
+    checked = known.select("_key", F.col(text).alias("_text")).join(maybe_broadcast(candidates), "_key").filter(
+        F.col("_text").contains(F.col("n"))).select("_key", "n").distinct().join(listed, "n")
+    first = checked.groupBy("_key").agg(F.min_by("n", F.struct(F.col("p").isNull().alias("l"), "p", "n")).alias(out))
+    return known.join(maybe_broadcast(durable(first)), "_key", "left").unionByName(blank).drop("_key")
 
 
 def district_by_keyword(texts: DataFrame, districts: DataFrame, text_id: str, text: str, name: str,
@@ -212,8 +282,10 @@ def district_by_keyword(texts: DataFrame, districts: DataFrame, text_id: str, te
     listed = names.select(F.col("n").alias("_run")).distinct()
     named = runs.select("_key", run.alias("_run")).join(listed, "_run", "left_semi")
     guess = first_name_in_text(low, names, text_id, "_low", "n", "p", out="_first").withColumn("_key", F.md5("_low"))
-    return guess.join(named, "_key", "left").withColumn(out, F.coalesce("_run", "_first", F.lit(""))).drop(
-        "_key", "_low", "_run", "_first")
+    run = guess.filter("_key is not null").join(named, "_key", "left")
+    # Null texts match no run; they stay out of the join, where they would all share one key.
+    run = run.unionByName(guess.filter("_key is null").withColumn("_run", F.lit(None).cast("string")))
+    return run.withColumn(out, F.coalesce("_run", "_first", F.lit(""))).drop("_key", "_low", "_run", "_first")
 
 
 def tag_words(texts: DataFrame, dictionary: DataFrame, text_id: str, text: str) -> DataFrame:
