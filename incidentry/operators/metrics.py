@@ -123,9 +123,13 @@ def confusion(df: DataFrame, by: list[str], truth: str, pred: str) -> DataFrame:
     return null_safe(cells, rows, [*by, truth]).withColumn("proportion", F.col("n") / F.col("_row")).drop("_row")
 
 
-def class_counts(df: DataFrame, by: list[str], truth: str, pred: str, labels: list[str] | None = None) -> DataFrame:
-    """tp, fp, fn, support per class; a fixed label list adds classes without rows and leaves others out."""
-    cells = df.groupBy(*by, truth, pred).agg(F.count("*").alias("_n"))
+def class_counts(df: DataFrame, by: list[str], truth: str, pred: str, labels: list[str] | None = None,
+                 weight: str | None = None) -> DataFrame:
+    """tp, fp, fn, support per class; a fixed label list adds classes without rows and leaves others out.
+
+    With ``weight``, a column of whole numbers, each row counts as often as it says.
+    """
+    cells = df.groupBy(*by, truth, pred).agg((F.sum(weight) if weight else F.count("*")).alias("_n"))
     same = F.col(truth).eqNullSafe(F.col(pred))
     sides = F.array(
         F.struct(F.col(truth).alias("label"), F.when(same, F.col("_n")).otherwise(0).alias("tp"), F.lit(0).alias("fp"),

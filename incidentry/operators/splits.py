@@ -134,6 +134,9 @@ def poisson_count(u: Column, rate: Column | float, terms: int = TERMS) -> Column
             term *= rate / k
             total += term
             count = count + F.when(u > total, 1).otherwise(0)
+            # The rest of the terms together is at most twice the next one: no number of 53 bits lies beyond it.
+            if k > 2 * rate and 2 * term * rate / (k + 1) < 2.0 ** -54:
+                break
         return count
     first = F.exp(-rate)
 

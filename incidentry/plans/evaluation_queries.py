@@ -501,7 +501,7 @@ def _pairs(spark, d):
 SELECT grp, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS lower, round(quantile_cont(v, 0.975), 6) AS upper, count(v) AS replicates FROM s GROUP BY 1""")
 def b01(spark, d):
     score = bootstrap.count_scores("true_label", "prediction_model")["mae"]
-    out = bootstrap.bootstrap_interval(_pairs(spark, d), "incident_number", ["grp"], score, REPS)
+    out = bootstrap.bootstrap_interval(_pairs(spark, d), "incident_number", ["grp"], score, REPS, mode="exact")
     return rounded(out, "mean", "lower", "upper")
 
 
@@ -514,7 +514,7 @@ def b01(spark, d):
 SELECT round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS lower, round(quantile_cont(v, 0.975), 6) AS upper, count(v) AS replicates FROM s""")
 def b02(spark, d):
     out = bootstrap.out_of_bag_class_f1(
-        _pairs(spark, d), "incident_number", [], "true_label", "prediction_baseline", "weighted", REPS)
+        _pairs(spark, d), "incident_number", [], "true_label", "prediction_baseline", "weighted", REPS, mode="exact")
     return rounded(out, "mean", "lower", "upper")
 
 
@@ -525,7 +525,7 @@ SELECT round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS lower, rou
 def b02b(spark, d):
     long = views.scored(spark, d).filter("model = 'large'").withColumn(
         "id", F.col("row_id") * 2 + F.when(F.col("label") == "toxic", 1).otherwise(0))
-    return rounded(bootstrap.out_of_bag_micro_f1(long, "id", [], REPS), "mean", "lower", "upper")
+    return rounded(bootstrap.out_of_bag_micro_f1(long, "id", [], REPS, mode="exact"), "mean", "lower", "upper")
 
 
 SCORES_SQL = ", ".join(
@@ -544,7 +544,7 @@ SCORES_SQL = ", ".join(
 SELECT grp, metric, round(bm, 6) AS baseline_mean, round(mm, 6) AS model_mean, round(p, 6) AS p, round(mm - bm, 6) AS diff, p < 0.05 AS significant,
  CASE WHEN metric IN ('mae', 'rmse', 'nonzero_mae') THEN mm < bm ELSE mm > bm END AS better FROM a""")
 def b03(spark, d):
-    out = bootstrap.paired_count_test(_pairs(spark, d), "incident_number", ["grp"], REPS)
+    out = bootstrap.paired_count_test(_pairs(spark, d), "incident_number", ["grp"], REPS, mode="exact")
     return rounded(out, "baseline_mean", "model_mean", "p", "diff")
 
 
@@ -556,6 +556,102 @@ def b03b(spark, d):
     return rounded(out, "baseline_mean", "model_mean", "p", "diff")
 
 
+def cells_sql(source: str, columns: list[str], left_out: bool = False) -> str:
+    """(rep, columns, w): draws per cell, as Poisson numbers of its size or binomial numbers of those left out."""
+    cols, name = ", ".join(columns), " || ':' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in columns)
+    if left_out:
+        pmf = "CASE WHEN k < n THEN exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - k + (n - k) * ln(1 - exp(-1))) ELSE 2 END"
+        far = "least(n, greatest(0, floor(n * exp(-1) + z * sqrt(n * exp(-1) * (1 - exp(-1))) + (1 - 2 * exp(-1)) * (z * z - 1) / 6 + 0.5)))"
+    else:
+        pmf, far = "exp(-n + k * ln(n) - lgamma(k + 1))", "greatest(0, floor(n + z * sqrt(n) + (z * z - 1) / 6 + 0.5))"
+    return f"""cl AS (SELECT {cols}, count(*) AS n FROM {source} GROUP BY ALL),
+ dg AS (SELECT *, md5('42:' || rep || ':' || {name}) AS h FROM cl, range({REPS}) AS a(rep)),
+ un AS (SELECT *, (CAST('0x' || h[1:13] AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE AS u, (CAST('0x' || h[14:26] AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE AS v FROM dg),
+ zn AS (SELECT *, sqrt(-2 * ln(u)) * cos(2 * pi() * v) AS z FROM un),
+ cd AS (SELECT n, k, sum({pmf}) OVER (PARTITION BY n ORDER BY k) AS c FROM (SELECT DISTINCT n FROM cl WHERE n <= 30), range(120) AS r(k)),
+ dw AS (SELECT * FROM (SELECT {cols}, rep, CAST(CASE WHEN zn.n <= 30 THEN (SELECT count(*) FROM cd WHERE cd.n = zn.n AND zn.u > cd.c) ELSE {far} END AS BIGINT) AS w FROM zn) WHERE w > 0)"""
+
+
+LC = PAIRED[:PAIRED.index("rn AS")]
+COUNT_CELLS = ["grp", "truth", "base", "model"]
+INTERVAL_SQL = "round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS lower, round(quantile_cont(v, 0.975), 6) AS upper, count(v) AS replicates FROM s"
+
+
+@query("b01_interval_by_cells", LC + cells_sql("lc", COUNT_CELLS) + f""", s AS (SELECT rep, grp, sum(w * abs(model - truth)) / sum(w)::DOUBLE AS v FROM dw GROUP BY 1, 2)
+SELECT grp, {INTERVAL_SQL} GROUP BY 1""")
+def b01c(spark, d):
+    score = bootstrap.count_scores("true_label", "prediction_model")["mae"]
+    out = bootstrap.bootstrap_interval(_pairs(spark, d), "incident_number", ["grp"], score, REPS,
+                                       columns=["grp", "true_label", "prediction_baseline", "prediction_model"])
+    return rounded(out, "mean", "lower", "upper")
+
+
+@query("b01_exact_core_by_cells", LOC + PARSED_SQL + f""", e AS (SELECT region, {' + '.join(f'CAST({x} AS INTEGER)' for x in LEQ.values())} AS lv,
+   CAST({' AND '.join(LEQ.values())} AS INTEGER) AS ex, CAST({LEQ['state']} AND {LEQ['district']} AND {LEQ['village']} AS INTEGER) AS co FROM f), """
+       + cells_sql("e", ["region", "lv", "ex", "co"]) + f""", s AS (SELECT rep, region, 100 * sum(w * co) / sum(w)::DOUBLE AS v FROM dw GROUP BY 1, 2)
+SELECT region, {INTERVAL_SQL} GROUP BY 1""")
+def b01d(spark, d):
+    out = bootstrap.location_interval(views.located(spark, d), ["region"], "ground_truth", "prediction", reps=REPS)
+    return rounded(out, "mean", "lower", "upper")
+
+
+OOB_K = """, l AS (SELECT rep, truth AS label FROM dw UNION SELECT rep, base FROM dw),
+ k AS (SELECT l.rep, label, sum(w) FILTER (truth = label AND base = label) AS tp, sum(w) FILTER (truth <> label AND base = label) AS fp,
+   sum(w) FILTER (truth = label AND base <> label) AS fn FROM l JOIN dw ON dw.rep = l.rep GROUP BY 1, 2),
+ z AS (SELECT rep, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn FROM k),
+ s AS (SELECT rep, {score} AS v FROM z GROUP BY 1) SELECT """ + INTERVAL_SQL
+
+
+@query("b02_weighted_f1_by_cells", LC + cells_sql("lc", ["truth", "base"], True)
+       + OOB_K.format(score="sum(2 * tp / (2 * tp + fp + fn)::DOUBLE * (tp + fn)) / sum(tp + fn)"))
+def b02c(spark, d):
+    out = bootstrap.out_of_bag_class_f1(
+        _pairs(spark, d), "incident_number", [], "true_label", "prediction_baseline", "weighted", REPS)
+    return rounded(out, "mean", "lower", "upper")
+
+
+@query("b02_macro_f1_by_cells", LC + cells_sql("lc", ["truth", "base"], True) + OOB_K.format(score="avg(2 * tp / (2 * tp + fp + fn)::DOUBLE)"))
+def b02d(spark, d):
+    out = bootstrap.out_of_bag_class_f1(
+        _pairs(spark, d), "incident_number", [], "true_label", "prediction_baseline", "macro", REPS)
+    return rounded(out, "mean", "lower", "upper")
+
+
+@query("b02_micro_f1_by_cells", with_(SCORED_SQL) + "SELECT model, mean, lower, upper, replicates FROM (WITH " + cells_sql("long", ["model", "truth", "pred"], True) + f""",
+ s AS (SELECT model, rep, 2 * sum(w * truth * pred) / (2 * sum(w * truth * pred) + sum(w * abs(truth - pred)))::DOUBLE AS v FROM dw GROUP BY 1, 2)
+SELECT model, {INTERVAL_SQL} GROUP BY 1)""")
+def b02e(spark, d):
+    """Both models and both labels, whole table."""
+    return rounded(bootstrap.out_of_bag_micro_f1(views.scored(spark, d), "", ["model"], REPS), "mean", "lower", "upper")
+
+
+SIGNIFICANCE_SQL = """ a AS (SELECT grp, metric, avg(b) AS bm, avg(m) AS mm, least(1.0, 2 * least(avg(CASE WHEN m - b <= 0 THEN 1.0 ELSE 0 END), avg(CASE WHEN m - b >= 0 THEN 1.0 ELSE 0 END))) AS p FROM l GROUP BY 1, 2)
+SELECT grp, metric, round(bm, 6) AS baseline_mean, round(mm, 6) AS model_mean, round(p, 6) AS p, round(mm - bm, 6) AS diff, p < 0.05 AS significant,
+ CASE WHEN metric IN ('mae', 'rmse', 'nonzero_mae') THEN mm < bm ELSE mm > bm END AS better FROM a"""
+
+
+@query("b03_significance_by_cells", LC + cells_sql("lc", COUNT_CELLS) + f""", s AS (SELECT rep, grp, {SCORES_SQL} FROM dw GROUP BY 1, 2),
+ l AS (SELECT grp, metric, b, m FROM s, LATERAL (VALUES ('mae', b_mae, m_mae), ('rmse', b_rmse, m_rmse), ('within_1', b_within_1, m_within_1),
+   ('within_2', b_within_2, m_within_2), ('nonzero_mae', b_nonzero_mae, m_nonzero_mae)) AS v(metric, b, m)),""" + SIGNIFICANCE_SQL)
+def b03c(spark, d):
+    out = bootstrap.paired_count_test(_pairs(spark, d), "incident_number", ["grp"], REPS)
+    return rounded(out, "baseline_mean", "model_mean", "p", "diff")
+
+
+@query("b03_location_significance", LOC + PARSED_SQL + f""", e AS (SELECT region AS grp, {' + '.join(f'CAST({x} AS INTEGER)' for x in LEQ.values())} AS lv,
+   CAST({' AND '.join(LEQ.values())} AS INTEGER) AS ex, CAST({LEQ['state']} AND {LEQ['district']} AND {LEQ['village']} AS INTEGER) AS co, incident_number % 9 = 0 AS right_one FROM f),
+ o AS (SELECT *, CASE WHEN right_one THEN 4 ELSE lv END AS mlv, CASE WHEN right_one THEN 1 ELSE ex END AS mex, CASE WHEN right_one THEN 1 ELSE co END AS mco FROM e), """
+       + cells_sql("o", ["grp", "lv", "ex", "co", "mlv", "mex", "mco"]) + """, s AS (SELECT rep, grp, sum(w * lv) * 25.0 / sum(w) AS b_f, sum(w * mlv) * 25.0 / sum(w) AS m_f,
+   sum(w * ex) * 100.0 / sum(w) AS b_e, sum(w * mex) * 100.0 / sum(w) AS m_e, sum(w * co) * 100.0 / sum(w) AS b_c, sum(w * mco) * 100.0 / sum(w) AS m_c FROM dw GROUP BY 1, 2),
+ l AS (SELECT grp, metric, b, m FROM s, LATERAL (VALUES ('micro_f1', b_f, m_f), ('exact_match', b_e, m_e), ('exact_core_match', b_c, m_c)) AS v(metric, b, m)),""" + SIGNIFICANCE_SQL)
+def b03d(spark, d):
+    """A model that is right on every ninth row and like the baseline on all others."""
+    t = views.located(spark, d).withColumn("model_prediction", F.when(
+        F.col("incident_number") % 9 == 0, F.col("ground_truth")).otherwise(F.col("prediction")))
+    out = bootstrap.paired_location_test(t, ["region"], "ground_truth", "prediction", "model_prediction", REPS)
+    return rounded(out, "baseline_mean", "model_mean", "p", "diff").withColumnRenamed("region", "grp")
+
+
 @query("b06_validate_metrics", CNT + """, m AS (SELECT priority, avg(abs(prediction - true_label)) AS mae, avg(CASE WHEN prediction = true_label THEN 1.0 ELSE 0 END) AS exact_match FROM counted GROUP BY 1)
 SELECT priority, metric, round(difference, 6) AS difference, difference <= 0.01 AS within_tolerance FROM m,
  LATERAL (VALUES ('mae', abs(mae - round(mae, 1))), ('exact_match', abs(exact_match - round(exact_match, 3)))) AS v(metric, difference)""")

@@ -398,6 +398,41 @@ def test_interval_holds_the_estimate(spark, mode):
     assert row.mean == pytest.approx(point, rel=0.05)
 
 
+@pytest.mark.parametrize("size", [1, 7, 30, 31, 400, 10 ** 6])
+def test_cells_are_drawn_as_their_rows_would_be(spark, size):
+    """Mean and variance of drawn rows are the size, those of left-out rows that of the size's trials."""
+    digests = spark.range(4000).select(F.md5(F.col("id").cast("string")).alias("d"), F.lit(size).cast("long").alias("n"))
+    drawn = digests.select(bootstrap.poisson_of_size(F.col("d"), F.col("n")).alias("k"))
+    out = digests.select(bootstrap.binomial_of_size(F.col("d"), F.col("n"), bootstrap.LEFT_OUT).alias("k"))
+    p = math.exp(-1)
+    for df, mean, var in ((drawn, size, size), (out, size * p, size * p * (1 - p))):
+        row = df.agg(F.avg("k").alias("m"), F.variance("k").alias("v"), F.min("k").alias("lo"), F.max("k").alias("hi")).first()
+        assert row.m == pytest.approx(mean, abs=5 * math.sqrt(var / 4000))
+        assert row.v == pytest.approx(var, rel=0.15)
+        assert row.lo >= 0 and (df is drawn or row.hi <= size)
+
+
+def test_cells_cost_replicates_times_cells(spark):
+    df = spark.range(20_000).select("id", (F.col("id") % 4).alias("true_label"), (F.col("id") % 5 % 4).alias("prediction"))
+    df = df.unionByName(spark.createDataFrame([(-1, None, 1), (-2, None, None)], df.schema))
+    cells = bootstrap.resample_cells(df, ["true_label", "prediction"], 9)
+    assert cells.count() <= 9 * 18
+    score = bootstrap.count_scores("true_label", "prediction")["mae"]
+    row = bootstrap.bootstrap_interval(df, "id", [], score, 80).first()
+    point = metrics.count_metrics(df.filter("id >= 0"), []).first().mae
+    assert row.lower < point < row.upper and row.replicates == 80
+    assert bootstrap.bootstrap_interval(df.limit(0), "id", [], score, 5).first().replicates == 0
+
+
+def test_paired_locations_of_equal_models_do_not_differ(spark):
+    rows = [(i, "a" if i % 2 else None, f"state: s{i % 3}, village: v{i % 5}", f"state: S{i % 3}, village: v{i % 4}") for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, g string, truth string, pred string")
+    got = bootstrap.paired_location_test(df, ["g"], "truth", "pred", "pred", 40).collect()
+    assert len(got) == 6 and all(r["diff"] == 0 and r.p == 1.0 and not r.significant for r in got)
+    better = bootstrap.paired_location_test(df, ["g"], "truth", "pred", "truth", 40).collect()
+    assert all(r.p == 0.0 and r.better and r.model_mean == 100 for r in better)
+
+
 def test_p_value_bounds(spark):
     df = spark.createDataFrame([("same", 0.0)] * 4 + [("up", 1.0)] * 4 + [("half", 1.0), ("half", -1.0)], "g string, d double")
     got = dict(rows_of(df.groupBy("g").agg(bootstrap.p_value(F.col("d")).alias("p")), "g", "p"))
