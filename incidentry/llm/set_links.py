@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from incidentry.llm.common import arrow_schema, written
-from incidentry.llm.components import components
 
 #: So many sets or fewer outside the major component of a group are paired with the rest of it at once.
 FEW = 16
@@ -155,9 +154,9 @@ def _keys_outside(rows: DataFrame, around: DataFrame) -> DataFrame:
         "needed", F.expr("greatest(1, (4 * (n + greatest(least, (4 * n + 4) div 5)) + 8) div 9 - overlap)"))
     held = held.where("size(outside) >= needed")
     tokens = held.select("ref", "centre", "root", F.explode("outside").alias("token"))
-    shared = written(tokens.groupBy("centre", "token").agg(
+    shared = tokens.groupBy("centre", "token").agg(
         F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("count")).where("lo <> hi").select(
-        "centre", "token", "count"), "outer-tokens")
+        "centre", "token", "count")
     lists = tokens.join(shared, ["centre", "token"]).groupBy("ref", "centre").agg(
         F.sort_array(F.collect_list(F.struct("count", "token"))).alias("shared"))
     lists = held.drop("outside").join(lists, ["ref", "centre"]).where("size(shared) >= needed")
@@ -166,6 +165,14 @@ def _keys_outside(rows: DataFrame, around: DataFrame) -> DataFrame:
     return keys.select(F.xxhash64("centre", "t.token").alias("key"), "ref", "n", "cap", F.lit(True).alias("short"), "rank")
 
 
+def _reached(links: DataFrame) -> DataFrame:
+    """(node, root): the least node within two links and the node itself. All of a star get one root."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+    return both.join(near.select(F.col("a").alias("b"), "m"), "b").groupBy(F.col("a").alias("node")).agg(
+        F.least(F.col("a"), F.min("m")).alias("root"))
+
+
 def links_within(keys: DataFrame, full: DataFrame, known: DataFrame,
                  sieve: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Links (a, b) that join every two linked sets under a common key of ``keys``; ``known`` are links found before.
@@ -174,20 +181,15 @@ def links_within(keys: DataFrame, full: DataFrame, known: DataFrame,
     compared.
     """
     sieve = sieve or (lambda pairs: pairs)
-    found, pairs, tried = known, [], None
+    found, pairs = written(known, "known-links"), []
     allowed = max(PAIRS_AT_ONCE, keys.count())
     while True:
         rows = written(_centred(keys), "centred-keys")
-        if rows.isEmpty():
-            break
         stars = rows.where("ref <> centre").select(*unordered("ref", "centre")).distinct()
-        if tried is not None:
-            stars = stars.join(tried, ["a", "b"], "left_anti")
         checked = written(verified(sieve(stars), full), "star-links")
-        tried = checked.select("a", "b") if tried is None else tried.unionByName(checked.select("a", "b"))
         found = found.unionByName(checked.where("linked").select("a", "b"))
         # Components need not be whole here: what is taken apart too far is paired, not lost.
-        rows = written(_still_open(rows, components(found, rounds=1)), "open-keys")
+        rows = written(_still_open(rows, _reached(found)), "open-keys")
         large = rows.where(F.col("minors") > FEW)
         left = large.agg(F.coalesce(F.sum("minors"), F.lit(0))).first()[0]
         if left <= allowed:
@@ -197,8 +199,5 @@ def links_within(keys: DataFrame, full: DataFrame, known: DataFrame,
         around = written(_around(large, full), "around-centre")
         keys = written(_keys_inside(large.join(around.drop("outside"), ["ref", "centre"])).unionByName(
             _keys_outside(large, around)), "narrower-keys")
-    if not pairs:
-        return found
-    rest = reduce(DataFrame.unionByName, pairs).distinct().join(tried, ["a", "b"], "left_anti")
-    rest = written(sieve(rest), "cross-pairs")
+    rest = written(sieve(reduce(DataFrame.unionByName, pairs).distinct()), "cross-pairs")
     return found.unionByName(verified(rest, full).where("linked").select("a", "b"))
