@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,21 +66,44 @@ def _near_span(text: str, wanted: str, slack: int = 10) -> tuple[int, int] | Non
     return None
 
 
-def _fuzzy_span(text: str, wanted: str, threshold: float, margin: int) -> tuple[int, int] | None:
+def _letters(words: list[str]) -> np.ndarray:
+    """How often each word has a to z, and any other character, as rows."""
+    out = np.zeros((len(words), 27), np.int64)
+    for row, word in zip(out, words):
+        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) - 97
+        np.add.at(row, np.where((codes >= 0) & (codes < 26), codes, 26), 1)
+    return out
+
+
+def _windows(words: list[str], wanted: list[str], threshold: float) -> list[tuple[int, int]]:
+    """Windows (from, to) of the words that may have an indel ratio of ``threshold`` with ``wanted``.
+
+    Two texts have no longer common subsequence than common characters, and these are counted from running sums.
+    """
+    n, most = len(words), len(wanted) + 2
+    first = np.repeat(np.arange(n), most)
+    last = first + np.tile(np.arange(1, most + 1), n)
+    first, last = first[last <= n], last[last <= n]
+    sums = np.zeros((n + 1, 27), np.int64)
+    np.cumsum(_letters(words), axis=0, out=sums[1:])
+    blanks, own = last - first - 1, _letters(wanted).sum(axis=0)
+    letters = sums[last] - sums[first]
+    common = np.minimum(letters, own).sum(axis=1) + np.minimum(blanks, len(wanted) - 1)
+    both = letters.sum(axis=1) + blanks + own.sum() + len(wanted) - 1
+    hopeful = 200.0 * common >= threshold * both
+    return list(zip(first[hopeful].tolist(), last[hopeful].tolist()))
+
+
+def _fuzzy_span(text: str, words: list[str], wanted: str, threshold: float, margin: int) -> tuple[int, int] | None:
     """Best token window with an indel ratio of at least ``threshold``; earliest and shortest on ties."""
-    words, size = _normal(text).split(), len(wanted.split())
     risky = any(w in wanted for w in RISKY_WORDS)
     windows = []
-    for i in range(len(words)):
-        for j in range(i + 1, min(i + size + 2, len(words)) + 1):
-            window = " ".join(words[i:j])
-            if 200.0 * min(len(window), len(wanted)) < threshold * (len(window) + len(wanted)):
+    for i, j in _windows(words, wanted.split(), threshold):
+        if risky:
+            around = " ".join(words[max(0, i - margin) : j + margin])
+            if not any(w in around for w in SUPPORT_WORDS):
                 continue
-            if risky:
-                around = " ".join(words[max(0, i - margin) : j + margin])
-                if not any(w in around for w in SUPPORT_WORDS):
-                    continue
-            windows.append(window)
+        windows.append(" ".join(words[i:j]))
     if not windows:
         return None
     ratios = indel_block(windows, [wanted] * len(windows))
@@ -94,18 +118,25 @@ def _fuzzy_span(text: str, wanted: str, threshold: float, margin: int) -> tuple[
 def loose_span(threshold: float = 85.0, context_words: int = 3):
     """Arrow UDF (text, name) to struct(start, end): normal-form match, then fuzzy token windows.
 
-    Rows with a null text are skipped, so the caller blanks out the ones already solved.
+    Rows with a null text are skipped, so the caller blanks out the ones already solved. A batch searches each distinct
+    pair once and brings each distinct text to its normal form once.
     """
 
     @F.pandas_udf("start int, end int")
     def find(texts: pd.Series, names: pd.Series) -> pd.DataFrame:
+        found: dict[tuple, tuple[int, int] | None] = {}
+        words: dict[str, list[str]] = {}
         out = []
         for text, name in zip(texts, names, strict=True):
             span = None
             if text and name:
-                wanted = _normal(name)
-                if wanted:
-                    span = _near_span(text, wanted) or _fuzzy_span(text, wanted, threshold, context_words)
+                if (text, name) not in found:
+                    wanted = _normal(name)
+                    if text not in words:
+                        words[text] = _normal(text).split()
+                    found[text, name] = wanted and (
+                        _near_span(text, wanted) or _fuzzy_span(text, words[text], wanted, threshold, context_words)) or None
+                span = found[text, name]
             out.append(span or (None, None))
         return pd.DataFrame(out, columns=["start", "end"]).astype("Int32")
 

@@ -93,9 +93,13 @@ def series_key(url: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    """Unicode compatibility form. Pure ASCII text passes untouched."""
-    return texts.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFKC", s))
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda s: s if s is None else unicodedata.normalize("NFKC", s))
+
+
+def nfkc(c: Column) -> Column:
+    """Unicode compatibility form. Pure ASCII text is its own form and is not sent to Python."""
+    return F.coalesce(_nfkc(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
 
 
 # Spelled-out numbers, in search order.

@@ -49,6 +49,31 @@ def average_precision(long: DataFrame, by: list[str], truth: str = "truth", scor
     return s.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("positives") > 0, gain)), F.lit(0.0)).alias("average_precision"))
 
 
+def pr_auc(long: DataFrame, by: list[str], truth: str = "truth", score: str = "prob") -> DataFrame:
+    """Area under the precision-recall curve, integrated between neighbouring scores; null without positives.
+
+    Along a step true and false positives grow in proportion, so precision is ``x / (a x + b)`` of the true positives ``x``
+    and has a closed integral. Each step needs its own counts only.
+    """
+    s = score_steps(long, by, truth, score)
+    gained, before_tp, before_fp = F.col("_pos"), F.col("tp") - F.col("_pos"), F.col("fp") - F.col("_neg")
+    slope = F.col("_neg") / gained
+    a, b = 1 + slope, before_fp - slope * before_tp
+    curved = gained / a - b / (a * a) * F.log((F.col("tp") + F.col("fp")) / (before_tp + before_fp))
+    area = F.when(gained > 0, F.when(b == 0, gained / a).otherwise(curved)).otherwise(0.0)
+    positives = F.max("positives")
+    return s.groupBy(*by).agg(F.when(positives > 0, F.sum(area) / positives).alias("pr_auc"))
+
+
+def pr_auc_summary(long: DataFrame, by: list[str], truth: str = "truth", score: str = "prob") -> DataFrame:
+    """Micro (labels pooled) and macro (mean over labels) area under the precision-recall curve per group."""
+    micro = pr_auc(long, by, truth, score).withColumnRenamed("pr_auc", "micro")
+    macro = pr_auc(long, [*by, "label"], truth, score).groupBy(*by).agg(F.avg("pr_auc").alias("macro"))
+    if by:
+        return null_safe(micro, macro, by)
+    return micro.withColumn("macro", macro.scalar())
+
+
 def average_precision_summary(long: DataFrame, by: list[str], truth: str = "truth", score: str = "prob") -> DataFrame:
     """Micro (labels pooled) and macro (mean over labels) average precision per group."""
     micro = average_precision(long, by, truth, score).withColumnRenamed("average_precision", "micro")

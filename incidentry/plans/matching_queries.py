@@ -284,6 +284,27 @@ def n02(spark, d):
     return entities.align_places(coded, "incident_number").select("incident_number", "start", "end", "label", "text")
 
 
+def _seen(spark, d, wanted):
+    a = altered(spark, d)
+    return a.select("incident_number", F.col("p_name").alias("village_name"),
+                    F.concat(F.lit("Seen near "), wanted(a), F.lit(", no one hurt")).alias("incident_summary"))
+
+
+@query("n02_normal_spans", """SELECT p_partkey AS incident_number, 10 AS start, CAST(11 + length(p_name) AS INTEGER) AS "end", 'VILLAGE' AS label,
+ substr(p_name, 1, instr(p_name, ' ') - 1) || ', ' || substr(p_name, instr(p_name, ' ') + 1) AS text FROM part WHERE contains(p_name, ' ')""")
+def n02b(spark, d):
+    """Names that stand in the text with a comma inside: equal in normal form, one character longer as written."""
+    coded = _seen(spark, d, lambda a: F.regexp_replace("p_name", "^([^ ]*) ", "$1, ")).filter("village_name like '% %'")
+    return entities.align_places(coded, "incident_number").select("incident_number", "start", "end", "label", "text")
+
+
+@query("n03_misspelt_spans", with_(ALTERED_SQL) + """SELECT incident_number, 10 AS start, CAST(10 + length(village_name) AS INTEGER) AS "end", 'VILLAGE' AS label, village_name AS text FROM altered""")
+def n03(spark, d):
+    """Misspelt names at a known place: the fuzzy window is the name as written."""
+    coded = _seen(spark, d, lambda a: F.col("village_name"))
+    return entities.align_places(coded, "incident_number").select("incident_number", "start", "end", "label", "text")
+
+
 @query("n14_accepted_candidates", """WITH p AS (SELECT a.vec_id, 'c' || a.vec_id % 200 AS text, list_cosine_similarity([x::DOUBLE for x in a.embedding], [x::DOUBLE for x in b.embedding]) AS s FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
  k AS (SELECT text, vec_id, s, row_number() OVER (PARTITION BY text ORDER BY vec_id) AS rn FROM p WHERE s BETWEEN 0.0 AND 0.5 AND text NOT IN (SELECT 'c' || doc_id FROM labels WHERE toxic = 1))
 SELECT text, vec_id, round(s, 6) AS similarity FROM k WHERE rn = 1""")

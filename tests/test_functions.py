@@ -1,5 +1,6 @@
 """Edge rows of the column functions, with values worked out by hand."""
 
+import random
 import pytest
 from pyspark.sql import functions as F
 
@@ -344,6 +345,24 @@ def test_loose_spans(spark):
     assert got[5] == (None, None)  # a risky name needs support nearby
 
 
+def test_fuzzy_windows_lose_none():
+    """A window with a high enough ratio is never ruled out by its characters."""
+    r = random.Random(4)
+    ruled_out = 0
+    for _ in range(60):
+        words = ["".join(r.choice("abcdé") for _ in range(r.randint(1, 6))) for _ in range(r.randint(0, 15))]
+        wanted = "".join(r.choice("abcdé") for _ in range(4)) + " " + r.choice(words or ["abc"])
+        size = len(wanted.split())
+        every = {(i, j) for i in range(len(words)) for j in range(i + 1, min(i + size + 2, len(words)) + 1)}
+        kept = set(spans._windows(words, wanted.split(), 70.0))
+        assert kept <= every
+        for i, j in every - kept:
+            ruled_out += 1
+            text = " ".join(words[i:j])
+            assert 200.0 * lcs_plain(text, wanted) < 70.0 * (len(text) + len(wanted))
+    assert ruled_out > 100
+
+
 def test_token_tags(spark):
     df = spark.createDataFrame([("in New Delhi city", [(3, 12, "STATE", "New Delhi")])],
                                f"text string, entities {spans.ENTITY}")

@@ -433,6 +433,29 @@ def test_paired_locations_of_equal_models_do_not_differ(spark):
     assert all(r.p == 0.0 and r.better and r.model_mean == 100 for r in better)
 
 
+def test_pr_auc_is_the_integral_of_precision(spark):
+    """Against a sum over very short pieces of each step; ties, a first step of negatives, and groups of one class."""
+    groups = {"mixed": [(0.9, 1), (0.9, 0), (0.8, 0), (0.7, 1), (0.7, 1), (0.7, 0), (0.2, 0), (0.1, 1)],
+              "late": [(0.9, 0), (0.8, 0), (0.5, 1), (0.4, 0), (0.3, 1)], "right": [(0.9, 1), (0.8, 1), (0.1, 0)],
+              "none": [(0.9, 0)], "all": [(0.4, 1), (0.4, 1)]}
+    rows = [(g, p, t) for g, xs in groups.items() for p, t in xs]
+    got = dict(rows_of(curves.pr_auc(spark.createDataFrame(rows, "g string, prob double, truth int"), ["g"]), "g", "pr_auc"))
+    for g, xs in groups.items():
+        total = sum(t for _, t in xs)
+        if not total:
+            assert got[g] is None
+            continue
+        tp = fp = area = 0.0
+        for p in sorted({p for p, _ in xs}, reverse=True):
+            dp, dq = sum(t for q, t in xs if q == p), sum(1 - t for q, t in xs if q == p)
+            pieces = 20_000
+            for k in range(pieces if dp else 0):
+                share = (k + 0.5) / pieces
+                area += dp / pieces * (tp + dp * share) / (tp + dp * share + fp + dq * share)
+            tp, fp = tp + dp, fp + dq
+        assert got[g] == pytest.approx(area / total, abs=1e-6)
+
+
 def test_p_value_bounds(spark):
     df = spark.createDataFrame([("same", 0.0)] * 4 + [("up", 1.0)] * 4 + [("half", 1.0), ("half", -1.0)], "g string, d double")
     got = dict(rows_of(df.groupBy("g").agg(bootstrap.p_value(F.col("d")).alias("p")), "g", "p"))
