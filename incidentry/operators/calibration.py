@@ -3,36 +3,78 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from incidentry.functions.probability import binary_nll, sigmoid, softmax_nll
+from incidentry.functions.probability import array_sum, sigmoid
+from incidentry.functions.text import let
 from incidentry.operators import curves, metrics
+from incidentry.session import durable, maybe_broadcast
 
 
-def _search(df: DataFrame, loss, low: float, high: float, points: int = 25, rounds: int = 4) -> float:
-    """Temperature with the least mean loss: a log grid in one pass, then finer grids around the best."""
-    a, b = math.log(low), math.log(high)
-    best = 1.0
-    for _ in range(rounds):
-        grid = [math.exp(a + (b - a) * i / (points - 1)) for i in range(points)]
-        row = df.agg(*[F.avg(loss(t)).alias(f"t{i}") for i, t in enumerate(grid)]).first()
-        losses = [math.inf if x is None or math.isnan(x) else x for x in row]
-        i = losses.index(min(losses))
-        best = grid[i]
-        a, b = math.log(grid[max(i - 1, 0)]), math.log(grid[min(i + 1, points - 1)])
-    return best
+#: Newton steps at most; the loss is convex in the inverse temperature and a few do.
+STEPS = 60
+
+
+def _fitted(rows: DataFrame, slope: Callable[[Column], Column], curvature: Callable[[Column], Column], low: float,
+            high: float) -> float:
+    """Temperature in [low, high] with the least loss over ``rows`` (n times each), 1 where there are none.
+
+    Newton steps on the inverse temperature, each one aggregate of slope and curvature. The root stays between two
+    known sides of it, and a step that would leave these halves them instead.
+    """
+    a, b, at = 1 / high, 1 / low, 1.0
+    for _ in range(STEPS):
+        beta, n = F.lit(at), F.col("n")
+        row = rows.agg(F.sum(n * slope(beta)).alias("s"), F.sum(n * curvature(beta)).alias("c")).first()
+        if row.s is None or row.s == 0:
+            break
+        a, b = (a, at) if row.s > 0 else (at, b)
+        new = at - row.s / row.c if row.c else math.inf
+        if not a < new < b:
+            new = (a + b) / 2
+        if abs(new - at) <= 1e-13 * at:
+            break
+        at = new
+    return 1 / at
 
 
 def fit_softmax_temperature(df: DataFrame, logits: str, label: str) -> float:
-    """Temperature in [0.001, 1000] for class logits (array) and 0-based labels."""
-    return _search(df, lambda t: softmax_nll(F.col(logits), F.col(label), t), 1e-3, 1e3, points=41)
+    """Temperature in [0.001, 1000] for class logits (array) and 0-based labels. Rows with a null are left out.
+
+    The rows are read once, as the distances of a row's logits from that of its label.
+    """
+    away = F.transform(logits, lambda x: (x - F.element_at(F.col(logits), F.col(label).cast("int") + 1)).cast("double"))
+    known = df.filter(F.col(logits).isNotNull() & F.col(label).isNotNull())
+    rows = durable(known.groupBy(F.array_sort(away).alias("d")).agg(F.count("*").alias("n")))
+
+    def moments(beta: Column) -> Column:
+        top = F.array_max("d")
+        return let(F.transform("d", lambda x: F.exp(beta * (x - top))), lambda p: F.struct(
+            array_sum(p).alias("w"), array_sum(F.zip_with(p, F.col("d"), lambda q, x: q * x)).alias("x"),
+            array_sum(F.zip_with(p, F.col("d"), lambda q, x: q * x * x)).alias("xx")))
+
+    def mean(beta: Column) -> Column:
+        return let(moments(beta), lambda m: m["x"] / m["w"])
+
+    def spread(beta: Column) -> Column:
+        return let(moments(beta), lambda m: m["xx"] / m["w"] - F.pow(m["x"] / m["w"], 2))
+
+    return _fitted(rows, mean, spread, 1e-3, 1e3)
 
 
 def fit_sigmoid_temperature(long: DataFrame, logit: str = "logit", truth: str = "truth") -> float:
-    """Temperature in [0.1, 10] for independent label logits."""
-    return _search(long, lambda t: binary_nll(F.col(logit), F.col(truth), t), 0.1, 10.0)
+    """Temperature in [0.1, 10] for independent label logits. Rows with a null are left out; the rest is read once."""
+    known = long.select(F.col(logit).cast("double").alias("z"), F.col(truth).cast("double").alias("y")).dropna()
+    rows = durable(known.groupBy("z", "y").agg(F.count("*").alias("n")))
+    z, y = F.col("z"), F.col("y")
+
+    def p(beta: Column) -> Column:
+        return F.lit(1.0) / (1.0 + F.exp(-beta * z))
+
+    return _fitted(rows, lambda beta: z * (p(beta) - y), lambda beta: z * z * p(beta) * (1.0 - p(beta)), 0.1, 10.0)
 
 
 def temperature_table(df: DataFrame, loss, temperatures: list[float]) -> DataFrame:
@@ -61,7 +103,7 @@ def calibrate_and_tune(val: DataFrame, test: DataFrame, objective: str = "micro"
         out = out.withColumn("threshold", best)
     else:
         tuned = curves.best_thresholds(val_p, ["label"]).select("label", "threshold")
-        out = out.join(F.broadcast(tuned), "label")  # one row per label
+        out = out.join(maybe_broadcast(tuned), "label")
     return out.withColumns({
         "pred": (F.col("prob") >= F.col("threshold")).cast("int"),
         "pred_uncalibrated": (F.col("prob_uncalibrated") > 0.5).cast("int"), "temperature": F.lit(t)})

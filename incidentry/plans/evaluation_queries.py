@@ -488,6 +488,43 @@ def b11(spark, d):
     return rounded(calibration.calibrated_report(tuned), "precision", "recall", "f1")
 
 
+def newton_sql(source: str, slope: str, curvature: str, out: str) -> str:
+    """Newton steps on the inverse temperature ``r.b`` over a table; the last one's inverse as ``out.t``."""
+    return f"""{out}_r AS (SELECT 0 AS i, 1.0::DOUBLE AS b UNION ALL
+   SELECT r.i + 1, r.b - x.s / x.c FROM {out}_r r, LATERAL (SELECT sum({slope}) AS s, sum({curvature}) AS c FROM {source}) x WHERE r.i < 12),
+ {out} AS (SELECT 1 / b AS t FROM {out}_r WHERE i = 12)"""
+
+
+SIGMOID_NEWTON = newton_sql("sv", "z * (1 / (1 + exp(-r.b * z)) - truth)", "z * z / (1 + exp(-r.b * z)) * (1 - 1 / (1 + exp(-r.b * z)))", "sg")
+SOFTMAX_E = "list_transform(d, lambda x: exp(r.b * (x - list_max(d))))"
+SOFTMAX_M = f"list_sum(list_transform(list_zip(d, {SOFTMAX_E}), lambda q: q[1] * q[2])) / list_sum({SOFTMAX_E})"
+SOFTMAX_V = f"list_sum(list_transform(list_zip(d, {SOFTMAX_E}), lambda q: q[1] * q[1] * q[2])) / list_sum({SOFTMAX_E}) - pow({SOFTMAX_M}, 2)"
+
+
+@query("b10_fitted_temperatures", "WITH RECURSIVE" + SCO[4:] + """, sv AS (SELECT prob * 6 - 3 AS z, truth FROM scored), sf AS (
+   SELECT [x - v[y + 1] for x in v] AS d FROM (SELECT vec_id % 64 AS y, list_concat([10 * v0[vec_id % 64 + 1] + 3 * (vec_id % 3)], [10 * x for x in v0]) AS v
+     FROM (SELECT vec_id, [x::DOUBLE for x in embedding] AS v0 FROM embeddings))),
+ """ + SIGMOID_NEWTON + ", " + newton_sql("sf", SOFTMAX_M, SOFTMAX_V, "sx") + """
+SELECT 'sigmoid' AS kind, round(t, 6) AS temperature FROM sg UNION ALL SELECT 'softmax', round(t, 6) FROM sx""")
+def b10c(spark, d):
+    """Both models' logits, and vectors whose first entry lies above that of the label in two of three rows."""
+    long = views.scored(spark, d).withColumn("logit", F.col("prob") * 6 - 3)
+    own = F.element_at("v0", (F.col("vec_id") % 64 + 1).cast("int"))
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v0")).select(
+        (F.col("vec_id") % 64).alias("y"), F.concat(
+            F.array(10 * own + 3 * (F.col("vec_id") % 3)), F.transform("v0", lambda x: 10 * x)).alias("v"))
+    found = [("sigmoid", calibration.fit_sigmoid_temperature(long)), ("softmax", calibration.fit_softmax_temperature(e, "v", "y"))]
+    return rounded(spark.createDataFrame(found, "kind string, temperature double"), "temperature")
+
+
+@query("b11_fitted_then_label_thresholds", "WITH RECURSIVE" + SCO[4:] + ", sv AS (SELECT prob * 6 - 3 AS z, truth FROM scored WHERE model = 'base' AND row_id % 2 = 0), "
+       + SIGMOID_NEWTON + B11_SQL[len(SCO):].replace("/ 1.5))", "/ (SELECT t FROM sg)))"))
+def b11c(spark, d):
+    long = _logits(spark, d)
+    tuned = calibration.calibrate_and_tune(long.filter("row_id % 2 = 0"), long.filter("row_id % 2 = 1"), "macro")
+    return rounded(calibration.calibrated_report(tuned), "precision", "recall", "f1")
+
+
 # ---- bootstrap ---------------------------------------------------------------------------
 
 REPS = 50
