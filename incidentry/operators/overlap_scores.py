@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
@@ -21,13 +23,18 @@ def ngrams(tokens: Column, n: int) -> Column:
         F.array().cast("array<string>"))
 
 
-def _shared(df: DataFrame, keys: list[str], pred: Column, truth: Column) -> DataFrame:
-    """Per row: n-grams shared (each at most as often as in the truth), and both totals, by one aggregation."""
-    both = df.select(*keys, F.explode(F.concat(
-        F.transform(pred, lambda g: F.struct(g.alias("g"), F.lit(1).alias("p"), F.lit(0).alias("t"))),
-        F.transform(truth, lambda g: F.struct(g.alias("g"), F.lit(0).alias("p"), F.lit(1).alias("t"))))).alias("x"))
-    grams = both.groupBy(*keys, "x.g").agg(F.sum("x.p").alias("p"), F.sum("x.t").alias("t"))
-    return grams.groupBy(*keys).agg(
+def _shared(df: DataFrame, keys: list[str], pred: Column, truth: Column, orders: Sequence[int]) -> DataFrame:
+    """Per row and order ``k``: n-grams shared (each at most as often as in the truth), and both totals.
+
+    The n-grams of all orders and both sides are exploded together and shuffled once.
+    """
+    def side(tokens: Column, k: int, p: int) -> Column:
+        return F.transform(ngrams(tokens, k), lambda g: F.struct(
+            F.lit(k).alias("k"), g.alias("g"), F.lit(p).alias("p"), F.lit(1 - p).alias("t")))
+
+    every = F.concat(*[side(tokens, k, p) for k in orders for tokens, p in ((pred, 1), (truth, 0))])
+    grams = df.select(*keys, F.inline(every)).groupBy(*keys, "k", "g").agg(F.sum("p").alias("p"), F.sum("t").alias("t"))
+    return grams.groupBy(*keys, "k").agg(
         F.sum(F.least("p", "t")).alias("shared"), F.sum("p").alias("n_pred"), F.sum("t").alias("n_truth"))
 
 
@@ -35,11 +42,14 @@ def bleu(df: DataFrame, id_col: str, pred: str, truth: str, order: int = 4) -> D
     """One row: corpus BLEU, brevity penalty and the n-gram precisions, one reference text per row."""
     p, t = words(F.col(pred)), words(F.col(truth))
     sizes = df.agg(F.sum(F.size(p)).alias("pred_length"), F.sum(F.size(t)).alias("truth_length"))
-    out = sizes
-    for n in range(1, order + 1):
-        s = _shared(df, [id_col], ngrams(p, n), ngrams(t, n))
-        precision = s.agg(F.when(F.sum("n_pred") > 0, F.sum("shared") / F.sum("n_pred")).otherwise(F.lit(0.0))).scalar()
-        out = out.withColumn(f"precision_{n}", precision)
+    s = _shared(df, [id_col], p, t, range(1, order + 1))
+
+    def precision(k: int) -> Column:
+        total = F.sum(F.when(F.col("k") == k, F.col("n_pred")))
+        return F.when(total > 0, F.sum(F.when(F.col("k") == k, F.col("shared"))) / total).otherwise(F.lit(0.0))
+
+    found = s.agg(F.struct(*[precision(k).alias(f"precision_{k}") for k in range(1, order + 1)])).scalar()
+    out = sizes.withColumn("_found", found).select("*", "_found.*").drop("_found")
     logs = F.array(*[F.log(F.col(f"precision_{n}")) for n in range(1, order + 1)])
     penalty = F.when(F.col("pred_length") >= F.col("truth_length"), F.lit(1.0)).when(
         F.col("pred_length") > 0, F.exp(1 - F.col("truth_length") / F.col("pred_length"))).otherwise(F.lit(0.0))
@@ -48,25 +58,32 @@ def bleu(df: DataFrame, id_col: str, pred: str, truth: str, order: int = 4) -> D
     return out.withColumns({"brevity_penalty": penalty, "bleu": score})
 
 
+def subsequence_length(x: Sequence, y: Sequence) -> int:
+    """Length of the longest common subsequence, with the rows of its table as the bits of one number."""
+    places: dict = {}
+    for i, w in enumerate(y):
+        places[w] = places.get(w, 0) | 1 << i
+    full = (1 << len(y)) - 1
+    row = full
+    for w in x:
+        met = row & places.get(w, 0)
+        row = (row + met | row - met) & full
+    return len(y) - row.bit_count()
+
+
 @F.pandas_udf(IntegerType())
 def common_subsequence(a, b):
-    """Length of the longest common subsequence of two token arrays."""
-    import numpy as np
+    """Length of the longest common subsequence of two token arrays; each distinct pair of a batch is compared once."""
     import pandas as pd
 
-    def one(x, y):
-        if x is None or y is None or not len(x) or not len(y):
-            return 0
-        ids = {w: i for i, w in enumerate(dict.fromkeys([*x, *y]))}
-        xs = [ids[w] for w in x]
-        ys = np.array([ids[w] for w in y])
-        row = np.zeros(len(ys) + 1, dtype=np.int64)
-        for w in xs:
-            step = np.where(ys == w, row[:-1] + 1, 0)
-            row[1:] = np.maximum.accumulate(np.maximum(row[1:], step))
-        return int(row[-1])
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
+    seen: dict = {}
+    out = []
+    for x, y in zip(a, b, strict=True):
+        pair = (() if x is None else tuple(x), () if y is None else tuple(y))
+        if pair not in seen:
+            seen[pair] = subsequence_length(*pair)
+        out.append(seen[pair])
+    return pd.Series(out, dtype="int32")
 
 
 def rouge(df: DataFrame, id_col: str, pred: str, truth: str) -> DataFrame:
@@ -78,11 +95,9 @@ def rouge(df: DataFrame, id_col: str, pred: str, truth: str) -> DataFrame:
         return F.when(n_p + n_t > 0, 2 * shared / (n_p + n_t)).otherwise(F.lit(0.0))
 
     n = df.agg(F.count("*")).scalar()
-    out = None
-    for k in (1, 2):
-        s = _shared(df, [id_col], ngrams(tokens(pred), k), ngrams(tokens(truth), k))
-        one = s.agg((F.coalesce(F.sum(f(F.col("shared"), F.col("n_pred"), F.col("n_truth"))), F.lit(0.0)) / n).alias(f"rouge{k}"))
-        out = one if out is None else out.withColumn(f"rouge{k}", one.scalar())
+    score = f(F.col("shared"), F.col("n_pred"), F.col("n_truth"))
+    out = _shared(df, [id_col], tokens(pred), tokens(truth), (1, 2)).agg(*[
+        (F.coalesce(F.sum(F.when(F.col("k") == k, score)), F.lit(0.0)) / n).alias(f"rouge{k}") for k in (1, 2)])
     t = df.select(tokens(pred).alias("p"), tokens(truth).alias("t"))
     lcs = t.agg(F.avg(f(common_subsequence("p", "t"), F.size("p"), F.size("t"))))
     return out.withColumn("rougeL", lcs.scalar())

@@ -456,6 +456,13 @@ def test_pr_auc_is_the_integral_of_precision(spark):
         assert got[g] == pytest.approx(area / total, abs=1e-6)
 
 
+def test_subsequence_lengths():
+    r = random.Random(6)
+    for _ in range(300):
+        x, y = ([r.choice("abcd") for _ in range(r.randrange(0, 90))] for _ in range(2))
+        assert overlap_scores.subsequence_length(x, y) == lcs_plain(x, y)
+
+
 def test_p_value_bounds(spark):
     df = spark.createDataFrame([("same", 0.0)] * 4 + [("up", 1.0)] * 4 + [("half", 1.0), ("half", -1.0)], "g string, d double")
     got = dict(rows_of(df.groupBy("g").agg(bootstrap.p_value(F.col("d")).alias("p")), "g", "p"))
