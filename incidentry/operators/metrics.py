@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from incidentry.functions import places
 from incidentry.functions.similarity import close_enough
 from incidentry.operators.ranks import null_safe, quantiles
+from incidentry.session import durable
 
 
 def ratio(num: Column, den: Column, scale: float = 1.0) -> Column:
@@ -43,12 +45,26 @@ def drop_or_miss(df: DataFrame, pred: str, on_null: str, miss) -> DataFrame:
 # ---- counts ------------------------------------------------------------------------------
 
 
+def count_cells(df: DataFrame, by: list[str], truth: str, pred: str, extracted: str | None = None) -> DataFrame:
+    """(by, truth, pred[, extracted], _n): rows of equal numbers as one, from one read of the table.
+
+    Cells of parts of a table add up, and every count metric follows from them, so they are what to keep and merge.
+    """
+    keys = [*by, truth, pred, *([extracted] if extracted else [])]
+    return df.groupBy(*keys).agg(F.count("*").alias("_n"))
+
+
+def _cell_mean(value: Column) -> Column:
+    """Mean over the rows of cells; nulls carry no weight."""
+    return F.sum(value * F.col("_n")) / F.sum(F.when(value.isNotNull(), F.col("_n")))
+
+
 def _count_aggs(truth: str, pred: str) -> dict[str, Column]:
     err = F.abs(F.col(pred) - F.col(truth))
     return {
-        "mae": F.avg(err), "rmse": F.sqrt(F.avg(err * err)),
-        "exact_match": F.avg((err == 0).cast("int")),
-        "within_1": F.avg((err <= 1).cast("int")), "within_2": F.avg((err <= 2).cast("int")),
+        "mae": _cell_mean(err), "rmse": F.sqrt(_cell_mean(err * err)),
+        "exact_match": _cell_mean((err == 0).cast("int")),
+        "within_1": _cell_mean((err <= 1).cast("int")), "within_2": _cell_mean((err <= 2).cast("int")),
     }
 
 
@@ -56,16 +72,20 @@ def count_metrics(
     df: DataFrame, by: list[str], truth: str = "true_label", pred: str = "prediction",
     extracted: str | None = None, on_null: str = "drop",
 ) -> DataFrame:
-    """Count-error metrics per group: mae, rmse, mdae, exact, within 1 and 2, nonzero mae, extraction rate, n."""
-    data = drop_or_miss(df, pred, on_null, 0)
+    """Count-error metrics per group: mae, rmse, mdae, exact, within 1 and 2, nonzero mae, extraction rate, n.
+
+    The table is read once, into cells of equal counts; the median comes from the cells' cumulated sizes.
+    """
+    cells = durable(count_cells(drop_or_miss(df, pred, on_null, 0), by, truth, pred, extracted))
     err = F.abs(F.col(pred) - F.col(truth))
-    rate = F.avg(F.col(extracted).cast("int")) if extracted else F.lit(1.0)
-    main = data.groupBy(*by).agg(
+    rate = _cell_mean(F.col(extracted).cast("int")) if extracted else F.lit(1.0)
+    main = cells.groupBy(*by).agg(
         *[c.alias(n) for n, c in _count_aggs(truth, pred).items()],
-        F.coalesce(F.avg(F.when(F.col(truth) > 0, err)), F.lit(0.0)).alias("nonzero_mae"),
-        rate.alias("extraction_rate"), F.count("*").alias("n"),
+        F.coalesce(_cell_mean(F.when(F.col(truth) > 0, err)), F.lit(0.0)).alias("nonzero_mae"),
+        rate.alias("extraction_rate"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n"),
     )
-    median = quantiles(data.withColumn("_err", err), by, "_err", {"mdae": 0.5})
+    median = quantiles(cells.withColumn("_err", err).withColumnRenamed("_n", "_size_of_cell"), by, "_err", {"mdae": 0.5},
+                       weight="_size_of_cell")
     return null_safe(main, median, by) if by else main.withColumn("mdae", median.scalar())
 
 
@@ -73,24 +93,25 @@ def count_metrics(
 COUNT_BINS = ((0, "0"), (1, "1"), (2, "2"), (3, "3-5"), (6, "6+"))
 
 
-def count_bin(truth: Column) -> Column:
-    """Bin of a true count, closed on the left; null below 0."""
-    out = F.when(truth >= COUNT_BINS[-1][0], COUNT_BINS[-1][1])
-    for low, name in reversed(COUNT_BINS[:-1]):
+def count_bin(truth: Column, bins: Sequence[tuple[float, str]] = COUNT_BINS) -> Column:
+    """Bin of a true count, closed on the left; null below the first."""
+    out = F.when(truth >= bins[-1][0], bins[-1][1])
+    for low, name in reversed(bins[:-1]):
         out = out.when(truth >= low, name)
     return out
 
 
 def count_metrics_by_bin(
     df: DataFrame, by: list[str], truth: str = "true_label", pred: str = "prediction", on_null: str = "drop",
+    bins: Sequence[tuple[float, str]] = COUNT_BINS,
 ) -> DataFrame:
-    """Count-error metrics per group and true-count bin; bins without rows appear with zeros."""
-    data = drop_or_miss(df, pred, on_null, 0).withColumn("bin", count_bin(F.col(truth)))
-    got = data.filter("bin is not null").groupBy(*by, "bin").agg(
-        *[c.alias(n) for n, c in _count_aggs(truth, pred).items()], F.count("*").alias("n"))
-    bins = F.array(*[F.lit(name) for _, name in COUNT_BINS])
-    groups = data.select(*by).distinct() if by else df.sparkSession.range(1).drop("id")
-    grid = groups.withColumn("bin", F.explode(bins))
+    """Count-error metrics per group and true-count bin (lower bound, name); bins without rows appear with zeros."""
+    cells = durable(count_cells(drop_or_miss(df, pred, on_null, 0), by, truth, pred)).withColumn(
+        "bin", count_bin(F.col(truth), bins))
+    got = cells.filter("bin is not null").groupBy(*by, "bin").agg(
+        *[c.alias(n) for n, c in _count_aggs(truth, pred).items()], F.sum("_n").alias("n"))
+    groups = cells.select(*by).distinct() if by else df.sparkSession.range(1).drop("id")
+    grid = groups.withColumn("bin", F.explode(F.array(*[F.lit(name) for _, name in bins])))
     return null_safe(grid, got, [*by, "bin"], "left").na.fill(0)
 
 

@@ -51,12 +51,14 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     return running_totals(df.withColumn("_one", F.lit(1).cast("bigint")), [], order, {"_one": name}).drop("_one")
 
 
-def quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+def quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[str, float], weight: str | None = None) -> DataFrame:
     """Exact quantiles per group with linear interpolation; nulls are left out.
 
-    Equal values are merged before the shuffle, and no group is held in one task.
+    Equal values are merged before the shuffle, and no group is held in one task. With ``weight``, a column of whole
+    numbers, each row stands for so many equal ones.
     """
-    freq = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_n"))
+    freq = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(
+        (F.sum(weight) if weight else F.count("*")).alias("_n"))
     cum = running_totals(freq, groups, [F.col(value).asc()], {"_n": "_cum"})
     size = cum.groupBy(*groups).agg(F.max("_cum").alias("_size"))
     ranked = null_safe(cum, size, groups) if groups else cum.withColumn("_size", size.scalar())

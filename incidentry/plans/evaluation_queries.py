@@ -53,6 +53,14 @@ def a32(spark, d):
     return rounded(out, "mae", "rmse", "exact_match", "within_1", "within_2")
 
 
+@query("a32_count_metrics_own_bins", CNT + f""", b AS (SELECT *, CASE WHEN true_label >= 3 THEN 'many' WHEN true_label >= 1 THEN 'few' END AS bin FROM counted),
+ m AS (SELECT bin, {COUNT_AGGS_SQL}, count(*) AS n FROM b WHERE bin IS NOT NULL GROUP BY 1)
+SELECT bin, mae, rmse, exact_match, within_1, within_2, n FROM m""")
+def a32b(spark, d):
+    out = metrics.count_metrics_by_bin(views.counted(spark, d), [], bins=((1, "few"), (3, "many")))
+    return rounded(out, "mae", "rmse", "exact_match", "within_1", "within_2")
+
+
 PRF = """round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END, 6) AS precision,
  round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0 END, 6) AS recall,
  round(CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn)::DOUBLE ELSE 0 END, 6) AS f1"""
