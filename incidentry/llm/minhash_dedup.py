@@ -81,17 +81,16 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n, the fingerprint ``ref`` of its set, the band keys and the signature bytes; null for no words."""
+    """Per row: id, n, the fingerprint ``ref`` of its set and the band keys; these are null for no words."""
 
     def one(i, text):
         tokens = shingle_set(text)
         if not len(tokens):
-            return i, 0, fingerprint(tokens), None, None
-        least = minima(tokens)
-        return i, len(tokens), fingerprint(tokens), band_keys(least).tolist(), least.astype(np.uint8).tobytes()
+            return i, 0, fingerprint(tokens), None
+        return i, len(tokens), fingerprint(tokens), band_keys(minima(tokens)).tolist()
 
     kind = dict(docs.dtypes)[id_col]
-    return row_map(docs, one, f"id {kind}, n int, ref long, bands array<long>, signature binary", [id_col, text_col], rows=200)
+    return row_map(docs, one, f"id {kind}, n int, ref long, bands array<long>", [id_col, text_col], rows=200)
 
 
 def buckets(rows: DataFrame) -> DataFrame:
@@ -101,39 +100,29 @@ def buckets(rows: DataFrame) -> DataFrame:
     return bands.join(shared, "key", "left_semi").distinct()
 
 
-def _alike(classes: DataFrame):
-    """A sieve: the pairs (a, b) whose signatures agree in enough places."""
-    import pyarrow as pa
+def signature(least: np.ndarray) -> bytes:
+    """One byte of each minimum."""
+    return least.astype(np.uint8).tobytes()
 
-    places = ROWS * BANDS
-    least = SIGNATURE_SHARE * places
 
-    def over(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, places) for c in (2, 3))
-            yield batch.filter(pa.array((x == y).sum(axis=1) >= least)).select([0, 1])
-
-    def sieve(pairs: DataFrame) -> DataFrame:
-        left, right = (classes.select(F.col("ref").alias(c), "n", "signature").withColumnsRenamed(
-            {"n": f"n_{c}", "signature": f"s_{c}"}) for c in ("a", "b"))
-        sized = pairs.join(left, "a").join(right, "b").where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
-        return sized.select("a", "b", "s_a", "s_b").mapInArrow(over, "a long, b long")
-
-    return sieve
+def alike(x: bytes, y: bytes) -> bool:
+    """Whether two signatures agree in enough places for linked sets."""
+    equal = int((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).sum())
+    return equal >= SIGNATURE_SHARE * ROWS * BANDS
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(ref, tokens) of the wanted classes (id of a row that holds the set, ref), from their texts."""
+    """(ref, tokens, signature) of the wanted classes (id of a row that holds the set, ref), from their texts."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
         checked_broadcast(wanted.select("id", F.col("ref").alias("wanted")), 32), "id")
 
     def one(ref, text):
         tokens = shingle_set(text)
-        return (ref, tokens.tolist()) if fingerprint(tokens) == ref else (None, None)
+        if fingerprint(tokens) != ref:
+            return None, None, None
+        return ref, tokens.tolist(), signature(minima(tokens))
 
-    found = row_map(texts, one, "ref long, tokens array<long>", ["wanted", "text"], rows=200)
+    found = row_map(texts, one, "ref long, tokens array<long>, signature binary", ["wanted", "text"], rows=200)
     return found.where("ref is not null").dropDuplicates(["ref"])
 
 
@@ -144,12 +133,12 @@ def links(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: st
     central = keys.groupBy("ref").agg((-F.count("*")).cast("double").alias("rank"))
     keys = keys.join(central, "ref").select("key", "ref", "n", F.col("n").alias("cap"), F.lit(True).alias("short"), "rank")
     met = written(rows.where("n > 0").join(central.select("ref"), "ref", "left_semi").groupBy("ref").agg(
-        F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature")), "bucketed-classes")
+        F.min("id").alias("id")), "bucketed-classes")
     full = written(_full_sets(docs, met.where("id is not null"), id_col, text_col), "full-sets")
     named = rows.where("n > 0").select("id", "ref")
     several = named.groupBy("id").agg(F.min("ref").alias("lo"), F.max("ref").alias("hi")).where("lo <> hi")
     one_id = named.join(several, "id").where("ref <> lo").select(F.col("ref").alias("a"), F.col("lo").alias("b"))
-    return links_within(keys, full, one_id, _alike(met))
+    return links_within(keys, full, one_id, alike)
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

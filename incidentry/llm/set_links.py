@@ -37,12 +37,16 @@ KEY = ("key", "ref", "n", "cap", "short", "rank")
 
 
 def with_sets(pairs: DataFrame, full: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``run(a, b, the set of a, the set of b)`` over pairs (a, b); it yields rows of ``schema``."""
+    """``run(a, b, the set of a, the set of b)`` over pairs (a, b); it yields rows of ``schema``.
+
+    ``full`` is (ref, tokens), one row a ref. Where it has signatures too, ``run`` gets both after the sets.
+    """
     import pyarrow as pa
 
     target = arrow_schema(schema)
-    left = full.select(F.col("ref").alias("a"), F.col("tokens").alias("a_tokens"))
-    right = full.select(F.col("ref").alias("b"), F.col("tokens").alias("b_tokens"))
+    signed = "signature" in full.columns
+    held = ["tokens", *(["signature"] if signed else [])]
+    left, right = (full.select(F.col("ref").alias(c), *[F.col(h).alias(f"{c}_{h}") for h in held]) for c in ("a", "b"))
 
     def over(batches):
         for batch in batches:
@@ -52,12 +56,14 @@ def with_sets(pairs: DataFrame, full: DataFrame, run: Callable, schema: str) ->
                 values.append(column.flatten().to_numpy(zero_copy_only=False))
                 offsets.append(column.offsets.to_numpy() - column.offsets[0].as_py())
             names = [batch.column(k).to_pylist() for k in (0, 1)]
-            rows = [row for i, (a, b) in enumerate(zip(*names))
-                    for row in run(a, b, *(v[o[i]:o[i + 1]] for v, o in zip(values, offsets)))]
+            signatures = zip(*(batch.column(k).to_pylist() for k in (4, 5))) if signed else [()] * batch.num_rows
+            rows = [row for i, (a, b, both) in enumerate(zip(*names, signatures))
+                    for row in run(a, b, *(v[o[i]:o[i + 1]] for v, o in zip(values, offsets)), *both)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t.type) for c, t in zip(zip(*rows) if rows else [()] * len(target), target)], schema=target)
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "a_tokens", "b_tokens").mapInArrow(over, schema)
+    columns = [f"{c}_{h}" for h in held for c in ("a", "b")]
+    return pairs.join(left, "a").join(right, "b").select("a", "b", *columns).mapInArrow(over, schema)
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -66,14 +72,16 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """(a, b, linked) of pairs (a, b), from their whole sets."""
+def verified(pairs: DataFrame, full: DataFrame, alike: Callable[[bytes, bytes], bool] | None = None) -> DataFrame:
+    """(a, b) of the pairs (a, b) that are linked: alike by their signatures, and by their whole sets."""
 
-    def run(a, b, x, y):
-        overlap = _common(x, y)
-        yield a, b, 100 * overlap >= 80 * (len(x) + len(y) - overlap)
+    def run(a, b, x, y, *signatures):
+        if alike is None or alike(*signatures):
+            overlap = _common(x, y)
+            if 100 * overlap >= 80 * (len(x) + len(y) - overlap):
+                yield a, b
 
-    return with_sets(pairs, full, run, "a long, b long, linked boolean").distinct()
+    return with_sets(pairs, full, run, "a long, b long")
 
 
 def unordered(a: str, b: str) -> list:
@@ -83,9 +91,9 @@ def unordered(a: str, b: str) -> list:
 def _centred(keys: DataFrame) -> DataFrame:
     """Keys that more than one set holds, with their most central set ``centre`` and their least size ``least``."""
     centres = keys.groupBy("key").agg(
-        F.min(F.struct("rank", "ref")).alias("c"), F.min("n").alias("least"),
+        F.min(F.struct("rank", "ref", "n")).alias("c"), F.min("n").alias("least"),
         F.min("ref").alias("lo"), F.max("ref").alias("hi")).where("lo <> hi").select(
-        "key", F.col("c.ref").alias("centre"), "least")
+        "key", F.col("c.ref").alias("centre"), F.col("c.n").alias("centre_n"), "least")
     return keys.join(centres, "key")
 
 
@@ -120,7 +128,7 @@ def _few_pairs(rows: DataFrame) -> DataFrame:
 def _around(rows: DataFrame, full: DataFrame) -> DataFrame:
     """(ref, centre, overlap, linked, outside) of the sets of ``rows`` held against the centres of their keys."""
 
-    def run(a, b, x, y):
+    def run(a, b, x, y, *signatures):
         outside = np.setdiff1d(x, y, assume_unique=True)
         overlap = len(x) - len(outside)
         yield a, b, overlap, 100 * overlap >= 80 * (len(x) + len(y) - overlap), outside.tolist()
@@ -174,20 +182,19 @@ def _reached(links: DataFrame) -> DataFrame:
 
 
 def links_within(keys: DataFrame, full: DataFrame, known: DataFrame,
-                 sieve: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+                 alike: Callable[[bytes, bytes], bool] | None = None) -> DataFrame:
     """Links (a, b) that join every two linked sets under a common key of ``keys``; ``known`` are links found before.
 
-    ``full`` is (ref, tokens). ``sieve`` may take out pairs (a, b) that are surely not linked before whole sets are
-    compared.
+    ``full`` is (ref, tokens[, signature]), one row a ref. ``alike`` may say from two signatures that a pair is surely
+    not linked, before whole sets are compared.
     """
-    sieve = sieve or (lambda pairs: pairs)
-    found, pairs = written(known, "known-links"), []
-    allowed = max(PAIRS_AT_ONCE, keys.count())
+    found, pairs, allowed = written(known, "known-links"), [], None
     while True:
         rows = written(_centred(keys), "centred-keys")
-        stars = rows.where("ref <> centre").select(*unordered("ref", "centre")).distinct()
-        checked = written(verified(sieve(stars), full), "star-links")
-        found = found.unionByName(checked.where("linked").select("a", "b"))
+        allowed = allowed or max(PAIRS_AT_ONCE, rows.count())
+        stars = rows.where("ref <> centre").where("5 * least(n, centre_n) >= 4 * greatest(n, centre_n)").select(
+            *unordered("ref", "centre")).distinct()
+        found = found.unionByName(written(verified(stars, full, alike), "star-links"))
         # Components need not be whole here: what is taken apart too far is paired, not lost.
         rows = written(_still_open(rows, _reached(found)), "open-keys")
         large = rows.where(F.col("minors") > FEW)
@@ -199,5 +206,5 @@ def links_within(keys: DataFrame, full: DataFrame, known: DataFrame,
         around = written(_around(large, full), "around-centre")
         keys = written(_keys_inside(large.join(around.drop("outside"), ["ref", "centre"])).unionByName(
             _keys_outside(large, around)), "narrower-keys")
-    rest = written(sieve(reduce(DataFrame.unionByName, pairs).distinct()), "cross-pairs")
-    return found.unionByName(verified(rest, full).where("linked").select("a", "b"))
+    rest = reduce(DataFrame.unionByName, pairs).distinct()
+    return found.unionByName(written(verified(rest, full, alike), "cross-links"))
