@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from incidentry.functions import spans
 from incidentry.functions.text import blank_to_null, strip
+from incidentry.operators.ranks import null_safe
 
 FIELD_LABELS = {"state": "STATE", "district": "DISTRICT", "village_name": "VILLAGE", "other_locations": "OTHER_LOCATION"}
 
+TOKEN_BLOCK = 1 << 16  # places of a document that one task reads together
+
 
 def align_places(df: DataFrame, id_col: str, text: str = "incident_summary", threshold: float = 85.0) -> DataFrame:
     """(id, start, end, label, text) of every coded place found in its text.
@@ -72,34 +75,70 @@ def dataset_statistics(ner: DataFrame) -> DataFrame:
 
 
 def tags_to_spans(tokens: DataFrame, doc: str = "doc_id", pos: str = "pos", token: str = "token",
-                  tag: str = "tag") -> DataFrame:
+                  tag: str = "tag", block: int = TOKEN_BLOCK) -> DataFrame:
     """Entity spans (doc, label, start_token, end_token, text) of BIO tags, one row per token in.
 
     A span begins at a B tag, or at an I tag that does not continue the label before
-    it. Special tokens and O end a span. The windows are per document.
+    it. Special tokens and O end a span. ``pos`` is a whole number; gaps are allowed.
+
+    Tokens are read in blocks of ``block`` places, so a document of any length spreads over
+    tasks. A span over block borders is found as one piece a block; what a block inherits
+    follows from the first and last rows of the blocks before it.
     """
     special = F.col(token).isin(*spans.SPECIAL_TOKENS)
     label = F.when(~special & F.col(tag).rlike("^[BI]-"), F.expr(f"substring(`{tag}`, 3)"))
-    order = W.partitionBy(doc).orderBy(pos)
-    t = tokens.withColumn("_label", label)
-    opens = F.col("_label").isNotNull() & (
-        F.col(tag).startswith("B-") | ~F.col("_label").eqNullSafe(F.lag("_label").over(order)))
+    unit = [doc, "_block"]
+    order = W.partitionBy(*unit).orderBy(pos)
+    t = tokens.select(
+        doc, F.floor(F.col(pos) / block).alias("_block"), pos, token, label.alias("_label"),
+        F.coalesce(F.col(tag).startswith("B-"), F.lit(False)).alias("_b"))
+    opens = F.col("_label").isNotNull() & (F.col("_b") | ~F.col("_label").eqNullSafe(F.lag("_label").over(order)))
     t = t.withColumn("_opens", opens.cast("int"))
-    t = t.withColumn("_span", F.sum("_opens").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    t = t.withColumn("_piece", F.sum("_opens").over(order.rowsBetween(W.unboundedPreceding, 0)))
+
     words = F.transform(F.array_sort(F.collect_list(F.struct(pos, token))), lambda x: x[token])
-    return t.filter("_label is not null").groupBy(doc, "_span").agg(
-        F.first("_label").alias("label"), F.min(pos).alias("start_token"), (F.max(pos) + 1).alias("end_token"),
-        F.array_join(words, " ").alias("text")).drop("_span")
+    pieces = t.filter("_label is not null").groupBy(*unit, "_piece").agg(
+        F.first("_label").alias("label"), F.min(pos).alias("_from"), F.max(pos).alias("_to"), words.alias("_words"))
+    owned = null_safe(pieces, _inherited(t, doc, pos), unit, "left")
+    mine = F.col("_owner").isNull() | (F.col("_piece") > 1)
+    parts = owned.select(
+        doc, "label", F.when(mine, F.struct("_block", F.col("_piece").cast("long").alias("_piece")))
+        .otherwise(F.struct(F.col("_owner._block"), F.col("_owner._piece"))).alias("_span"),
+        F.struct("_from", "_to", "_words").alias("_part"))
+    whole = parts.groupBy(doc, "_span").agg(
+        F.first("label").alias("label"), F.min("_part._from").alias("start_token"), (F.max("_part._to") + 1).alias("end_token"),
+        F.array_sort(F.collect_list("_part")).alias("_parts"))
+    text = F.array_join(F.flatten(F.transform("_parts", lambda x: x["_words"])), " ")
+    return whole.select(doc, "label", "start_token", "end_token", text.alias("text"))
+
+
+def _inherited(t: DataFrame, doc: str, pos: str) -> DataFrame:
+    """(doc, _block, _owner) of the blocks whose first piece goes on from an earlier block; the piece that owns it.
+
+    Works on one row per document and block. A block of one piece that itself goes on hands its owner down.
+    """
+    ends = t.groupBy(doc, "_block").agg(
+        F.min_by(F.struct("_label", "_b"), pos).alias("_head"), F.max_by("_label", pos).alias("_tail"),
+        F.sum("_opens").alias("_n"))
+    along = W.partitionBy(doc).orderBy("_block")
+    before = F.lag("_tail").over(along)
+    ends = ends.withColumn("_goes_on", F.coalesce(
+        ~F.col("_head._b") & (F.col("_head._label") == before), F.lit(False)))
+    begins = F.col("_n") > F.col("_goes_on").cast("int")
+    last = F.struct("_block", F.col("_n").cast("long").alias("_piece"))
+    owner = F.last(F.when(begins, last), ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, -1))
+    return ends.withColumn("_owner", owner).filter("_goes_on").select(doc, "_block", "_owner")
 
 
 def tag_arrays_to_spans(df: DataFrame, doc: str, tokens: str, tags: str) -> DataFrame:
     """The spans of :func:`tags_to_spans` from one row per document with arrays of tokens and tags.
 
     The tags are folded in the row, so nothing is shuffled or sorted. A span ends where the next place stands that
-    begins one or lies outside. Tags without a token and tokens without a tag are outside.
+    begins one or lies outside. Tags without a token and tokens without a tag are outside. Words are taken by their
+    place: a slice would copy the whole array for every span.
     """
     pairs = F.arrays_zip(F.col(tokens).alias("token"), F.col(tags).alias("tag"))
-    t = df.select(doc, F.transform(pairs, lambda x: F.struct(
+    t = df.select(doc, tokens, F.transform(pairs, lambda x: F.struct(
         x.token.alias("token"), x.tag.startswith("B-").alias("b"),
         F.when(x.token.isNotNull() & ~x.token.isin(*spans.SPECIAL_TOKENS) & x.tag.rlike("^[BI]-"),
                x.tag.substr(F.lit(3), F.length(x.tag))).alias("label"))).alias("_t"))
@@ -114,10 +153,10 @@ def tag_arrays_to_spans(df: DataFrame, doc: str, tokens: str, tags: str) -> Data
     spans_ = F.transform("_b", lambda i, k: F.struct(
         F.element_at("_t", i).label.alias("label"), (i - 1).alias("start_token"),
         (F.coalesce(F.try_element_at("_b", k + 2), n + 1) - 1).alias("end_token")))
-    found = t.select(doc, "_t", F.filter(spans_, lambda s: s.label.isNotNull()).alias("_s"))
+    found = t.select(doc, tokens, F.filter(spans_, lambda s: s.label.isNotNull()).alias("_s"))
     texts = F.transform("_s", lambda s: F.struct(
         s.label.alias("label"), s.start_token.alias("start_token"), s.end_token.alias("end_token"),
-        F.array_join(F.transform(F.slice("_t", s.start_token + 1, s.end_token - s.start_token), lambda x: x.token), " ").alias("text")))
+        F.array_join(F.transform(F.sequence(s.start_token + 1, s.end_token), lambda i: F.element_at(tokens, i)), " ").alias("text")))
     return found.select(doc, F.inline(texts))
 
 

@@ -481,6 +481,29 @@ def test_tags_to_spans_edges(spark):
                    (6, 7, "VILLAGE", "w6"), (8, 10, "VILLAGE", "w8 w9")]
 
 
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 1000])
+def test_spans_over_block_borders(spark, block):
+    rng = random.Random(block)
+    tags = ["B-STATE", "I-STATE", "I-STATE", "I-STATE", "I-DISTRICT", "O", None]
+    rows = [(d, p, f"w{p}" if rng.random() < 0.95 else "[SEP]", rng.choice(tags[:4] if d == 1 else tags))
+            for d in (0, 1, 2, None) for p in range(60) if rng.random() < 0.9]
+    # One span through many blocks, and an empty block between two tokens of one span.
+    rows += [(3, p, f"w{p}", "I-STATE") for p in (*range(20), *range(40, 50))]
+    df = spark.createDataFrame(rows, "doc_id int, pos int, token string, tag string")
+    want = []
+    for d in (0, 1, 2, 3, None):
+        open_ = None
+        for _, p, w, g in sorted((r for r in rows if r[0] == d), key=lambda r: r[1]):
+            label = g[2:] if g and g != "O" and w != "[SEP]" else None
+            if label and open_ and open_[1] == label and g[0] == "I":
+                open_[3], open_[4] = p + 1, f"{open_[4]} {w}"
+            else:
+                open_ = [d, label, p, p + 1, w] if label else None
+                want += [open_] if label else []
+    got = [tuple(r) for r in entities.tags_to_spans(df, block=block).collect()]
+    assert sorted(got, key=str) == sorted((tuple(r) for r in want), key=str)
+
+
 def test_timeline_fills_months(spark):
     df = spark.createDataFrame([("2020-01-31",), ("2020-04-01",), ("2020-04-02",), (None,)], "d string").select(F.to_date("d").alias("Date"))
     got = [(str(a), n) for a, n in rows_of(report.monthly_timeline(df), "month_end", "incidents")]
