@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from incidentry.functions import spans
 from incidentry.functions.text import blank_to_null, strip
@@ -133,31 +139,47 @@ def _inherited(t: DataFrame, doc: str, pos: str) -> DataFrame:
 def tag_arrays_to_spans(df: DataFrame, doc: str, tokens: str, tags: str) -> DataFrame:
     """The spans of :func:`tags_to_spans` from one row per document with arrays of tokens and tags.
 
-    The tags are folded in the row, so nothing is shuffled or sorted. A span ends where the next place stands that
-    begins one or lies outside. Tags without a token and tokens without a tag are outside. Words are taken by their
-    place: a slice would copy the whole array for every span.
+    Nothing is shuffled or sorted: an Arrow batch is one flat array of tags, where a span begins and ends follows
+    from comparing neighbours. Array functions of SQL are interpreted word by word and took twice the time. Tags
+    without a token and tokens without a tag are outside.
     """
-    pairs = F.arrays_zip(F.col(tokens).alias("token"), F.col(tags).alias("tag"))
-    t = df.select(doc, tokens, F.transform(pairs, lambda x: F.struct(
-        x.token.alias("token"), x.tag.startswith("B-").alias("b"),
-        F.when(x.token.isNotNull() & ~x.token.isin(*spans.SPECIAL_TOKENS) & x.tag.rlike("^[BI]-"),
-               x.tag.substr(F.lit(3), F.length(x.tag))).alias("label"))).alias("_t"))
-    n = F.size("_t")
-
-    def bound(i: Column) -> Column:
-        here = F.element_at("_t", i)
-        before = F.when(i > 1, F.element_at("_t", F.greatest(i - 1, F.lit(1))))
-        return here.label.isNull() | here.b | ~here.label.eqNullSafe(before.label)
-
-    t = t.withColumn("_b", F.when(n > 0, F.filter(F.sequence(F.lit(1), n), bound)))
-    spans_ = F.transform("_b", lambda i, k: F.struct(
-        F.element_at("_t", i).label.alias("label"), (i - 1).alias("start_token"),
-        (F.coalesce(F.try_element_at("_b", k + 2), n + 1) - 1).alias("end_token")))
-    found = t.select(doc, tokens, F.filter(spans_, lambda s: s.label.isNotNull()).alias("_s"))
-    texts = F.transform("_s", lambda s: F.struct(
-        s.label.alias("label"), s.start_token.alias("start_token"), s.end_token.alias("end_token"),
-        F.array_join(F.transform(F.sequence(s.start_token + 1, s.end_token), lambda i: F.element_at(tokens, i)), " ").alias("text")))
-    return found.select(doc, F.inline(texts))
+    out = T.StructType([df.schema[doc], T.StructField("label", T.StringType()), T.StructField("start_token", T.IntegerType()),
+                        T.StructField("end_token", T.IntegerType()), T.StructField("text", T.StringType())])
+    return df.select(doc, F.col(tokens).alias("_tokens"), F.col(tags).alias("_tags")).mapInArrow(_batch_spans, out)
+
+
+def _batch_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        docs, tokens, tags = batch.columns
+        # A list that is null has length null; the shorter list of a row counts.
+        n = pc.fill_null(pc.min_element_wise(
+            pc.list_value_length(tokens), pc.list_value_length(tags), skip_nulls=False), 0).to_numpy(zero_copy_only=False)
+        first = np.cumsum(n) - n
+        row = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(row)) - first[row]
+        words = tokens.values.take(pa.array(tokens.offsets.to_numpy()[:-1][row] + place))
+        coded = tags.values.take(pa.array(tags.offsets.to_numpy()[:-1][row] + place)).dictionary_encode()
+
+        names = coded.dictionary.to_pylist()
+        labels = sorted({x[2:] for x in names if x[:2] in ("B-", "I-")})
+        # One more entry stands for null tags.
+        label_of = np.array([labels.index(x[2:]) if x[:2] in ("B-", "I-") else -1 for x in names] + [-1])
+        begins = np.array([x.startswith("B-") for x in names] + [False])
+        code = pc.fill_null(coded.indices, len(names)).to_numpy(zero_copy_only=False)
+        outside = pc.or_(pc.is_null(words), pc.is_in(words, value_set=pa.array(spans.SPECIAL_TOKENS, words.type)))
+        label = np.where(outside.to_numpy(zero_copy_only=False), -1, label_of[code])
+
+        edge = (place == 0) | (label != np.roll(label, 1)) | (label < 0) | begins[code]
+        edges = np.append(np.flatnonzero(edge), len(label))
+        start = np.flatnonzero(edge & (label >= 0))
+        end = edges[np.searchsorted(edges, start, side="right")]
+        inside = words.filter(pa.array(label >= 0))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(end - start)]), pa.int32()), inside)
+        yield pa.RecordBatch.from_arrays([
+            docs.take(pa.array(row[start])), pa.array(labels, pa.string()).take(pa.array(label[start])),
+            pa.array(place[start], pa.int32()), pa.array(place[start] + end - start, pa.int32()),
+            pc.binary_join(lists, " ").cast(pa.string()),
+        ], names=[batch.schema.names[0], "label", "start_token", "end_token", "text"])
 
 
 def tag_names(tag_id: str = "tag_id"):

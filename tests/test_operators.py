@@ -504,6 +504,23 @@ def test_spans_over_block_borders(spark, block):
     assert sorted(got, key=str) == sorted((tuple(r) for r in want), key=str)
 
 
+def test_array_spans_equal_row_spans(spark):
+    rng = random.Random(5)
+    tags = ["B-STATE", "I-STATE", "I-STATE", "I-DISTRICT", "O", "B", "", None]
+    words = ["a", "\u00fc b", "", "[SEP]", None]
+    rows = [(d, [rng.choice(words) for _ in range(rng.randrange(40))], [rng.choice(tags) for _ in range(rng.randrange(40))])
+            for d in range(60)]
+    rows += [(100, None, ["B-STATE"]), (101, ["a"], None), (102, [], []), (None, ["a", "b"], ["B-STATE", "I-STATE"])]
+    df = spark.createDataFrame(rows, "doc_id int, w array<string>, g array<string>").repartition(3)
+    long = df.select("doc_id", F.posexplode(F.arrays_zip("w", "g")).alias("pos", "x")).select(
+        "doc_id", "pos", F.col("x.w").alias("token"), F.col("x.g").alias("tag")).filter("token is not null or tag is not null")
+    want = entities.tags_to_spans(long.withColumn("tag", F.expr("if(token is null, 'O', tag)")))
+    got = entities.tag_arrays_to_spans(df, "doc_id", "w", "g")
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert entities.tag_arrays_to_spans(df.limit(0), "doc_id", "w", "g").count() == 0
+
+
 def test_timeline_fills_months(spark):
     df = spark.createDataFrame([("2020-01-31",), ("2020-04-01",), ("2020-04-02",), (None,)], "d string").select(F.to_date("d").alias("Date"))
     got = [(str(a), n) for a, n in rows_of(report.monthly_timeline(df), "month_end", "incidents")]
