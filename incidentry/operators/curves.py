@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from incidentry.operators.metrics import f_score, ratio
 from incidentry.operators.ranks import null_safe, running_totals
+from incidentry.session import durable
 
 
 def score_steps(long: DataFrame, by: list[str], truth: str = "truth", score: str = "prob") -> DataFrame:
@@ -153,6 +156,8 @@ def coordinate_thresholds(long: DataFrame, objective: str = "macro", grid: list[
 
     Spark counts every (label, threshold) once. Macro F1 is a mean over labels, so each label is settled alone, in
     Spark. Micro F1 ties the labels together: the ascent walks the counts, labels x grid points, keeping running totals.
+    That walk goes label by label, so it is for label sets that the driver can hold; :func:`micro_thresholds` needs
+    none there and finds the best choice of all.
     """
     points = grid or even_grid(0.05, 0.95, 19)
     table = threshold_counts(long, ["label"], sorted({*points, 0.5}))
@@ -188,3 +193,31 @@ def coordinate_thresholds(long: DataFrame, objective: str = "macro", grid: list[
         if not moved:
             break
     return chosen
+
+
+def micro_thresholds(long: DataFrame, grid: list[float] | None = None) -> DataFrame:
+    """(label, threshold, micro_f1): the choice of grid points, one a label, with the largest micro F1 of all choices.
+
+    Micro F1 is a quotient of two sums over labels. Some choice exceeds the value f just if its sum of
+    ``2 tp - f (2 tp + fp + fn)`` is above 0, and that sum is largest where each label's own part is. So f is raised
+    to the value of the choice that is best for f until it stays: a few passes over labels x grid points, each ending in one
+    row of sums. Sums are whole numbers and compared exactly. The lowest threshold wins a tie; where no true
+    label is ever reached all thresholds are 0.5 and micro_f1 is 0. Without rows the result is empty.
+    """
+    cells = threshold_counts(long, ["label"], grid or even_grid(0.05, 0.95, 19))
+    whole = "decimal(19,0)"
+    cells = durable(cells.select(
+        "label", "threshold", (2 * F.col("tp")).cast(whole).alias("_top"),
+        (2 * F.col("tp") + F.col("fp") + F.col("fn")).cast(whole).alias("_size")))
+    top, size = 0, 1
+    while True:
+        loss = F.col("_size") * F.lit(Decimal(top)).cast(whole) - F.col("_top") * F.lit(Decimal(size)).cast(whole)
+        best = cells.groupBy("label").agg(F.min_by(
+            F.struct("threshold", "_top", "_size"), F.struct(loss.alias("_loss"), "threshold")).alias("_b"))
+        now = best.agg(F.sum("_b._top").alias("top"), F.sum("_b._size").alias("size")).first()
+        if not now.size or now.top * size <= top * now.size:
+            break
+        top, size = int(now.top), int(now.size)
+    return best.select(
+        "label", F.col("_b.threshold").alias("threshold") if top else F.lit(0.5).alias("threshold"),
+        F.lit(top / size).alias("micro_f1"))

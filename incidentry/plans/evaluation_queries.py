@@ -374,7 +374,8 @@ GRID_SQL = """
   count(*) FILTER (truth = 1 AND prob < threshold) AS fn FROM long, g GROUP BY ALL),
  s AS (SELECT *, CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn)::DOUBLE ELSE 0 END AS f FROM k)"""
 G101 = "unnest([CASE WHEN i = 100 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE + i * 0.01::DOUBLE END for i in range(101)])"
-G19 = "unnest([CASE WHEN i = 18 THEN 0.95::DOUBLE ELSE 0.05::DOUBLE + i * ((0.95::DOUBLE - 0.05::DOUBLE) / 18) END for i in range(19)])"
+G19_LIST = "[CASE WHEN i = 18 THEN 0.95::DOUBLE ELSE 0.05::DOUBLE + i * ((0.95::DOUBLE - 0.05::DOUBLE) / 18) END for i in range(19)]"
+G19 = f"unnest({G19_LIST})"
 
 
 @query("b07_thresholds_per_label", SCO + GRID_SQL.format(grid=G101, by="model, label") + """SELECT model, label, round(threshold, 6) AS threshold, round(f, 6) AS f_beta FROM (
@@ -402,12 +403,48 @@ def b09(spark, d):
     return _coordinate(spark, d, "macro")
 
 
-@query("b09_coordinate_thresholds_micro")
+def _cells_sql(points):
+    """CTEs before ``c``: counts per label and threshold."""
+    return SCO + f""", g AS (SELECT DISTINCT unnest({points}) AS threshold),
+ c AS (SELECT label, threshold, count(*) FILTER (truth = 1 AND prob >= threshold) AS tp, count(*) FILTER (truth = 0 AND prob >= threshold) AS fp,
+   count(*) FILTER (truth = 1 AND prob < threshold) AS fn FROM long, g WHERE model = 'base' GROUP BY 1, 2)"""
+
+
+def _ascent_sql(passes=3):
+    """The walk over both labels, one step a label and pass; s holds the thresholds (q, x) so far."""
+    steps, f1 = "", "CASE WHEN {0}.tp + r.tp > 0 THEN 2 * ({0}.tp + r.tp) / (2 * ({0}.tp + r.tp) + {0}.fp + r.fp + {0}.fn + r.fn)::DOUBLE ELSE 0 END"
+    for k in range(2 * passes):
+        label, own, other_label, other = [("quality", "q", "toxic", "x"), ("toxic", "x", "quality", "q")][k % 2]
+        steps += f""",
+ o{k} AS MATERIALIZED (SELECT s.{own} AS now, s.{other} AS {other}, c.threshold AS t, {f1.format("c")} AS f, {f1.format("n")} AS best FROM s{k} s
+   JOIN c ON c.label = '{label}' AND c.threshold IN (SELECT unnest({G19_LIST})) JOIN c r ON r.label = '{other_label}' AND r.threshold = s.{other} JOIN c n ON n.label = '{label}' AND n.threshold = s.{own}),
+ s{k + 1} AS MATERIALIZED (SELECT CASE WHEN max(f) > max(best) THEN min(t) FILTER (f = (SELECT max(f) FROM o{k})) ELSE max(now) END AS {own}, max({other}) AS {other} FROM o{k})"""
+    return _cells_sql(f"list_append({G19_LIST}, 0.5)") + f""", s0 AS (SELECT 0.5::DOUBLE AS q, 0.5::DOUBLE AS x){steps}
+SELECT label, count(*) AS n, round(CASE label WHEN 'quality' THEN max(q) ELSE max(x) END, 6) AS threshold FROM long, s{2 * passes} WHERE model = 'base' GROUP BY 1"""
+
+
+@query("b09_coordinate_thresholds_micro", _ascent_sql())
 def b09b(spark, d):
-    """The pooled score ties the labels together, so the ascent has no SQL form; the unit tests cover it."""
     return _coordinate(spark, d, "micro")
 
 
+def _micro_sql(passes=8):
+    """Raise f, kept as a quotient of whole numbers, to the value of the best choice for it, ``passes`` times."""
+    steps = ""
+    for k in range(passes):
+        steps += f""",
+ m{k} AS MATERIALIZED (SELECT c.*, row_number() OVER (PARTITION BY label ORDER BY (2 * tp + fp + fn)::HUGEINT * f.top - (2 * tp)::HUGEINT * f.size, threshold) AS rn FROM c, f{k} f),
+ f{k + 1} AS MATERIALIZED (SELECT sum(2 * tp) AS top, sum(2 * tp + fp + fn) AS size FROM m{k} WHERE rn = 1)"""
+    return _cells_sql(G19_LIST) + f""", f0 AS (SELECT 0::HUGEINT AS top, 1::HUGEINT AS size){steps}
+SELECT label, round(threshold, 6) AS threshold, round(top / size::DOUBLE, 6) AS micro_f1 FROM m{passes - 1}, f{passes} WHERE rn = 1"""
+
+
+@query("b09_optimal_micro_thresholds", _micro_sql())
+def b09c(spark, d):
+    long = views.scored(spark, d).filter("model = 'base'")
+    return rounded(curves.micro_thresholds(long), "threshold", "micro_f1")
+
+
 def _coordinate(spark, d, objective):
     long = views.scored(spark, d).filter("model = 'base'")
     chosen = curves.coordinate_thresholds(long, objective)

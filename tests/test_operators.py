@@ -1,5 +1,6 @@
 """Operators against brute force, and properties that must hold."""
 
+import itertools
 import math
 import random
 
@@ -521,6 +522,29 @@ def test_array_spans_equal_row_spans(spark):
     assert entities.tag_arrays_to_spans(df.limit(0), "doc_id", "w", "g").count() == 0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_micro_thresholds_beat_every_choice(spark, seed):
+    rng = random.Random(seed)
+    rows = [(label, int(rng.random() < p), round(rng.random(), 2)) for label, p in (("a", 0.5), ("b", 0.1), ("c", 0.02)) for _ in range(40)]
+    grid = [0.1, 0.3, 0.5, 0.7, 0.9]
+    got = curves.micro_thresholds(spark.createDataFrame(rows, "label string, truth int, prob double"), grid).orderBy("label").collect()
+
+    def f1(choice):
+        limit = dict(zip("abc", choice))
+        tp, fp, fn = (sum(1 for x, t, p in rows if (t == 1) == a and (p >= limit[x]) == b) for a, b in ((True, True), (False, True), (True, False)))
+        return 2 * tp / (2 * tp + fp + fn) if tp else 0.0
+
+    best = max(f1(c) for c in itertools.product(grid, repeat=3))
+    assert [r.micro_f1 for r in got] == [pytest.approx(best)] * 3
+    assert f1([r.threshold for r in got]) == pytest.approx(best)
+
+
+def test_micro_thresholds_without_hits(spark):
+    df = spark.createDataFrame([("a", 0, 0.2), ("b", 0, 0.9)], "label string, truth int, prob double")
+    assert rows_of(curves.micro_thresholds(df), "label", "threshold", "micro_f1") == [("a", 0.5, 0.0), ("b", 0.5, 0.0)]
+    assert curves.micro_thresholds(df.limit(0)).count() == 0
+
+
 def test_timeline_fills_months(spark):
     df = spark.createDataFrame([("2020-01-31",), ("2020-04-01",), ("2020-04-02",), (None,)], "d string").select(F.to_date("d").alias("Date"))
     got = [(str(a), n) for a, n in rows_of(report.monthly_timeline(df), "month_end", "incidents")]
