@@ -4,9 +4,10 @@ Lines are parsed to a fixed depth: by their number of tokens, then by their lead
 variable. In a leaf a token that few lines have at its place is variable too. What is left, with the variable fields
 blanked, is the line's template, if enough of it is constant. Lines whose template recurs across documents are dropped.
 
-A document counts once for each different line (digits blanked) that it holds. Only leaves that enough documents
-reach are parsed further, and there only different lines, so a line that a third of all documents hold is one row.
-Long texts are shuffled only if the list of lines to drop is too large to send.
+Support is always a number of different texts: copies count once, and so does a text with many lines of one form. Texts
+with the same lines in a leaf are one row with their number, so a line that a third of all documents hold is one row too.
+Only leaves that enough texts reach are parsed further. A line of ``LONG_LINE`` tokens is a passage, and recurs from
+``LEAST_LONG`` texts on. Long texts are shuffled only if the list of lines to drop is too large to send.
 
 Defined results: null text is empty and has no line; blank lines are kept and never templates; lines of fewer than
 ``LEAST_CONSTANT`` constant tokens are kept. Repeated rows and ids give one row each. Other columns are not kept.
@@ -21,8 +22,11 @@ from incidentry.llm.common import checked_broadcast, written
 
 #: Leading tokens of the tree.
 LEADING = 3
-#: Documents that hold a template, or a token at its place in a leaf, at least.
+#: Different texts that hold a template, or a token at its place in a leaf, at least.
 LEAST_DOCUMENTS = 10
+#: Tokens of a passage at least, and different texts that hold it.
+LONG_LINE = 50
+LEAST_LONG = 2
 #: Constant tokens of a template at least, and their share of all.
 LEAST_CONSTANT = 3
 CONSTANT_SHARE = 0.5
@@ -51,44 +55,69 @@ def leaf_of(mask: Column) -> Column:
     return F.xxhash64(tokens_in(mask), F.substring_index(mask, " ", LEADING))
 
 
-def _masks(docs: DataFrame, text_col: str) -> DataFrame:
-    """(mask): each document's different masked lines that are long enough for a template."""
-    every = docs.select(F.explode(F.array_distinct(F.transform(lines_of(F.col(text_col)), masked))).alias("mask"))
-    return every.where(tokens_in(F.col("mask")) >= LEAST_CONSTANT)
-
-
-def templates(docs: DataFrame, text_col: str = "text", least: int = LEAST_DOCUMENTS) -> DataFrame:
-    """(mask, template, support) of the masked lines whose template at least ``least`` documents hold."""
-    masks = _masks(docs, text_col)
-    leaf = leaf_of(F.col("mask")).alias("leaf")
-    leaves = written(masks.groupBy(leaf).agg(F.count("*").alias("n")).where(F.col("n") >= least).select("leaf"), "leaves")
-    held = masks.select(leaf, "mask").join(checked_broadcast(leaves, 16), "leaf", "left_semi").groupBy("leaf", "mask").agg(
-        F.count("*").alias("n"))
-    held = written(held.withColumn("id", F.md5("mask")), "leaf-lines")
-    placed = held.select("leaf", "id", "n", F.posexplode(F.split("mask", " ")).alias("at", "token"))
-    constant = placed.where(F.col("token") != FIELD).groupBy("leaf", "at", "token").agg(F.sum("n").alias("held")).where(
-        F.col("held") >= least).select("leaf", "at", "token", F.lit(True).alias("stays"))
+def _parted(docs: DataFrame, text_col: str) -> DataFrame:
+    """(whole, at, mask): the masked lines that are long enough for a template, of every row."""
+    # Masked before they are parted, so that each mask is made once.
+    lines = docs.select(F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("whole"), F.posexplode(
+        F.transform(lines_of(F.col(text_col)), masked)).alias("at", "mask"))
+    return lines.where(tokens_in(F.col("mask")) >= LEAST_CONSTANT)
+
+
+def lines_by_leaf(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(whole, at, leaf, line, passage) of every line: hashes of text, leaf and mask, written once for all later passes."""
+    mask = F.col("mask")
+    return written(_parted(docs, text_col).select(
+        "whole", "at", leaf_of(mask).alias("leaf"), F.md5(mask).alias("line"),
+        (tokens_in(mask) >= LONG_LINE).alias("passage")), "line-hashes")
+
+
+def _texts(rows: DataFrame, per: list[str], counted: list[str], name: str) -> DataFrame:
+    """Sum of ``n`` per ``per`` over its different ``counted``."""
+    return rows.select(*per, *counted, "n").distinct().groupBy(*per).agg(F.sum("n").alias(name))
+
+
+def templates(docs: DataFrame, lines: DataFrame, text_col: str = "text", least: int = LEAST_DOCUMENTS) -> DataFrame:
+    """(line, mask, template, support) of the masked lines whose template at least ``least`` different texts hold."""
+    leaves = _texts(lines.withColumn("n", F.lit(1)), ["leaf"], ["whole"], "reach").where(F.col("reach") >= least)
+    leaves = written(leaves.select("leaf"), "leaves")
+    # Texts with the same lines in a leaf are one row.
+    sets = lines.join(checked_broadcast(leaves, 16), "leaf", "left_semi").groupBy("leaf", "whole").agg(
+        F.array_sort(F.collect_set("line")).alias("lines"))
+    sets = sets.groupBy("leaf", "lines").agg(F.count("*").alias("n"))
+    member = written(sets.select(F.md5(F.array_join("lines", "")).alias("set"), "n", F.explode("lines").alias("line")), "leaf-sets")
+
+    mask = F.col("mask")
+    held = _parted(docs, text_col).select(leaf_of(mask).alias("leaf"), "mask").join(
+        checked_broadcast(leaves, 16), "leaf", "left_semi").distinct()
+    held = written(held.withColumn("line", F.md5("mask")), "leaf-lines")
+    placed = held.select("leaf", "line", F.posexplode(F.split("mask", " ")).alias("at", "token"))
+    constant = _texts(placed.where(F.col("token") != FIELD).join(member, "line"), ["leaf", "at", "token"], ["set"], "held")
+    constant = constant.where(F.col("held") >= least).select("leaf", "at", "token", F.lit(True).alias("stays"))
     known = placed.join(constant, ["leaf", "at", "token"], "left")
     field = F.when(F.col("stays"), F.col("token")).otherwise(F.lit(FIELD))
-    parsed = known.groupBy("leaf", "id").agg(
+    parsed = known.groupBy("leaf", "line").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", field.alias("t")))), lambda x: x.t), " ").alias(
             "template"),
-        F.count("stays").alias("constant"), F.count("*").alias("size"), F.first("n").alias("n"))
+        F.count("stays").alias("constant"), F.count("*").alias("size"))
     firm = parsed.where((F.col("constant") >= LEAST_CONSTANT) & (F.col("constant") >= CONSTANT_SHARE * F.col("size")))
-    firm = written(firm.select("id", "template", "n"), "line-templates")
-    support = firm.groupBy("template").agg(F.sum("n").alias("support")).where(F.col("support") >= least)
-    return firm.join(support, "template").join(held.select("id", "mask"), "id").select("mask", "template", "support")
+    firm = written(firm.select("line", "template"), "line-templates")
+    support = _texts(firm.join(member, "line"), ["template"], ["set"], "support").where(F.col("support") >= least)
+    return firm.join(support, "template").join(held, "line").select("line", "mask", "template", "support")
+
+
+def passages(lines: DataFrame, least: int = LEAST_LONG) -> DataFrame:
+    """(line) of the passages that at least ``least`` different texts hold."""
+    return _texts(lines.where("passage").withColumn("n", F.lit(1)), ["line"], ["whole"], "support").where(
+        F.col("support") >= least).select("line")
 
 
 def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    least: int = LEAST_DOCUMENTS) -> DataFrame:
     """Per row: its id, ``n_lines`` that are not blank, ``n_dropped`` of them, and ``text`` of the lines left."""
-    found = written(templates(docs, text_col, least).select(F.md5("mask").alias("line")).distinct(), "recurring-lines")
+    lines = lines_by_leaf(docs, text_col)
+    found = templates(docs, lines, text_col, least).select("line").union(passages(lines)).distinct()
+    found = written(found, "recurring-lines")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # Masked before they are parted, so that each mask is made once.
-    lines = rows.select(F.md5("text").alias("whole"), F.posexplode(
-        F.transform(lines_of(F.col("text")), masked)).alias("at", "mask"))
-    lines = lines.where(tokens_in(F.col("mask")) >= LEAST_CONSTANT).select("whole", "at", F.md5("mask").alias("line"))
     gone = lines.join(checked_broadcast(found, 64), "line", "left_semi").groupBy("whole").agg(
         F.collect_set("at").alias("gone"))
     gone = written(gone, "dropped-lines")

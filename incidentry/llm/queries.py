@@ -239,19 +239,20 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS rid FROM documents),
-l AS (SELECT rid, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS p FROM d),
-m AS (SELECT rid, p, line, array_to_string(list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'),
+l AS (SELECT rid, md5(t) AS whole, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS p FROM d),
+m AS (SELECT rid, whole, p, line, array_to_string(list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'),
         lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END), ' ') AS mask FROM l),
 s AS (SELECT *, string_split(mask, ' ') AS k FROM m),
-u AS (SELECT mask, k, len(k) AS size, k[1:3] AS lead, count(DISTINCT rid) AS n FROM s WHERE len(k) >= 3 GROUP BY ALL),
-f AS (SELECT *, sum(n) OVER (PARTITION BY size, lead) AS reach FROM u),
-w AS (SELECT mask, size, lead, n, i, k[i] AS token FROM (
-        SELECT *, unnest(range(1, size + 1)) AS i FROM f WHERE reach >= 10)),
-c AS (SELECT *, CASE WHEN token <> '<*>' AND sum(n) OVER (PARTITION BY size, lead, i, token) >= 10 THEN 1 ELSE 0 END AS stays FROM w),
-t AS (SELECT mask, size, n, sum(stays) AS constant,
-        string_agg(CASE WHEN stays = 1 THEN token ELSE '<*>' END, ' ' ORDER BY i) AS template FROM c GROUP BY mask, size, n),
-r AS (SELECT mask FROM (SELECT mask, sum(n) OVER (PARTITION BY template) AS support FROM t
-        WHERE constant >= 3 AND constant >= 0.5 * size) WHERE support >= 10),
+u AS (SELECT DISTINCT whole, mask, k, len(k) AS size, k[1:3] AS lead FROM s WHERE len(k) >= 3),
+f AS (SELECT u.* FROM u JOIN (SELECT size, lead FROM u GROUP BY ALL HAVING count(DISTINCT whole) >= 10) USING (size, lead)),
+w AS (SELECT whole, mask, size, lead, unnest(range(1, size + 1)) AS i, unnest(k) AS token FROM f),
+n AS (SELECT size, lead, i, token FROM w WHERE token <> '<*>' GROUP BY ALL HAVING count(DISTINCT whole) >= 10),
+t AS (SELECT w.mask, w.size, count(n.token) AS constant, string_agg(coalesce(n.token, '<*>'), ' ' ORDER BY w.i) AS template
+      FROM (SELECT DISTINCT mask, size, lead, i, token FROM w) w LEFT JOIN n USING (size, lead, i, token) GROUP BY w.mask, w.size),
+h AS (SELECT template FROM t JOIN f USING (mask) WHERE constant >= 3 AND constant >= 0.5 * t.size
+      GROUP BY template HAVING count(DISTINCT whole) >= 10),
+r AS (SELECT mask FROM t JOIN h USING (template) WHERE constant >= 3 AND constant >= 0.5 * size
+      UNION SELECT mask FROM u WHERE size >= 50 GROUP BY mask HAVING count(DISTINCT whole) >= 2),
 k AS (SELECT rid, CAST(count(CASE WHEN regexp_matches(line, '[^\x20\x09-\x0D]') THEN 1 END) AS BIGINT) AS n_lines,
         CAST(count(r.mask) AS BIGINT) AS n_dropped,
         coalesce(string_agg(CASE WHEN r.mask IS NULL THEN line END, chr(10) ORDER BY p), '') AS text

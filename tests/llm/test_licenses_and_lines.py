@@ -48,6 +48,22 @@ def test_recurring_templates_go(spark):
     assert all(r.n_dropped == 1 and r.text == logs[r.doc_id].split("\n")[0] for r in lt.drop_recurring(docs).collect())
 
 
+def test_only_different_texts_count(spark):
+    many = "\n".join(f"the ratio of {x} in the sample" for x in "abcdefghijkl")
+    copied = f"{prose(1, 9)}\nall copies of one text say this"
+    docs = spark.createDataFrame([(0, many), (1, prose(2, 9)), *((k, copied) for k in range(2, 30))], "doc_id long, text string")
+    rows = lt.drop_recurring(docs).collect()
+    assert len(rows) == 30 and all(r.n_dropped == 0 for r in rows)
+
+
+def test_passages_recur_from_two_texts_on(spark):
+    passage, short = prose(7, lt.LONG_LINE), prose(8, lt.LONG_LINE - 1)
+    texts = [f"{prose(10 + k, 9)}\n{passage}\n{short}" for k in range(2)] + [prose(9, 80)] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_dropped, r.text) for r in lt.drop_recurring(docs).collect()}
+    assert got == {k: (1, f"{prose(10 + k, 9)}\n{short}") if k < 2 else (0, texts[k]) for k in range(5)}
+
+
 def test_line_edges(spark):
     docs = edge_docs(spark)
     rows = lt.drop_recurring(docs).collect()
