@@ -57,9 +57,10 @@ def leaf_of(mask: Column) -> Column:
 
 def _parted(docs: DataFrame, text_col: str) -> DataFrame:
     """(whole, at, mask): the masked lines that are long enough for a template, of every row."""
-    # Masked before they are parted, so that each mask is made once.
-    lines = docs.select(F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("whole"), F.posexplode(
-        F.transform(lines_of(F.col(text_col)), masked)).alias("at", "mask"))
+    # Hashed and masked before lines are parted: beside a generator the hash of a text would be made for each line.
+    texts = docs.select(F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("whole"),
+                        F.transform(lines_of(F.col(text_col)), masked).alias("masks"))
+    lines = texts.select("whole", F.posexplode("masks").alias("at", "mask"))
     return lines.where(tokens_in(F.col("mask")) >= LEAST_CONSTANT)
 
 
