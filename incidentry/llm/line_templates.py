@@ -65,11 +65,11 @@ def _parted(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def lines_by_leaf(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(whole, at, leaf, line, passage) of every line: hashes of text, leaf and mask, written once for all later passes."""
+    """(whole, at, leaf, line, passage, mask) of every line, written once: later passes read hashes, one of them masks."""
     mask = F.col("mask")
     return written(_parted(docs, text_col).select(
         "whole", "at", leaf_of(mask).alias("leaf"), F.md5(mask).alias("line"),
-        (tokens_in(mask) >= LONG_LINE).alias("passage")), "line-hashes")
+        (tokens_in(mask) >= LONG_LINE).alias("passage"), "mask"), "lines")
 
 
 def _texts(rows: DataFrame, per: list[str], counted: list[str], name: str) -> DataFrame:
@@ -77,8 +77,8 @@ def _texts(rows: DataFrame, per: list[str], counted: list[str], name: str) -> Da
     return rows.select(*per, *counted, "n").distinct().groupBy(*per).agg(F.sum("n").alias(name))
 
 
-def templates(docs: DataFrame, lines: DataFrame, text_col: str = "text", least: int = LEAST_DOCUMENTS) -> DataFrame:
-    """(line, mask, template, support) of the masked lines whose template at least ``least`` different texts hold."""
+def templates(lines: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
+    """(line, mask, template, support) of those of :func:`lines_by_leaf` whose template ``least`` different texts hold."""
     leaves = _texts(lines.withColumn("n", F.lit(1)), ["leaf"], ["whole"], "reach").where(F.col("reach") >= least)
     leaves = written(leaves.select("leaf"), "leaves")
     # Texts with the same lines in a leaf are one row.
@@ -87,10 +87,8 @@ def templates(docs: DataFrame, lines: DataFrame, text_col: str = "text", least:
     sets = sets.groupBy("leaf", "lines").agg(F.count("*").alias("n"))
     member = written(sets.select(F.md5(F.array_join("lines", "")).alias("set"), "n", F.explode("lines").alias("line")), "leaf-sets")
 
-    mask = F.col("mask")
-    held = _parted(docs, text_col).select(leaf_of(mask).alias("leaf"), "mask").join(
-        checked_broadcast(leaves, 16), "leaf", "left_semi").distinct()
-    held = written(held.withColumn("line", F.md5("mask")), "leaf-lines")
+    held = lines.select("leaf", "line", "mask").join(checked_broadcast(leaves, 16), "leaf", "left_semi").distinct()
+    held = written(held, "leaf-lines")
     placed = held.select("leaf", "line", F.posexplode(F.split("mask", " ")).alias("at", "token"))
     constant = _texts(placed.where(F.col("token") != FIELD).join(member, "line"), ["leaf", "at", "token"], ["set"], "held")
     constant = constant.where(F.col("held") >= least).select("leaf", "at", "token", F.lit(True).alias("stays"))
@@ -116,7 +114,7 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    least: int = LEAST_DOCUMENTS) -> DataFrame:
     """Per row: its id, ``n_lines`` that are not blank, ``n_dropped`` of them, and ``text`` of the lines left."""
     lines = lines_by_leaf(docs, text_col)
-    found = templates(docs, lines, text_col, least).select("line").union(passages(lines)).distinct()
+    found = templates(lines, least).select("line").union(passages(lines)).distinct()
     found = written(found, "recurring-lines")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     gone = lines.join(checked_broadcast(found, 64), "line", "left_semi").groupBy("whole").agg(
