@@ -18,14 +18,15 @@ from incidentry.session import durable, maybe_broadcast
 STEPS = 60
 
 
-def _fitted(rows: DataFrame, slope: Callable[[Column], Column], curvature: Callable[[Column], Column], low: float,
-            high: float) -> float:
-    """Temperature in [low, high] with the least loss over ``rows`` (n times each), 1 where there are none.
+def _fitted(rows: DataFrame, slope: Callable[[Column], Column], curvature: Callable[[Column], Column],
+            bounds: tuple[float, float] | None) -> float:
+    """Temperature within ``bounds`` with the least loss over ``rows`` (n times each), 1 where there are none.
 
     Newton steps on the inverse temperature, each one aggregate of slope and curvature. The root stays between two
-    known sides of it, and a step that would leave these halves them instead.
+    known sides of it, and a step that would leave these halves them instead. Without bounds the inverse temperature
+    may be any number, also one below zero where the logits point away from the labels.
     """
-    a, b, at = 1 / high, 1 / low, 1.0
+    (a, b), at = (-math.inf, math.inf) if bounds is None else (1 / bounds[1], 1 / bounds[0]), 1.0
     for _ in range(STEPS):
         beta, n = F.lit(at), F.col("n")
         row = rows.agg(F.sum(n * slope(beta)).alias("s"), F.sum(n * curvature(beta)).alias("c")).first()
@@ -35,14 +36,15 @@ def _fitted(rows: DataFrame, slope: Callable[[Column], Column], curvature: Calla
         new = at - row.s / row.c if row.c else math.inf
         if not a < new < b:
             new = (a + b) / 2
-        if abs(new - at) <= 1e-13 * at:
+        if not math.isfinite(new) or abs(new - at) <= 1e-13 * abs(at):
             break
         at = new
     return 1 / at
 
 
-def fit_softmax_temperature(df: DataFrame, logits: str, label: str) -> float:
-    """Temperature in [0.001, 1000] for class logits (array) and 0-based labels. Rows with a null are left out.
+def fit_softmax_temperature(df: DataFrame, logits: str, label: str,
+                            bounds: tuple[float, float] | None = (1e-3, 1e3)) -> float:
+    """Temperature within ``bounds`` for class logits (array) and 0-based labels. Rows with a null are left out.
 
     The rows are read once, as the distances of a row's logits from that of its label.
     """
@@ -62,11 +64,12 @@ def fit_softmax_temperature(df: DataFrame, logits: str, label: str) -> float:
     def spread(beta: Column) -> Column:
         return let(moments(beta), lambda m: m["xx"] / m["w"] - F.pow(m["x"] / m["w"], 2))
 
-    return _fitted(rows, mean, spread, 1e-3, 1e3)
+    return _fitted(rows, mean, spread, bounds)
 
 
-def fit_sigmoid_temperature(long: DataFrame, logit: str = "logit", truth: str = "truth") -> float:
-    """Temperature in [0.1, 10] for independent label logits. Rows with a null are left out; the rest is read once."""
+def fit_sigmoid_temperature(long: DataFrame, logit: str = "logit", truth: str = "truth",
+                            bounds: tuple[float, float] | None = (0.1, 10.0)) -> float:
+    """Temperature within ``bounds`` for independent label logits. Rows with a null are left out; the rest is read once."""
     known = long.select(F.col(logit).cast("double").alias("z"), F.col(truth).cast("double").alias("y")).dropna()
     rows = durable(known.groupBy("z", "y").agg(F.count("*").alias("n")))
     z, y = F.col("z"), F.col("y")
@@ -74,7 +77,7 @@ def fit_sigmoid_temperature(long: DataFrame, logit: str = "logit", truth: str =
     def p(beta: Column) -> Column:
         return F.lit(1.0) / (1.0 + F.exp(-beta * z))
 
-    return _fitted(rows, lambda beta: z * (p(beta) - y), lambda beta: z * z * p(beta) * (1.0 - p(beta)), 0.1, 10.0)
+    return _fitted(rows, lambda beta: z * (p(beta) - y), lambda beta: z * z * p(beta) * (1.0 - p(beta)), bounds)
 
 
 def temperature_table(df: DataFrame, loss, temperatures: list[float]) -> DataFrame:

@@ -373,6 +373,17 @@ def test_softmax_temperature(spark):
     assert calibration.fit_softmax_temperature(df, "l", "y") == pytest.approx(4 / math.log(3), rel=1e-3)
 
 
+@pytest.mark.parametrize("right", [1, 501, 3])
+def test_temperature_without_bounds(spark, right):
+    """The odds are exp(4 / t): the best temperature is below zero for right < wrong, and large where they are close."""
+    wrong = {1: 3, 501: 500, 3: 1}[right]
+    want = 4 / math.log(right / wrong)
+    rows = spark.createDataFrame([([4.0, 0.0], 0)] * right + [([4.0, 0.0], 1)] * wrong, "l array<double>, y int")
+    assert calibration.fit_softmax_temperature(rows, "l", "y", bounds=None) == pytest.approx(want, rel=1e-9)
+    long = rows.selectExpr("4.0D as logit", "1 - y as truth")
+    assert calibration.fit_sigmoid_temperature(long, bounds=None) == pytest.approx(want, rel=1e-9)
+
+
 # ---- bootstrap ---------------------------------------------------------------------------
 
 
