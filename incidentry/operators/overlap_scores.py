@@ -2,54 +2,64 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from incidentry.functions.probability import array_sum
+from incidentry.session import spread
 
 
 def words(c: Column, pattern: str = r"\s+") -> Column:
     return F.filter(F.split(c, pattern), lambda w: w != "")
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """Space-joined n-grams of a token array."""
-    last = F.size(tokens) - n + 1
-    return F.when(last >= 1, F.transform(
-        F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(
-        F.array().cast("array<string>"))
+def shared_count(x: Sequence, y: Sequence, k: int) -> int:
+    """Number of ``k``-grams of ``x`` found in ``y``, each at most as often as there."""
+    of_y = Counter(zip(*[y[i:] for i in range(k)]))
+    return (Counter(zip(*[x[i:] for i in range(k)])) & of_y).total()
 
 
-def _shared(df: DataFrame, keys: list[str], pred: Column, truth: Column, orders: Sequence[int]) -> DataFrame:
-    """Per row and order ``k``: n-grams shared (each at most as often as in the truth), and both totals.
+def shared_ngrams(orders: Sequence[int]):
+    """Arrow UDF of two token arrays: :func:`shared_count` of every order; a distinct pair of a batch is counted once."""
 
-    The n-grams of all orders and both sides are exploded together and shuffled once.
-    """
-    def side(tokens: Column, k: int, p: int) -> Column:
-        return F.transform(ngrams(tokens, k), lambda g: F.struct(
-            F.lit(k).alias("k"), g.alias("g"), F.lit(p).alias("p"), F.lit(1 - p).alias("t")))
+    @F.pandas_udf(ArrayType(LongType()))
+    def count(a, b):
+        import pandas as pd
 
-    every = F.concat(*[side(tokens, k, p) for k in orders for tokens, p in ((pred, 1), (truth, 0))])
-    grams = df.select(*keys, F.inline(every)).groupBy(*keys, "k", "g").agg(F.sum("p").alias("p"), F.sum("t").alias("t"))
-    return grams.groupBy(*keys, "k").agg(
-        F.sum(F.least("p", "t")).alias("shared"), F.sum("p").alias("n_pred"), F.sum("t").alias("n_truth"))
+        seen: dict = {}
+        out = []
+        for x, y in zip(a, b, strict=True):
+            pair = (() if x is None else tuple(x), () if y is None else tuple(y))
+            if pair not in seen:
+                seen[pair] = [shared_count(*pair, k) for k in orders]
+            out.append(seen[pair])
+        return pd.Series(out)
+
+    return count
+
+
+def _of_order(tokens: Column, k: int) -> Column:
+    """How many ``k``-grams a token array has."""
+    return F.coalesce(F.greatest(F.size(tokens) - (k - 1), F.lit(0)), F.lit(0))
 
 
 def bleu(df: DataFrame, id_col: str, pred: str, truth: str, order: int = 4) -> DataFrame:
     """One row: corpus BLEU, brevity penalty and the n-gram precisions, one reference text per row."""
-    p, t = words(F.col(pred)), words(F.col(truth))
-    sizes = df.agg(F.sum(F.size(p)).alias("pred_length"), F.sum(F.size(t)).alias("truth_length"))
-    s = _shared(df, [id_col], p, t, range(1, order + 1))
+    orders = range(1, order + 1)
+    p, t = F.col("p"), F.col("t")
+    rows = spread(df.select(id_col, words(F.col(pred)).alias("p"), words(F.col(truth)).alias("t")), id_col)
+    counted = rows.select("p", "t", shared_ngrams(orders)("p", "t").alias("shared"))
 
     def precision(k: int) -> Column:
-        total = F.sum(F.when(F.col("k") == k, F.col("n_pred")))
-        return F.when(total > 0, F.sum(F.when(F.col("k") == k, F.col("shared"))) / total).otherwise(F.lit(0.0))
+        total = F.sum(_of_order(p, k))
+        return F.when(total > 0, F.sum(F.get("shared", F.lit(k - 1))) / total).otherwise(F.lit(0.0))
 
-    found = s.agg(F.struct(*[precision(k).alias(f"precision_{k}") for k in range(1, order + 1)])).scalar()
-    out = sizes.withColumn("_found", found).select("*", "_found.*").drop("_found")
+    out = counted.agg(F.sum(F.size(p)).alias("pred_length"), F.sum(F.size(t)).alias("truth_length"),
+                      *[precision(k).alias(f"precision_{k}") for k in orders])
     logs = F.array(*[F.log(F.col(f"precision_{n}")) for n in range(1, order + 1)])
     penalty = F.when(F.col("pred_length") >= F.col("truth_length"), F.lit(1.0)).when(
         F.col("pred_length") > 0, F.exp(1 - F.col("truth_length") / F.col("pred_length"))).otherwise(F.lit(0.0))
@@ -94,10 +104,11 @@ def rouge(df: DataFrame, id_col: str, pred: str, truth: str) -> DataFrame:
     def f(shared: Column, n_p: Column, n_t: Column) -> Column:
         return F.when(n_p + n_t > 0, 2 * shared / (n_p + n_t)).otherwise(F.lit(0.0))
 
-    n = df.agg(F.count("*")).scalar()
-    score = f(F.col("shared"), F.col("n_pred"), F.col("n_truth"))
-    out = _shared(df, [id_col], tokens(pred), tokens(truth), (1, 2)).agg(*[
-        (F.coalesce(F.sum(F.when(F.col("k") == k, score)), F.lit(0.0)) / n).alias(f"rouge{k}") for k in (1, 2)])
-    t = df.select(tokens(pred).alias("p"), tokens(truth).alias("t"))
-    lcs = t.agg(F.avg(f(common_subsequence("p", "t"), F.size("p"), F.size("t"))))
-    return out.withColumn("rougeL", lcs.scalar())
+    def score(shared: Column, k: int) -> Column:
+        return f(shared, _of_order(F.col("p"), k), _of_order(F.col("t"), k))
+
+    rows = spread(df.select(id_col, tokens(pred).alias("p"), tokens(truth).alias("t")), id_col)
+    counted = rows.select("p", "t", shared_ngrams((1, 2))("p", "t").alias("shared"),
+                          common_subsequence("p", "t").alias("common"))
+    return counted.agg(*[F.avg(score(F.get("shared", F.lit(k - 1)), k)).alias(f"rouge{k}") for k in (1, 2)],
+                       F.avg(f(F.col("common"), F.size("p"), F.size("t"))).alias("rougeL"))

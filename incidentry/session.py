@@ -65,3 +65,8 @@ def fits(df: DataFrame, max_rows: int) -> bool:
 def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint behind a size check; beyond the bound the plain side is returned for a shuffle join."""
     return F.broadcast(df) if fits(df, max_rows) else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt over all of the session's shuffle partitions, for costly work per row on a table of few files."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

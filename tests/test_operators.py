@@ -298,6 +298,17 @@ def test_rouge_equals_plain(spark):
     assert got.rougeL == pytest.approx(sum(y for _, y in want) / 3)
 
 
+def test_ngrams_are_counted_within_their_row(spark):
+    """No n-gram becomes a row of its own, so memory does not grow with their number; null texts have none."""
+    df = spark.createDataFrame([(1, "a b a b c", "a b a c"), (2, "x", "x"), (3, None, "y z"), (4, "a b a b", "b a b a b")],
+                               "id int, p string, t string")
+    got = overlap_scores.bleu(df, "id", "p", "t")
+    r = got.first()
+    assert (r.precision_1, r.precision_2, r.precision_3, r.precision_4) == pytest.approx((9 / 10, 5 / 7, 3 / 5, 1 / 3))
+    for out in (got, overlap_scores.rouge(df, "id", "p", "t")):
+        assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 # ---- curves ------------------------------------------------------------------------------
 
 
