@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from incidentry.functions import spans
 from incidentry.functions.text import blank_to_null, strip
 from incidentry.operators.ranks import null_safe
+from incidentry.session import spread
 
 FIELD_LABELS = {"state": "STATE", "district": "DISTRICT", "village_name": "VILLAGE", "other_locations": "OTHER_LOCATION"}
 
@@ -39,8 +40,10 @@ def align_places(df: DataFrame, id_col: str, text: str = "incident_summary", thr
         id_col, F.col(text).alias("_text"), F.explode(items).alias("_x"))
     long = long.select(id_col, "_text", "_x.label", "_x.value")
     at = spans.exact_span(F.col("_text"), F.col("value"))
-    long = long.withColumn("_at", at)
-    loose = spans.loose_span(threshold)(F.when(F.col("_at") < 0, F.col("_text")), F.when(F.col("_at") < 0, F.col("value")))
+    # Equal pairs stand side by side, so a batch of the loose search meets them together and searches them once.
+    long = spread(long, "_text", "value").sortWithinPartitions("_text", "value").withColumn("_at", at)
+    # Not deterministic to the planner, which else runs the search for the filter below, before rows are spread, and again.
+    loose = spans.loose_span(threshold).asNondeterministic()(F.when(F.col("_at") < 0, F.col("_text")), F.when(F.col("_at") < 0, F.col("value")))
     long = long.withColumn("_loose", loose)
     start = F.when(F.col("_at") >= 0, F.col("_at")).otherwise(F.col("_loose.start"))
     end = F.when(F.col("_at") >= 0, F.col("_at") + F.length("value")).otherwise(F.col("_loose.end"))

@@ -395,6 +395,19 @@ def test_temperature_without_bounds(spark, right):
     assert calibration.fit_sigmoid_temperature(long, bounds=None) == pytest.approx(want, rel=1e-9)
 
 
+# ---- loose spans -------------------------------------------------------------------------
+
+
+def test_loose_search_runs_once_over_all_partitions(spark):
+    df = spark.createDataFrame([(i, "seen near larg ring today", "large ring") for i in range(50)],
+                               "incident_number int, incident_summary string, village_name string").coalesce(1)
+    out = entities.align_places(df, "incident_number")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert plan.index("ArrowEvalPython") < plan.index("Exchange hashpartitioning")  # the search is above the exchange
+    assert {(r.start, r.end, r.text) for r in out.collect()} == {(10, 19, "larg ring")} and out.count() == 50
+
+
 # ---- bootstrap ---------------------------------------------------------------------------
 
 
