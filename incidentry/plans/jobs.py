@@ -13,6 +13,7 @@ from incidentry.functions import counts, geo, labels, places, probability
 from incidentry.functions.text import integer_id
 from incidentry.operators import entities, match
 from incidentry.operators.wrangle import since
+from incidentry.session import durable, spread
 from incidentry.sources.pages import incidents
 
 
@@ -105,10 +106,11 @@ def apply_scorer(df: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame],
 def locate(structured: DataFrame, gazetteer: DataFrame, key: str = "incident_number", column: str = "prediction",
            max_dist: float = 0.4) -> DataFrame:
     """Structured locations to the closest gazetteer place: names, id, distances of the names, coordinates if it has them."""
-    parsed = structured.withColumn("_p", places.parse_structured(F.col(column)))
-    names = parsed.select(
+    parsed = spread(structured, key).withColumn("_p", places.parse_structured(F.col(column)))
+    # Parsed once, over all partitions; the match reads the names several times.
+    names = durable(parsed.select(
         key, F.lower("_p.state").alias("state_name"), F.lower("_p.district").alias("district_name"),
-        F.lower("_p.village").alias("village_name"))
+        F.lower("_p.village").alias("village_name")))
     found = match.best_gazetteer_match(names, gazetteer, key, "gaz_id", max_dist)
     extra = [c for c in ("latitude", "longitude") if c in gazetteer.columns]
     return found.join(gazetteer.select("gaz_id", *extra), "gaz_id", "left") if extra else found

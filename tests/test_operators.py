@@ -408,6 +408,21 @@ def test_loose_search_runs_once_over_all_partitions(spark):
     assert {(r.start, r.end, r.text) for r in out.collect()} == {(10, 19, "larg ring")} and out.count() == 50
 
 
+# ---- costly work per row is spread --------------------------------------------------------
+
+
+def test_locations_are_parsed_once_over_all_partitions(spark):
+    from incidentry.plans import jobs
+
+    rows = spark.createDataFrame([(i, "state: A, district: B, village: large ring") for i in range(40)],
+                                 "incident_number int, prediction string").coalesce(1)
+    gaz = spark.createDataFrame([(7, "a", "b", "large ring", 1.5)],
+                                "gaz_id int, state_name string, district_name string, village_name string, latitude double")
+    out = jobs.locate(rows, gaz)
+    assert "prediction" not in out._jdf.queryExecution().executedPlan().toString()  # names are read as written
+    assert {(r.gaz_id, r.latitude) for r in out.collect()} == {(7, 1.5)} and out.count() == 40
+
+
 # ---- bootstrap ---------------------------------------------------------------------------
 
 
