@@ -10,6 +10,7 @@ from incidentry.operators import entities, match, profile, weights
 from incidentry.plans import jobs, views
 from incidentry.plans.catalog import query, table
 from incidentry.plans.views import PLACES_SQL, with_
+from incidentry.session import spread
 
 PLA = with_(PLACES_SQL)
 
@@ -264,7 +265,7 @@ def n07(spark, d):
  'state: ' || CASE WHEN p_size >= 25 THEN lower(p_brand) ELSE lower(p_type) END || ', village: ' || p_name || ', other_locations: ' || concat_ws(', ', 'hills',
    CASE WHEN p_size >= 25 THEN CASE WHEN (50 - p_size) / 50.0 >= 0.4 THEN lower(p_type) END ELSE CASE WHEN p_size / 50.0 >= 0.4 THEN lower(p_brand) END END) AS structured FROM part""")
 def n10(spark, d):
-    p = table(spark, d, "part")
+    p = spread(table(spark, d, "part"), "p_partkey")
     e = F.array(
         _entity(F.lit("OTHER_LOCATION"), F.lit("hills area"), F.lit(0.5)),
         _entity(F.lit("STATE"), F.concat(F.lower("p_brand"), F.lit(" State")), F.col("p_size") / 50),

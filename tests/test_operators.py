@@ -621,3 +621,16 @@ def test_sample_weights_have_mean_one(spark):
     got = [r.sample_weight for r in weights.sample_weights(df, ["a", "b"]).collect()]
     assert sum(got) == pytest.approx(4) and min(got) > 0
     assert max(got) == pytest.approx(1.0 / (2.5 / 4))
+
+
+def test_slots_are_filled_over_all_partitions(spark, tmp_path):
+    from incidentry.plans import catalog
+
+    catalog.load_all()
+    spark.createDataFrame([(i, "hot bolt", "Brand#1", "SMALL", i) for i in range(40)],
+                          "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int").coalesce(
+        1).write.parquet(str(tmp_path / "part.parquet"))
+    out = catalog.QUERIES["n10_filled_slots"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("AS structured") < plan.index("Exchange hashpartitioning(p_partkey")  # the work is above the exchange
+    assert out.count() == 40
