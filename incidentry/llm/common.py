@@ -8,6 +8,7 @@ import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,14 +41,34 @@ def sha256(s: str) -> str:
     return hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def worker_store(name: str, make: Callable[[], object]) -> object:
-    """A value that one Python worker makes once and keeps over its tasks."""
-    home = sys.modules.setdefault("_incidentry_worker_store", types.ModuleType("_incidentry_worker_store"))
+def _worker_home() -> types.ModuleType:
+    return sys.modules.setdefault("_incidentry_worker_store", types.ModuleType("_incidentry_worker_store"))
+
+
+def worker_store(name: str, make: Callable[[], object], large: bool = False) -> object:
+    """A value that one Python worker makes once and keeps over its tasks. ``large``: until another operator's."""
+    home = _worker_home()
     if not hasattr(home, name):
         setattr(home, name, make())
+    if large:
+        home.__dict__.setdefault("_large", {})[name] = _stage()
     return getattr(home, name)
 
 
+def _stage() -> int | None:
+    here = TaskContext.get()
+    return here and here.stageId()
+
+
+def let_go_large() -> None:
+    """Large stores of other stages are dropped: a worker outlives the operator that filled them."""
+    home = _worker_home()
+    held, now = home.__dict__.get("_large", {}), _stage()
+    for name in [n for n, stage in held.items() if stage != now]:
+        del held[name]
+        delattr(home, name)
+
+
 def arrow_schema(schema: str):
     """The Arrow schema of a DDL string; made on the driver."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -66,6 +87,7 @@ def row_map(df: DataFrame, f: Callable[..., tuple], schema: str, columns: list[s
     target = arrow_schema(schema)
 
     def run(batches: Iterator["pa.RecordBatch"]) -> Iterator["pa.RecordBatch"]:
+        let_go_large()
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
@@ -93,6 +115,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a small table that one task works on at least.
+ROWS_A_TASK = 20_000
+
+
+def in_few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, made of ``rows`` rows, in a task for every ``ROWS_A_TASK`` of them, one for each core at least.
+
+    A small table is else written as one file for each shuffle partition. Large ones keep their partitions.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK)))
+
+
 def small(df: DataFrame, bytes_per_row: int, limit: int = BROADCAST_BYTES) -> bool:
     """Whether ``df`` is measured to hold at most ``limit`` bytes at ``bytes_per_row``, its fixed row width."""
     most = limit // bytes_per_row

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from incidentry.llm.common import written
+from incidentry.llm.common import in_few_tasks, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -27,11 +27,12 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = written(large.where("a <> b"), "large-star")
+        few = (lambda df: in_few_tasks(df, 2 * seen[0])) if seen else (lambda df: df)
+        large = written(few(large.where("a <> b")), "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
-        edges = written(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-                        .unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small-star")
+        edges = written(few(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+                            .unionByName(least.select("a", F.col("m").alias("b"))).distinct()), "small-star")
         done += 1
         if done == rounds:
             return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))

@@ -24,12 +24,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from incidentry.llm.common import arrow_schema, written
+from incidentry.llm.common import BROADCAST_BYTES, arrow_schema, checked_broadcast, in_few_tasks, let_go_large, written
 
 #: So many sets or fewer outside the major component of a group are paired with the rest of it at once.
 FEW = 16
 #: What is left of larger groups is paired when it makes no more pairs than this or than the keys at first.
 PAIRS_AT_ONCE = 100_000
+#: Tables of a few numbers a row are sent to all tasks when they are measured to hold at most so many bytes. A join then
+#: needs no shuffle; rounds on small tables are many, and each shuffle costs a task for every partition.
+SENT_BYTES = 8 * 1024 * 1024
+#: Pairs compared at once in Python.
+SLICE = 500
 
 #: Columns of a key table. ``cap`` bounds the overlap with any other set, ``short`` says whether the set may be the
 #: smaller one of a pair under this key, and the least ``rank`` is the most central.
@@ -49,7 +54,8 @@ def with_sets(pairs: DataFrame, full: DataFrame, run: Callable, schema: str) ->
     left, right = (full.select(F.col("ref").alias(c), *[F.col(h).alias(f"{c}_{h}") for h in held]) for c in ("a", "b"))
 
     def over(batches):
-        for batch in batches:
+        let_go_large()
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             values, offsets = [], []
             for c in (2, 3):
                 column = batch.column(c)
@@ -66,6 +72,16 @@ def with_sets(pairs: DataFrame, full: DataFrame, run: Callable, schema: str) ->
     return pairs.join(left, "a").join(right, "b").select("a", "b", *columns).mapInArrow(over, schema)
 
 
+def _sent(df: DataFrame, bytes_per_row: int) -> DataFrame:
+    return checked_broadcast(df, bytes_per_row, SENT_BYTES)
+
+
+def _sent_sets(full: DataFrame) -> DataFrame:
+    """``full`` with a broadcast hint where all its sets are measured to be small."""
+    row = F.size("tokens") * 8 + 64 + (F.length("signature") if "signature" in full.columns else 0)
+    return F.broadcast(full) if (full.agg(F.sum(row)).first()[0] or 0) <= BROADCAST_BYTES else full
+
+
 def _common(x: np.ndarray, y: np.ndarray) -> int:
     both = np.concatenate((x, y))
     both.sort()
@@ -97,16 +113,17 @@ def _centred(keys: DataFrame) -> DataFrame:
     return keys.join(centres, "key")
 
 
-def _still_open(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of keys whose sets are in more than one component, with their ``root``, the root ``major`` of the
+def _still_open(rows: DataFrame, count: int, roots: DataFrame) -> DataFrame:
+    """The ``count`` rows of keys whose sets are in more than one component, with their ``root``, the root ``major`` of the
     component that most sets of the key are in, and the number ``minors`` of the other sets."""
     rows = rows.drop("root", "major", "minors").join(
-        roots.select(F.col("node").alias("ref"), "root"), "ref", "left").withColumn("root", F.coalesce("root", "ref"))
+        _sent(roots.select(F.col("node").alias("ref"), "root"), 16), "ref", "left").withColumn(
+        "root", F.coalesce("root", "ref"))
     parts = rows.groupBy("key", "root").agg(F.count("*").alias("part"))
     apart = parts.groupBy("key").agg(
         F.max(F.struct("part", "root")).alias("m"), F.sum("part").alias("all")).where("all > m.part").select(
         "key", F.col("m.root").alias("major"), (F.col("all") - F.col("m.part")).alias("minors"))
-    return rows.join(apart, "key")
+    return rows.join(_sent(written(in_few_tasks(apart, count), "apart-keys"), 24), "key")
 
 
 _OTHER = ("ref", "n", "cap", "root", "short")
@@ -120,12 +137,13 @@ def _few_pairs(rows: DataFrame) -> DataFrame:
     At most ``FEW`` pairs a set. The smaller set of a pair must be there as ``short``.
     """
     others = rows.select("key", *[F.col(c).alias(f"other_{c}") for c in _OTHER])
+    minor = _sent(rows.where("root <> major").select("key", *_OTHER), 40)
     short = "case when n < other_n then short when n > other_n then other_short else short or other_short end"
-    return rows.where("root <> major").join(others, "key").where("root <> other_root").where(short).where(
+    return others.join(minor, "key").where("root <> other_root").where(short).where(
         _NEAR).select(*unordered("ref", "other_ref"))
 
 
-def _around(rows: DataFrame, full: DataFrame) -> DataFrame:
+def _around(rows: DataFrame, count: int, full: DataFrame) -> DataFrame:
     """(ref, centre, overlap, linked, outside) of the sets of ``rows`` held against the centres of their keys."""
 
     def run(a, b, x, y, *signatures):
@@ -134,22 +152,22 @@ def _around(rows: DataFrame, full: DataFrame) -> DataFrame:
         yield a, b, overlap, 100 * overlap >= 80 * (len(x) + len(y) - overlap), outside.tolist()
 
     held = rows.where("ref <> centre").select(F.col("ref").alias("a"), F.col("centre").alias("b")).distinct()
-    return with_sets(held, full, run, "ref long, centre long, overlap int, linked boolean, outside array<long>")
+    return with_sets(in_few_tasks(held, count), full, run, "ref long, centre long, overlap int, linked boolean, outside array<long>")
 
 
-def _keys_inside(rows: DataFrame) -> DataFrame:
+def _keys_inside(rows: DataFrame, count: int) -> DataFrame:
     """Groups of the sets whose overlaps with their centre allow a link without any other token."""
     sized = rows.withColumn("cap_n", F.expr("9 * overlap div 4 - n")).withColumn(
         "from_n", F.expr("greatest(least, (4 * n + 4) div 5)"))
     apart = F.expr("not linked and cap_n >= from_n")
     asking = sized.where(apart).groupBy("key").agg(
         F.max("cap_n").alias("to"), F.min("from_n").alias("from"), F.min("n").alias("asking_n"))
-    met = sized.join(asking, "key").where(
+    met = sized.join(_sent(written(in_few_tasks(asking, count), "asking-keys"), 24), "key").where(
         apart | F.expr("n between `from` and `to` and 9 * overlap >= 4 * (n + asking_n)"))
     return met.select(F.xxhash64("key", "centre").alias("key"), "ref", "n", "cap", "short", "rank")
 
 
-def _keys_outside(rows: DataFrame, around: DataFrame) -> DataFrame:
+def _keys_outside(rows: DataFrame, count: int, around: DataFrame) -> DataFrame:
     """Keys for pairs that share tokens outside the centre of their group: one for each centre and token.
 
     A set of ``n`` that shares ``overlap`` with the centre must share ``needed`` more with a partner, so these many less
@@ -165,7 +183,7 @@ def _keys_outside(rows: DataFrame, around: DataFrame) -> DataFrame:
     shared = tokens.groupBy("centre", "token").agg(
         F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("count")).where("lo <> hi").select(
         "centre", "token", "count")
-    lists = tokens.join(shared, ["centre", "token"]).groupBy("ref", "centre").agg(
+    lists = tokens.join(_sent(written(in_few_tasks(shared, count), "shared-tokens"), 24), ["centre", "token"]).groupBy("ref", "centre").agg(
         F.sort_array(F.collect_list(F.struct("count", "token"))).alias("shared"))
     lists = held.drop("outside").join(lists, ["ref", "centre"]).where("size(shared) >= needed")
     prefix = F.slice("shared", F.lit(1), F.expr("size(shared) - needed + 1").cast("int"))
@@ -188,23 +206,26 @@ def links_within(keys: DataFrame, full: DataFrame, known: DataFrame,
     ``full`` is (ref, tokens[, signature]), one row a ref. ``alike`` may say from two signatures that a pair is surely
     not linked, before whole sets are compared.
     """
-    found, pairs, allowed = written(known, "known-links"), [], None
+    found, pairs, allowed, full = written(known, "known-links"), [], None, _sent_sets(full)
     while True:
         rows = written(_centred(keys), "centred-keys")
-        allowed = allowed or max(PAIRS_AT_ONCE, rows.count())
+        count = rows.count()
+        allowed = allowed or max(PAIRS_AT_ONCE, count)
         stars = rows.where("ref <> centre").where("5 * least(n, centre_n) >= 4 * greatest(n, centre_n)").select(
             *unordered("ref", "centre")).distinct()
-        found = found.unionByName(written(verified(stars, full, alike), "star-links"))
+        found = found.unionByName(written(verified(in_few_tasks(stars, count), full, alike), "star-links"))
         # Components need not be whole here: what is taken apart too far is paired, not lost.
-        rows = written(_still_open(rows, _reached(found)), "open-keys")
+        roots = written(in_few_tasks(_reached(found), count), "reached")
+        rows = written(_still_open(rows, count, roots), "open-keys")
         large = rows.where(F.col("minors") > FEW)
         left = large.agg(F.coalesce(F.sum("minors"), F.lit(0))).first()[0]
         if left <= allowed:
             pairs.append(_few_pairs(rows))
             break
         pairs.append(_few_pairs(rows.where(F.col("minors") <= FEW)))
-        around = written(_around(large, full), "around-centre")
-        keys = written(_keys_inside(large.join(around.drop("outside"), ["ref", "centre"])).unionByName(
-            _keys_outside(large, around)), "narrower-keys")
-    rest = reduce(DataFrame.unionByName, pairs).distinct()
+        around = written(_around(large, count, full), "around-centre")
+        overlaps = _sent(around.drop("outside"), 24)
+        keys = written(in_few_tasks(_keys_inside(large.join(overlaps, ["ref", "centre"]), count).unionByName(
+            _keys_outside(large, count, around)), count), "narrower-keys")
+    rest = in_few_tasks(reduce(DataFrame.unionByName, pairs).distinct(), allowed)
     return found.unionByName(written(verified(rest, full, alike), "cross-links"))

@@ -123,3 +123,21 @@ def test_minima_estimate_similarity():
         if share >= 0.8:
             assert (m.band_keys(a) == m.band_keys(b)).any()
             assert m.alike(m.signature(a), m.signature(b))
+
+
+def test_small_tables_take_few_tasks(spark):
+    """A round over few rows writes a file for each core at most, however many shuffle partitions there are."""
+    from incidentry.llm.components import components
+
+    held = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        links = spark.range(2000).selectExpr("id + 1 - id % 10 as a", "id - id % 10 as b")
+        found = components(links)
+        assert len(found.inputFiles()) <= spark.sparkContext.defaultParallelism
+        assert found.where("root = node - node % 10").count() == found.count() == 400
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
