@@ -92,7 +92,8 @@ def tags_to_spans(tokens: DataFrame, doc: str = "doc_id", pos: str = "pos", toke
 
     Tokens are read in blocks of ``block`` places, so a document of any length spreads over
     tasks. A span over block borders is found as one piece a block; what a block inherits
-    follows from the first and last rows of the blocks before it.
+    follows from the first and last rows of the blocks before it. Pieces that reach neither
+    end of their block are spans as they are: they are neither joined nor shuffled again.
     """
     special = F.col(token).isin(*spans.SPECIAL_TOKENS)
     label = F.when(~special & F.col(tag).rlike("^[BI]-"), F.expr(f"substring(`{tag}`, 3)"))
@@ -104,11 +105,16 @@ def tags_to_spans(tokens: DataFrame, doc: str = "doc_id", pos: str = "pos", toke
     opens = F.col("_label").isNotNull() & (F.col("_b") | ~F.col("_label").eqNullSafe(F.lag("_label").over(order)))
     t = t.withColumn("_opens", opens.cast("int"))
     t = t.withColumn("_piece", F.sum("_opens").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    end = F.lag(F.lit(1)).over(order).isNull() | F.lead(F.lit(1)).over(order).isNull()
 
     words = F.transform(F.array_sort(F.collect_list(F.struct(pos, token))), lambda x: x[token])
-    pieces = t.filter("_label is not null").groupBy(*unit, "_piece").agg(
-        F.first("_label").alias("label"), F.min(pos).alias("_from"), F.max(pos).alias("_to"), words.alias("_words"))
-    owned = null_safe(pieces, _inherited(t, doc, pos), unit, "left")
+    pieces = t.withColumn("_end", end).filter("_label is not null").groupBy(*unit, "_piece").agg(
+        F.first("_label").alias("label"), F.min(pos).alias("_from"), F.max(pos).alias("_to"), words.alias("_words"),
+        F.max("_end").alias("_end"))
+    inner = pieces.filter("not _end").select(
+        doc, "label", F.col("_from").alias("start_token"), (F.col("_to") + 1).alias("end_token"),
+        F.array_join("_words", " ").alias("text"))
+    owned = null_safe(pieces.filter("_end"), _inherited(t, doc, pos), unit, "left")
     mine = F.col("_owner").isNull() | (F.col("_piece") > 1)
     parts = owned.select(
         doc, "label", F.when(mine, F.struct("_block", F.col("_piece").cast("long").alias("_piece")))
@@ -118,7 +124,7 @@ def tags_to_spans(tokens: DataFrame, doc: str = "doc_id", pos: str = "pos", toke
         F.first("label").alias("label"), F.min("_part._from").alias("start_token"), (F.max("_part._to") + 1).alias("end_token"),
         F.array_sort(F.collect_list("_part")).alias("_parts"))
     text = F.array_join(F.flatten(F.transform("_parts", lambda x: x["_words"])), " ")
-    return whole.select(doc, "label", "start_token", "end_token", text.alias("text"))
+    return inner.unionByName(whole.select(doc, "label", "start_token", "end_token", text.alias("text")))
 
 
 def _inherited(t: DataFrame, doc: str, pos: str) -> DataFrame:

@@ -555,6 +555,17 @@ def test_spans_over_block_borders(spark, block):
     assert sorted(got, key=str) == sorted((tuple(r) for r in want), key=str)
 
 
+def test_spans_inside_a_block_are_shuffled_once(spark):
+    """Only pieces at the ends of a block go on to the join and the second grouping."""
+    df = spark.createDataFrame([(1, p, f"w{p}", "B-STATE") for p in range(30)], "doc_id int, pos int, token string, tag string")
+    found = entities.tags_to_spans(df, block=10)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Union", 1)[1].split("\n")[1:]
+    depth = plan[0].index(":-")
+    inner = [line for k, line in enumerate(plan) if "+-" not in "".join(x[depth:depth + 2] for x in plan[:k + 1])]
+    assert sum("Exchange" in line for line in inner) == 1 and not any("Join" in line for line in inner)
+    assert found.count() == 30
+
+
 def test_array_spans_equal_row_spans(spark):
     rng = random.Random(5)
     tags = ["B-STATE", "I-STATE", "I-STATE", "I-DISTRICT", "O", "B", "", None]
