@@ -6,6 +6,7 @@ from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -15,6 +16,8 @@ from incidentry.functions.text import day_of, month_number, squeeze, strip, summ
 # Where the page holds an incident and its date, as (tag, attribute, value).
 ITEM = ("div", "class", "more")
 DATE = ("td", "style", "width: 15%;")
+#: Pages of a batch whose texts are held as Python strings at once.
+PAGES_AT_ONCE = 100
 
 
 class _Finder(HTMLParser):
@@ -56,18 +59,28 @@ class _Finder(HTMLParser):
         return [["".join(parts).replace("\xa0", " ") for parts in each] for each in self.found]
 
 
-def element_texts(html: Column, selectors: list[tuple[str, str, str]]) -> Column:
-    """Per page a struct of arrays ``t0, t1, ...``: the texts of the elements of each selector, entities decoded."""
-
-    @F.pandas_udf(", ".join(f"t{k} array<string>" for k in range(len(selectors))))
-    def parse(pages: pd.Series) -> pd.DataFrame:
+def element_arrays(pages: pa.Array, selectors: list[tuple[str, str, str]], kind: pa.StructType) -> pa.Array:
+    """What :func:`element_texts` gives for one batch; few pages at once are more than Arrow buffers."""
+    made = [pa.array([], kind)]
+    for at in range(0, len(pages), PAGES_AT_ONCE):
         rows = []
-        for page in pages:
+        for page in pages.slice(at, PAGES_AT_ONCE).to_pylist():
             finder = _Finder(selectors)
             finder.feed(page or "")
             finder.close()
-            rows.append(finder.texts())
-        return pd.DataFrame(rows, columns=[f"t{k}" for k in range(len(selectors))], dtype=object)
+            rows.append({f"t{k}": texts for k, texts in enumerate(finder.texts())})
+        made.append(pa.array(rows, kind))
+    return pa.concat_arrays(made)
+
+
+def element_texts(html: Column, selectors: list[tuple[str, str, str]]) -> Column:
+    """Per page a struct of arrays ``t0, t1, ...``: the texts of the elements of each selector, entities decoded."""
+
+    kind = pa.struct([(f"t{k}", pa.list_(pa.string())) for k in range(len(selectors))])
+
+    @F.arrow_udf(", ".join(f"t{k} array<string>" for k in range(len(selectors))))
+    def parse(pages: pa.Array) -> pa.Array:
+        return element_arrays(pages, selectors, kind)
 
     return parse(html)
 

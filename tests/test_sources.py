@@ -163,3 +163,25 @@ def test_clean_locations(spark):
     df = df.withColumns({"latitude": F.lit(None).cast("double"), "longitude": F.lit(None).cast("double")})
     got = {r.incident_number: r.other_locations for r in jobs.clean_locations(df).collect()}
     assert got == {"1": "Blk, Hills", "5": None}
+
+
+def test_pages_of_a_batch_are_parsed_few_at_a_time():
+    """Python objects of a batch do not grow with it; all its texts are there."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from incidentry.sources import pages as page_source
+
+    selectors = [page_source.ITEM, page_source.DATE]
+    kind = pa.struct([("t0", pa.list_(pa.string())), ("t1", pa.list_(pa.string()))])
+    html = "".join(f'<div class="more">{k} {"x" * 200}</div>' for k in range(10))
+    batch = pa.array([f"{k}{html}" if k % 7 else None for k in range(1000)])
+    tracemalloc.start()
+    try:
+        got = page_source.element_arrays(batch, selectors, kind)
+        assert tracemalloc.get_traced_memory()[1] < 1_500_000
+    finally:
+        tracemalloc.stop()
+    assert len(got) == 1000 and got.field(0).value_lengths().to_pylist() == [10 if k % 7 else 0 for k in range(1000)]
+    assert page_source.element_arrays(batch[:0], selectors, kind).type == kind
