@@ -318,7 +318,7 @@ def write_archive(docs: DataFrame, path: str, tokenizer: str, end: int = 1, id_c
     def shards(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encoder = worker_store(f"encoder-{hash(sent.value)}", lambda: Encoder(sent.value))
+        encoder = worker_store(f"encoder-{hash(sent.value)}", lambda: Encoder(sent.value), large=True)
         part, seq, ids, held, size = TaskContext.get().partitionId(), 0, [], [], 0
         width = np.dtype(encoder.kind).itemsize
         tail = end.to_bytes(width, "little")

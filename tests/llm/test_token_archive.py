@@ -72,3 +72,17 @@ def test_empty_archive(spark, tmp_path):
     path = str(tmp_path / "b")
     ta.write_archive(empty_docs(spark), path, PATH)
     assert ta.read_archive(spark.read.parquet(path)).count() == 0
+
+
+def test_large_stores_of_a_worker_go_with_their_stage(monkeypatch):
+    """The encoder's words must not stay in a worker that has gone on to another operator."""
+    from incidentry.llm import common
+
+    monkeypatch.setattr(common, "_stage", lambda: 1)
+    made = [common.worker_store("test-large", list, large=True), common.worker_store("test-small", list)]
+    common.let_go_large()
+    assert common.worker_store("test-large", list, large=True) is made[0]
+    monkeypatch.setattr(common, "_stage", lambda: 2)
+    common.let_go_large()
+    assert common.worker_store("test-large", list, large=True) is not made[0]
+    assert common.worker_store("test-small", list) is made[1]
