@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from incidentry.llm.common import BROADCAST_BYTES, arrow_schema, checked_broadcast, in_few_tasks, let_go_large, written
+from incidentry.llm.common import arrow_schema, checked_broadcast, in_few_tasks, let_go_large, written
 
 #: So many sets or fewer outside the major component of a group are paired with the rest of it at once.
 FEW = 16
@@ -76,12 +76,6 @@ def _sent(df: DataFrame, bytes_per_row: int) -> DataFrame:
     return checked_broadcast(df, bytes_per_row, SENT_BYTES)
 
 
-def _sent_sets(full: DataFrame) -> DataFrame:
-    """``full`` with a broadcast hint where all its sets are measured to be small."""
-    row = F.size("tokens") * 8 + 64 + (F.length("signature") if "signature" in full.columns else 0)
-    return F.broadcast(full) if (full.agg(F.sum(row)).first()[0] or 0) <= BROADCAST_BYTES else full
-
-
 def _common(x: np.ndarray, y: np.ndarray) -> int:
     both = np.concatenate((x, y))
     both.sort()
@@ -206,7 +200,7 @@ def links_within(keys: DataFrame, full: DataFrame, known: DataFrame,
     ``full`` is (ref, tokens[, signature]), one row a ref. ``alike`` may say from two signatures that a pair is surely
     not linked, before whole sets are compared.
     """
-    found, pairs, allowed, full = written(known, "known-links"), [], None, _sent_sets(full)
+    found, pairs, allowed = written(known, "known-links"), [], None
     while True:
         rows = written(_centred(keys), "centred-keys")
         count = rows.count()
