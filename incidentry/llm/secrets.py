@@ -1,8 +1,9 @@
 """Secret scan: fixed patterns, and a linear-chain conditional random field that finds secrets beyond them.
 
 Tokens are the parts of a text between blanks. The field tags each as begin, inside or outside of a secret from its
-shape, the words beside it and figures of the whole file. All tokens of a text are decoded together by Viterbi, and none
-is outside beforehand.
+shape, the words beside it and figures of the whole file. All tokens of a text are decoded together: its best tags are
+those of Viterbi over the whole text. Every token is weighed, in arrays of a text; the search itself then runs over
+tokens that a bound on the best sum does not prove to be outside.
 
 The field is trained on documents whose pattern spans serve as tags: at most ``SAMPLE_DOCS`` documents, those of
 the least hash of their id, and at most ``SAMPLE_RUNS`` of their runs of ``TRAIN_LENGTH`` tokens. Spans of the patterns always stay; spans of
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
 from itertools import islice, takewhile
 
 import numpy as np
@@ -84,14 +86,18 @@ SHAPES = (
     ("address", re.compile(r"\S+(?:@|://)\S+")),
 )
 EDGE = "\"'()[]{}<>,;.!?"
+#: Levels of a token's size.
+SIZES = (4, 6, 9, 12, 16, 20, 24, 32, 48, 64)
 
 
 def _shape(core: str) -> str:
+    if core.isalpha():  # most tokens
+        return "letters" if core.strip("abcdef") else "hex"
     return next((name for name, p in SHAPES if p.fullmatch(core)), "other") if core else "none"
 
 
 def _level(x: float, cuts: tuple) -> int:
-    return sum(x >= c for c in cuts)
+    return bisect_right(cuts, x)
 
 
 def _name(word: str) -> str:
@@ -116,7 +122,7 @@ def _look(token: str) -> tuple:
     core = token.strip(EDGE)
     n = len(core)
     digits = sum(map(core.count, "0123456789")) if not core.isalpha() else 0
-    return (_shape(core), _level(n, (4, 6, 9, 12, 16, 20, 24, 32, 48, 64)),
+    return (_shape(core), _level(n, SIZES),
             _level(digits / n if n else 0, (0.01, 0.15, 0.3, 0.5, 0.8)),
             _level(len(set(core)) / n if n else 0, (0.2, 0.4, 0.6, 0.8)), _name(token),
             "=" in token.rstrip("="), ":" in token, token[:1] in EDGE, token[-1:] in EDGE)
@@ -164,6 +170,8 @@ def file_feature(text: str, active: int) -> str:
 
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
 NEVER = -1e9
+#: What rounding may take from a bound on the gain of a tag.
+SLACK = 1e-3
 
 
 class Field:
@@ -177,75 +185,127 @@ class Field:
         self._forget()
 
     def _forget(self) -> None:
-        self._tokens: dict[str, tuple] = {}
-        self._parts: dict[tuple, tuple] = {}
+        self._tokens: dict[str, int] = {}
+        self._looks: dict[tuple, int] = {}
+        self._befores: dict[str, int] = {}
+        self._files: dict[str, np.ndarray] = {}
+        self._rows: list[tuple] = []
+        self._pairs: list[np.ndarray] = []
+        self._tables: tuple = ()
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("_tokens", "_parts")}
+        return {k: getattr(self, k) for k in ("weights", "steps", "first")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self._forget()
 
-    def _weight(self, names: list[str]) -> list[float]:
-        return self.weights[_numbers(names)].sum(0).tolist()
-
-    def _part(self, key: tuple, names: list[str]) -> tuple:
-        if key not in self._parts:
-            self._parts[key] = tuple(self._weight(names))
-        return self._parts[key]
-
-    def _known(self, token: str) -> tuple:
-        """Weights of a token alone and as the word after another, its size, its class as the word before, and whether
-        it counts for the figure of the file."""
+    def _weight(self, names: list[str]) -> np.ndarray:
+        return self.weights[_numbers(names)].sum(0)
+
+    def _look_number(self, look: tuple, before: str, after: str, active: bool) -> int:
+        """The number of what tokens of one look have in common: weights, size, class as the word before, whether active."""
+        key = look, before, after, active
+        if key not in self._looks:
+            if before not in self._befores:
+                self._befores[before] = len(self._pairs)
+                self._pairs.append(np.array([self._weight([f"before={before}", f"before,size={before},{size}"])
+                                             for size in range(len(SIZES) + 1)]))
+            own = self._weight(_own(look)) if look else np.zeros(3)
+            self._looks[key] = len(self._rows)
+            self._rows.append((own, self._weight([f"after={after}"]), look[1] if look else 0, self._befores[before], active))
+            self._tables = ()
+        return self._looks[key]
+
+    def _known(self, token: str) -> int:
+        """The number of a token's look, remembered."""
         look = _look(token)
         if len(token) <= 40:
             before = after = (look[4] or look[0]) + (token[-1] if token[-1] in ":=" else "")
         else:
             before, after = _word_class(token[-40:]), _word_class(token[:40])
-        out = self._tokens[token] = (*self._part(look, _own(look)), *self._part((after,), [f"after={after}"]), look[1], before,
-                                     _active(token))
+        active = _active(token) if look[0] != "letters" or look[4] or look[6] or "=" in token else len(token) >= LONG
+        out = self._tokens[token] = self._look_number(look, before, after, active)
         return out
 
-    def _paired(self, before: str, size: int) -> tuple:
-        return self._part((before, size), [f"before={before}", f"before,size={before},{size}"])
+    def _emissions(self, tokens: list[str], file: str | None, text: str) -> np.ndarray:
+        """The weight of each tag at each token of a text. Tokens differ, but few looks do."""
+        if len(self._tokens) > REMEMBERED or len(self._rows) > REMEMBERED // 10:
+            self._forget()
+        edge = self._look_number((), _word_class(""), _word_class(""), False)
+        get = self._tokens.get
+        looks = [edge]
+        for t in tokens:
+            k = get(t)
+            looks.append(self._known(t) if k is None else k)
+        looks.append(edge)
+        if not self._tables:
+            self._tables = (*map(np.array, zip(*self._rows)), np.array(self._pairs))
+        own, after, size, before, active, pairs = self._tables
+        looks = np.array(looks)
+        here = looks[1:-1]
+        if file is None:
+            file = file_feature(text, int(active[here].sum()))
+        if file not in self._files:
+            self._files[file] = self._weight([file])
+        return own[here] + after[looks[2:]] + pairs[before[looks[:-2]], size[here]] + self._files[file]
+
+    def _open_tokens(self, emit: np.ndarray) -> np.ndarray:
+        """Which tokens may be other than outside in the best tags.
+
+        Tokens that are not outside stand in runs. A run gains over tags of outside no more than the sum of what each of
+        its tokens gains by its better tag and the best step to it, and the step back to outside. Where every run through
+        a token loses, the best tags have outside there: so the search is that of Viterbi, only shorter.
+        """
+        steps, first = self._masks()
+        (bb, bi, bo), (ib, ii, io), (ob, _, oo) = steps.tolist()
+        begin, inside = emit[:, BEGIN] - emit[:, OUTSIDE], emit[:, INSIDE] - emit[:, OUTSIDE]
+        gain = np.maximum(begin + max(bb, ib, ob), inside + max(bi, ii)) - oo
+        gain[0] = begin[0] + first[BEGIN] - first[OUTSIDE]
+        back = max(0.0, bo - oo, io - oo)
+        if gain.max() + back < -SLACK:
+            return np.zeros(len(emit), bool)
+        sums = np.cumsum(gain)
+        ahead = np.concatenate(([0.0], sums[:-1]))
+        most = np.maximum.accumulate(sums[::-1])[::-1] - np.minimum.accumulate(ahead)
+        return most + back >= -SLACK * (1 + 1e-6 * np.abs(sums).max())
 
     def tags(self, tokens: list[str], file: str | None = None, text: str = "") -> list[int]:
-        """The best tags of a whole text: what ``decode`` gives for its features, with weights summed once per token."""
+        """The best tags of a whole text: what ``decode`` gives for its features."""
         if not tokens:
             return []
-        if len(self._tokens) > REMEMBERED:
-            self._forget()
-        get, parts = self._tokens.get, self._parts
-        known = [get(t) or self._known(t) for t in tokens]
-        if file is None:
-            file = file_feature(text, sum([x[8] for x in known]))
+        emit = self._emissions(tokens, file, text)
+        out = [OUTSIDE] * len(tokens)
+        held = np.concatenate(([False], self._open_tokens(emit), [False])).view(np.int8)
+        edges = np.diff(held)
+        for start, end in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist()):
+            out[start:end] = self._best(emit[start:end].tolist(), start == 0, end == len(tokens))
+        return out
+
+    def _best(self, emit: list[list[float]], starts: bool, ends: bool) -> list[int]:
+        """The best tags of a part of a text; what stands before and after it is outside, or the text ends there."""
         steps, first = self._masks()
-        (bb, bi, bo), (ib, ii, io), (ob, _, oo) = steps.tolist()
-        f0, f1, f2 = self._weight([file])
-        edge = (0.0,) * 3 + tuple(self._weight(_after(""))) + (0, _word_class(""))
-        before, back = edge[7], []
-        b, i, o = (0.0, NEVER, 0.0)
-        for k, now in enumerate(known):
-            after = known[k + 1] if k + 1 < len(known) else edge
-            p = parts.get((before, now[6])) or self._paired(before, now[6])
-            if k:
-                vb, vi, vo, tb, ti, to = b + bb, b + bi, b + bo, 0, 0, 0
-                if i + ib > vb:
-                    vb, tb = i + ib, 1
-                if o + ob > vb:
-                    vb, tb = o + ob, 2
-                if i + ii > vi:
-                    vi, ti = i + ii, 1
-                if i + io > vo:
-                    vo, to = i + io, 1
-                if o + oo > vo:
-                    vo, to = o + oo, 2
-                back.append((tb, ti, to))
-            else:
-                vb, vi, vo = first.tolist()
-            b, i, o = (vb + now[0] + after[3] + p[0] + f0, vi + now[1] + after[4] + p[1] + f1, vo + now[2] + after[5] + p[2] + f2)
-            before = now[7]
+        (bb, bi, bo), (ib, ii, io), (ob, oi, oo) = steps.tolist()
+        (eb, ei, eo), *rest = emit
+        vb, vi, vo = first.tolist() if starts else (ob, oi, oo)
+        b, i, o = vb + eb, vi + ei, vo + eo
+        back = []
+        for eb, ei, eo in rest:
+            vb, vi, vo, tb, ti, to = b + bb, b + bi, b + bo, 0, 0, 0
+            if i + ib > vb:
+                vb, tb = i + ib, 1
+            if o + ob > vb:
+                vb, tb = o + ob, 2
+            if i + ii > vi:
+                vi, ti = i + ii, 1
+            if i + io > vo:
+                vo, to = i + io, 1
+            if o + oo > vo:
+                vo, to = o + oo, 2
+            back.append((tb, ti, to))
+            b, i, o = vb + eb, vi + ei, vo + eo
+        if not ends:
+            b, i, o = b + bo, i + io, o + oo
         tag = 0 if b >= i and b >= o else 1 if i >= o else 2
         out = [tag]
         for step in reversed(back):
@@ -283,7 +343,9 @@ class Field:
         gold, there = np.full((count, longest), OUTSIDE), np.zeros((count, longest), bool)
         for k, (f, t) in enumerate(sequences):
             ids[k, :len(t)], gold[k, :len(t)], there[k, :len(t)] = f, t, True
-        flat, on = ids[there], there[..., None]
+        # Tokens differ, but few rows of features do: these are weighed once, and slopes are summed over them first.
+        kinds, kind = np.unique(ids[there], axis=0, return_inverse=True)
+        kind, on = kind.ravel(), there[..., None]
         want = np.eye(3)[gold] * on
         pair = there[:, 1:]
         gold_steps = np.einsum("kti,ktj->ij", want[:, :-1] * pair[..., None], want[:, 1:])
@@ -293,7 +355,7 @@ class Field:
         for r in range(1, rounds + 1):
             steps, first = self._masks()
             emit = np.zeros((count, longest, 3))
-            emit[there] = self.weights[flat].sum(1)
+            emit[there] = self.weights[kinds].sum(1)[kind]
             alpha, beta = np.zeros_like(emit), np.zeros_like(emit)
             alpha[:, 0] = first + emit[:, 0]
             for t in range(1, longest):
@@ -307,7 +369,8 @@ class Field:
             joint = np.exp(np.minimum(alpha[:, :-1, :, None] + steps + (emit[:, 1:] + beta[:, 1:])[:, :, None, :]
                                       - total[..., None], 0)) * pair[..., None, None]
             off = (mean - want)[there] / count
-            slope = np.stack([np.bincount(flat.ravel(), np.repeat(off[:, j], width), FEATURES) for j in range(3)], 1)
+            each = [np.bincount(kind, off[:, j], len(kinds)) for j in range(3)]
+            slope = np.stack([np.bincount(kinds.ravel(), np.repeat(x, width), FEATURES) for x in each], 1)
             slopes = {"weights": slope + ridge * self.weights / 10, "steps": (joint.sum((0, 1)) - gold_steps) / count,
                       "first": (mean[:, 0] - want[:, 0]).mean(0)}
             for name, g in slopes.items():
@@ -383,9 +446,9 @@ def all_spans(text: str | None, field: Field) -> list[Span]:
     """The pattern spans and those the field adds, by start, then kind."""
     text = text or ""
     base = base_spans(text)
-    places = [m.span() for m in TOKEN.finditer(text)]
+    tags = field.tags(text.split(), text=text)  # splits where ``TOKEN`` does
+    places = [m.span() for m in TOKEN.finditer(text)] if BEGIN in tags else []
     added, begin = [], None
-    tags = field.tags([text[a:b] for a, b in places], text=text)
     for (start, end), tag in [*zip(places, tags), ((0, 0), OUTSIDE)]:
         if begin is not None and tag != INSIDE:
             added.append(begin)

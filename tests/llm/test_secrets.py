@@ -122,3 +122,33 @@ def test_secrets_of_letters_alone(spark):
     text = "w1 w2 of the token = = CorrectHorseBattery of w3 the w4"
     at = text.index("Correct")
     assert not s.base_spans(text) and any(a <= at < b for a, k, b in s.all_spans(text, field) if k == 3)
+
+
+def test_search_is_short_and_loses_nothing(spark, monkeypatch):
+    rows = secret_docs()
+    field = s.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    searched, best = [], s.Field._best
+    monkeypatch.setattr(s.Field, "_best", lambda self, emit, *a: searched.append(len(emit)) or best(self, emit, *a))
+    every = 0
+    for _, text in rows:
+        tokens = text.split()
+        every += len(tokens)
+        assert field.tags(tokens, "f") == field.decode(s.run_features(tokens, "f"))
+    assert 0 < sum(searched) < every / 5
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 10 ** 6), st.floats(0, 12), st.lists(st.sampled_from(PARTS), min_size=1, max_size=40).map(" ".join))
+def test_bound_never_leaves_out_a_best_tag(seed, outside, text):
+    r = np.random.default_rng(seed)
+    field = s.Field()
+    field.weights, field.steps, field.first = r.normal(size=(s.FEATURES, 3)), r.normal(size=(3, 3)), r.normal(size=3)
+    field.weights[:, s.OUTSIDE] += outside / 10
+    tokens = text.split() or ["x"]
+    emit = field._emissions(tokens, "f", "")
+    steps, first = field._masks()
+
+    def score(tags):
+        return first[tags[0]] + emit[np.arange(len(tags)), tags].sum() + steps[tags[:-1], tags[1:]].sum()
+
+    assert abs(score(field.tags(tokens, "f")) - score(field.decode(s.run_features(tokens, "f")))) < 1e-6
