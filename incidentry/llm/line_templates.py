@@ -65,11 +65,26 @@ def _parted(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def lines_by_leaf(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(whole, at, leaf, line, passage, mask) of every line, written once: later passes read hashes, one of them masks."""
+    """(whole, at, leaf, line, passage) of every line, written once: later passes read hashes."""
     mask = F.col("mask")
     return written(_parted(docs, text_col).select(
         "whole", "at", leaf_of(mask).alias("leaf"), F.md5(mask).alias("line"),
-        (tokens_in(mask) >= LONG_LINE).alias("passage"), "mask"), "lines")
+        (tokens_in(mask) >= LONG_LINE).alias("passage")), "lines")
+
+
+def _held(docs: DataFrame, lines: DataFrame, text_col: str) -> DataFrame:
+    """(leaf, line, mask) of the different ``lines``, each masked anew from one place in one text that holds it.
+
+    Few lines of a corpus are in leaves that enough texts reach, so masks of all need not be written. The places are those in
+    the least hashes, so few texts hold them.
+    """
+    places = lines.groupBy("leaf", "line").agg(F.min(F.struct("whole", "at")).alias("p"))
+    places = written(places.select("leaf", "line", "p.whole", "p.at"), "leaf-places")
+    texts = docs.select(F.col(text_col).alias("text"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("whole"))
+    texts = texts.join(checked_broadcast(places.select("whole").distinct(), 64), "whole", "left_semi")
+    parts = texts.select("whole", F.posexplode(lines_of(F.col("text"))).alias("at", "part"))
+    found = parts.join(checked_broadcast(places, 128), ["whole", "at"])
+    return found.select("leaf", "line", masked(F.col("part")).alias("mask")).dropDuplicates(["leaf", "line"])
 
 
 def _texts(rows: DataFrame, per: list[str], counted: list[str], name: str) -> DataFrame:
@@ -77,8 +92,11 @@ def _texts(rows: DataFrame, per: list[str], counted: list[str], name: str) -> Da
     return rows.select(*per, *counted, "n").distinct().groupBy(*per).agg(F.sum("n").alias(name))
 
 
-def templates(lines: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
-    """(line, mask, template, support) of those of :func:`lines_by_leaf` whose template ``least`` different texts hold."""
+def templates(docs: DataFrame, lines: DataFrame, text_col: str = "text", least: int = LEAST_DOCUMENTS) -> DataFrame:
+    """(line, mask, template, support) of the lines of ``docs`` whose template ``least`` different texts hold.
+
+    ``lines`` is what :func:`lines_by_leaf` gives for ``docs``.
+    """
     leaves = _texts(lines.withColumn("n", F.lit(1)), ["leaf"], ["whole"], "reach").where(F.col("reach") >= least)
     leaves = written(leaves.select("leaf"), "leaves")
     # Texts with the same lines in a leaf are one row.
@@ -87,8 +105,8 @@ def templates(lines: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     sets = sets.groupBy("leaf", "lines").agg(F.count("*").alias("n"))
     member = written(sets.select(F.md5(F.array_join("lines", "")).alias("set"), "n", F.explode("lines").alias("line")), "leaf-sets")
 
-    held = lines.select("leaf", "line", "mask").join(checked_broadcast(leaves, 16), "leaf", "left_semi").distinct()
-    held = written(held, "leaf-lines")
+    reached = lines.select("leaf", "line", "whole", "at").join(checked_broadcast(leaves, 16), "leaf", "left_semi")
+    held = written(_held(docs, reached, text_col), "leaf-lines")
     placed = held.select("leaf", "line", F.posexplode(F.split("mask", " ")).alias("at", "token"))
     constant = _texts(placed.where(F.col("token") != FIELD).join(member, "line"), ["leaf", "at", "token"], ["set"], "held")
     constant = constant.where(F.col("held") >= least).select("leaf", "at", "token", F.lit(True).alias("stays"))
@@ -114,7 +132,7 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    least: int = LEAST_DOCUMENTS) -> DataFrame:
     """Per row: its id, ``n_lines`` that are not blank, ``n_dropped`` of them, and ``text`` of the lines left."""
     lines = lines_by_leaf(docs, text_col)
-    found = templates(lines, least).select("line").union(passages(lines)).distinct()
+    found = templates(docs, lines, text_col, least).select("line").union(passages(lines)).distinct()
     found = written(found, "recurring-lines")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     gone = lines.join(checked_broadcast(found, 64), "line", "left_semi").groupBy("whole").agg(

@@ -76,3 +76,16 @@ def test_no_python_in_the_plans(spark):
     for df in (ls.scan(edge_docs(spark)), lt.drop_recurring(edge_docs(spark))):
         plan = df._jdf.queryExecution().toString()
         assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_masks_of_all_lines_are_not_written(spark, monkeypatch):
+    """Of lines in leaves that few texts reach only hashes are kept; templates still have the masks of theirs."""
+    columns, written = {}, lt.written
+    monkeypatch.setattr(lt, "written", lambda df, name: columns.update({name: df.columns}) or written(df, name))
+    logs = [f"job {i} ended with code {i % 3} today\n{prose(100 + i, 12)}" for i in range(30)]
+    docs = spark.createDataFrame([*enumerate(logs), (99, logs[0]), (100, None)], "doc_id long, text string")
+    found = lt.templates(docs, lt.lines_by_leaf(docs)).collect()
+    assert "mask" not in columns["lines"] and "mask" in columns["leaf-lines"]
+    assert [(r.mask, r.support) for r in found] == [("job <*> ended with code <*> today", 30)]
+    rows = {r.doc_id: (r.n_dropped, r.text) for r in lt.drop_recurring(docs).collect()}
+    assert rows[99] == rows[0] == (1, logs[0].split("\n")[1]) and rows[100] == (0, "")
