@@ -201,15 +201,19 @@ def links_within(keys: DataFrame, full: DataFrame, known: DataFrame,
     not linked, before whole sets are compared.
     """
     found, pairs, allowed = written(known, "known-links"), [], None
+    joined = found
     while True:
         rows = written(_centred(keys), "centred-keys")
         count = rows.count()
         allowed = allowed or max(PAIRS_AT_ONCE, count)
         stars = rows.where("ref <> centre").where("5 * least(n, centre_n) >= 4 * greatest(n, centre_n)").select(
             *unordered("ref", "centre")).distinct()
-        found = found.unionByName(written(verified(in_few_tasks(stars, count), full, alike), "star-links"))
+        stars = written(verified(in_few_tasks(stars, count), full, alike), "star-links")
+        found = found.unionByName(stars)
         # Components need not be whole here: what is taken apart too far is paired, not lost.
-        roots = written(in_few_tasks(_reached(found), count), "reached")
+        roots = written(in_few_tasks(_reached(joined.unionByName(stars)), count), "reached")
+        # What was joined before is one link a set from now on.
+        joined = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         rows = written(_still_open(rows, count, roots), "open-keys")
         large = rows.where(F.col("minors") > FEW)
         left = large.agg(F.coalesce(F.sum("minors"), F.lit(0))).first()[0]

@@ -141,3 +141,23 @@ def test_small_tables_take_few_tasks(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_later_rounds_join_one_link_a_set(spark, monkeypatch):
+    """Roots of a round come from the roots before it and its own links, not from all links found so far."""
+    monkeypatch.setattr(set_links, "FEW", 2)
+    monkeypatch.setattr(set_links, "PAIRS_AT_ONCE", 1)
+    seen, reached = [], set_links._reached
+    monkeypatch.setattr(set_links, "_reached", lambda df: seen.append(df) or reached(df))
+    r = random.Random(5)
+    bases = [r.sample(range(10 ** 6), 100) for _ in range(6)]
+    sets = {}
+    for k in range(90):
+        gone = r.choice([2, 4, 9])
+        sets[k] = sorted((set(bases[k % 6]) - set(r.sample(bases[k % 6], gone))) | set(bases[0][:30]))
+    keys = spark.createDataFrame([(x, k, len(s), len(s), True, 0.0) for k, s in sets.items() for x in (1, 2, 3)],
+                                 "key long, ref long, n int, cap int, short boolean, rank double")
+    full = spark.createDataFrame(list(sets.items()), "ref long, tokens array<long>")
+    set_links.links_within(keys, full, spark.createDataFrame([], "a long, b long")).count()
+    assert len(seen) > 1 and seen[1].count() < 2 * len(sets)
+    assert "node" in seen[1]._jdf.queryExecution().logical().toString()
