@@ -21,7 +21,7 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     With ``rounds`` given, only so many are run: roots are then nodes reached, not always the least ones.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = written(edges, "links")
+    edges = written(edges if rounds else in_few_tasks(edges, links.count()), "links")
     seen, done = None if rounds else _state(edges), 0
     while rounds or seen[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from incidentry.llm.common import checked_broadcast, mixed, row_map, written
+from incidentry.llm.common import checked_broadcast, in_few_tasks, mixed, row_map, written
 from incidentry.llm.components import components
 from incidentry.llm.ngram_join import fingerprint, place_components, word_hashes
 from incidentry.llm.set_links import links_within
@@ -129,12 +129,13 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -
 def links(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links (a, b) between classes, by banding, signatures and whole sets."""
     keys = written(buckets(rows), "buckets")
+    count = keys.count()
     # The set that shares most buckets is the most central one.
     central = keys.groupBy("ref").agg((-F.count("*")).cast("double").alias("rank"))
     keys = keys.join(central, "ref").select("key", "ref", "n", F.col("n").alias("cap"), F.lit(True).alias("short"), "rank")
-    met = written(rows.where("n > 0").join(central.select("ref"), "ref", "left_semi").groupBy("ref").agg(
-        F.min("id").alias("id")), "bucketed-classes")
-    full = written(_full_sets(docs, met.where("id is not null"), id_col, text_col), "full-sets")
+    met = written(in_few_tasks(rows.where("n > 0").join(central.select("ref"), "ref", "left_semi").groupBy("ref").agg(
+        F.min("id").alias("id")), count), "bucketed-classes")
+    full = written(in_few_tasks(_full_sets(docs, met.where("id is not null"), id_col, text_col), count), "full-sets")
     named = rows.where("n > 0").select("id", "ref")
     several = named.groupBy("id").agg(F.min("ref").alias("lo"), F.max("ref").alias("hi")).where("lo <> hi")
     one_id = named.join(several, "id").where("ref <> lo").select(F.col("ref").alias("a"), F.col("lo").alias("b"))

@@ -2,8 +2,8 @@
 
 A key stands for a group of sets, any two of which may overlap by 80 of 100. Every group is first held against one
 set ``c``, the most central; groups whose sets are all in one component are done. Where few sets are outside the
-component that most are in, these few are paired with the others. Any other group is taken apart by what its sets share
-with ``c``. Two linked sets ``x`` and ``y`` share at least ``4 (|x| + |y|) / 9`` tokens. Either
+component that most are in, and few others in it, these are paired. Any other group is taken apart by what its sets
+share with ``c``. Two linked sets ``x`` and ``y`` share at least ``4 (|x| + |y|) / 9`` tokens. Either
 
 - they share tokens outside of ``c``. Of these, the rare ones that members of several components hold are keys of the
   next round, each of a group without ``c``; or
@@ -11,8 +11,8 @@ with ``c``. Two linked sets ``x`` and ``y`` share at least ``4 (|x| + |y|) / 9``
   smaller than ``9 |x & c| / 4 - |x|``, which is smaller than ``c``. Sets of such sizes are a group of the next round,
   again without ``c``; near copies of one size have none.
 
-Rounds end when no group has many sets outside its major component, or when all pairs of these with their groups are
-no more than the keys there were at first; such a rest is paired, so pairs stay in proportion to the keys.
+Rounds end when only small groups are open, or when all pairs of larger ones are no more than a quarter of the keys
+there were at first; such a rest is paired, so pairs stay in proportion to the keys. No pair has ``c`` in it again.
 """
 
 from __future__ import annotations
@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from incidentry.llm.common import arrow_schema, checked_broadcast, in_few_tasks, let_go_large, written
 
-#: So many sets or fewer outside the major component of a group are paired with the rest of it at once.
+#: A group is paired at once when that makes no more pairs than a group of so many sets has.
 FEW = 16
-#: What is left of larger groups is paired when it makes no more pairs than this or than the keys at first.
+#: What is left of larger groups is paired when it makes no more pairs than this or than a quarter of the keys at first.
 PAIRS_AT_ONCE = 100_000
 #: Tables of a few numbers a row are sent to all tasks when they are measured to hold at most so many bytes. A join then
 #: needs no shuffle; rounds on small tables are many, and each shuffle costs a task for every partition.
@@ -41,8 +41,8 @@ SLICE = 500
 KEY = ("key", "ref", "n", "cap", "short", "rank")
 
 
-def with_sets(pairs: DataFrame, full: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``run(a, b, the set of a, the set of b)`` over pairs (a, b); it yields rows of ``schema``.
+def with_sets(pairs: DataFrame, count: int, full: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``run(a, b, the set of a, the set of b)`` over at most ``count`` pairs (a, b); it yields rows of ``schema``.
 
     ``full`` is (ref, tokens), one row a ref. Where it has signatures too, ``run`` gets both after the sets.
     """
@@ -69,7 +69,8 @@ def with_sets(pairs: DataFrame, full: DataFrame, run: Callable, schema: str) ->
                 [pa.array(c, t.type) for c, t in zip(zip(*rows) if rows else [()] * len(target), target)], schema=target)
 
     columns = [f"{c}_{h}" for h in held for c in ("a", "b")]
-    return pairs.join(left, "a").join(right, "b").select("a", "b", *columns).mapInArrow(over, schema)
+    held = in_few_tasks(pairs, count).join(left, "a").join(right, "b").select("a", "b", *columns)
+    return in_few_tasks(held, count).mapInArrow(over, schema)
 
 
 def _sent(df: DataFrame, bytes_per_row: int) -> DataFrame:
@@ -82,7 +83,8 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def verified(pairs: DataFrame, full: DataFrame, alike: Callable[[bytes, bytes], bool] | None = None) -> DataFrame:
+def verified(pairs: DataFrame, count: int, full: DataFrame,
+             alike: Callable[[bytes, bytes], bool] | None = None) -> DataFrame:
     """(a, b) of the pairs (a, b) that are linked: alike by their signatures, and by their whole sets."""
 
     def run(a, b, x, y, *signatures):
@@ -91,7 +93,7 @@ def verified(pairs: DataFrame, full: DataFrame, alike: Callable[[bytes, bytes],
             if 100 * overlap >= 80 * (len(x) + len(y) - overlap):
                 yield a, b
 
-    return with_sets(pairs, full, run, "a long, b long")
+    return with_sets(pairs, count, full, run, "a long, b long")
 
 
 def unordered(a: str, b: str) -> list:
@@ -109,15 +111,15 @@ def _centred(keys: DataFrame) -> DataFrame:
 
 def _still_open(rows: DataFrame, count: int, roots: DataFrame) -> DataFrame:
     """The ``count`` rows of keys whose sets are in more than one component, with their ``root``, the root ``major`` of the
-    component that most sets of the key are in, and the number ``minors`` of the other sets."""
-    rows = rows.drop("root", "major", "minors").join(
+    component that most sets of the key are in, the number ``minors`` of the other sets, and that of ``all`` sets."""
+    rows = rows.drop("root", "major", "minors", "all").join(
         _sent(roots.select(F.col("node").alias("ref"), "root"), 16), "ref", "left").withColumn(
         "root", F.coalesce("root", "ref"))
     parts = rows.groupBy("key", "root").agg(F.count("*").alias("part"))
     apart = parts.groupBy("key").agg(
         F.max(F.struct("part", "root")).alias("m"), F.sum("part").alias("all")).where("all > m.part").select(
-        "key", F.col("m.root").alias("major"), (F.col("all") - F.col("m.part")).alias("minors"))
-    return rows.join(_sent(written(in_few_tasks(apart, count), "apart-keys"), 24), "key")
+        "key", F.col("m.root").alias("major"), (F.col("all") - F.col("m.part")).alias("minors"), "all")
+    return rows.join(_sent(written(in_few_tasks(apart, count), "apart-keys"), 32), "key")
 
 
 _OTHER = ("ref", "n", "cap", "root", "short")
@@ -128,8 +130,9 @@ _NEAR = "9 * least(cap, other_cap, n, other_n) >= 4 * (n + other_n)"
 def _few_pairs(rows: DataFrame) -> DataFrame:
     """Pairs of the few sets outside the major component of a key with its sets of other components.
 
-    At most ``FEW`` pairs a set. The smaller set of a pair must be there as ``short``.
+    The centre has been held against all of them. The smaller set of a pair must be there as ``short``.
     """
+    rows = rows.where("ref <> centre")
     others = rows.select("key", *[F.col(c).alias(f"other_{c}") for c in _OTHER])
     minor = _sent(rows.where("root <> major").select("key", *_OTHER), 40)
     short = "case when n < other_n then short when n > other_n then other_short else short or other_short end"
@@ -146,7 +149,7 @@ def _around(rows: DataFrame, count: int, full: DataFrame) -> DataFrame:
         yield a, b, overlap, 100 * overlap >= 80 * (len(x) + len(y) - overlap), outside.tolist()
 
     held = rows.where("ref <> centre").select(F.col("ref").alias("a"), F.col("centre").alias("b")).distinct()
-    return with_sets(in_few_tasks(held, count), full, run, "ref long, centre long, overlap int, linked boolean, outside array<long>")
+    return with_sets(held, count, full, run, "ref long, centre long, overlap int, linked boolean, outside array<long>")
 
 
 def _keys_inside(rows: DataFrame, count: int) -> DataFrame:
@@ -200,30 +203,34 @@ def links_within(keys: DataFrame, full: DataFrame, known: DataFrame,
     ``full`` is (ref, tokens[, signature]), one row a ref. ``alike`` may say from two signatures that a pair is surely
     not linked, before whole sets are compared.
     """
-    found, pairs, allowed = written(known, "known-links"), [], None
-    joined = found
+    found, pairs, most, allowed = written(known, "known-links"), [], 0, None
+    joined, centred = found, _centred(keys)
     while True:
-        rows = written(_centred(keys), "centred-keys")
+        rows = written(centred, "centred-keys")
         count = rows.count()
-        allowed = allowed or max(PAIRS_AT_ONCE, count)
+        allowed = allowed or max(PAIRS_AT_ONCE, count // 4)
         stars = rows.where("ref <> centre").where("5 * least(n, centre_n) >= 4 * greatest(n, centre_n)").select(
             *unordered("ref", "centre")).distinct()
-        stars = written(verified(in_few_tasks(stars, count), full, alike), "star-links")
+        stars = written(verified(stars, count, full, alike), "star-links")
         found = found.unionByName(stars)
         # Components need not be whole here: what is taken apart too far is paired, not lost.
         roots = written(in_few_tasks(_reached(joined.unionByName(stars)), count), "reached")
         # What was joined before is one link a set from now on.
         joined = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         rows = written(_still_open(rows, count, roots), "open-keys")
-        large = rows.where(F.col("minors") > FEW)
-        left = large.agg(F.coalesce(F.sum("minors"), F.lit(0))).first()[0]
+        is_large = F.col("minors") * F.col("all") > FEW * FEW
+        large, few = rows.where(is_large), rows.where(~is_large)
+        left, more = rows.agg(*[F.coalesce(F.sum(F.when(c, F.col("minors"))), F.lit(0)) for c in (is_large, ~is_large)]).first()
+        most += more
         if left <= allowed:
+            most += left
             pairs.append(_few_pairs(rows))
             break
-        pairs.append(_few_pairs(rows.where(F.col("minors") <= FEW)))
+        pairs.append(_few_pairs(few))
         around = written(_around(large, count, full), "around-centre")
         overlaps = _sent(around.drop("outside"), 24)
         keys = written(in_few_tasks(_keys_inside(large.join(overlaps, ["ref", "centre"]), count).unionByName(
             _keys_outside(large, count, around)), count), "narrower-keys")
-    rest = in_few_tasks(reduce(DataFrame.unionByName, pairs).distinct(), allowed)
-    return found.unionByName(written(verified(rest, full, alike), "cross-links"))
+        centred = in_few_tasks(_centred(keys), keys.count())
+    rest = reduce(DataFrame.unionByName, pairs).distinct()
+    return found.unionByName(written(verified(rest, most, full, alike), "cross-links"))

@@ -161,3 +161,26 @@ def test_later_rounds_join_one_link_a_set(spark, monkeypatch):
     set_links.links_within(keys, full, spark.createDataFrame([], "a long, b long")).count()
     assert len(seen) > 1 and seen[1].count() < 2 * len(sets)
     assert "node" in seen[1]._jdf.queryExecution().logical().toString()
+
+
+def test_few_sets_outside_a_large_group_are_not_paired_with_it(spark, monkeypatch):
+    """Sets outside the component of a large key are told apart by their tokens, and none meets its centre twice."""
+    monkeypatch.setattr(set_links, "PAIRS_AT_ONCE", 1)
+    seen, verified = [], set_links.verified
+    monkeypatch.setattr(set_links, "verified", lambda pairs, *rest: seen.append(pairs) or verified(pairs, *rest))
+    r = random.Random(7)
+    base, sets = r.sample(range(10 ** 6), 100), {}
+    for k in range(60):
+        # The last 12 share 70 tokens with the others, too few for a link; two of them are copies of two more.
+        s = base[:70 if k >= 48 else 97]
+        sets[k] = sorted(s + [10 ** 6 + 1000 * k + j for j in range(100 - len(s))])
+    for k in (58, 59):
+        sets[k] = sorted(sets[k - 4][:-2] + [-k, k + 2 * 10 ** 6])
+    full = spark.createDataFrame(list(sets.items()), "ref long, tokens array<long>")
+    keys = [(1, k, 100, 100, True, float(k)) for k in sets] + [(2, k, 100, 100, True, float(k)) for k in (0, 50)]
+    got = set_links.links_within(spark.createDataFrame(keys, "key long, ref long, n int, cap int, short boolean, rank double"),
+                                 full, spark.createDataFrame([], "a long, b long")).collect()
+    links = {(x.a, x.b) for x in got}
+    assert links == {(k, 0) for k in range(1, 48)} | {(58, 54), (59, 55)}
+    pairs = [(x.a, x.b) for df in seen for x in df.collect()]
+    assert len(pairs) == len(set(pairs)) <= 2 * len(sets)
