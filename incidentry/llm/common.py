@@ -119,12 +119,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 ROWS_A_TASK = 20_000
 
 
-def in_few_tasks(df: DataFrame, rows: int) -> DataFrame:
-    """``df``, made of ``rows`` rows, in a task for every ``ROWS_A_TASK`` of them, one for each core at least.
+def in_few_tasks(df: DataFrame, rows: int, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
+    """``df``, made of ``rows`` rows, in a task for every ``rows_a_task`` of them, one for each core at least.
 
     A small table is else written as one file for each shuffle partition. Large ones keep their partitions.
     """
-    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK)))
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // rows_a_task)))
 
 
 def small(df: DataFrame, bytes_per_row: int, limit: int = BROADCAST_BYTES) -> bool:

@@ -33,8 +33,8 @@ PAIRS_AT_ONCE = 100_000
 #: Tables of a few numbers a row are sent to all tasks when they are measured to hold at most so many bytes. A join then
 #: needs no shuffle; rounds on small tables are many, and each shuffle costs a task for every partition.
 SENT_BYTES = 8 * 1024 * 1024
-#: Pairs compared at once in Python.
-SLICE = 500
+#: Pairs compared at once in Python, and pairs that one task compares at least: each carries two whole sets.
+SLICE, PAIRS_A_TASK = 500, 5_000
 
 #: Columns of a key table. ``cap`` bounds the overlap with any other set, ``short`` says whether the set may be the
 #: smaller one of a pair under this key, and the least ``rank`` is the most central.
@@ -70,7 +70,7 @@ def with_sets(pairs: DataFrame, count: int, full: DataFrame, run: Callable, sche
 
     columns = [f"{c}_{h}" for h in held for c in ("a", "b")]
     held = in_few_tasks(pairs, count).join(left, "a").join(right, "b").select("a", "b", *columns)
-    return in_few_tasks(held, count).mapInArrow(over, schema)
+    return in_few_tasks(held, count, PAIRS_A_TASK).mapInArrow(over, schema)
 
 
 def _sent(df: DataFrame, bytes_per_row: int) -> DataFrame:
