@@ -11,6 +11,13 @@ share with ``c``. Two linked sets ``x`` and ``y`` share at least ``4 (|x| + |y|)
   smaller than ``9 |x & c| / 4 - |x|``, which is smaller than ``c``. Sets of such sizes are a group of the next round,
   again without ``c``; near copies of one size have none.
 
+Before that, groups whose sets differ little from ``c``, or of which few sets are outside the component that most are in,
+are done by these differences alone. With ``D(x)`` the tokens that ``x`` or ``c`` holds and the other does not, and
+``far(x) = 5 |c - x| + 4 |x - c| - |c|``, ``x`` is linked with ``c`` where ``far(x) <= 0``, and with ``y`` where
+``9 |D(x) & D(y)| >= far(x) + far(y) + |c|``. Blocks of the sets outside meet blocks of all: no whole set is sent, no row is
+made for a pair, and each set writes one link for each component it reaches. A set meets a bounded number of differences
+so; groups beyond that are taken apart.
+
 Rounds end when only small groups are open, or when all pairs of larger ones are no more than a quarter of the keys
 there were at first; such a rest is paired, so pairs stay in proportion to the keys. No pair has ``c`` in it again.
 """
@@ -30,6 +37,10 @@ from incidentry.llm.common import arrow_schema, checked_broadcast, in_few_tasks,
 FEW = 16
 #: What is left of larger groups is paired when it makes no more pairs than this or than a quarter of the keys at first.
 PAIRS_AT_ONCE = 100_000
+#: A set is held against at most so many differences of other sets for each of ``PAIRS_AT_ONCE``, without a row for a pair.
+DIFFERENCES = 40
+#: Rows and differences in a block.
+BLOCK_ROWS, BLOCK_TOKENS = 1_000, 1_000_000
 #: Tables of a few numbers a row are sent to all tasks when they are measured to hold at most so many bytes. A join then
 #: needs no shuffle; rounds on small tables are many, and each shuffle costs a task for every partition.
 SENT_BYTES = 8 * 1024 * 1024
@@ -141,15 +152,80 @@ def _few_pairs(rows: DataFrame) -> DataFrame:
 
 
 def _around(rows: DataFrame, count: int, full: DataFrame) -> DataFrame:
-    """(ref, centre, overlap, linked, outside) of the sets of ``rows`` held against the centres of their keys."""
+    """Sets of ``rows`` held against the centres of their keys: what both share, and the tokens of one alone.
+
+    ``far`` is how far a set is from a link with its centre, at most 0 where there is one.
+    """
 
     def run(a, b, x, y, *signatures):
-        outside = np.setdiff1d(x, y, assume_unique=True)
-        overlap = len(x) - len(outside)
-        yield a, b, overlap, 100 * overlap >= 80 * (len(x) + len(y) - overlap), outside.tolist()
+        outside, missing = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+        far = 5 * len(missing) + 4 * len(outside) - len(y)
+        yield a, b, len(y), len(x) - len(outside), far, far <= 0, outside.tolist(), missing.tolist()
 
     held = rows.where("ref <> centre").select(F.col("ref").alias("a"), F.col("centre").alias("b")).distinct()
-    return with_sets(held, count, full, run, "ref long, centre long, overlap int, linked boolean, outside array<long>")
+    return with_sets(held, count, full, run, "ref long, centre long, centre_n int, overlap int, far int, linked boolean, "
+                                             "outside array<long>, missing array<long>")
+
+
+def _groups(around: DataFrame) -> DataFrame:
+    """Centres whose sets are in more than one component: the root ``major`` of the component that most are in, the numbers
+    of blocks of all sets and of the others, and whether these are ``apart`` too many to be held against all sets."""
+    parts = around.groupBy("centre", "root").agg(
+        F.count("*").alias("part"), F.sum(F.size("outside") + F.size("missing")).alias("tokens"))
+    groups = parts.groupBy("centre").agg(F.max(F.struct("part", "root", "tokens")).alias("m"), F.sum("part").alias("all"),
+                                         F.sum("tokens").alias("tokens")).where("all > m.part")
+    blocks = f"ceil(greatest(({{0}}) / {BLOCK_ROWS}, ({{1}}) / {BLOCK_TOKENS}))"
+    return groups.select(
+        "centre", F.col("m.root").alias("major"), F.expr(blocks.format("all", "tokens")).cast("int").alias("all_blocks"),
+        F.expr(blocks.format("all - m.part", "tokens - m.tokens")).cast("int").alias("minor_blocks"),
+        F.expr(f"(all - m.part) * (tokens / all) > {DIFFERENCES * PAIRS_AT_ONCE}").alias("apart"))
+
+
+def _met_in_blocks(around: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links (a, b) of sets outside the major component of their centre: one for each block and component they reach."""
+    import pyarrow as pa
+
+    target = arrow_schema("a long, b long")
+
+    def run(table):
+        table = table.combine_chunks()
+        ref, root, far, centre_n = (table.column(c).to_numpy() for c in ("ref", "root", "far", "centre_n"))
+        column = table.column("tokens").combine_chunks()
+        offsets = column.offsets.to_numpy() - column.offsets[0].as_py()
+        ids = np.unique(column.flatten().to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        size, minor = np.diff(offsets), table.column("minor").to_numpy(zero_copy_only=False)
+        # What a set gains at most from differences in common, less its own distance: the other's must not be more.
+        gain = 9 * size - far - centre_n
+        members = np.flatnonzero(~minor)
+        members = members[np.argsort(-gain[members], kind="stable")]
+        starts = np.concatenate(([0], np.cumsum(size[members])))
+        met = np.concatenate([ids[offsets[k]:offsets[k + 1]] for k in members]) if len(members) else ids[:0]
+        held, falling, out = np.zeros(len(ids) + 1, bool), -gain[members], []
+        for k in np.flatnonzero(minor):
+            near = int(np.searchsorted(falling, -far[k], side="right"))
+            if not near:
+                continue
+            own = ids[offsets[k]:offsets[k + 1]]
+            held[own] = True
+            sums = np.concatenate(([0], np.cumsum(held[met[:starts[near]]])))
+            held[own] = False
+            others = members[:near]
+            common = sums[starts[1:near + 1]] - sums[starts[:near]]
+            linked = others[(9 * common >= far[k] + far[others] + centre_n[k]) & (root[others] != root[k])]
+            for y in linked[np.unique(root[linked], return_index=True)[1]]:
+                out.append((max(ref[k], ref[y]), min(ref[k], ref[y])))
+        return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out) if out else ((), ()), target)], schema=target)
+
+    rows = around.select("ref", "root", "far", "centre_n", "centre", F.concat("outside", "missing").alias("tokens")).join(
+        _sent(groups.where("not apart"), 24), "centre")
+    block = F.xxhash64("ref", F.lit("block"))
+    every = rows.withColumn("minor", F.lit(False)).withColumn("i", F.pmod(block, "all_blocks")).withColumn(
+        "j", F.explode(F.expr("sequence(0L, minor_blocks - 1L)")))
+    others = rows.where("root <> major").withColumn("minor", F.lit(True)).withColumn(
+        "i", F.explode(F.expr("sequence(0L, all_blocks - 1L)"))).withColumn("j", F.pmod(block, "minor_blocks"))
+    columns = ["centre", "i", "j", "ref", "root", "far", "centre_n", "minor", "tokens"]
+    return every.select(*columns).unionByName(others.select(*columns)).groupBy("centre", "i", "j").applyInArrow(
+        run, "a long, b long")
 
 
 def _keys_inside(rows: DataFrame, count: int) -> DataFrame:
@@ -227,8 +303,17 @@ def links_within(keys: DataFrame, full: DataFrame, known: DataFrame,
             pairs.append(_few_pairs(rows))
             break
         pairs.append(_few_pairs(few))
-        around = written(_around(large, count, full), "around-centre")
-        overlaps = _sent(around.drop("outside"), 24)
+        around = _around(large, count, full).join(
+            _sent(roots.select(F.col("node").alias("ref"), "root"), 16), "ref", "left").withColumn(
+            "root", F.coalesce("root", "ref"))
+        around = written(around, "around-centre")
+        groups = written(in_few_tasks(_groups(around), count), "groups")
+        found = found.unionByName(written(_met_in_blocks(around, groups), "block-links"))
+        apart = groups.where("apart").select("centre")
+        if apart.isEmpty():
+            break
+        large, around = (df.join(_sent(apart, 8), "centre", "left_semi") for df in (large, around))
+        overlaps = _sent(around.select("ref", "centre", "overlap", "linked"), 24)
         keys = written(in_few_tasks(_keys_inside(large.join(overlaps, ["ref", "centre"]), count).unionByName(
             _keys_outside(large, count, around)), count), "narrower-keys")
         centred = in_few_tasks(_centred(keys), keys.count())

@@ -184,3 +184,46 @@ def test_few_sets_outside_a_large_group_are_not_paired_with_it(spark, monkeypatc
     assert links == {(k, 0) for k in range(1, 48)} | {(58, 54), (59, 55)}
     pairs = [(x.a, x.b) for df in seen for x in df.collect()]
     assert len(pairs) == len(set(pairs)) <= 2 * len(sets)
+
+
+@pytest.mark.parametrize("at_once", [1, 50, 1000])
+def test_blocks_of_differences_against_brute_force(spark, monkeypatch, at_once):
+    """Groups held against the differences of few or many others, in blocks of a few sets."""
+    for name, value in (("FEW", 2), ("PAIRS_AT_ONCE", at_once), ("BLOCK_ROWS", 7), ("BLOCK_TOKENS", 900)):
+        monkeypatch.setattr(set_links, name, value, raising=False)
+    rows = table(5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(repr(tuple(r)) for r in m.near_components(docs).collect()) == slow_components(rows)
+
+
+def test_sets_just_outside_a_large_group_take_one_round(spark, monkeypatch):
+    """Near copies of one set, and sets a little too far from it for a link: no round for each centre, no row for a pair."""
+    for name, value in (("PAIRS_AT_ONCE", 500), ("BLOCK_ROWS", 60), ("BLOCK_TOKENS", 4000)):
+        monkeypatch.setattr(set_links, name, value, raising=False)
+    rounds, pairs, reached, verified = [], [], set_links._reached, set_links.verified
+    monkeypatch.setattr(set_links, "_reached", lambda df: rounds.append(df) or reached(df))
+    monkeypatch.setattr(set_links, "verified", lambda df, *rest: pairs.append(df) or verified(df, *rest))
+    r = random.Random(11)
+    base, fresh, sets = r.sample(range(10 ** 6), 100), iter(range(2 * 10 ** 6, 3 * 10 ** 6)), {0: None}
+    sets[0] = sorted(base)
+    for k in range(1, 240):
+        # Every sixth differs too much from the base; half of these are linked with the copy they are made of.
+        s, gone = set(sets[r.randrange(k)] if k % 12 == 6 else base), {0: 13, 6: 11}.get(k % 12, r.randrange(1, 5))
+        sets[k] = sorted((s - set(r.sample(sorted(s), gone))) | {next(fresh) for _ in range(gone)})
+    full = spark.createDataFrame(list(sets.items()), "ref long, tokens array<long>")
+    keys = spark.createDataFrame([(x, k, len(s), len(s), True, float(k)) for k, s in sets.items() for x in (1, 2)],
+                                 "key long, ref long, n int, cap int, short boolean, rank double")
+    got = {(x.a, x.b) for x in set_links.links_within(keys, full, spark.createDataFrame([], "a long, b long")).collect()}
+    links = {(a, b) for a in sets for b in range(a)
+             if 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len(set(sets[a]) | set(sets[b]))}
+
+    def roots(found):
+        root = list(range(len(sets)))
+        for _ in sets:
+            for a, b in found:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert got <= links and roots(got) == roots(links)
+    assert len({x for x in roots(links)}) > 10 and any(b and roots(links)[a] == 0 for a, b in got)
+    assert len(rounds) == 1 and sum(df.count() for df in pairs) < 2 * len(sets)
